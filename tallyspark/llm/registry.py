@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import licenses, pii
+from tallyspark.llm import licenses, pii, simhash
 from tallyspark.llm.base import table
 
 
@@ -12,9 +12,13 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_personal_data, op6_license_scan)}
+QUERIES = {f.__name__: f for f in (op3_personal_data, op5_simhash, op6_license_scan)}
 ORACLE_SQL: dict[str, str] = {}
