@@ -73,3 +73,14 @@ def passes(offsets: np.ndarray, most: int = PASS_BYTES) -> Iterator[tuple[int, i
         last = min(n, max(last, first + 1))
         yield first, last
         first = last
+
+
+def packed(bucket: np.ndarray, weight: np.ndarray) -> tuple[bytes, bytes]:
+    """A sparse vector as two binary cells."""
+    return bucket.astype("<i4").tobytes(), weight.astype("<f4").tobytes()
+
+
+def sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of `values[start:end]` for each pair; empty ranges give 0."""
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.float64)])
+    return total[ends] - total[starts]
