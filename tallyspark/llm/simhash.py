@@ -1,9 +1,9 @@
 """SimHash near-duplicates: a segment-popcount embedding, a grid range-join under Manhattan distance, then an exact check.
 
-A fingerprint's embedding counts the set bits of each 4-bit segment: 16 counts of 0 to 4, packed as the nibbles of a long.
-One differing bit moves one count by one, so the Manhattan distance of two embeddings never exceeds the Hamming distance
+A fingerprint's embedding counts the set bits of each 2-bit segment: 32 counts of 0 to 2, packed in the 2-bit fields of a
+long. So fine a grid keeps chance meetings rare: of n random fingerprints one meets about n / 20 billion others. One differing bit moves one count by one, so the Manhattan distance of two embeddings never exceeds the Hamming distance
 of the fingerprints. Two lattice points within distance 2 share a point within distance 1 of either, so each occupied cell
-is joined to its neighbours by emitting itself and its up to 32 neighbours. At most 33 cells meet at a point, whatever the
+is joined to its neighbours by emitting itself and its up to 64 neighbours. At most 65 cells meet at a point, whatever the
 size of a group of near copies. Fingerprints of cells that meet no other go no further.
 
 The exact check works the same way on bits: two fingerprints differ in at most 2 bits exactly if they share a word within
@@ -65,26 +65,28 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.mapInArrow(scan, T.StructType([rows.schema["doc_id"], T.StructField("fingerprint", T.LongType())]))
 
 
+_LOW = 0x5555555555555555  # the lower bit of each 2-bit field
+
+
 def cell(fingerprint: str) -> Column:
-    """The embedding: set bits of each 4-bit segment, in the nibbles of a long."""
-    # the halves are done apart: a long has no unsigned arithmetic
-    low, high = f"({fingerprint} & 4294967295L)", f"shiftrightunsigned({fingerprint}, 32)"
-    half = lambda v: f"((({v} - (shiftright({v}, 1) & 1431655765L)) & 858993459L) + (shiftright({v} - (shiftright({v}, 1) & 1431655765L), 2) & 858993459L))"
-    return F.expr(f"shiftleft({half(high)}, 32) | {half(low)}")
+    """The embedding: set bits of each 2-bit segment, in the 2-bit fields of a long."""
+    return F.expr(f"shiftleft({fingerprint} & shiftrightunsigned({fingerprint}, 1) & {_LOW}L, 1) | (({fingerprint} ^ shiftrightunsigned({fingerprint}, 1)) & {_LOW}L)")
 
 
 def around(point: str) -> Column:
-    """A cell and the lattice points at distance 1 of it."""
+    """A cell and the lattice points at distance 1 of it: 0 and 1 differ in a field's lower bit, 1 and 2 in both."""
+    count = f"(shiftrightunsigned({point}, 2 * i) & 3)"
     return F.expr(
         f"concat(array({point}),"
-        f" transform(filter(sequence(0, 15), i -> (shiftright({point}, 4 * i) & 15) < 4), i -> {point} + shiftleft(1L, 4 * i)),"
-        f" transform(filter(sequence(0, 15), i -> (shiftright({point}, 4 * i) & 15) > 0), i -> {point} - shiftleft(1L, 4 * i)))"
+        f" transform(filter(sequence(0, 31), i -> {count} < 2), i -> {point} ^ shiftleft(1L, 2 * i)),"
+        f" transform(filter(sequence(0, 31), i -> {count} > 0), i -> {point} ^ shiftleft(3L, 2 * i)))"
     )
 
 
 def meeting(prints: DataFrame) -> DataFrame:
     """Rows of `prints` (distinct `fingerprint`, its `cell`) with another fingerprint within Manhattan distance 2 of their embedding."""
-    cells = prints.groupBy("cell").agg(F.count("*").alias("n"))
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a cell becomes some 50 rows: more tasks than its bytes suggest
+    cells = prints.groupBy("cell").agg(F.count("*").alias("n")).repartition(tasks, "cell")
     points = cells.select("cell", "n", F.explode(around("cell")).alias("point"))
     met = points.groupBy("point").agg(F.sum("n").alias("n"), F.collect_list("cell").alias("cells")).filter("n >= 2")
     return prints.join(met.select(F.explode("cells").alias("cell")).distinct(), "cell", "left_semi")
