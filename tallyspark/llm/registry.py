@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import language, licenses, linededup, mixing, pii, quality, simhash, toxicity
+from tallyspark.llm import decontam, language, licenses, linededup, mixing, pii, quality, simhash, toxicity
 from tallyspark.llm.base import fold, table
 
 
@@ -37,6 +37,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.digest(linededup.LineIndex.build(docs).clean(docs))
@@ -47,5 +51,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_personal_data, op4_language, op5_simhash, op6_license_scan, op7_quality, op9_line_dedup, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_personal_data, op4_language, op5_simhash, op6_license_scan, op7_quality, op8_decontaminate, op9_line_dedup, op10_toxicity)}
+ORACLE_SQL: dict[str, str] = {"op8_decontaminate": decontam.ORACLE}
