@@ -204,7 +204,8 @@ class LineIndex:
         while lost in docs.columns:
             lost = f"_{lost}"
         kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-        joined = docs.select(*kept).join(self.dropped().withColumnRenamed("lost", lost), "doc_id", "left").select(*kept, lost)
+        # both sides are shuffled by doc_id at every size: what is lost grows with the corpus, so it is never broadcast
+        joined = docs.select(*kept).join(self.dropped().withColumnRenamed("lost", lost).hint("merge"), "doc_id", "left").select(*kept, lost)
         at, min_chars = kept.index("text"), self.min_chars
 
         def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
