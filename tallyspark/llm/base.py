@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """`df`, kept in memory and on the executors' disks for several uses; blocks of a lost executor are made again.
+
+    For results that are small beside their input: unlike a written table it leaves no files, one for each task.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def fold(doc_id: str | Column, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo `parts`; null for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.base import BROADCAST_ROWS, materialize
+from tallyspark.llm.base import BROADCAST_ROWS, held
 
 WORDS, THRESHOLD = 5, 0.8
 
@@ -66,14 +66,14 @@ def item_shingles(items: DataFrame, n: int, threshold: float) -> DataFrame:
 
 def contained(docs: DataFrame, items: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, n_item, n_shared (distinct shingles of the item, and those in the document), containment."""
-    known = materialize(item_shingles(items, n, threshold))
+    known = held(item_shingles(items, n, threshold))
     size = known.count()
     texts = docs.filter("doc_id is not null and text is not null").select("doc_id", words_of("text").alias("words"))
     hashes = texts.select("doc_id", F.explode(shingle_hashes("words", n)).alias("h"))
     sketch = known.filter("in_sketch").select("item_id", "h", "hits")
     met = hashes.join(_sized(sketch, size), "h").groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("met"), F.first("hits").alias("hits"))
-    found = materialize(met.filter("met >= hits").select("doc_id", "item_id"))
-    ids = materialize(found.select("doc_id").distinct())
+    found = held(met.filter("met >= hits").select("doc_id", "item_id"))
+    ids = found.select("doc_id").distinct()
     again = texts.join(_sized(ids, ids.count()), "doc_id", "left_semi").select("doc_id", F.explode(shingles("words", n)).alias("shingle"))
     shared = again.join(_sized(known.select("item_id", "shingle", "n_item", "need"), size), "shingle")
     shared = shared.groupBy("doc_id", "item_id").agg(F.count_distinct("shingle").alias("n_shared"), F.first("n_item").alias("n_item"), F.first("need").alias("need"))
@@ -83,7 +83,7 @@ def contained(docs: DataFrame, items: DataFrame, n: int = WORDS, threshold: floa
 
 def clean(docs: DataFrame, items: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, all columns, in which no item is found."""
-    found = materialize(contained(docs, items, n, threshold).select("doc_id").distinct())
+    found = held(contained(docs, items, n, threshold).select("doc_id").distinct())
     return docs.join(_sized(found, found.count()), "doc_id", "left_anti").select(*docs.columns)
 
 
