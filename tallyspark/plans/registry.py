@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tallyspark.plans import agent_queries, chat_queries, limit_queries, quota_queries, service_queries, source_queries, usage_queries
+from tallyspark.plans.catalog import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+MODULES = (usage_queries, chat_queries, quota_queries, limit_queries, service_queries, agent_queries, source_queries)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["MODULES", "ORACLE_SQL", "QUERIES"]
