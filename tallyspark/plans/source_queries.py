@@ -11,7 +11,9 @@ from tallyspark.plans.binding import flat
 from tallyspark.plans.catalog import query
 from tallyspark.sources import logs, payloads, rollouts, stores, ticks
 
-_E = F.col("event_id")
+
+def _e() -> Column:
+    return F.col("event_id")
 
 
 def _iso(ts: str = "ts") -> Column:
@@ -23,21 +25,21 @@ def _assistant_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     compaction, the others turns with split cache figures; every 17th turn has no id, every 19th line is cut off."""
     k = F.get_json_object("props", "$.k").cast("long")
     usage = F.struct(
-        F.round(F.col("value") * 100).cast("long").alias("input_tokens"), k.alias("output_tokens"), F.when(_E % 3 != 0, k * 2).alias("cache_read_input_tokens"), F.when(_E % 5 == 0, k * 3).alias("cache_creation_input_tokens"),
-        F.when(_E % 5 != 0, F.struct((k * 4).alias("ephemeral_5m_input_tokens"), F.when(_E % 2 == 0, k * 5).alias("ephemeral_1h_input_tokens"))).alias("cache_creation"),
+        F.round(F.col("value") * 100).cast("long").alias("input_tokens"), k.alias("output_tokens"), F.when(_e() % 3 != 0, k * 2).alias("cache_read_input_tokens"), F.when(_e() % 5 == 0, k * 3).alias("cache_creation_input_tokens"),
+        F.when(_e() % 5 != 0, F.struct((k * 4).alias("ephemeral_5m_input_tokens"), F.when(_e() % 2 == 0, k * 5).alias("ephemeral_1h_input_tokens"))).alias("cache_creation"),
     )
-    kind = F.when(_E % 7 == 0, "user").when(_E % 11 == 0, "ai-title").when(_E % 13 == 0, "system").otherwise("assistant")
+    kind = F.when(_e() % 7 == 0, "user").when(_e() % 11 == 0, "ai-title").when(_e() % 13 == 0, "system").otherwise("assistant")
     rows = b.events(spark, sf_dir).withColumn("_kind", kind)
-    message = F.when(F.col("_kind") == "assistant", F.struct(F.when(_E % 17 != 0, F.concat(F.lit("m"), _E.cast("string"))).alias("id"), F.lit("claude-opus-5").alias("model"), usage.alias("usage"), F.lit(None).cast("string").alias("content"))).when(
+    message = F.when(F.col("_kind") == "assistant", F.struct(F.when(_e() % 17 != 0, F.concat(F.lit("m"), _e().cast("string"))).alias("id"), F.lit("claude-opus-5").alias("model"), usage.alias("usage"), F.lit(None).cast("string").alias("content"))).when(
         F.col("_kind") == "user", F.struct(F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("model"), F.when(F.lit(False), usage).alias("usage"), F.concat(F.lit("  do\n "), F.col("event_type")).alias("content"))
     )
     line = F.to_json(
         F.struct(
-            F.col("_kind").alias("type"), _iso().alias("timestamp"), F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("sessionId"), F.when(F.col("_kind") == "user", F.struct(F.when(_E % 2 == 0, "human").otherwise("tool").alias("kind"))).alias("origin"),
-            F.when(F.col("_kind") == "ai-title", F.concat(F.lit("Title "), _E.cast("string"))).alias("aiTitle"), F.when(F.col("_kind") == "system", "compact_boundary").alias("subtype"), message.alias("message"),
+            F.col("_kind").alias("type"), _iso().alias("timestamp"), F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("sessionId"), F.when(F.col("_kind") == "user", F.struct(F.when(_e() % 2 == 0, "human").otherwise("tool").alias("kind"))).alias("origin"),
+            F.when(F.col("_kind") == "ai-title", F.concat(F.lit("Title "), _e().cast("string"))).alias("aiTitle"), F.when(F.col("_kind") == "system", "compact_boundary").alias("subtype"), message.alias("message"),
         )
     )
-    return rows.select(F.when(_E % 19 == 0, F.substring(line, 1, 40)).otherwise(line).alias("value"), _E.alias("seq"), F.concat(F.lit("p"), (F.col("user_id") % 7).cast("string")).alias("project"))
+    return rows.select(F.when(_e() % 19 == 0, F.substring(line, 1, 40)).otherwise(line).alias("value"), _e().alias("seq"), F.concat(F.lit("p"), (F.col("user_id") % 7).cast("string")).alias("project"))
 
 
 _KIND = "CASE WHEN event_id % 7 = 0 THEN 'user' WHEN event_id % 11 = 0 THEN 'ai-title' WHEN event_id % 13 = 0 THEN 'system' ELSE 'assistant' END"
@@ -73,7 +75,7 @@ def _rollout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     records from the 20th event on, the others by counters that restart every 40th reading."""
     from tallyspark.functions.frames import ranked
 
-    rows = ranked(b.events(spark, sf_dir).withColumn("file", F.concat(F.lit("/logs/rollout-"), F.lpad(F.col("user_id").cast("string"), 8, "0"), F.lit("-0000-0000-0000-000000000000.jsonl"))), ["file"], [F.col("ts"), _E], name="line")
+    rows = ranked(b.events(spark, sf_dir).withColumn("file", F.concat(F.lit("/logs/rollout-"), F.lpad(F.col("user_id").cast("string"), 8, "0"), F.lit("-0000-0000-0000-000000000000.jsonl"))), ["file"], [F.col("ts"), _e()], name="line")
     n = F.col("line")
     total = F.struct((n % 40 * 100).alias("input_tokens"), (n % 40 * 10).alias("cached_input_tokens"), F.lit(0).cast("long").alias("cache_write_input_tokens"), (n % 40 * 7).alias("output_tokens"), (n % 40).alias("reasoning_output_tokens"))
     one = F.struct(F.lit(500).cast("long").alias("input_tokens"), F.lit(100).cast("long").alias("cached_input_tokens"), F.lit(50).cast("long").alias("cache_write_input_tokens"), F.lit(70).cast("long").alias("output_tokens"), F.lit(5).cast("long").alias("reasoning_output_tokens"))
@@ -115,13 +117,13 @@ def _tick_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     usage = lambda tokens, ticks, models: F.struct(
         tokens.alias("inputTokens"), F.lit(0).cast("long").alias("outputTokens"), tokens.alias("totalTokens"), ticks.alias("costUsdTicks"), *([models.alias("modelUsage")] if models is not None else [])
     )
-    first, second = F.when(_E % 5 == 0, none).otherwise((F.col("k") * 1e6).cast("double")), F.when((_E % 2 == 0) | (_E % 5 == 0), none).otherwise((F.col("k") * 2e6).cast("double"))
+    first, second = F.when(_e() % 5 == 0, none).otherwise((F.col("k") * 1e6).cast("double")), F.when((_e() % 2 == 0) | (_e() % 5 == 0), none).otherwise((F.col("k") * 2e6).cast("double"))
     models = F.map_from_arrays(F.array(F.lit("grok-4.6-build"), F.lit("other-x")), F.array(usage(F.col("k") * 3, first, None), usage(F.col("k"), second, None)))
-    turn = usage(F.col("k") * 4, F.when(_E % 7 == 0, none).otherwise((F.col("k") * 1e7).cast("double")), models)
-    done = _E % 3 == 0
+    turn = usage(F.col("k") * 4, F.when(_e() % 7 == 0, none).otherwise((F.col("k") * 1e7).cast("double")), models)
+    done = _e() % 3 == 0
     update = F.struct(F.when(done, ticks.MARKER).otherwise("recap of turn_completed").alias("sessionUpdate"), turn.alias("usage"))
-    line = F.to_json(F.struct((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("timestamp"), F.struct(F.lit("s").alias("sessionId"), update.alias("update"), F.struct(_E.cast("string").alias("eventId")).alias("_meta")).alias("params")))
-    out = rows.select(line.alias("value"), F.concat(F.lit("p"), (F.col("user_id") % 7).cast("string")).alias("project"), _E.alias("seq"))
+    line = F.to_json(F.struct((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("timestamp"), F.struct(F.lit("s").alias("sessionId"), update.alias("update"), F.struct(_e().cast("string").alias("eventId")).alias("_meta")).alias("params")))
+    out = rows.select(line.alias("value"), F.concat(F.lit("p"), (F.col("user_id") % 7).cast("string")).alias("project"), _e().alias("seq"))
     return out.unionByName(out.withColumn("seq", F.col("seq") + 10**9))
 
 
@@ -151,13 +153,13 @@ def tick_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _store_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user is a session of a store: counters from journals, every tenth from a snapshot; users 3, 13, … have another format."""
     rows = b.events(spark, sf_dir).select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session"), "event_id", F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("updatedAt"), ((_E % 101) * 50 + F.floor(_E / 4)).cast("long").alias("i"), F.col("user_id").alias("u")
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session"), "event_id", F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("updatedAt"), ((_e() % 101) * 50 + F.floor(_e() / 4)).cast("long").alias("i"), F.col("user_id").alias("u")
     )
-    point = F.struct(F.struct(F.col("i").alias("inputTokens"), F.when(_E % 3 != 0, F.floor(F.col("i") / 2)).alias("cachedInputTokens"), F.floor(F.col("i") / 5).alias("outputTokens")).alias("tokenUsage"), "updatedAt")
+    point = F.struct(F.struct(F.col("i").alias("inputTokens"), F.when(_e() % 3 != 0, F.floor(F.col("i") / 2)).alias("cachedInputTokens"), F.floor(F.col("i") / 5).alias("outputTokens")).alias("tokenUsage"), "updatedAt")
     shot = F.to_json(F.struct(F.struct(point.alias("session")).alias("snapshot")))
     line = F.to_json(F.struct(F.lit("projection_delta").alias("type"), F.struct(F.array(F.struct(F.lit(stores.MARKER).alias("op"), F.struct(point.alias("session")).alias("state"))).alias("delta")).alias("payload")))
-    name = F.when(_E % 10 == 0, F.concat(F.lit("generations/"), _E.cast("string"), F.lit("/projection-state.json"))).otherwise(F.concat(F.lit("journal/"), _E.cast("string"), F.lit(".jsonl")))
-    files = rows.select("session", name.alias("name"), F.when(_E % 10 == 0, shot).otherwise(line).alias("value"))
+    name = F.when(_e() % 10 == 0, F.concat(F.lit("generations/"), _e().cast("string"), F.lit("/projection-state.json"))).otherwise(F.concat(F.lit("journal/"), _e().cast("string"), F.lit(".jsonl")))
+    files = rows.select("session", name.alias("name"), F.when(_e() % 10 == 0, shot).otherwise(line).alias("value"))
     users = rows.select("session", "u").distinct()
     current = users.select("session", F.lit("CURRENT").alias("name"), F.to_json(F.struct(F.when(F.col("u") % 10 == 3, "v9").otherwise("v1").alias("store_format"))).alias("value"))
     meta = users.select("session", F.lit("meta.json").alias("name"), F.to_json(F.struct(F.concat(F.lit("t"), "session").alias("title"), F.struct(F.lit("/w").alias("working_directory")).alias("environment"), F.struct(F.lit("big").alias("active_model")).alias("config"))).alias("value"))
@@ -182,16 +184,16 @@ def store_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 LATERAL (VALUES ('seven_day_x', p, event_id % 3 = 0), ('five_hour', CASE WHEN event_id % 4 = 0 THEN p + 1 WHEN event_id % 5 = 0 THEN p END, event_id % 4 <> 0)) w(bucket, percent, named) WHERE percent IS NOT NULL""")
 def quota_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-17, FN-17: readings of history lines, old fields included; corrupt lines go."""
-    p = (_E % 100).cast("double")
+    p = (_e() % 100).cast("double")
     line = F.to_json(
         F.struct(
-            _E.cast("string").alias("id"), _iso().alias("timestamp"), F.when(F.col("user_id") % 2 == 0, "x").alias("serviceID"),
-            F.when(_E % 4 == 0, F.create_map(F.lit("seven_day_x"), p, F.lit("five_hour"), p + 1)).otherwise(F.create_map(F.lit("seven_day_x"), p)).alias("bucketPercents"),
-            F.create_map(F.lit("seven_day_x"), F.struct(F.when(_E % 3 == 0, "2024-02-02T00:00:00Z").otherwise("4001-01-01T00:00:00Z").alias("resetsAt"), F.lit(5.0).alias("length"))).alias("bucketWindows"),
-            F.when(_E % 5 == 0, p).alias("fiveHourPercent"), F.when(_E % 5 == 0, "2024-01-01T05:00:00Z").alias("fiveHourResetsAt"),
+            _e().cast("string").alias("id"), _iso().alias("timestamp"), F.when(F.col("user_id") % 2 == 0, "x").alias("serviceID"),
+            F.when(_e() % 4 == 0, F.create_map(F.lit("seven_day_x"), p, F.lit("five_hour"), p + 1)).otherwise(F.create_map(F.lit("seven_day_x"), p)).alias("bucketPercents"),
+            F.create_map(F.lit("seven_day_x"), F.struct(F.when(_e() % 3 == 0, "2024-02-02T00:00:00Z").otherwise("4001-01-01T00:00:00Z").alias("resetsAt"), F.lit(5.0).alias("length"))).alias("bucketWindows"),
+            F.when(_e() % 5 == 0, p).alias("fiveHourPercent"), F.when(_e() % 5 == 0, "2024-01-01T05:00:00Z").alias("fiveHourResetsAt"),
         )
     )
-    lines = b.events(spark, sf_dir).select(F.when(_E % 23 == 0, "{broken").otherwise(line).alias("value"))
+    lines = b.events(spark, sf_dir).select(F.when(_e() % 23 == 0, "{broken").otherwise(line).alias("value"))
     return flat(payloads.history(lines).select("service", "ts", "bucket", "percent", F.col("resets_at").isNotNull().alias("named")))
 
 
@@ -258,18 +260,18 @@ def hook_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-23: hook lines, good and bad."""
     name = F.when(F.col("event_type") == "view", "PreToolUse").when(F.col("event_type") == "click", "UserPromptSubmit").when(F.col("event_type") == "purchase", "Stop").when(F.col("event_type") == "signup", "Notification").otherwise("Weird")
     payload = F.struct(
-        name.alias("hook_event_name"), F.when(_E % 23 == 0, "").otherwise("s").alias("session_id"), F.when(F.col("event_type") == "view", "Bash").alias("tool_name"),
-        F.when(F.col("event_type") == "view", F.struct(F.concat(F.lit("ls   "), _E.cast("string")).alias("command"))).alias("tool_input"), F.when(F.col("event_type") == "signup", "permission_prompt").alias("notification_type"),
+        name.alias("hook_event_name"), F.when(_e() % 23 == 0, "").otherwise("s").alias("session_id"), F.when(F.col("event_type") == "view", "Bash").alias("tool_name"),
+        F.when(F.col("event_type") == "view", F.struct(F.concat(F.lit("ls   "), _e().cast("string")).alias("command"))).alias("tool_input"), F.when(F.col("event_type") == "signup", "permission_prompt").alias("notification_type"),
     )
-    line = F.to_json(F.struct(F.when(_E % 29 == 0, 7).otherwise(1).alias("v"), F.lit("assistant").alias("source"), F.lit(1.5).alias("received_at"), payload.alias("payload")))
-    rows = payloads.hook_events(b.events(spark, sf_dir).select(F.when(_E % 31 == 0, "hello").otherwise(line).alias("value"), _E.alias("seq")))
+    line = F.to_json(F.struct(F.when(_e() % 29 == 0, 7).otherwise(1).alias("v"), F.lit("assistant").alias("source"), F.lit(1.5).alias("received_at"), payload.alias("payload")))
+    rows = payloads.hook_events(b.events(spark, sf_dir).select(F.when(_e() % 31 == 0, "hello").otherwise(line).alias("value"), _e().alias("seq")))
     return rows.select("seq", F.coalesce("error", F.lit("")).alias("error"), F.when(F.col("error").isNull(), F.col("kind")).otherwise("").alias("kind"), F.when(F.col("error").isNull(), F.coalesce("summary", F.lit(""))).otherwise("").alias("summary"))
 
 
 @query("SELECT 'u' || user_id AS session_id, epoch_us(ts) AS written_at, (event_id * 10)::DOUBLE AS api_ms, (event_id % 90)::DOUBLE AS percent FROM events")
 def statusline_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-25, SRC-30."""
-    line = F.to_json(F.struct(F.struct((_E * 10).cast("double").alias("total_api_duration_ms")).alias("cost"), F.struct(F.struct((_E % 90).cast("double").alias("used_percentage"), F.lit(1.7e9).alias("resets_at")).alias("five_hour")).alias("rate_limits")))
+    line = F.to_json(F.struct(F.struct((_e() * 10).cast("double").alias("total_api_duration_ms")).alias("cost"), F.struct(F.struct((_e() % 90).cast("double").alias("used_percentage"), F.lit(1.7e9).alias("resets_at")).alias("five_hour")).alias("rate_limits")))
     rows = b.events(spark, sf_dir).select(line.alias("value"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), F.col("ts").alias("written_at"), F.lit("home").alias("config_dir"))
     return flat(payloads.statusline(rows).select("session_id", "written_at", "api_ms", F.col("five_hour.percent").alias("percent")))
 
