@@ -29,6 +29,7 @@ def running(
     last: dict[str, Column] | None = None,
     before: dict[str, Column] | None = None,
     total: dict[str, Column] | None = None,
+    peak: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Running functions of a key's rows in `order`, without gathering the key's rows in one task.
 
@@ -38,21 +39,22 @@ def running(
     over its slices.
 
     lag, lead: new name -> column, of the neighbouring row. last: the latest value that isn't null, this row's included;
-    before: the same without this row. total: the sum up to and with this row. Keys and slices must not be null.
+    before: the same without this row. total: the sum up to and with this row. peak: the largest value before this row. Keys
+    and slices must not be null.
     """
-    lag, lead, last, before, total = (x or {} for x in (lag, lead, last, before, total))
-    named = {f"_v{i}": e for i, e in enumerate([*last.values(), *before.values(), *total.values()])}
+    lag, lead, last, before, total, peak = (x or {} for x in (lag, lead, last, before, total, peak))
+    named = {f"_v{i}": e for i, e in enumerate([*last.values(), *before.values(), *total.values(), *peak.values()])}
     df = df.withColumns({"_slice": slice_, **named})
-    value = dict(zip([*(("last", n) for n in last), *(("before", n) for n in before), *(("total", n) for n in total)], named, strict=True))
+    value = dict(zip([*(("last", n) for n in last), *(("before", n) for n in before), *(("total", n) for n in total), *(("peak", n) for n in peak)], named, strict=True))
     here = F.struct(*order)
     ends = {f"_lag_{n}": F.max_by(c, here) for n, c in lag.items()} | {f"_lead_{n}": F.min_by(c, here) for n, c in lead.items()}
     for (what, n), v in value.items():
-        ends[f"_{what}_{n}"] = F.sum(v) if what == "total" else F.max_by(v, F.when(F.col(v).isNotNull(), here))
+        ends[f"_{what}_{n}"] = F.sum(v) if what == "total" else F.max(v) if what == "peak" else F.max_by(v, F.when(F.col(v).isNotNull(), here))
     each = df.groupBy(*keys, "_slice").agg(*(e.alias(n) for n, e in ends.items()))
     over = Window.partitionBy(*keys).orderBy("_slice")
     past = over.rowsBetween(Window.unboundedPreceding, -1)
     handed = {f"_lag_{n}": F.lag(f"_lag_{n}").over(over) for n in lag} | {f"_lead_{n}": F.lead(f"_lead_{n}").over(over) for n in lead}
-    handed |= {f"_{w}_{n}": F.sum(f"_{w}_{n}").over(past) if w == "total" else F.last(f"_{w}_{n}", ignorenulls=True).over(past) for w, n in value}
+    handed |= {f"_{w}_{n}": F.sum(f"_{w}_{n}").over(past) if w == "total" else F.max(f"_{w}_{n}").over(past) if w == "peak" else F.last(f"_{w}_{n}", ignorenulls=True).over(past) for w, n in value}
     carried = each.select(*keys, "_slice", *(e.alias(n) for n, e in handed.items()))
 
     own = Window.partitionBy(*keys, "_slice").orderBy(*order)
@@ -61,13 +63,13 @@ def running(
     local |= {"_first": F.row_number().over(own) == 1} if lag else {}
     local |= {"_final": F.lead(F.lit(1)).over(own).isNull()} if lead else {}
     for (what, n), v in value.items():
-        local[f"_in_{what}_{n}"] = F.sum(v).over(upto) if what == "total" else F.last(v, ignorenulls=True).over(upto if what == "last" else ahead)
+        local[f"_in_{what}_{n}"] = F.sum(v).over(upto) if what == "total" else F.max(v).over(ahead) if what == "peak" else F.last(v, ignorenulls=True).over(upto if what == "last" else ahead)
     joined = df.withColumns(local).join(carried, [*keys, "_slice"])
     out = {n: F.when(F.col("_first"), F.col(f"_lag_{n}")).otherwise(F.col(f"_own_{n}")) for n in lag}
     out |= {n: F.when(F.col("_final"), F.col(f"_lead_{n}")).otherwise(F.col(f"_next_{n}")) for n in lead}
     for what, n in value:
         inner, outer = F.col(f"_in_{what}_{n}"), F.col(f"_{what}_{n}")
-        out[n] = F.coalesce(inner, F.lit(0)) + F.coalesce(outer, F.lit(0)) if what == "total" else F.coalesce(inner, outer)
+        out[n] = F.coalesce(inner, F.lit(0)) + F.coalesce(outer, F.lit(0)) if what == "total" else F.greatest(inner, outer) if what == "peak" else F.coalesce(inner, outer)
     kept = [c for c in df.columns if c not in named and c != "_slice"]
     return joined.select(*(F.col(c) for c in kept if c not in out), *(e.alias(n) for n, e in out.items()))
 

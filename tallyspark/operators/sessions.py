@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.frames import ranked
+from tallyspark.functions.frames import ranked, running
 from tallyspark.functions.moments import day
 
 #: The most agents, days and models that a chat's row lists, and the length of the two parts of the chat list.
 AGENT_ROWS, DAY_ROWS, MODEL_ROWS = 8, 14, 6
 RECENT, TOP = 10, 5
+#: Records of a chat to a slice of its running functions.
+ROLLOUT_SLICE = 1_000_000
 
 
 def of_chats(turns: DataFrame) -> DataFrame:
@@ -28,23 +30,13 @@ def chat_project(newest_main_first: bool = False) -> Column:
 
 
 def rollout_project(turns: DataFrame) -> DataFrame:
-    """chat_id and the project of a rollout chat: a main-thread turn names it if it is the first one of the main thread or the
-    chat's newest turn so far, in the order of ingest; a chat of sub-agents alone takes its first turn's."""
-    rows = of_chats(turns).withColumn("_main", F.col("agent_id").isNull())
-    first = rows.groupBy("chat_id").agg(
-        F.min_by(F.when(F.col("_main"), F.struct("seq", "project")), F.when(F.col("_main"), F.col("seq"))).alias("_first"),
-        F.min_by("project", "seq").alias("_any"),
-        F.max("ts").alias("_newest"),
-        # the newest turn of all that came no later than it: a main one at the running maximum of the times
-        F.max_by(F.when(F.col("_main"), F.col("project")), F.when(F.col("_main"), F.struct("ts", "seq"))).alias("_main_last"),
-        F.max(F.when(F.col("_main"), F.struct("ts", "seq"))).alias("_main_at"),
-    )
-    # the latest main turn was the newest when it came unless a sub-agent's turn with a later time had been ingested before
-    blocked = rows.join(first.filter("_main_at is not null").select("chat_id", "_main_at"), "chat_id").filter("not _main and ts > _main_at.ts and seq < _main_at.seq")
-    held = blocked.select("chat_id").distinct().withColumn("_blocked", F.lit(True))
-    out = first.join(held, "chat_id", "left")
-    named = F.when(F.col("_blocked"), F.col("_first.project")).otherwise(F.col("_main_last"))
-    return out.select("chat_id", F.coalesce(named, "_first.project", "_any").alias("project"))
+    """chat_id and the project of a rollout chat, in the order of ingest: a main-thread turn names it if it is the main thread's
+    first, or no earlier turn has a later time; a chat of sub-agents alone takes its first turn's."""
+    rows = of_chats(turns).select("chat_id", "seq", "ts", "project", F.col("agent_id").isNull().alias("_main"))
+    rows = running(rows, ["chat_id"], ["seq"], F.floor(F.col("seq") / ROLLOUT_SLICE), peak={"_seen": F.col("ts")}, total={"_mains": F.col("_main").cast("int")})
+    names = F.col("_main") & ((F.col("_mains") == 1) | F.col("_seen").isNull() | (F.col("ts") >= F.col("_seen")))
+    found = rows.groupBy("chat_id").agg(F.max_by("project", F.when(names, F.col("seq"))).alias("_named"), F.min_by("project", "seq").alias("_first"))
+    return found.select("chat_id", F.coalesce("_named", "_first").alias("project"))
 
 
 def chat_days(turns: DataFrame) -> DataFrame:
