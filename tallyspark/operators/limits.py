@@ -123,6 +123,13 @@ def project_shares(chats: DataFrame) -> DataFrame:
     return chats.groupBy(*WINDOW, "project").agg(F.sum("points").alias("points"), F.sum("cost_nd").alias("cost_nd"), F.sum("tokens").alias("tokens"), F.count("*").alias("chats"))
 
 
+def ranked_rows(shares: DataFrame, key: str, most: int = 8) -> DataFrame:
+    """The first rows of each window's list by points, cost and name, with the number of all (`total`)."""
+    order = Window.partitionBy(*WINDOW).orderBy(F.desc("points"), F.desc("cost_nd"), key)
+    n = shares.groupBy(*WINDOW).agg(F.count("*").alias("total"))
+    return shares.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).join(n, WINDOW)
+
+
 def window_totals(cut: DataFrame, parts: DataFrame, chats: DataFrame) -> DataFrame:
     """One row for each window: percent, outside, attributed points, cost, tokens, and the price of a point (null below one)."""
     percent = cut.groupBy(*WINDOW).agg(F.max("reached").alias("percent"), F.min("start").alias("start"), F.max("end").alias("end"))

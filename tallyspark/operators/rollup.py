@@ -156,3 +156,14 @@ def costliest(turns: DataFrame, keys: list[str]) -> DataFrame:
 def share_of_whole(df: DataFrame, value: str, keys: list[str], name: str = "fraction") -> DataFrame:
     whole = F.sum(value).over(Window.partitionBy(*keys)) if keys else F.sum(value).over(Window.partitionBy(F.lit(0)))
     return df.withColumn(name, F.coalesce(F.try_divide(F.col(value).cast("double"), whole.cast("double")), F.lit(0.0)))
+
+
+#: Versions of a stored snapshot: the one written now, the one that converts to it, the ones whose day totals are kept.
+SNAPSHOT, CONVERTIBLE, DAYS_ONLY = 8, (7,), (6,)
+
+
+def restored(snapshot: DataFrame) -> DataFrame:
+    """Rows of a stored snapshot (version, part: turn | day | chat) that still count: all of the current and the convertible
+    version, days and chats of the one before, nothing of others."""
+    whole = F.col("version").isin(SNAPSHOT, *CONVERTIBLE)
+    return snapshot.filter(whole | (F.col("version").isin(*DAYS_ONLY) & F.col("part").isin("day", "chat"))).withColumn("version", F.lit(SNAPSHOT))

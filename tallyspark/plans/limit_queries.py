@@ -225,3 +225,10 @@ def limit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = rows.groupBy("service").agg(F.count("*").alias("rows")).withColumn("part", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(f"""{BINS} SELECT {_W}, chat_id, CAST(row_number() OVER w AS INTEGER) AS rank, count(*) OVER (PARTITION BY {_W}) AS total FROM shares WINDOW w AS (PARTITION BY {_W} ORDER BY round(points, 6) DESC, cost_nd DESC, chat_id) QUALIFY row_number() OVER w <= 8""")
+def ranked_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RNK-8: the first eight chats of each window, and how many there are."""
+    chats = _page(spark, sf_dir)[3].withColumn("points", F.round("points", 6))
+    return limits.ranked_rows(chats, "chat_id").select("service", "window_id", "chat_id", "rank", "total")

@@ -308,3 +308,11 @@ def pace_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = b.readings(spark, sf_dir)
     cur = rows.groupBy("service", "bucket").agg(F.max("resets_at").alias("resets_at"), F.max("kind").alias("kind"), F.max("window_seconds").alias("window_seconds"))
     return services.pace(cur, quota.burn_rate(rows, at, 300), at).withColumn("elapsed", F.round("elapsed", 6))
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE NOT (c_custkey % 3 = 0 AND c_custkey % 7 <> 0)")
+def restored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JON-14: stored windows without pools whose credit is gone."""
+    k = F.col("c_custkey")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", (k % 3 == 0).alias("is_pool"), F.when(k % 7 == 0, 5.0).alias("credit_limit"))
+    return services.restore_last_known(rows).select("c_custkey", "c_nationkey")

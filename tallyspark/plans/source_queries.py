@@ -108,6 +108,27 @@ def rollout_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(rows.groupBy("chat_id", "model").agg(F.count("*").alias("n"), F.sum("input").alias("input"), F.sum("output").alias("output"), F.min("ts").alias("first_at")))
 
 
+def _rollout_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user is a file; users 3, 13, … are sub-agents. Every third event is a prompt (every ninth a rule block), every 20th a
+    compaction."""
+    from tallyspark.functions.frames import ranked
+
+    rows = ranked(b.events(spark, sf_dir).withColumn("file", F.concat(F.lit("/logs/"), F.col("user_id").cast("string"), F.lit(".jsonl"))), ["file"], [F.col("ts"), _e()], name="line")
+    text = F.when(_e() % 9 == 0, "# rules").otherwise(F.concat(F.lit("do   "), _e().cast("string")))
+    item = F.struct(F.lit("message").alias("type"), F.lit("user").alias("role"), F.array(F.struct(F.lit("input_text").alias("type"), text.alias("text"))).alias("content"))
+    kind = F.when(_e() % 3 == 0, "response_item").when(_e() % 20 == 1, "compacted").otherwise("event_msg")
+    lines = rows.select("file", F.col("line").cast("long").alias("line"), F.to_json(F.struct(_iso().alias("timestamp"), kind.alias("type"), F.when(kind == "response_item", item).alias("payload"))).alias("value"))
+    meta = rows.select("file", "user_id").distinct().select("file", F.lit(0).cast("long").alias("line"), F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("session_id"), F.when(F.col("user_id") % 10 == 3, "subagent").alias("thread_source")).alias("payload"))).alias("value"))
+    return lines.unionByName(meta)
+
+
+@query("""SELECT 'c' || user_id AS chat_id, epoch_us(ts) AS "at", CASE WHEN event_id % 3 = 0 THEN 'prompt' ELSE 'compaction' END AS kind, CASE WHEN event_id % 3 = 0 THEN 'do ' || event_id ELSE '' END AS text
+FROM events WHERE user_id % 10 <> 3 AND ((event_id % 3 = 0 AND event_id % 9 <> 0) OR (event_id % 3 <> 0 AND event_id % 20 = 1))""")
+def rollout_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-31, SRC-32: prompts and compactions of main threads."""
+    return flat(rollouts.chat_events(_rollout_items(spark, sf_dir)).select("chat_id", "at", "kind", F.coalesce("text", F.lit("")).alias("text")))
+
+
 def _tick_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third event completes a turn of two models (one unpriced for every second, none priced for every fifth); each is
     logged twice, and others mention the marker."""

@@ -307,6 +307,26 @@ def status_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- insights and calendars --------------------------------------------------------------------------------------------
 
 
+@query(f"""{b.DAYS}, w AS (SELECT CAST(sum(CASE WHEN days.day > clock.day - 7 THEN cost_nd ELSE 0 END) AS BIGINT) AS this_week_nd, CAST(sum(CASE WHEN days.day <= clock.day - 7 THEN cost_nd ELSE 0 END) AS BIGINT) AS last_week_nd FROM days, clock WHERE days.day > clock.day - 14),
+a AS (SELECT count(*) AS active_days FROM days, clock WHERE days.day > clock.day - 30 AND cost_nd > 0), d AS (SELECT CAST(days.day AS VARCHAR) AS dearest_day, cost_nd AS dearest_nd FROM days, clock WHERE days.day > clock.day - 90 AND cost_nd > 0 ORDER BY cost_nd DESC, days.day LIMIT 1),
+m AS (SELECT name AS model_today, CAST(sum(cost_nd) AS BIGINT) AS model_today_nd FROM turns, clock WHERE ts >= today AND name IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
+SELECT this_week_nd, last_week_nd, active_days, dearest_day, dearest_nd, model_today, model_today_nd, 3 AS at_capacity FROM w, a, d, m""")
+def insights_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-37: the figures in one row (the quota half is given)."""
+    at = b.now(spark, sf_dir)
+    rows = b.turns(spark, sf_dir)
+    out = insights.summary(rollup.daily(rows), rollup.by_model_today(rows, at), spark.range(1).select(F.lit(3).alias("at_capacity")), at)
+    return flat(out.select("this_week_nd", "last_week_nd", "active_days", "dearest_day", "dearest_nd", "model_today", "model_today_nd", "at_capacity"))
+
+
+@query("""SELECT event_id, 8 AS version, CASE event_id % 3 WHEN 0 THEN 'turn' WHEN 1 THEN 'day' ELSE 'chat' END AS part FROM events WHERE 5 + event_id % 5 IN (7, 8) OR (5 + event_id % 5 = 6 AND event_id % 3 > 0)""")
+def restored_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-2: what counts of a stored snapshot, by its version."""
+    e = F.col("event_id")
+    rows = b.events(spark, sf_dir).select("event_id", (e % 5 + 5).cast("int").alias("version"), F.when(e % 3 == 0, "turn").when(e % 3 == 1, "day").otherwise("chat").alias("part"))
+    return rollup.restored(rows)
+
+
 @query(f"{b.TURNS}, p AS (SELECT project, {_SUMS} FROM turns, clock WHERE ts >= now - INTERVAL 7 DAY GROUP BY 1 ORDER BY cost_nd DESC, project LIMIT 5) SELECT project, cost_nd, turns, round(greatest(0.01::DOUBLE, CAST(cost_nd AS DOUBLE) / max(cost_nd) OVER ()), 9) AS fraction FROM p")
 def top_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RNK-4: the dearest projects of the week, with their bars."""

@@ -104,3 +104,20 @@ def test_residuals_in_three_branches(spark):
     assert found[("b", 0)][0] == 60 and found[("b", 1)][0] == 40 and found[("b", 2)][0] == 0
     assert sorted(found[("c", i)][0] for i in range(3)) == [3, 3, 4]
     assert found[("d", 0)] == (9, True) and found[("d", 1)] == (4, False) and found[("e", 0)] == (60, False)
+
+
+def test_engine_answers_for_any_provider(spark, sf):
+    from tallyspark.engine import Engine
+    from tallyspark.plans import binding as b
+    from tallyspark.plans.registry import QUERIES
+
+    records = b.records(spark, sf)
+    engine = Engine(records.unionByName(records.withColumn("seq", F.col("seq") + 10**9)), b.chat_events(spark, sf))
+    now = b.now(spark, sf)
+    found = engine.breakdown(now)
+    assert found["today"].first()["cost_nd"] == QUERIES["today"](spark, sf).first()["cost_nd"]
+    assert found["projects_week"].count() == 7 and found["daily"].count() == 30
+    assert engine.usage(datetime(2024, 1, 1), now).filter("part = 'all'").first()["turns"] == b.turns(spark, sf).count()
+    chats = engine.sessions(F.lit(date(2024, 1, 24)), F.lit(date(2024, 1, 30)))
+    assert chats.count() == QUERIES["chat_summaries"](spark, sf).count()
+    assert engine.turn_costs(now, now).count() == 1
