@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,28 @@ def passes(offsets: np.ndarray, most: int = PASS_BYTES) -> Iterator[tuple[int, i
         first = last
 
 
+Scan = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(scan: Scan) -> Scan:
+    """`scan`, giving back at its end what its batches held: workers live on and do other tasks beside the executor's heap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from scan(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, without a copy: bounds what Python objects a scan makes at once."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
+
+
 def packed(bucket: np.ndarray, weight: np.ndarray) -> tuple[bytes, bytes]:
     """A sparse vector as two binary cells."""
     return bucket.astype("<i4").tobytes(), weight.astype("<f4").tobytes()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.base import PASS_BYTES, passes, utf8
+from tallyspark.llm.base import PASS_BYTES, passes, tidy, utf8
 
 WINDOW, RUN, POINTS = 64, 64, 16
 FEATURES, BITS = 160, 2048
@@ -179,6 +179,7 @@ def written(filters: np.ndarray) -> str:
 def entropy_ranks(docs: DataFrame) -> np.ndarray:
     """Ranks of the entropy levels by their number of windows in all of `docs`."""
 
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LEVELS, np.int64)
         for batch in batches:
@@ -199,6 +200,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and its `fingerprint`, one row for each row of `docs`."""
     held = docs.sparkSession.sparkContext.broadcast(entropy_ranks(docs))
 
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(t.as_py() or "").encode() for t in batch.column(1)]
@@ -274,6 +276,7 @@ def edit_study(docs: DataFrame) -> DataFrame:
             names=["doc_id", *(c.split()[0] for c in _OUT.split(", "))],
         )
 
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, ready, size, kind = None, [], 0, None
         for batch in batches:

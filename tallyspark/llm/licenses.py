@@ -17,6 +17,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tallyspark.llm.base import tidy
+
 # Notice phrases and their labels. The base ones count as places; the others only add labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 MORE = {
@@ -146,6 +148,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     The score is 1 - 1/2^k for k places, further labels, and twice the tags that parse.
     """
 
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton()
         for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.base import materialize
+from tallyspark.llm.base import materialize, pieces, tidy
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Frequent keys to a shard, about.
@@ -180,6 +180,7 @@ class LineIndex:
             return self.postings
         held = self.postings.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["slots"]) for r in filters.collect()})  # filter_bytes at most
 
+        @tidy
         def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made = {s: Cuckoo(0, np.frombuffer(b, np.uint16)) for s, b in held.value.items()}
             for batch in batches:
@@ -208,8 +209,9 @@ class LineIndex:
         joined = docs.select(*kept).join(self.dropped().withColumnRenamed("lost", lost).hint("merge"), "doc_id", "left").select(*kept, lost)
         at, min_chars = kept.index("text"), self.min_chars
 
+        @tidy
         def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 texts, lines, gone = [], [], []
                 for text, keys in zip(batch.column(at), batch.column(len(kept)), strict=True):
                     parts = (text.as_py() or "").encode().split(b"\n")
@@ -232,8 +234,9 @@ _ALL = (1 << 64) - 1
 def postings_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """h1, h2 and doc_id of each key of each document, once."""
 
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             hashes, rows = [], []
             for i, text in enumerate(batch.column(1)):
                 found = {h for line in (text.as_py() or "").encode().split(b"\n") if (h := key(line, min_chars)) is not None}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.base import materialize
+from tallyspark.llm.base import materialize, tidy
 
 KINDS = ("email", "ip", "card", "phone", "id", "name")
 LABELERS = ("format", "validator", "gazetteer", "cue", "grouping", "isolation")
@@ -159,6 +159,7 @@ _ARROW_SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa
 def find_candidates(docs: DataFrame) -> DataFrame:
     """doc_id and its candidate spans, one row for each row of `docs`."""
 
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = [[dict(zip(("start", "kind", "end", "base", "votes"), c, strict=True)) for c in candidates(t.as_py() or "")] for t in batch.column(1)]
@@ -226,6 +227,7 @@ def personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     kept = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("end", T.IntegerType()), T.StructField("base", T.BooleanType()), T.StructField("probability", T.DoubleType())])
     arrow = pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("base", pa.bool_()), ("probability", pa.float64())])
 
+    @tidy
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [[{"start": s["start"], "kind": KINDS[s["kind"]], "end": s["end"], "base": s["base"], "probability": model[s["votes"]]} for s in spans if s["base"] or model[s["votes"]] >= threshold] for spans in batch.column(1).to_pylist()]

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.base import bounded_sample, materialize, passes, sums, utf8
+from tallyspark.llm.base import bounded_sample, materialize, passes, sums, tidy, utf8
 from tallyspark.llm.tokens import hashed_tokens
 
 BITS, DIM, REACH = 12, 32, 2
@@ -41,6 +41,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     """Each bucket's sum of index vectors of neighbouring words, over all documents. A closed table: buckets by dimensions."""
     names = [f"c{i}" for i in range(DIM)]
 
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_vectors()
         total = np.zeros((1 << BITS, DIM))
@@ -73,6 +74,7 @@ def document_vectors(docs: DataFrame, context: np.ndarray) -> DataFrame:
     unit = centred / np.maximum(np.linalg.norm(centred, axis=1), 1e-9)[:, None] * (context != 0).any(axis=1)[:, None]
     both = docs.sparkSession.sparkContext.broadcast(np.hstack([index_vectors(), unit]).astype(np.float32))
 
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
@@ -136,6 +138,7 @@ def quality(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int
     rows = sorted((r for r in rows), key=lambda r: (r["doc_id"], bytes(r["vector"])))
     network = Network(np.array([np.frombuffer(r["vector"], np.float32) for r in rows], float), np.array([r["y"] for r in rows])) if rows else None
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, 2 * DIM).astype(float)

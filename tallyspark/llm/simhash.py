@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.base import materialize
+from tallyspark.llm.base import materialize, tidy
 from tallyspark.llm.components import components
 
 SEED = 42
@@ -56,6 +56,7 @@ def simhash(text: bytes, words: int = 3) -> int:
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and its signed 64-bit `fingerprint`, one row for each row of `docs`."""
 
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [simhash((t.as_py() or "").encode(), words) for t in batch.column(1)]
