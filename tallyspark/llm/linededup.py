@@ -252,3 +252,14 @@ def postings_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def digest(cleaned: DataFrame) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: The same result by plain joins of all lines.
+ORACLE = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, i, lines[i] AS line, translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+f AS (SELECT k, max(doc_id) AS holder FROM l WHERE length(k) >= 40 AND doc_id IS NOT NULL GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT l.doc_id, i, line, f.k IS NOT NULL AND l.doc_id <> f.holder AS gone FROM l LEFT JOIN f ON f.k = l.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
+"""

@@ -56,4 +56,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_mix_sources, op3_personal_data, op4_language, op5_simhash, op6_license_scan, op7_quality, op8_decontaminate, op9_line_dedup, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {"op8_decontaminate": decontam.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op8_decontaminate": decontam.ORACLE, "op9_line_dedup": linededup.ORACLE}
