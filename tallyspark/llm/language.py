@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.base import bounded_sample, packed, passes, sums, utf8
+from tallyspark.llm.base import bounded_sample, packed, passes, sums, tidy, utf8
 
 UNKNOWN = "und"
 BUCKETS, DIM = 1 << 15, 16
@@ -105,6 +105,10 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 8, rate: f
             bias -= 0.1 * step * p
             # a bucket's share is small: its step is scaled by the number of buckets
             embedding[buckets] -= (step * len(buckets) * 0.05) * np.outer(share, pull)
+    seen = np.zeros(BUCKETS, bool)
+    for _, buckets, _ in train:
+        seen[buckets] = True
+    embedding[~seen] = 0  # what was never learnt says nothing: a text of nothing else is rejected
     model = Model(languages, (embedding @ weight.T).astype(np.float32), bias, 1.0)
     means = np.array([share @ model.logits[buckets] if len(buckets) else np.zeros(len(languages)) for _, buckets, share in back])
     right = np.array([of[r[0]] for r in back])
@@ -117,6 +121,7 @@ def train(docs: DataFrame, usable: Column, train_rows: int = TRAIN_ROWS) -> Mode
     """A model of the rows where `usable` holds and lang isn't null."""
     rows = bounded_sample(docs.filter(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang"), "doc_id", train_rows)
 
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = [packed(*counts((t.as_py() or "").encode())) for t in batch.column(1)]
@@ -162,6 +167,7 @@ def identify(docs: DataFrame, model: Model, reject_below: float = 0.4) -> DataFr
     """doc_id, lang_pred, score, rejected, one row for each row of `docs`."""
     held = _share(docs, model)
 
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = predict(held.value, batch.column(1))
@@ -177,6 +183,7 @@ def keep_known(docs: DataFrame, model: Model, reject_below: float = 0.4) -> Data
     held = _share(docs, model)
     at = docs.columns.index("text")
 
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = predict(held.value, batch.column(at))
