@@ -2,8 +2,10 @@
 
 Terms are the words and word beginnings (of 3 to 6 characters, for languages that inflect or compound) that the labelled
 rows show to go with a label: a term's likelihood ratio must pass a Bonferroni bound over all terms seen in three or more
-independent texts (near copies, which share a MinHash value of their words, count once), and a term that goes with label 1
-must have it in at least half of them. A text's vector holds (1 + log tf) times the idf of its terms, with document frequencies counted over all documents.
+independent texts (near copies, which share a MinHash value of their shingles, count once), and a term that goes with label 1
+must have it in at least half of the texts that have the term, or have it densely. A text's vector holds tf times the idf of its terms, with document frequencies
+counted over all documents, and one component for all its other words, which have a small idf in common: so two texts are
+near if they have the same terms as densely, and a term that slipped into a long text once weighs little.
 
 The labelled examples lie in blocks; each block keeps its postings by term and each term's largest weight in it. A query
 bounds a block's cosines by these maxima, reads blocks from the highest bound down, and stops as soon as the bound falls
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.base import materialize
+from tallyspark.llm.base import materialize, tidy
 from tallyspark.llm.quality import labelled
 
 TRAIN_ROWS = 12_000
@@ -40,6 +42,10 @@ NEIGHBOURS, BLOCK = 15, 64
 BEGINNINGS = (3, 4, 5, 6)
 #: Most terms of a model: those with the largest likelihood ratios.
 MOST_TERMS = 4096
+#: A text has a term densely if the term's words are at least this share of its words.
+DENSE = 0.005
+#: The idf of all words that aren't terms of the model.
+REST_IDF = 0.05
 
 _WORD = re.compile(r"\w+")
 
@@ -53,41 +59,59 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n)]
 
 
-def copies_key(words: set[str]) -> int:
-    """MinHash of the set of words: near copies mostly share it."""
-    return min((zlib.crc32(w.encode()) for w in words), default=0)
+def copies_key(words: list[str]) -> int:
+    """MinHash of the three-word shingles: near copies mostly share it, other texts hardly ever."""
+    return min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0)
 
 
 def select_terms(docs: DataFrame, known: DataFrame, most: int = MOST_TERMS) -> list[str]:
-    """The words that go with a label in `known` (doc_id, y), the strongest first."""
+    """The terms that go with a label in `known` (doc_id, y), the strongest first: by the texts that have them at all, or by
+    those that have them densely (which finds word beginnings that ordinary long texts also hold now and then)."""
 
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [set(words_of(t.as_py())) for t in batch.column(0)]
-            terms = [[*{t for w in s for t in terms_of(w)}, ""] for s in sets]  # the empty word stands for the text itself
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.string())), pa.array([copies_key(s) for s in sets], pa.int64()), batch.column(1)], names=["terms", "copies", "y"])
-
-    rows = docs.join(F.broadcast(known), "doc_id").select("text", "y").mapInArrow(scan, "terms array<string>, copies long, y double")
-    each = rows.select(F.explode("terms").alias("term"), "copies", (F.col("y") >= 0.5).alias("y")).distinct()
-    counted = each.groupBy("term").agg(F.count_if("y").alias("a"), F.count_if(~F.col("y")).alias("b"))
+            terms, dense, copies = [], [], []
+            for text in batch.column(0):
+                words = words_of(text.as_py())
+                found: Counter[str] = Counter()
+                for w, n in Counter(words).items():
+                    for t in terms_of(w):
+                        found[t] += n
+                least = DENSE * len(words)
+                terms.append([*found, ""])  # the empty term stands for the text itself
+                dense.append([*(n >= least for n in found.values()), True])
+                copies.append(copies_key(words))
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.string())), pa.array(dense, pa.list_(pa.bool_())), pa.array(copies, pa.int64()), batch.column(1)], names=["terms", "dense", "copies", "y"])
+
+    rows = docs.join(F.broadcast(known), "doc_id").select("text", "y").mapInArrow(scan, "terms array<string>, dense array<boolean>, copies long, y double")
+    each = rows.select(F.explode(F.arrays_zip("terms", "dense")).alias("t"), "copies", (F.col("y") >= 0.5).alias("y"))
+    each = each.groupBy(F.col("t.terms").alias("term"), "copies", "y").agg(F.max("t.dense").alias("dense"))
+    counted = each.groupBy("term").agg(*(F.count_if(c).cast("double").alias(n) for n, c in (("a", F.col("y")), ("b", ~F.col("y")), ("c", F.col("y") & F.col("dense")), ("d", ~F.col("y") & F.col("dense")))))
     total = counted.filter("term = ''").first()
     if total is None or not total["a"] or not total["b"]:
         return []
-    na, nb = float(total["a"]), float(total["b"])
-    # likelihood ratio of the word's two shares against one share for both
+    na, nb = total["a"], total["b"]
     part = lambda k, n, p: k * F.log(F.greatest(p, F.lit(1e-300))) + (n - k) * F.log(F.greatest(1 - p, F.lit(1e-300)))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    both = (a + b) / (na + nb)
-    ratio = 2 * (part(a, F.lit(na), a / na) + part(b, F.lit(nb), b / nb) - part(a, F.lit(na), both) - part(b, F.lit(nb), both))
-    judged = materialize(counted.filter("a + b >= 3 and term <> ''").select("term", ratio.alias("ratio"), ((a >= b) | (a / na < b / nb)).alias("decisive")))
-    bound = 2 * math.log(max(1, judged.count()) / 0.05)
-    return [r["term"] for r in judged.filter((F.col("ratio") >= bound) & F.col("decisive")).orderBy(F.desc("ratio"), "term").limit(most).collect()]
+
+    def ratio(a: Column, b: Column) -> Column:
+        """Likelihood ratio of a term's two shares against one share for both."""
+        both = (a + b) / (na + nb)
+        return 2 * (part(a, F.lit(na), a / na) + part(b, F.lit(nb), b / nb) - part(a, F.lit(na), both) - part(b, F.lit(nb), both))
+
+    a, b, c, d = (F.col(x) for x in "abcd")
+    either = F.greatest(F.when((a >= b) | (a / na < b / nb), ratio(a, b)), F.when(c >= d, ratio(c, d)))
+    judged = materialize(counted.filter("a + b >= 3 and term <> ''").select("term", either.alias("ratio")))
+    bound = 2 * math.log(max(1, 2 * judged.count()) / 0.05)  # two tests a term
+    return [r["term"] for r in judged.filter(F.col("ratio") >= bound).orderBy(F.desc("ratio"), "term").limit(most).collect()]
 
 
 def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id and, side by side, the numbers and counts of a text's terms, one row for each row of `docs`."""
+    """doc_id and, side by side, the numbers and counts of a text's terms, and `others`, its number of words without one; one
+    row for each row of `docs`."""
     held = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = held.value
 
@@ -96,21 +120,27 @@ def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
             return tuple(number[t] for t in terms_of(word) if t in number)
 
         for batch in batches:
-            found = [sorted(Counter(i for w in words_of(t.as_py()) for i in numbers(w)).items()) for t in batch.column(1)]
+            found, others = [], []
+            for text in batch.column(1):
+                each = [numbers(w) for w in words_of(text.as_py())]
+                found.append(sorted(Counter(i for e in each for i in e).items()))
+                others.append(sum(not e for e in each))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([[x for x, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32()))],
-                names=["doc_id", "terms", "counts"],
-            )
+                [batch.column(0), pa.array([[x for x, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32())), pa.array(others, pa.int32())],
+                names=["doc_id", "terms", "counts", "others"],
+            )
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(scan, T.StructType([rows.schema["doc_id"], T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]))
+    return rows.mapInArrow(scan, T.StructType([rows.schema["doc_id"], T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("others", T.IntegerType())]))
 
 
-def unit(terms: list[int], counts: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.array(terms, np.int64)
-    w = (1 + np.log(np.maximum(counts, 1))) * idf[at]
-    norm = np.sqrt((w * w).sum())
-    return (at, w / norm) if norm > 0 else (at[:0], w[:0])
+def unit(terms: list[int], counts: list[int], others: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unit vector of a text with terms, its last component that of the other words; nothing for a text without."""
+    if not len(terms):
+        return np.zeros(0, np.int64), np.zeros(0)
+    at = np.append(np.array(terms, np.int64), len(idf))
+    w = np.append(np.asarray(counts) * idf[at[:-1]], others * REST_IDF)
+    return at, w / np.sqrt((w * w).sum())
 
 
 @dataclass
@@ -127,8 +157,8 @@ class Index:
 
     @classmethod
     def build(cls, rows: list[tuple[int, float, np.ndarray, np.ndarray]], n_terms: int) -> Index:
-        """Rows (id, y, terms, weights). Examples with the same heaviest terms share blocks, which tightens the bounds."""
-        rows = sorted((r for r in rows if len(r[2])), key=lambda r: (tuple(r[2][np.argsort(-r[3], kind="stable")][:3].tolist()), r[0]))
+        """Rows (id, y, terms, weights). Examples with the same heaviest terms as densely share blocks, which tightens the bounds."""
+        rows = sorted((r for r in rows if len(r[2])), key=lambda r: (tuple(r[2][:-1][np.argsort(-r[3][:-1], kind="stable")][:2].tolist()), r[3][-1], r[0]))
         out = cls(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float), n_terms)
         most = []
         for b in range(0, len(rows), BLOCK):
@@ -190,16 +220,16 @@ class Scorer:
     def seen(self, near: list[tuple[float, int]]) -> np.ndarray:
         return np.array([1.0, self.index.vote(near), near[0][0]])
 
-    def __call__(self, terms: list[int], counts: list[int]) -> tuple[float, list[int]]:
-        near = self.index.nearest(*unit(terms, counts, self.idf))
+    def __call__(self, terms: list[int], counts: list[int], others: int) -> tuple[float, list[int]]:
+        near = self.index.nearest(*unit(terms, counts, others, self.idf))
         if not near:
             return self.alone, []
         return float(1 / (1 + np.exp(-np.clip(self.seen(near) @ self.calibration, -30, 30)))), [int(self.index.ids[p]) for _, p in near]
 
 
-def fit(rows: list[tuple[int, float, list[int], list[int]]], idf: np.ndarray) -> Scorer:
-    vectors = [(i, y, *unit(t, c, idf)) for i, y, t, c in rows]
-    index = Index.build(vectors, len(idf))
+def fit(rows: list[tuple[int, float, list[int], list[int], int]], idf: np.ndarray) -> Scorer:
+    vectors = [(i, y, *unit(t, c, o, idf)) for i, y, t, c, o in rows]
+    index = Index.build(vectors, len(idf) + 1)
     scorer = Scorer(index, idf, np.zeros(3), 0.0)
     x, y, alone = [], [], []
     for i, label, terms, weights in vectors:
@@ -224,12 +254,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int
     idf = np.full(len(terms), math.log(n + 1) + 1)
     for r in found.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # one row for each term of the model
         idf[r["term"]] = math.log((n + 1) / (r["count"] + 1)) + 1
-    examples = found.join(F.broadcast(known), "doc_id").select("doc_id", "y", "terms", "counts").collect()  # bounded by train_rows
+    examples = found.join(F.broadcast(known), "doc_id").select("doc_id", "y", "terms", "counts", "others").collect()  # bounded by train_rows
     scorer = docs.sparkSession.sparkContext.broadcast(fit(sorted(map(tuple, examples)), idf))
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [scorer.value(t, c) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            rows = [scorer.value(*r) for r in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
     return found.mapInArrow(score, T.StructType([found.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))]))
