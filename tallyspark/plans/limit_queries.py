@@ -193,7 +193,7 @@ def cold_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{b.SERVICES}, l AS (SELECT *, CASE WHEN window_seconds > 0 THEN window_seconds WHEN kind = 'session' THEN 18000.0 WHEN bucket LIKE 'seven_day%' OR kind IN ('weekly', 'modelSpecific') THEN 604800.0 END AS len, TIMESTAMP '2024-01-30 12:00:00' AS now FROM buckets),
-w AS (SELECT *, epoch_us(resets_at) - CAST(len * 1e6 AS BIGINT) AS s, least(epoch_us(now), epoch_us(resets_at)) AS e FROM l WHERE resets_at IS NOT NULL AND len IS NOT NULL) SELECT service, pos, s AS start, e AS "end", len AS length FROM w WHERE s < e""")
+w AS (SELECT *, epoch_us(resets_at) - CAST(len * 1e6 AS BIGINT) AS s, least(epoch_us(now), epoch_us(resets_at)) AS e FROM l WHERE resets_at IS NOT NULL AND len IS NOT NULL) SELECT service, pos, s AS start, e AS "end", CAST(len AS DOUBLE) AS length FROM w WHERE s < e""")
 def current_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-28."""
     rows = b.buckets(spark, sf_dir)

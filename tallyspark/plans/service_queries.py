@@ -106,7 +106,7 @@ def display_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return services.display_order(b.services(spark, sf_dir), ["n3", "n7"], "n7", True).select("service", "place")
 
 
-@query(f"{b.SERVICES} SELECT service, bucket, credit_used AS used, credit_limit AS \"limit\" FROM buckets WHERE credit_limit IS NOT NULL UNION ALL SELECT service, 'extra_usage', extra_used, extra_limit FROM services WHERE extra_enabled")
+@query(f"{b.SERVICES} SELECT service, bucket, CAST(credit_used AS DOUBLE) AS used, CAST(credit_limit AS DOUBLE) AS \"limit\" FROM buckets WHERE credit_limit IS NOT NULL UNION ALL SELECT service, 'extra_usage', extra_used, CAST(extra_limit AS DOUBLE) FROM services WHERE extra_enabled")
 def dollar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RNK-18."""
     return services.dollar_rows(b.buckets(spark, sf_dir), b.services(spark, sf_dir))

@@ -234,7 +234,7 @@ def quota_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.quota_windows(rows).select("service", "bucket", "label", "percent", "kind")
 
 
-@query("SELECT 'n' || n_nationkey AS service, n_nationkey % 2 = 0 AS extra_enabled, CASE WHEN n_nationkey % 3 = 0 THEN 0.0 ELSE 20.0 END AS extra_limit, n_nationkey::DOUBLE AS extra_used, CASE WHEN n_nationkey % 3 <> 0 THEN least(100.0, n_nationkey / 20.0::DOUBLE * 100) WHEN n_nationkey % 2 = 0 THEN 50.0 ELSE 60.0 END AS extra_percent FROM nation")
+@query("SELECT 'n' || n_nationkey AS service, n_nationkey % 2 = 0 AS extra_enabled, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE 20 END AS DOUBLE) AS extra_limit, n_nationkey::DOUBLE AS extra_used, CASE WHEN n_nationkey % 3 <> 0 THEN least(100.0, n_nationkey / 20.0::DOUBLE * 100) WHEN n_nationkey % 2 = 0 THEN 50.0 ELSE 60.0 END AS extra_percent FROM nation")
 def extra_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-34."""
     n = F.col("n_nationkey")

@@ -107,7 +107,7 @@ def repriced_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH a AS (SELECT p_partkey, p_name, p_brand FROM part)
 SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'big-model' WHEN p_partkey % 5 = 1 THEN 'big-model' WHEN p_partkey % 5 = 2 THEN 'twin-a' WHEN p_partkey % 5 = 3 THEN 'big-model' END AS priced_as,
-CASE WHEN p_partkey % 5 IN (0, 1, 3) THEN 2.0 WHEN p_partkey % 5 = 2 THEN 4.0 END AS in_per_m FROM a""")
+CAST(CASE WHEN p_partkey % 5 IN (0, 1, 3) THEN 2 WHEN p_partkey % 5 = 2 THEN 4 END AS DOUBLE) AS in_per_m FROM a""")
 def alias_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRC-4: by id, by a name whose models agree on one price, by an ancestor."""
     rate = "model_norm string, name string, in_per_m double, out_per_m double, cache_read_per_m double, cw5m_per_m double, cw1h_per_m double"
