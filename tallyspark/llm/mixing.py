@@ -7,7 +7,7 @@ blocks of a source's documents, then over what few fractions the blocks leave (t
 takes. A source's last fractions, with a dozen documents of all sizes that waited for them, land on the choice that comes
 nearest to its totals; if a small source is then still off its words, single documents are flipped.
 
-Blocks and the order in them follow from hashes of doc_id, so reruns agree. Null and empty texts have size 0; their copies
+Blocks and the order in them follow from hashes of doc_id and text, so reruns agree and rows of one id are spread. Null and empty texts have size 0; their copies
 take no word. The null source is a source, the last one. A null doc_id is a document like others. Repeated rows are
 documents of their own. Extra columns are ignored. An empty table gives an empty result. One row for each source reaches
 the driver: the sources are the mix's own parameters.
@@ -118,7 +118,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     """doc_id, source, size, source_size, target, copies, taken: one row for each row of `docs`."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size")))
+    sized = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("doc_id", "text").alias("row")))
     stats = {r["source"]: (r["size"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
     goal = targets({s: x for s, (x, _) in stats.items()}, weights, share, most)
     plan = [(s, x, float(goal[s]), goal[s] / x if x else 0.0, max(1, -(-n // block))) for s, (x, n) in stats.items()]
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     copies = F.floor(F.col("ratio") + F.lit(_EDGE))
     rows = rows.select(
         "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), F.greatest(F.col("ratio") - copies, F.lit(0.0)).alias("p"),
-        F.pmod(F.xxhash64("doc_id", F.lit(11)), F.col("blocks")).alias("block"), "blocks", F.xxhash64("doc_id", "size", "source").alias("row"),
+        F.pmod(F.xxhash64("row", F.lit(11)), F.col("blocks")).alias("block"), "blocks", "row",
     )
     most_blocks, settled = max([p[4] for p in plan], default=1), []
     open_ = rows
