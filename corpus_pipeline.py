@@ -5,7 +5,8 @@ Each stage takes (spark, docs, sf_dir) and works on what its predecessor wrote.
 
 1. language ID learns from the rows with a language and drops the documents it rejects (no letter, or no sure language);
 2. line dedup takes repeated lines out of the texts, but for their largest doc_id, and recounts n_chars where one went;
-3. near-duplicates keep one document of each group, the smallest doc_id (rows of a null doc_id stay);
+3. near-duplicates (five-word shingles, a Jaccard similarity of 0.8 or more) keep one document of each group, the smallest
+   doc_id (rows of a null doc_id stay);
 4. decontamination drops the documents in which a benchmark item is found;
 5. the mix says how often each document is taken to meet its source's target.
 
@@ -19,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontam, language, linededup, mixing, simhash
+from tallyspark.llm import decontam, language, linededup, mixing, nearcopies
 from tallyspark.llm.base import BROADCAST_ROWS, materialize, shared_dir, table
 
 
@@ -34,7 +35,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
+    found = nearcopies.near_copies(docs)
     others = materialize(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
     return docs.join(F.broadcast(others) if others.count() <= BROADCAST_ROWS else others, "doc_id", "left_anti").select(*docs.columns)
 

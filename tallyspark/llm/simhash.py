@@ -34,23 +34,31 @@ SEED = 42
 _AT_ONCE = 1 << 14
 
 
-def simhash(text: bytes, words: int = 3) -> int:
-    """Signed 64-bit fingerprint of the word shingles of `text` (A-Z lower-cased, ASCII white space between words)."""
+def shingles(text: bytes, words: int = 3) -> np.ndarray:
+    """64-bit hashes of the word shingles of `text`, in order (A-Z lower-cased, ASCII white space between words)."""
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, "<u8")
     norm = b" ".join(tokens)
     ends = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32).tolist()
     ends.append(len(norm))
     starts = [0, *(e + 1 for e in ends[:-1])]
     digest = xxhash.xxh64_intdigest
-    n = max(1, len(ends) - words + 1)
     last = ends[words - 1 :] or ends[-1:]
+    return np.fromiter((digest(norm[s:e], SEED) for s, e in zip(starts, last, strict=False)), "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit fingerprint: the bits that more than half of the hashes have."""
     set_bits = np.zeros(64, np.int64)
-    for i in range(0, n, _AT_ONCE):
-        hashes = np.fromiter((digest(norm[s:e], SEED) for s, e in zip(starts[i : i + _AT_ONCE], last[i : i + _AT_ONCE], strict=False)), "<u8")
-        set_bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > n, bitorder="little").view("<i8")[0])
+    for i in range(0, len(hashes), _AT_ONCE):
+        set_bits += np.unpackbits(hashes[i : i + _AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def simhash(text: bytes, words: int = 3) -> int:
+    """Signed 64-bit fingerprint of the word shingles of `text`."""
+    return majority(shingles(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
