@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.frames import ranked, running
+from tallyspark.functions.frames import ranked, running, written
 from tallyspark.functions.moments import cell, day, last_days, micros, moment, seconds
 from tallyspark.functions.percents import clamped
 
@@ -148,20 +148,27 @@ def throttled(readings: DataFrame, gap_s: int = 30) -> DataFrame:
     """The snapshots (service, ts, …) that the history keeps: each service's first, then each at least `gap_s` after the last
     kept one.
 
-    Which ones are kept hangs on what was kept before, so the times are walked in order; but a kept time decides everything
-    after it, and times that are `gap_s` or more after their neighbour are kept whatever came before. These cut a service's
-    times into bursts, and each burst is folded on its own: a hot service is many small groups.
+    Each time's successor is the first time at least `gap_s` later. A time that is `gap_s` or more after its neighbour is kept
+    whatever came before; from these on, the kept times are found by pointer doubling: each round marks what the marked times
+    jump to and doubles the jumps. The rounds grow with the logarithm of the longest burst, and no burst is collected.
     """
     times = readings.select("service", "ts").distinct()
-    cut = running(times, ["service"], ["ts"], cell("ts", _DAY), lag={"_p": "ts"}).withColumn("_new", (F.col("_p").isNull() | (seconds("_p", "ts") >= gap_s)).cast("long"))
-    bursts = running(cut.drop("_p"), ["service"], ["ts"], cell("ts", _DAY), total={"burst": F.col("_new")})
-    at = F.array_sort(F.collect_list(micros("ts")))
-    walked = F.aggregate(
-        "_at", F.array().cast("array<bigint>"),
-        lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= gap_s * 1_000_000), F.concat(kept, F.array(t))).otherwise(kept),
-    )
-    kept = bursts.groupBy("service", "burst").agg(at.alias("_at")).select("service", F.explode(walked).alias("_t"))
-    kept = kept.select("service", F.timestamp_micros("_t").cast("timestamp_ntz").alias("ts"))
+    cut = running(times, ["service"], ["ts"], cell("ts", _DAY), lag={"_p": "ts"})
+    cut = written(cut.select("service", micros("ts").alias("t"), (F.col("_p").isNull() | (seconds("_p", "ts") >= gap_s)).alias("first")))
+    # from the latest on, the last time met before a wanted one (t + gap) is its successor; a time comes before an equal wanted one
+    met = cut.select("service", F.col("t").alias("at"), F.lit(0).alias("wanted"), F.col("t").alias("time"), F.lit(None).cast("long").alias("from"))
+    wanted = F.col("t") + gap_s * 1_000_000
+    line = met.union(cut.select("service", wanted.alias("at"), F.lit(1), F.lit(None).cast("long"), F.col("t")))
+    line = line.withColumn("back", -F.col("at"))
+    jumps = running(line, ["service"], ["back", "wanted"], F.floor(F.col("back") / F.lit(_DAY * 1_000_000)).cast("long"), last={"to": F.col("time")})
+    jumps = written(jumps.filter("wanted = 1 and to is not null").select("service", F.col("from").alias("t"), "to"))
+    kept = written(cut.filter("first").select("service", "t"))
+    n, before = kept.count(), -1
+    while n != before:
+        kept = written(kept.union(kept.join(jumps, ["service", "t"]).select("service", F.col("to").alias("t"))).distinct())
+        n, before = kept.count(), n
+        jumps = written(jumps.join(jumps.select("service", F.col("t").alias("to"), F.col("to").alias("_next")), ["service", "to"]).select("service", "t", F.col("_next").alias("to")))
+    kept = kept.select("service", F.timestamp_micros("t").cast("timestamp_ntz").alias("ts"))
     return readings.join(kept, ["service", "ts"], "left_semi")
 
 
