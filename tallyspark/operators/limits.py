@@ -254,7 +254,7 @@ def past_windows_by_drops(readings: DataFrame, current: DataFrame, horizon: date
     return spans.join(used.select(*KEYS, "start").distinct(), [*KEYS, "start"], "left_semi")
 
 
-PAST = "service string, bucket string, start timestamp_ntz, end timestamp_ntz, reset_low timestamp_ntz, reset_high timestamp_ntz"
+PAST = "service string, bucket string, start timestamp_ntz, end timestamp_ntz, reset_low timestamp_ntz, reset_high timestamp_ntz, left_zero boolean"
 
 
 def past_windows(readings: DataFrame, current: DataFrame, horizon: datetime) -> DataFrame:
@@ -266,7 +266,7 @@ def past_windows(readings: DataFrame, current: DataFrame, horizon: datetime) ->
     no reading named it. Each window ends where the next begins, at its own reset, or at the current start.
 
     Runs of named resets and held drops are found by window functions; what a bucket's group holds then is one row for each of
-    them, a few for each window within the horizon.
+    them, a few for each window within the horizon. Whether an unnamed reading left zero inside a window is told by a join.
     """
     rows = readings.filter(F.col("percent").isNotNull() & (F.col("ts") >= shifted(moment(horizon), -8.0 * DAY))).withColumn("percent", clamped("percent"))
     rows = rows.withColumn("_nts", F.struct("ts", "percent"))
@@ -280,12 +280,9 @@ def past_windows(readings: DataFrame, current: DataFrame, horizon: datetime) ->
     )
     drop = (F.col("_p") - F.col("percent") >= 5) & (F.col("_q").isNull() | (F.col("_p") - F.col("_q") >= 5)) & (F.col("_pr").isNull() | F.col("resets_at").isNull())
     drops = rows.filter(drop).select(*KEYS, F.col("_pt").alias("first_ts"), F.col("ts").alias("last_ts"), F.when(F.col("resets_at").isNull(), F.col("run")).otherwise(F.col("run") - F.col("_fresh")).alias("run_before"))
-    # the unnamed readings that left zero, one for each hour: enough to tell whether a span between starts did
-    zero = rows.filter("resets_at is null and percent > 0").groupBy(*KEYS, cell("ts", HOUR).alias("_h")).agg(F.array_sort(F.collect_set("ts")).alias("times"))
     parts = (
         runs.select(*KEYS, F.lit("run").alias("what"), "run", "low", "high", "length", "left_zero", "first_ts", "last_ts")
         .unionByName(drops.select(*KEYS, F.lit("drop").alias("what"), F.col("run_before").alias("run"), "first_ts", "last_ts"), allowMissingColumns=True)
-        .unionByName(zero.select(*KEYS, F.lit("use").alias("what"), F.explode("times").alias("first_ts")), allowMissingColumns=True)
     )
     cur = current.select(*KEYS, F.col("start").alias("current_start"), F.col("length").alias("current_length"))
     joined = parts.join(cur, KEYS)
@@ -294,11 +291,15 @@ def past_windows(readings: DataFrame, current: DataFrame, horizon: datetime) ->
     def listed(part: pd.DataFrame) -> pd.DataFrame:
         return _past_of(part, since)
 
-    return joined.groupBy(*KEYS).applyInPandas(listed, PAST)
+    spans = joined.groupBy(*KEYS).applyInPandas(listed, PAST)
+    left = readings.filter(F.col("resets_at").isNull() & (F.col("percent") > 0) & (F.col("ts") >= moment(horizon))).select(*KEYS, "ts")
+    used = within(left, "ts", spans.filter("not left_zero").select(*KEYS, "start", "end"), KEYS, (F.col("ts") > F.col("start")) & (F.col("ts") <= F.col("end")), HOUR)
+    used = used.select(*KEYS, "start", "end", F.lit(True).alias("_used")).distinct()
+    return spans.join(used, [*KEYS, "start", "end"], "left").filter(F.col("left_zero") | F.col("_used")).select(*KEYS, "start", "end", "reset_low", "reset_high")
 
 
 def _past_of(part: pd.DataFrame, horizon: pd.Timestamp) -> pd.DataFrame:
-    """The finished windows of one bucket, from its runs of named resets, its held drops and its use without a name."""
+    """The finished windows of one bucket, from its runs of named resets and its held drops; `left_zero`: a named reading did."""
     drift, bin_ = pd.Timedelta(seconds=RESET_DRIFT_S), pd.Timedelta(seconds=BIN_S)
     current = part["current_start"].iloc[0]
     length = pd.Timedelta(seconds=float(part["current_length"].iloc[0]))
@@ -321,7 +322,6 @@ def _past_of(part: pd.DataFrame, horizon: pd.Timestamp) -> pd.DataFrame:
     plain |= {g["high"] for g in named if not open_now(g) and not inside(g["high"])}
     found = [(g["start"], g["high"], g["low"], g["high"], g["zero"]) for g in named if not open_now(g)] + [(s, None, None, None, False) for s in plain]
     marks = sorted([f[0] for f in found] + [current])
-    used = sorted(part.loc[part["what"] == "use", "first_ts"])
     out = []
     for start, own_end, low, high, zero in found:
         end = min([m for m in marks if m > start] + [current])
@@ -329,9 +329,9 @@ def _past_of(part: pd.DataFrame, horizon: pd.Timestamp) -> pd.DataFrame:
             end = min(end, own_end)
         elif seen_early is not None and seen_early > start:
             end = min(end, seen_early)
-        if start >= horizon and start < end and (zero or any(start < t <= end for t in used)):
-            out.append((part["service"].iloc[0], part["bucket"].iloc[0], start, end, low, high))
-    return pd.DataFrame(sorted(out, key=lambda r: r[2], reverse=True), columns=["service", "bucket", "start", "end", "reset_low", "reset_high"])
+        if start >= horizon and start < end:
+            out.append((part["service"].iloc[0], part["bucket"].iloc[0], start, end, low, high, zero))
+    return pd.DataFrame(sorted(out, key=lambda r: r[2], reverse=True), columns=["service", "bucket", "start", "end", "reset_low", "reset_high", "left_zero"])
 
 
 def own_readings(readings: DataFrame, past: DataFrame) -> DataFrame:

@@ -1,12 +1,12 @@
-"""Busy services: no burst is gathered in one row."""
+"""Busy services: no burst and no bucket's readings are gathered in one row or group."""
 
 from __future__ import annotations
 
 import random
 from datetime import timedelta
 
-from tallyspark.operators import quota
-from tests.test_limits import T0
+from tallyspark.operators import limits, quota
+from tests.test_limits import T0, past
 
 
 def test_throttle_equals_a_walk_and_collects_no_list(spark, monkeypatch):
@@ -27,3 +27,11 @@ def test_throttle_equals_a_walk_and_collects_no_list(spark, monkeypatch):
     found = quota.throttled(spark.createDataFrame(rows, "service string, ts timestamp_ntz"))
     assert {tuple(r) for r in found.collect()} == expected
     assert not any("collect_list" in p._jdf.queryExecution().toString() for p in [found, *plans])
+
+
+def test_past_windows_groups_hold_no_plain_readings(spark, monkeypatch):
+    sizes, walk = spark.sparkContext.accumulator(0), limits._past_of
+    monkeypatch.setattr(limits, "_past_of", lambda part, since: sizes.add(len(part)) or walk(part, since))
+    rows = [(i, 1 + i / 20, None) for i in range(1, 401)] + [(410, 0, None), (420, 1, None), (550, 7, None), (600, 0, None), (601, 0, None)]
+    assert past(spark, rows, 700) == [(400, 550, False)]
+    assert 0 < sizes.value <= 10
