@@ -2,7 +2,8 @@
 
 A text is seen as its lower-cased words (letters, digits and everything beyond ASCII), joined by single spaces, so a phrase
 matches across any punctuation and line breaks. After an identifier tag the rest of its line is read as a licence expression:
-`or` binds less than `and`, `and` less than `with`; parentheses group.
+`or` binds less than `and`, `and` less than `with`; parentheses group. An expression is evaluated in one pass over its postfix
+form, without listing the alternatives: each part says how many choices it leaves and which ids all of them need.
 
 Null and empty texts have no word, no place and score 0. Rows are judged one by one: repeated rows repeat, a null doc_id
 stays null, extra columns are ignored, an empty table gives an empty result. Texts are scanned whole in linear time.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
@@ -43,6 +45,7 @@ _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 _TAGGED = re.compile(r"spdx[^a-z0-9\x80-\U0010ffff]+license[^a-z0-9\x80-\U0010ffff]+identifier[^a-z0-9\x80-\U0010ffff(\n]*([^\n]*)", re.I)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _BINDS = {"or": 1, "and": 2, "with": 3}
+_MOST = (1 << 63) - 1
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -81,26 +84,40 @@ def postfix(expression: str) -> list[str]:
     return out + [x for x in reversed(held) if x != "("]
 
 
-def evaluate(expression: str) -> tuple[frozenset[frozenset[str]], list[str]]:
-    """The alternatives that the expression offers, each a set of ids that hold together, and the ids in order.
+@dataclass
+class Terms:
+    """What an expression comes to: the number of choices that it leaves and the ids that every one of them needs."""
 
-    `with` ties an exception to its licence, `and` combines, `or` offers a choice.
+    choices: int
+    needed: set[str]
+    simple: str | None = None  # the id, if the expression is one
+
+
+def evaluate(tokens: list[str]) -> tuple[Terms, list[str]]:
+    """The terms of an expression in postfix order, and its ids in order.
+
+    `or` offers the choices of both sides and needs what both need; `and` combines every choice of one side with every one of
+    the other and needs what either needs; `with` ties an exception to its licence and is like `and` between anything else.
+    Choices are counted as written, up to the largest long. Sets are merged into the larger one, so long expressions take
+    about linear time.
     """
-    stack: list[frozenset[frozenset[str]]] = []
+    stack: list[Terms] = []
     ids: list[str] = []
-    for token in postfix(expression):
-        if token in _BINDS and len(stack) >= 2:
+    for token in tokens:
+        if token not in _BINDS:
+            ids.append(token.lower())
+            stack.append(Terms(1, {ids[-1]}, ids[-1]))
+        elif len(stack) >= 2:
             right, left = stack.pop(), stack.pop()
+            less, more = sorted((left.needed, right.needed), key=len)
             if token == "or":
-                stack.append(left | right)
-            elif token == "and":
-                stack.append(frozenset(a | b for a in left for b in right))
+                stack.append(Terms(min(left.choices + right.choices, _MOST), {x for x in less if x in more}))
+            elif token == "with" and left.simple and right.simple:
+                stack.append(Terms(1, {f"{left.simple} with {right.simple}"}))
             else:
-                stack.append(frozenset(frozenset(f"{x} with {y}" for x in a for y in b) for a in left for b in right))
-        elif token not in _BINDS:
-            stack.append(frozenset([frozenset([token.lower()])]))
-            ids.append(token.lower())
-    return (stack[-1] if stack else frozenset()), ids
+                more |= less
+                stack.append(Terms(min(left.choices * right.choices, _MOST), more))
+    return (stack[-1] if stack else Terms(0, set())), ids
 
 
 def label_of(identifier: str) -> str | None:
@@ -123,7 +140,8 @@ def scan_text(text: str, automaton: ahocorasick.Automaton) -> dict:
         else:
             more.add(MORE[phrase])
     expressions = [m.group(1).strip() for m in _TAGGED.finditer(text)] if tagged else []
-    parsed = [evaluate(e) for e in expressions]
+    written = [postfix(e) for e in expressions]
+    parsed = [evaluate(w) for w in written]
     more |= {label for _, ids in parsed for i in ids if (label := label_of(i))}
     found = len(places) + len(more - base) + 2 * sum(bool(ids) for _, ids in parsed)
     return {
@@ -134,16 +152,18 @@ def scan_text(text: str, automaton: ahocorasick.Automaton) -> dict:
         "base_labels": ",".join(sorted(base)),
         "labels": ",".join(sorted(base | more)),
         "score": 1 - 0.5**found,
-        "expressions": [" ".join(postfix(e)) for e in expressions],
-        "n_choices": sum(len(a) for a, _ in parsed),
+        "expressions": [" ".join(w) for w in written],
+        "n_choices": min(sum(t.choices for t, _ in parsed), _MOST),
+        "needed": sorted(set().union(*(t.needed for t, _ in parsed))),
     }
 
 
-_OUT = pa.schema([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("expressions", pa.list_(pa.string())), ("n_choices", pa.int64())])
+_OUT = pa.schema([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("expressions", pa.list_(pa.string())), ("n_choices", pa.int64()), ("needed", pa.list_(pa.string()))])
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
-    """doc_id, word and place counts, labels, a score, and the tags' expressions (postfix) with the number of choices they leave.
+    """doc_id, word and place counts, labels, a score, and the tags' expressions (postfix) with the number of choices
+    they leave and the ids that they need whatever is chosen.
 
     The score is 1 - 1/2^k for k places, further labels, and twice the tags that parse.
     """
@@ -157,4 +177,4 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(scan, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, n_choices long")
+    return rows.mapInArrow(scan, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, n_choices long, needed array<string>")
