@@ -6,6 +6,8 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 from tests.conftest import ROOT
 
 import __spark_entry__ as entry
@@ -21,8 +23,11 @@ def test_every_oracle_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_imports_without_the_training_data_parts(tmp_path):
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_imports_without_the_training_data_parts(tmp_path, pipeline):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    if pipeline and (ROOT / "corpus_pipeline.py").exists():
+        shutil.copy(ROOT / "corpus_pipeline.py", tmp_path)
     shutil.copytree(ROOT / "tallyspark", tmp_path / "tallyspark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'top_projects' in q and 'pipeline' not in q and not any(k.startswith('op1_') for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
