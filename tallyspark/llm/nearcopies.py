@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from tallyspark.llm.base import BROADCAST_ROWS, materialize, pieces, tidy
 from tallyspark.llm.components import components
-from tallyspark.llm.simhash import SEED, cell, links, majority, meeting, shingles
+from tallyspark.llm.simhash import SEED, cell, links, majority, shingles
 
 WORDS, SIMILARITY = 5, 0.8
 #: A shingle is common if it is among the first of this many texts of one in `ONE_IN`; the most common ones are put last.
@@ -100,7 +100,7 @@ def by_fingerprint(prints: DataFrame) -> DataFrame:
     firsts = materialize(prints.groupBy("fingerprint").agg(F.min("node").alias("least")).withColumn("cell", cell("fingerprint")))
     same = prints.join(firsts, "fingerprint").select(F.col("node").alias("a"), F.col("least").alias("b"))
     ends = [firsts.select(F.col("fingerprint").alias(x), F.col("least").alias(f"node_{x}")) for x in "ab"]
-    linked = links(meeting(firsts)).join(ends[0], "a").join(ends[1], "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    linked = links(firsts).join(ends[0], "a").join(ends[1], "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     return same.union(linked)
 
 

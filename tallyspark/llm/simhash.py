@@ -1,14 +1,17 @@
 """SimHash near-duplicates: a segment-popcount embedding, a grid range-join under Manhattan distance, then an exact check.
 
 A fingerprint's embedding counts the set bits of each 2-bit segment: 32 counts of 0 to 2, packed in the 2-bit fields of a
-long. So fine a grid keeps chance meetings rare: of n random fingerprints one meets about n / 20 billion others. One differing bit moves one count by one, so the Manhattan distance of two embeddings never exceeds the Hamming distance
-of the fingerprints. Two lattice points within distance 2 share a point within distance 1 of either, so each occupied cell
-is joined to its neighbours by emitting itself and its up to 64 neighbours. At most 65 cells meet at a point, whatever the
-size of a group of near copies. Fingerprints of cells that meet no other go no further.
-
-The exact check works the same way on bits: two fingerprints differ in at most 2 bits exactly if they share a word within
-one bit of either. At most 65 fingerprints meet at a word, and each hangs on the smallest of them, which is a real link.
-So no link between different fingerprints is lost, and none of a group's pairs needs to be listed.
+long. So fine a grid keeps chance meetings rare: of n random fingerprints one meets about n / 20 billion others. One differing
+bit moves one count by one, so the Manhattan distance of two embeddings never exceeds the Hamming distance of the
+fingerprints. Two lattice points within distance 2 share a point within distance 1 of either, so each occupied cell is joined
+to its neighbours by emitting itself and its up to 64 neighbours: at most 65 cells meet at a point, whatever the size of a
+group of near copies.
+
+The fingerprints of the cells that meet at a point are the candidates, and each is compared with the others there: a link is a
+pair of 2 or fewer differing bits. A cell may hold many fingerprints (each count of 1 has two forms). A point of more than
+`AT_POINT` is therefore not compared at once but cut finer first, by segments of one bit: its fingerprints meet at the words
+within one bit of theirs that embed into the point. At most 65 meet at a word, so each is compared with the smallest of them
+only. Either way no link between different fingerprints is lost, and no group's pairs are listed.
 
 Null and empty texts have fingerprint zero, which links like any other. Copies share a fingerprint; links run between
 distinct fingerprints. Rows with a null doc_id get a component like others but never name one. Repeated rows repeat. Extra
@@ -30,6 +33,10 @@ from tallyspark.llm.base import materialize, tidy
 from tallyspark.llm.components import components
 
 SEED = 42
+#: Fingerprints at a grid point up to which each is compared with the others; a fuller point is cut finer first.
+AT_POINT = 64
+#: Cells that a task of the range join lays out, about.
+CELLS_A_TASK = 20_000
 #: Shingle hashes whose bits are counted at once.
 _AT_ONCE = 1 << 14
 
@@ -92,20 +99,33 @@ def around(point: str) -> Column:
     )
 
 
-def meeting(prints: DataFrame) -> DataFrame:
-    """Rows of `prints` (distinct `fingerprint`, its `cell`) with another fingerprint within Manhattan distance 2 of their embedding."""
-    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a cell becomes some 50 rows: more tasks than its bytes suggest
-    cells = prints.groupBy("cell").agg(F.count("*").alias("n")).repartition(tasks, "cell")
+def met_points(prints: DataFrame) -> DataFrame:
+    """The grid points where cells of `prints` (distinct `fingerprint`, its `cell`) meet: point, the cells (65 at most) and
+    their number of fingerprints."""
+    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() // CELLS_A_TASK))
+    cells = prints.groupBy("cell").agg(F.count("*").alias("n")).repartition(tasks)  # each becomes some 50 rows
     points = cells.select("cell", "n", F.explode(around("cell")).alias("point"))
-    met = points.groupBy("point").agg(F.sum("n").alias("n"), F.collect_list("cell").alias("cells")).filter("n >= 2")
-    return prints.join(met.select(F.explode("cells").alias("cell")).distinct(), "cell", "left_semi")
+    met = points.groupBy("point").agg(F.sum("n").alias("n"), F.collect_list("cell").alias("cells"))
+    return materialize(met.filter("n >= 2"))
+
+
+def near(a: Column, b: Column) -> Column:
+    """The exact check."""
+    return (a != b) & (F.bit_count(a.bitwiseXOR(b)) <= 2)
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Links (a, b) that join all fingerprints of `prints` which chains of 2 or fewer differing bits connect; each is real."""
-    words = prints.select("fingerprint", F.explode(F.expr("concat(array(fingerprint), transform(sequence(0, 63), i -> fingerprint ^ shiftleft(1L, i)))")).alias("word"))
-    met = words.groupBy("word").agg(F.collect_list("fingerprint").alias("met")).filter(F.size("met") >= 2)
-    return met.select(F.explode("met").alias("a"), F.array_min("met").alias("b")).filter("a <> b").distinct()
+def links(prints: DataFrame, at_point: int = AT_POINT) -> DataFrame:
+    """Links (a, b) that join all fingerprints of `prints` (distinct `fingerprint`, its `cell`) which chains of 2 or fewer
+    differing bits connect; each is real."""
+    met = met_points(prints)
+    at = met.select("point", "n", F.explode("cells").alias("cell")).join(prints.select("cell", "fingerprint"), "cell")
+    few = at.filter(F.col("n") <= at_point).groupBy("point").agg(F.collect_list("fingerprint").alias("all"))
+    pairs = few.select(F.explode("all").alias("a"), "all").select("a", F.filter("all", lambda b: near(F.col("a"), b) & (b < F.col("a"))).alias("near"))
+    compared = pairs.select("a", F.explode("near").alias("b"))
+    words = at.filter(F.col("n") > at_point).select("point", "fingerprint", F.explode(F.expr("concat(array(fingerprint), transform(sequence(0, 63), i -> fingerprint ^ shiftleft(1L, i)))")).alias("word"))
+    finer = words.filter(cell("word") == F.col("point")).groupBy("point", "word").agg(F.collect_list("fingerprint").alias("all"))
+    starred = finer.select(F.explode("all").alias("a"), F.array_min("all").alias("b")).filter(near(F.col("a"), F.col("b")))
+    return compared.union(starred).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -113,7 +133,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     prints = materialize(fingerprints(docs, words))
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     distinct = materialize(distinct.withColumn("cell", cell("fingerprint")))
-    found = materialize(components(links(meeting(distinct))))
+    found = materialize(components(links(distinct)))
     rooted = materialize(distinct.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint").select("fingerprint", "least", "root"))
     roots = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     moved = rooted.join(roots, "root").select("fingerprint", "component_id")

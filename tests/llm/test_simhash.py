@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -47,7 +48,8 @@ def test_fingerprints_and_components_equal_brute_force(spark, sf):
         assert found == expected
 
 
-def test_planted_neighbours_are_all_linked(spark):
+@pytest.mark.parametrize("at_point", [0, 2, simhash.AT_POINT])
+def test_planted_neighbours_are_all_linked(spark, at_point):
     """Chains of one- and two-bit steps around random fingerprints, copies among them."""
     rng = random.Random(2)
     prints = []
@@ -58,9 +60,10 @@ def test_planted_neighbours_are_all_linked(spark):
             for _ in range(rng.randrange(0, 4)):
                 p ^= 1 << rng.randrange(64)
     prints += [0, 0, 1, (1 << 64) - 1]
+    prints += [sum((1 + (i >> k & 1)) << 2 * k for k in range(32)) for i in range(200)]  # many in one cell
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     df = spark.createDataFrame([(s,) for s in set(signed)], "fingerprint long").withColumn("cell", simhash.cell("fingerprint"))
-    found = {r["node"]: r["root"] for r in components(simhash.links(simhash.meeting(df))).collect()}
+    found = {r["node"]: r["root"] for r in components(simhash.links(df, at_point)).collect()}
     distinct = sorted(set(signed))
     groups = brute_components([(i, p % (1 << 64)) for i, p in enumerate(distinct)])
     pairs = {(a, b) for a in range(len(distinct)) for b in range(a) if groups[a] == groups[b]}
@@ -68,6 +71,11 @@ def test_planted_neighbours_are_all_linked(spark):
     assert got == pairs
 
 
+def test_links_come_from_the_grid(spark, monkeypatch):
+    df = spark.createDataFrame([(p,) for p in (0, 1, 3, 7, 5, 1 << 40)], "fingerprint long").withColumn("cell", simhash.cell("fingerprint"))
+    assert simhash.links(df).count() > 0
+    monkeypatch.setattr(simhash, "around", lambda point: F.array(F.lit(-1).cast("long") - F.col(point)))
+    assert simhash.links(df).count() == 0
 
 
 def test_distance_is_a_lower_bound(spark):
