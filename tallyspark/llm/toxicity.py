@@ -1,21 +1,24 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index, with calibrated votes.
 
-Terms are the words and word beginnings (of 3 to 6 characters, for languages that inflect or compound) that the labelled
-rows show to go with a label: a term's likelihood ratio must pass a Bonferroni bound over all terms seen in three or more
-independent texts (near copies, which share a MinHash value of their shingles, count once), and a term that goes with label 1
-must have it in at least half of the texts that have the term, or have it densely. A text's vector holds tf times the idf of its terms, with document frequencies
-counted over all documents, and one component for all its other words, which have a small idf in common: so two texts are
-near if they have the same terms as densely, and a term that slipped into a long text once weighs little.
-
-The labelled examples lie in blocks; each block keeps its postings by term and each term's largest weight in it. A query
-bounds a block's cosines by these maxima, reads blocks from the highest bound down, and stops as soon as the bound falls
-below the k-th cosine found: the k nearest are exact, ties going to the smaller doc_id. Neighbours vote with their cosines;
-Platt scaling over the examples' own leave-one-out votes makes the score a probability. The evidence is the neighbours' ids.
-
-Training uses at most about `train_rows` labelled rows, chosen by a hash of doc_id. Null and empty texts and texts without
-a term have no neighbour and score the share of toxic examples among such ones. Several labels of a doc_id are averaged;
-other values and nulls are ignored; without labels every score is 0. A null doc_id is scored but trains nothing. Repeated
-rows repeat, extra columns are ignored, an empty table gives an empty result.
+A text's terms are its words, and those word beginnings (of 3 to 6 characters, for languages that inflect or compound) that
+the labelled rows show to tell of a label: a term's likelihood ratio must pass a Bonferroni bound over all terms seen in three
+or more independent texts (near copies, which share a MinHash value of their shingles, count once), and a term that goes with
+label 1 must have it in at least half of the texts that have the term, or have it densely. A term weighs (1 + log tf) times its
+idf, with document frequencies counted over all documents; a telling term weighs `TELLING` times as much. Every term of every
+example is in the index; a text's terms that no example has are in none of its cosines and are left out of its vector.
+
+The labelled examples lie in blocks of examples that share their most common word and their telling terms. The postings of the
+commonest terms are kept by block, with each term's largest weight in the block, those of all other terms in one list. A query
+sums up the listed terms, which few examples have, bounds each block's cosines by its largest sum and the common terms'
+maxima, and reads only the blocks whose bound reaches the k-th cosine found: the k nearest are exact, ties going to the
+smaller doc_id. Neighbours vote with their cosines; Platt scaling over the examples' own
+leave-one-out votes makes the score a probability. The evidence is the neighbours' ids.
+
+Training uses at most about `train_rows` labelled documents, chosen by a hash of doc_id; an id with several rows trains with its
+smallest text. Null and empty texts and texts without a term of an example have no neighbour and score the share of toxic
+examples among such ones. Several labels of a doc_id are averaged; other values and nulls are ignored; without labels every
+score is 0. A null doc_id is scored but trains nothing. Repeated rows repeat, extra columns are ignored, an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -24,28 +27,28 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.base import materialize, tidy
+from tallyspark.llm.base import materialize, pieces, tidy
 from tallyspark.llm.quality import labelled
 
-TRAIN_ROWS = 12_000
-NEIGHBOURS, BLOCK = 15, 64
+TRAIN_ROWS = 6000
+NEIGHBOURS, BLOCK = 15, 256
+#: Terms whose postings are tables; queries that are looked up together.
+COMMON, BATCH = 256, 64
 BEGINNINGS = (3, 4, 5, 6)
-#: Most terms of a model: those with the largest likelihood ratios.
-MOST_TERMS = 4096
+#: How much more a term weighs that tells of a label.
+TELLING = 1.5
 #: A text has a term densely if the term's words are at least this share of its words.
 DENSE = 0.005
-#: The idf of all words that aren't terms of the model.
-REST_IDF = 0.05
 
 _WORD = re.compile(r"\w+")
 
@@ -64,8 +67,8 @@ def copies_key(words: list[str]) -> int:
     return min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0)
 
 
-def select_terms(docs: DataFrame, known: DataFrame, most: int = MOST_TERMS) -> list[str]:
-    """The terms that go with a label in `known` (doc_id, y), the strongest first: by the texts that have them at all, or by
+def telling_terms(examples: DataFrame) -> list[str]:
+    """The word beginnings and words that go with a label in `examples` (text, y): by the texts that have them at all, or by
     those that have them densely (which finds word beginnings that ordinary long texts also hold now and then)."""
 
     @tidy
@@ -84,7 +87,7 @@ def select_terms(docs: DataFrame, known: DataFrame, most: int = MOST_TERMS) -> l
                 copies.append(copies_key(words))
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.string())), pa.array(dense, pa.list_(pa.bool_())), pa.array(copies, pa.int64()), batch.column(1)], names=["terms", "dense", "copies", "y"])
 
-    rows = docs.join(F.broadcast(known), "doc_id").select("text", "y").mapInArrow(scan, "terms array<string>, dense array<boolean>, copies long, y double")
+    rows = examples.select("text", "y").mapInArrow(scan, "terms array<string>, dense array<boolean>, copies long, y double")
     each = rows.select(F.explode(F.arrays_zip("terms", "dense")).alias("t"), "copies", (F.col("y") >= 0.5).alias("y"))
     each = each.groupBy(F.col("t.terms").alias("term"), "copies", "y").agg(F.max("t.dense").alias("dense"))
     counted = each.groupBy("term").agg(*(F.count_if(c).cast("double").alias(n) for n, c in (("a", F.col("y")), ("b", ~F.col("y")), ("c", F.col("y") & F.col("dense")), ("d", ~F.col("y") & F.col("dense")))))
@@ -103,100 +106,157 @@ def select_terms(docs: DataFrame, known: DataFrame, most: int = MOST_TERMS) -> l
     either = F.greatest(F.when((a >= b) | (a / na < b / nb), ratio(a, b)), F.when(c >= d, ratio(c, d)))
     judged = materialize(counted.filter("a + b >= 3 and term <> ''").select("term", either.alias("ratio")))
     bound = 2 * math.log(max(1, 2 * judged.count()) / 0.05)  # two tests a term
-    return [r["term"] for r in judged.filter(F.col("ratio") >= bound).orderBy(F.desc("ratio"), "term").limit(most).collect()]
+    return sorted(r["term"] for r in judged.filter(F.col("ratio") >= bound).select("term").collect())  # bounded by the examples
 
 
-def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id and, side by side, the numbers and counts of a text's terms, and `others`, its number of words without one; one
-    row for each row of `docs`."""
-    held = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+def term_counter(telling: list[str]) -> Callable[[str | None], tuple[np.ndarray, np.ndarray]]:
+    """A function that gives a text's terms, as 64-bit hashes, and their counts."""
+    known, firsts = frozenset(telling), frozenset(t[: BEGINNINGS[0]] for t in telling if t.endswith("*"))
+    digest = xxhash.xxh3_64_intdigest
+
+    def count(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        found = Counter(words_of(text))
+        begun: Counter[str] = Counter()
+        for w, n in found.items():
+            if w[: BEGINNINGS[0]] in firsts:
+                for t in terms_of(w)[1:]:
+                    if t in known:
+                        begun[t] += n
+        found.update(begun)
+        return np.array([digest(t.encode()) for t in found], np.uint64), np.array(list(found.values()), np.int64)
+
+    return count
+
+
+def example_terms(examples: DataFrame, telling: list[str]) -> list[tuple[int, float, np.ndarray, np.ndarray]]:
+    """(doc_id, y, terms, counts) of each row of `examples` (doc_id, text, y), by doc_id. They are bounded."""
 
     @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = held.value
+        count = term_counter(telling)
+        for batch in batches:
+            cells = [tuple(a.tobytes() for a in count(t.as_py())) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([c[i] for c in cells], pa.binary()) for i in (0, 1))], names=["doc_id", "y", "terms", "counts"])
+
+    rows = examples.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y").mapInArrow(scan, "doc_id long, y double, terms binary, counts binary").collect()
+    return sorted(((r["doc_id"], r["y"], np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in rows), key=lambda r: r[0])
+
 
-        @lru_cache(1 << 16)
-        def numbers(word: str) -> tuple[int, ...]:
-            return tuple(number[t] for t in terms_of(word) if t in number)
+def placed(terms: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the terms in the sorted `vocabulary`, and which of them are there."""
+    at = np.searchsorted(vocabulary, terms)
+    at[at == len(vocabulary)] = 0
+    return at, vocabulary[at] == terms if len(vocabulary) else np.zeros(len(terms), bool)
 
+
+def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, telling: list[str]) -> tuple[np.ndarray, int]:
+    """In how many rows of `docs` each term of the vocabulary is, and the number of rows."""
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    @tidy
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total, rows = term_counter(telling), np.zeros(len(held.value), np.int64), 0
         for batch in batches:
-            found, others = [], []
-            for text in batch.column(1):
-                each = [numbers(w) for w in words_of(text.as_py())]
-                found.append(sorted(Counter(i for e in each for i in e).items()))
-                others.append(sum(not e for e in each))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([[x for x, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32())), pa.array(others, pa.int32())],
-                names=["doc_id", "terms", "counts", "others"],
-            )
+            rows += len(batch)
+            for text in batch.column(0):
+                at, there = placed(count(text.as_py())[0], held.value)
+                total[at[there]] += 1
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(total[seen], rows))], names=["term", "n"])
 
-    rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(scan, T.StructType([rows.schema["doc_id"], T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("others", T.IntegerType())]))
+    found = docs.select("text").mapInArrow(scan, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # bounded by the examples' terms
+    df, own = np.zeros(len(vocabulary), np.int64), found["term"].to_numpy() >= 0
+    df[found["term"].to_numpy()[own]] = found["n"].to_numpy()[own]
+    return df, int(found["n"].to_numpy()[~own].sum())
 
 
-def unit(terms: list[int], counts: list[int], others: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The unit vector of a text with terms, its last component that of the other words; nothing for a text without."""
-    if not len(terms):
-        return np.zeros(0, np.int64), np.zeros(0)
-    at = np.append(np.array(terms, np.int64), len(idf))
-    w = np.append(np.asarray(counts) * idf[at[:-1]], others * REST_IDF)
-    return at, w / np.sqrt((w * w).sum())
+def unit(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unit vector of a text's terms (their numbers) and counts."""
+    w = (1 + np.log(counts)) * idf[terms]
+    return terms, w / max(np.sqrt((w * w).sum()), 1e-300)
+
+
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    end = np.cumsum(size)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(begin - (end - size), size)
 
 
 @dataclass
 class Index:
-    """Labelled examples with a vector, in blocks; postings of each block by term, and each term's maximum in each block."""
+    """Labelled examples with a vector, in blocks of `BLOCK`.
+
+    The postings of the `COMMON` terms that most examples have are laid out as a table for each block, with each term's
+    maximum in the block; those of all other terms lie in one list by term.
+    """
 
     ids: np.ndarray
     y: np.ndarray
-    n_terms: int
-    begin: list[np.ndarray] = field(default_factory=list)  # of each block: where a term's postings begin
-    doc: list[np.ndarray] = field(default_factory=list)
-    weight: list[np.ndarray] = field(default_factory=list)
-    most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    column: np.ndarray  # of each term: its column among the common ones, or -1
+    table: np.ndarray  # examples by common terms
+    top: np.ndarray  # blocks by common terms: the maxima
+    begin: np.ndarray  # of each term: where its postings begin in the list, and the end
+    place: np.ndarray
+    weight: np.ndarray
 
     @classmethod
-    def build(cls, rows: list[tuple[int, float, np.ndarray, np.ndarray]], n_terms: int) -> Index:
-        """Rows (id, y, terms, weights). Examples with the same heaviest terms as densely share blocks, which tightens the bounds."""
-        rows = sorted((r for r in rows if len(r[2])), key=lambda r: (tuple(r[2][:-1][np.argsort(-r[3][:-1], kind="stable")][:2].tolist()), r[3][-1], r[0]))
-        out = cls(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float), n_terms)
-        most = []
-        for b in range(0, len(rows), BLOCK):
-            part = rows[b : b + BLOCK]
-            term = np.concatenate([r[2] for r in part])
-            order = np.argsort(term, kind="stable")
-            out.doc.append(np.repeat(np.arange(len(part)), [len(r[2]) for r in part])[order] + b)
-            out.weight.append(np.concatenate([r[3] for r in part])[order])
-            out.begin.append(np.searchsorted(term[order], np.arange(n_terms + 1)))
-            top = np.zeros(n_terms)
-            np.maximum.at(top, term, np.concatenate([r[3] for r in part]))
-            most.append(top)
-        out.most = np.array(most).reshape(len(most), n_terms)
+    def build(cls, rows: list[tuple[int, float, np.ndarray, np.ndarray]], idf: np.ndarray, told: np.ndarray) -> Index:
+        """Rows (id, y, terms, weights); `told` marks the telling terms. Like examples share blocks, which tightens the bounds."""
+        alike = lambda r: (int(r[2][np.argmin(idf[r[2]])]), tuple(r[2][told[r[2]]].tolist()), r[0])
+        rows = sorted((r for r in rows if len(r[2])), key=alike)
+        term = np.concatenate([np.zeros(0, np.int64), *(r[2] for r in rows)])
+        weight = np.concatenate([np.zeros(0), *(r[3] for r in rows)])
+        place = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+        n = np.bincount(term, minlength=len(idf))
+        common = np.argsort(-n, kind="stable")[:COMMON]
+        column = np.full(len(idf), -1, np.int64)
+        column[common] = np.arange(len(common))
+        often = column[term] >= 0
+        table = np.zeros((len(rows), len(common)))
+        table[place[often], column[term[often]]] = weight[often]
+        order = np.flatnonzero(~often)[np.argsort(term[~often], kind="stable")]
+        begin = np.concatenate([[0], np.cumsum(np.bincount(term[order], minlength=len(idf)))])
+        top = np.maximum.reduceat(table, np.arange(0, len(rows), BLOCK)) if len(rows) else table
+        return cls(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float), column, table, top, begin, place[order].astype(np.int32), weight[order])
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query (terms, weights): cosines and places of the k nearest examples with a positive cosine, by cosine and
+        then id; `without` names an example (a place, or -1) that each query leaves out."""
+        n = len(self.ids)
+        if not n:
+            return [(np.zeros(0), np.zeros(0, np.int64))] * len(queries)
+        part, asked = np.zeros((len(queries), n)), np.zeros((len(queries), self.table.shape[1]))
+        for i, (terms, weights) in enumerate(queries):
+            at = self.column[terms]
+            asked[i, at[at >= 0]] = weights[at >= 0]
+            terms, weights = terms[at < 0], weights[at < 0]
+            size = self.begin[terms + 1] - self.begin[terms]
+            entry = _spans(self.begin[terms], size)
+            part[i] = np.bincount(self.place[entry], np.repeat(weights, size) * self.weight[entry], minlength=n)
+        # a block's bound: its largest sum over the listed terms, and the common terms' maxima
+        starts = np.arange(0, n, BLOCK)
+        bound = np.maximum.reduceat(part, starts, axis=1) + asked @ self.top.T
+        cosine, kth = np.full((len(queries), n), -1.0), np.zeros(len(queries))
+        for b in np.argsort(-bound.mean(0), kind="stable"):
+            rows, own = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] >= kth - 1e-8)), slice(starts[b], starts[b] + BLOCK)
+            if not len(rows):
+                continue
+            found = np.round(part[rows, own] + asked[rows] @ self.table[own].T, 9)
+            if without is not None:
+                hit = np.flatnonzero(without[rows] // BLOCK == b)
+                found[hit, without[rows[hit]] - starts[b]] = -1
+            cosine[rows, own] = found
+            if found.shape[1] > k:
+                kth[rows] = np.maximum(kth[rows], np.partition(found, -k, axis=1)[:, -k])
+        if n > k:
+            kth = np.partition(cosine, -k, axis=1)[:, -k]
+        out = []
+        for i in range(len(queries)):
+            near = np.flatnonzero((cosine[i] > 0) & (cosine[i] >= kth[i]))
+            near = near[np.lexsort((self.ids[near], -cosine[i, near]))[:k]]
+            out.append((cosine[i, near], near))
         return out
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int]]:
-        """The k nearest examples with a positive cosine as (cosine, place), by cosine and then id; `without` leaves out an id."""
-        if not len(terms) or not len(self.ids):
-            return []
-        bound = self.most[:, terms] @ weights
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-9:
-                break
-            cosine = np.zeros(min(BLOCK, len(self.ids) - b * BLOCK))
-            begin, doc, weight = self.begin[b], self.doc[b], self.weight[b]
-            for t, w in zip(terms, weights, strict=True):
-                s, e = begin[t], begin[t + 1]
-                if e > s:
-                    cosine[doc[s:e] - b * BLOCK] += w * weight[s:e]
-            near = [(-round(float(cosine[i]), 9), int(self.ids[b * BLOCK + i]), int(b * BLOCK + i)) for i in np.flatnonzero(cosine > 0)]
-            best = sorted(best + [x for x in near if x[1] != without])[:k]
-        return [(-c, place) for c, _, place in best]
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        total = sum(c for c, _ in near)
-        return sum(c * self.y[p] for c, p in near) / total if total else 0.0
-
 
 def platt(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> np.ndarray:
     """Weights of a logistic regression (Newton steps, a small ridge)."""
@@ -213,54 +273,77 @@ def platt(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> np.ndarray:
 @dataclass
 class Scorer:
     index: Index
+    vocabulary: np.ndarray
     idf: np.ndarray
     calibration: np.ndarray
     alone: float
 
-    def seen(self, near: list[tuple[float, int]]) -> np.ndarray:
-        return np.array([1.0, self.index.vote(near), near[0][0]])
-
-    def __call__(self, terms: list[int], counts: list[int], others: int) -> tuple[float, list[int]]:
-        near = self.index.nearest(*unit(terms, counts, others, self.idf))
-        if not near:
-            return self.alone, []
-        return float(1 / (1 + np.exp(-np.clip(self.seen(near) @ self.calibration, -30, 30)))), [int(self.index.ids[p]) for _, p in near]
+    def seen(self, cosine: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """What the calibration sees: the neighbours' vote, weighted by their cosines, and the nearest one's cosine."""
+        return np.array([1.0, float(cosine @ self.index.y[place] / cosine.sum()), cosine[0]])
+
+    def __call__(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+        """Score and evidence of each text's terms and counts."""
+        queries = []
+        for terms, counts in texts:
+            at, there = placed(terms, self.vocabulary)
+            queries.append(unit(at[there], counts[there], self.idf))
+        out = []
+        for cosine, place in self.index.nearest(queries):
+            p = float(1 / (1 + np.exp(-np.clip(self.seen(cosine, place) @ self.calibration, -30, 30)))) if len(cosine) else self.alone
+            out.append((p, self.index.ids[place].tolist()))
+        return out
 
 
-def fit(rows: list[tuple[int, float, list[int], list[int], int]], idf: np.ndarray) -> Scorer:
-    vectors = [(i, y, *unit(t, c, o, idf)) for i, y, t, c, o in rows]
-    index = Index.build(vectors, len(idf) + 1)
-    scorer = Scorer(index, idf, np.zeros(3), 0.0)
+def fit(rows: list[tuple[int, float, np.ndarray, np.ndarray]], vocabulary: np.ndarray, idf: np.ndarray, told: np.ndarray) -> Scorer:
+    """A scorer from the examples (doc_id, y, terms, counts), calibrated on their votes without themselves."""
+    vectors = [(i, y, *unit(np.searchsorted(vocabulary, t), c, idf)) for i, y, t, c in rows]
+    index = Index.build(vectors, idf, told)
+    scorer = Scorer(index, vocabulary, idf, np.zeros(3), 0.0)
     x, y, alone = [], [], []
-    for i, label, terms, weights in vectors:
-        near = index.nearest(terms, weights, without=i)
-        if near:
-            x.append(scorer.seen(near))
-            y.append(label)
-        else:
-            alone.append(label)
+    where = dict(zip(index.ids.tolist(), range(len(index.ids)), strict=True))
+    for b in range(0, len(vectors), BATCH):
+        own = vectors[b : b + BATCH]
+        found = index.nearest([(t, w) for _, _, t, w in own], without=np.array([where.get(i, -1) for i, *_ in own], np.int64))
+        for (_, label, *_), near in zip(own, found, strict=True):
+            if len(near[0]):
+                x.append(scorer.seen(*near))
+                y.append(label)
+            else:
+                alone.append(label)
     scorer.alone = float(np.mean(alone)) if alone else 0.0
     if x:
         scorer.calibration = platt(np.array(x), np.array(y))
     return scorer
 
 
+def learn(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int = TRAIN_ROWS) -> tuple[Scorer, list[str]]:
+    """A scorer and the telling terms, from the labelled rows of `docs` and the document frequencies of all."""
+    known = materialize(labelled(labels, "toxic", usable, train_rows))
+    examples = materialize(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")))
+    telling = telling_terms(examples)
+    rows = example_terms(examples, telling)
+    vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(r[2] for r in rows)]))
+    df, n = document_frequencies(docs, vocabulary, telling)
+    told = np.zeros(len(vocabulary), bool)
+    at, there = placed(np.array([xxhash.xxh3_64_intdigest(t.encode()) for t in telling], np.uint64), vocabulary)
+    told[at[there]] = True
+    idf = (np.log((n + 1) / (df + 1)) + 1) * np.where(told, TELLING, 1.0)
+    return fit(rows, vocabulary, idf, told), telling
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, score and `evidence` (ids of the nearest examples, nearest first) of every row of `docs`."""
-    known = materialize(labelled(labels, "toxic", usable, train_rows))
-    terms = select_terms(docs, known)
-    found = materialize(term_counts(docs, terms))
-    n = found.count()
-    idf = np.full(len(terms), math.log(n + 1) + 1)
-    for r in found.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # one row for each term of the model
-        idf[r["term"]] = math.log((n + 1) / (r["count"] + 1)) + 1
-    examples = found.join(F.broadcast(known), "doc_id").select("doc_id", "y", "terms", "counts", "others").collect()  # bounded by train_rows
-    scorer = docs.sparkSession.sparkContext.broadcast(fit(sorted(map(tuple, examples)), idf))
+    scorer, telling = learn(docs, labels, usable, train_rows)
+    held = docs.sparkSession.sparkContext.broadcast(scorer)
 
     @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [scorer.value(*r) for r in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+        count = term_counter(telling)
+        for batch in pieces(batches):
+            terms = [count(t.as_py()) for t in batch.column(1)]
+            rows = [r for i in range(0, len(terms), BATCH) for r in held.value(terms[i : i + BATCH])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
-    return found.mapInArrow(score, T.StructType([found.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))]))
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(score, T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))]))

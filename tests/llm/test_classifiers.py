@@ -65,23 +65,45 @@ def test_awkward_rows(spark):
         assert len({r["score"] for r in score(df, marks.limit(0), F.lit(True)).collect()}) == 1
 
 
-def test_nearest_examples_equal_brute_force():
+def test_nearest_examples_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 32)
+    monkeypatch.setattr(toxicity, "COMMON", 8)
     rng = np.random.default_rng(2)
     idf = rng.random(40) * 5 + 1
     rows = []
     for i in range(700):
-        terms = np.sort(rng.choice(40, rng.integers(0, 6), replace=False)).tolist()
-        rows.append((i, float(rng.random() < 0.3), *toxicity.unit(terms, rng.integers(1, 9, len(terms)).tolist(), int(rng.integers(0, 900)), idf)))
-    index = toxicity.Index.build(rows, 41)
+        terms = np.sort(rng.choice(40, rng.integers(0, 6), replace=False))
+        rows.append((i, float(rng.random() < 0.3), *toxicity.unit(terms, rng.integers(1, 9, len(terms)), idf)))
+    index = toxicity.Index.build(rows, idf, np.arange(40) < 5)
     dense = {}
     for i, _, t, w in rows:
         if len(t):
-            dense[i] = np.zeros(41)
+            dense[i] = np.zeros(40)
             dense[i][t] = w
     for i in list(dense)[:150]:
-        near = index.nearest(rows[i][2], rows[i][3], without=i)
+        (cosine, place), = index.nearest([rows[i][2:]], without=np.flatnonzero(index.ids == i))
         every = sorted((-round(float(v @ dense[i]), 9), j) for j, v in dense.items() if j != i and v @ dense[i] > 0)[: toxicity.NEIGHBOURS]
-        assert [(-c, int(index.ids[p])) for c, p in near] == every
+        assert index.ids[place].tolist() == [j for _, j in every] and cosine == pytest.approx([-c for c, _ in every], abs=1e-8)
+
+
+def test_vectors_hold_all_terms_of_the_examples(spark):
+    """Cosines against TF-IDF vectors written out in Python: no term is left out or put together with others."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(300)], rng.integers(1, 60))) for _ in range(80)] + ["only here", "", None]
+    rows = list(enumerate(texts))
+    marks = labels(spark, [(i, 1, int(i % 5 == 0)) for i in range(60)])
+    scorer, telling = toxicity.learn(docs_table(spark, rows), marks, F.lit(True))
+    words = [toxicity.words_of(t) for t in texts]
+    df = {w: sum(w in x for x in map(set, words)) for x in words for w in x}
+    assert len(scorer.vocabulary) == len({w for x in words[:60] for w in x} | set(telling)) and not telling
+    known = {w for x in words[:60] for w in x}
+    vector = lambda x: {w: (1 + np.log(x.count(w))) * (np.log(84 / (df[w] + 1)) + 1) for w in set(x) & known}
+    cosine = lambda a, b: sum(v * b.get(w, 0) for w, v in a.items()) / max(1e-9, np.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())))
+    count = toxicity.term_counter(telling)
+    for i in range(len(rows)):
+        every = sorted((-round(cosine(vector(words[i]), vector(words[j])), 6), j) for j in range(60))[:15]
+        _, evidence = scorer([count(texts[i])])[0]
+        assert evidence == [j for c, j in every if c < 0] or [round(cosine(vector(words[i]), vector(words[j])), 5) for j in evidence] == [round(-c, 5) for c, j in every if c < 0]
 
 
 def test_terms_found_densely_count(spark):
