@@ -1,13 +1,18 @@
 """Line dedup: sharded cuckoo filters backed by exact reference-count tables; insertions and deletions are reversible.
 
-A line's key is the line without ASCII white space at its ends, A-Z lower-cased, as a 128-bit hash. The exact table holds one
-posting for each key and document; counting postings gives each key's references and its holder, the largest doc_id. Inserting
-documents adds postings, deleting documents takes theirs out, so a deletion undoes an insertion whatever came between.
-
-Keys with `min_docs` references or more are frequent. Each shard of them has a cuckoo filter (16-bit tags, four to a bucket,
-two buckets to a key), which supports insertion and deletion as keys become frequent or cease to be. The filters screen the
-postings: what they pass is then looked up in the exact table, so a false positive drops nothing. Filters beyond
-`filter_bytes` in all are not sent to the tasks; then the exact table judges every posting.
+A line's key is the line without ASCII white space at its ends, A-Z lower-cased, as a 128-bit hash; a key belongs to one of
+the index's shards. The exact tables are the postings (one row for each key and document, a folder for each shard) and, of the
+keys with `min_docs` references or more, the counts: references and holder, the largest doc_id. Each shard's frequent keys are
+in a cuckoo filter too (16-bit tags, four to a bucket, two buckets to a key). To find what documents lose, postings meet their
+shard's filter first; what it passes is looked up in the shard's exact counts, so a false positive drops nothing. Postings are
+dealt to tasks by shard and a salt of the document, as many salts as the shard's rows ask for, so a line that a third of all
+documents share is no group of its own. This runs alike at every size; no filter is collected or broadcast.
+
+Inserting documents adds a segment to the shards of their keys, recounts these keys and puts keys that became frequent into the
+shards' filters; deleting documents takes their postings out of the shards of their keys, recounts, and takes keys that
+ceased to be frequent out of the filters. A filter that has no room left is built anew from its shard's counts. Shards without
+such a key are neither read nor written. A deletion undoes an insertion whatever came between. An index is a value: the one
+before an update stays as it was.
 
 A frequent key's lines go from all documents but its holder. Null and empty texts are one empty line, never a key. Keys
 count once for a doc_id however many rows or lines repeat them. Rows with a null doc_id hold no key and lose no line. Extra
@@ -16,22 +21,28 @@ columns stay. An empty table gives an empty result. Texts are split whole.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.base import materialize, pieces, tidy
+from tallyspark.llm.base import free, materialize, pieces, shared_dir, tidy
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Frequent keys to a shard, about.
-SHARD_KEYS = 4096
-FILTER_BYTES = 64 << 20
+#: Documents to a shard of a new index, about, and the fewest and most shards. A key's shard never changes in an index.
+SHARD_DOCS, SHARDS = 50_000, (16, 1024)
+#: Parts of a shard's documents that are dealt to tasks apart.
+PARTS = 8
+#: Postings that a task looks up at once, about.
+AT_ONCE = 1 << 19
 
 
 def key(line: bytes, min_chars: int) -> bytes | None:
@@ -110,103 +121,165 @@ def _built(hashes: np.ndarray) -> Cuckoo:
     return made
 
 
-_FILTER = "shard long, slots binary"
-
-
-def build_filters(frequent: DataFrame, shards: int) -> DataFrame:
-    """One filter for each shard of the frequent keys (h1, h2)."""
+def build_filters(frequent: DataFrame) -> DataFrame:
+    """shard and slots: one filter for each shard of the frequent keys (shard, h1)."""
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"shard": [part["shard"].iloc[0]], "slots": [_built(part["h1"].to_numpy().view(np.uint64)).slots.tobytes()]})
 
-    return frequent.select(F.pmod("h2", F.lit(shards)).alias("shard"), "h1").groupBy("shard").applyInPandas(build, _FILTER)
+    return frequent.select("shard", "h1").groupBy("shard").applyInPandas(build, "shard long, slots binary")
 
 
-def update_filters(filters: DataFrame, come: DataFrame, gone: DataFrame, shards: int) -> DataFrame:
-    """The filters after some keys (h1, h2) have become frequent and others have ceased to be."""
-    moved = come.select(F.pmod("h2", F.lit(shards)).alias("shard"), "h1", F.lit(True).alias("come")).union(gone.select(F.pmod("h2", F.lit(shards)).alias("shard"), "h1", F.lit(False).alias("come")))
+def update_filters(filters: DataFrame, keys: DataFrame) -> DataFrame:
+    """The filters after some keys have become frequent (`move` 1) and others have ceased to be (-1). `keys` (shard, h1, move)
+    also lists those that stay (0): a filter without room is built anew."""
 
     def update(old: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        held = Cuckoo(0, np.frombuffer(old["slots"].iloc[0], np.uint16)) if len(old) else None
-        new, lost = (part.loc[part["come"] == c, "h1"].to_numpy().view(np.uint64) for c in (True, False))
-        if held is None:
-            held = _built(new)
-        else:
-            held.delete(lost)
-            if not held.insert(new):
-                raise RuntimeError("a shard is full: build its filter anew from the exact table")
-        return pd.DataFrame({"shard": [(old if len(old) else part)["shard"].iloc[0]], "slots": [held.slots.tobytes()]})
+        hashes = {m: part.loc[part["move"] == m, "h1"].to_numpy(np.int64).view(np.uint64) for m in (-1, 0, 1)}
+        made = Cuckoo(0, np.frombuffer(old["slots"].iloc[0], np.uint16)) if len(old) else None
+        if made is not None:
+            made.delete(hashes[-1])
+        if made is None or not made.insert(hashes[1]):
+            made = _built(np.concatenate([hashes[0], hashes[1]]))
+        return pd.DataFrame({"shard": [(old if len(old) else part)["shard"].iloc[0]], "slots": [made.slots.tobytes()]})
 
-    return filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(update, _FILTER)
+    return filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(update, "shard long, slots binary")
 
 
-class LineIndex:
-    """The exact postings (h1, h2, doc_id) of a corpus' lines, and what follows from them."""
+@dataclass
+class Table:
+    """A table kept by shard: its columns, and the folders of each shard's segments."""
 
-    def __init__(self, postings: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filter_bytes: int = FILTER_BYTES):
-        self.postings, self.min_chars, self.min_docs, self.filter_bytes = postings, min_chars, min_docs, filter_bytes
-        self._frequent: DataFrame | None = None
+    spark: SparkSession
+    schema: T.StructType
+    folders: dict[int, tuple[str, ...]] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filter_bytes: int = FILTER_BYTES) -> LineIndex:
-        return cls(materialize(postings_of(docs, min_chars)), min_chars, min_docs, filter_bytes)
+    def write(cls, rows: DataFrame) -> Table:
+        """`rows` (with `shard`) as a new table."""
+        spark, path = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/table-{uuid.uuid4().hex}"
+        rows.write.partitionBy("shard").parquet(path)
+        schema = T.StructType([f for f in rows.schema if f.name != "shard"])
+        there = spark.read.schema(T.StructType([*schema, T.StructField("shard", T.LongType())])).parquet(path).select("shard").distinct().collect()  # the shards
+        return cls(spark, schema, {r[0]: (f"{path}/shard={r[0]}",) for r in there})
+
+    def read(self, shards: set[int] | None = None) -> DataFrame:
+        """The rows of all shards, or of some."""
+        paths = [p for s, own in self.folders.items() if shards is None or s in shards for p in own]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def replaced(self, shards: set[int], rows: DataFrame) -> Table:
+        """The table with other rows in these shards."""
+        return Table(self.spark, self.schema, {s: p for s, p in self.folders.items() if s not in shards} | Table.write(rows).folders)
+
+    def grown(self, rows: DataFrame) -> Table:
+        """The table with one more segment in the shards of `rows`."""
+        more = Table.write(rows).folders
+        return Table(self.spark, self.schema, self.folders | {s: self.folders.get(s, ()) + p for s, p in more.items()})
+
+
+@dataclass
+class LineIndex:
+    """The exact tables of a corpus' lines, their filters, and what follows from them."""
 
-    def _with(self, postings: DataFrame) -> LineIndex:
-        return LineIndex(materialize(postings), self.min_chars, self.min_docs, self.filter_bytes)
+    postings: Table  # h1, h2, doc_id
+    counts: Table  # h1, h2, refs, holder of the frequent keys
+    filters: Table  # slots
+    shards: int
+    min_chars: int = MIN_CHARS
+    min_docs: int = MIN_DOCS
+
+    @classmethod
+    def build(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None) -> LineIndex:
+        shards = shards or min(SHARDS[1], max(SHARDS[0], docs.count() // SHARD_DOCS))
+        postings = Table.write(postings_of(docs, min_chars, shards))
+        counted = _counted(postings.read()).filter(F.col("refs") >= min_docs)
+        counts = Table.write(counted.withColumn("shard", _shard(shards)))
+        filters = Table.write(build_filters(counts.read().withColumn("shard", _shard(shards))))
+        return cls(postings, counts, filters, shards, min_chars, min_docs)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index with the lines of `docs` too. A doc_id that it knows gains the lines it lacked."""
-        return self._with(self.postings.union(postings_of(docs, self.min_chars)).distinct())
-
-    def delete(self, ids: DataFrame) -> LineIndex:
-        """The index without the documents in `ids` (doc_id)."""
-        return self._with(self.postings.join(ids.select("doc_id"), "doc_id", "left_anti").select(*self.postings.columns))
+        delta = Table.write(postings_of(docs, self.min_chars, self.shards))
+        touched = set(delta.folders)
+        new = delta.read().join(self.postings.read(touched), ["h1", "h2", "doc_id"], "left_anti")
+        return self._recounted(self.postings.grown(new.withColumn("shard", _shard(self.shards))), delta)
+
+    def delete(self, docs: DataFrame) -> LineIndex:
+        """The index without the documents in `docs` (doc_id, and the text that they were inserted with). Without a column `text`
+        all shards are looked through for the doc_ids."""
+        if "text" in docs.columns:
+            delta = Table.write(postings_of(docs, self.min_chars, self.shards))
+        else:
+            lost = self.postings.read().join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+            delta = Table.write(lost.select("h1", "h2", "doc_id", _shard(self.shards).alias("shard")))
+        touched = set(delta.folders)
+        left = self.postings.read(touched).join(delta.read(), ["h1", "h2", "doc_id"], "left_anti")
+        return self._recounted(self.postings.replaced(touched, left.withColumn("shard", _shard(self.shards))), delta)
+
+    def _recounted(self, postings: Table, delta: Table) -> LineIndex:
+        """The index over changed postings: the keys of `delta` are counted again, in their shards."""
+        touched, shard = set(delta.folders), _shard(self.shards)
+        keys = delta.read().select("h1", "h2").distinct()
+        now = materialize(_counted(postings.read(touched).join(keys, ["h1", "h2"], "left_semi")).filter(F.col("refs") >= self.min_docs))
+        before = self.counts.read(touched)
+        stay = before.join(keys, ["h1", "h2"], "left_anti")
+        counts = self.counts.replaced(touched, stay.union(now).withColumn("shard", shard))
+        come = now.join(before, ["h1", "h2"], "left_anti").select(shard.alias("shard"), "h1", F.lit(1).alias("move"))
+        gone = before.join(keys, ["h1", "h2"], "left_semi").join(now, ["h1", "h2"], "left_anti").select(shard.alias("shard"), "h1", F.lit(-1).alias("move"))
+        held = before.join(counts.read(touched), ["h1", "h2"], "left_semi").select(shard.alias("shard"), "h1", F.lit(0).alias("move"))
+        filters = self.filters.replaced(touched, update_filters(self.filters_by_shard(touched), held.union(come).union(gone)))
+        return LineIndex(postings, counts, filters, self.shards, self.min_chars, self.min_docs)
 
     def frequent(self) -> DataFrame:
-        """The reference counts (h1, h2, refs, holder) of the frequent keys."""
-        if self._frequent is None:
-            counted = self.postings.groupBy("h1", "h2").agg(F.count("*").alias("refs"), F.max("doc_id").alias("holder"))
-            self._frequent = materialize(counted.filter(F.col("refs") >= self.min_docs))
-        return self._frequent
-
-    def shards(self) -> int:
-        return max(1, self.frequent().count() // SHARD_KEYS)
-
-    def screened(self) -> DataFrame:
-        """The postings that the filters pass: all of frequent keys and a few others."""
-        shards = self.shards()
-        filters = materialize(build_filters(self.frequent(), shards))
-        if (filters.agg(F.sum(F.length("slots"))).first()[0] or 0) > self.filter_bytes:
-            return self.postings
-        held = self.postings.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["slots"]) for r in filters.collect()})  # filter_bytes at most
-
-        @tidy
-        def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            made = {s: Cuckoo(0, np.frombuffer(b, np.uint16)) for s, b in held.value.items()}
-            for batch in batches:
-                h1, h2 = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-                shard, ok = h2 % shards, np.zeros(len(batch), bool)
-                order = np.argsort(shard, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                    if len(part) and (f := made.get(int(shard[part[0]]))):
-                        ok[part] = f.contains(h1[part])
-                yield batch.filter(pa.array(ok))
-
-        return self.postings.mapInArrow(screen, self.postings.schema)
+        """The exact counts (h1, h2, refs, holder) of the frequent keys."""
+        return self.counts.read()
+
+    def lost(self) -> DataFrame:
+        """doc_id, h1 and h2 of the postings whose lines go."""
+        spark, shard = self.postings.spark, _shard(self.shards)
+        rows = self.postings.read().withColumn("shard", shard)
+        salts = {r[0]: max(1, -(-r[1] // AT_ONCE)) for r in rows.groupBy("shard").count().collect()}  # one for each shard
+        parts = F.create_map(*(F.lit(x) for s in salts.items() for x in s)) if salts else F.create_map(F.lit(0), F.lit(1))
+        n = F.coalesce(F.element_at(parts, F.col("shard").cast("int")), F.lit(1))
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), n).cast("int"))
+        none = lambda c, t: F.lit(None).cast(t).alias(c)
+        exact = self.counts.read().select(shard.alias("shard"), "h1", "h2", "holder", none("slots", "binary"))
+        tags = self.filters_by_shard().select("shard", none("h1", "long"), none("h2", "long"), none("holder", self.counts.schema["holder"].dataType), "slots")
+        both = exact.union(tags).withColumn("salt", F.explode(F.sequence(F.lit(0), n.cast("int") - 1)))
+
+        def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = left.select(["doc_id", "h1", "h2"])
+            filters = [x for x in right["slots"].to_pylist() if x is not None]
+            if not filters:
+                return out.slice(0, 0)
+            h1 = out["h1"].to_numpy().view(np.uint64)
+            out = out.filter(pa.array(Cuckoo(0, np.frombuffer(filters[0], np.uint16)).contains(h1)))
+            exact = right.filter(pc.is_valid(right["h1"]))
+            at = {k: i for i, k in enumerate(zip(exact["h1"].to_pylist(), exact["h2"].to_pylist(), strict=True))}
+            found = pa.array([at.get(k) for k in zip(out["h1"].to_pylist(), out["h2"].to_pylist(), strict=True)], pa.int64())
+            gone = pc.less(out["doc_id"], exact["holder"].take(found)) if len(exact) else pa.array([False] * len(out))
+            return out.filter(pc.fill_null(gone, False))
+
+        schema = T.StructType([self.postings.schema["doc_id"], T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
+        return salted.groupBy("shard", "salt").cogroup(both.groupBy("shard", "salt")).applyInArrow(look_up, schema)
+
+    def filters_by_shard(self, shards: set[int] | None = None) -> DataFrame:
+        """shard and slots of the filters of all shards, or of some."""
+        at = F.regexp_extract(F.input_file_name(), r"shard=(\d+)", 1).cast("long")
+        return self.filters.read(shards).select(at.alias("shard"), "slots")
 
     def dropped(self) -> DataFrame:
         """doc_id and the hashes of the keys whose lines it loses."""
-        lost = self.screened().join(self.frequent(), ["h1", "h2"]).filter(F.col("doc_id") < F.col("holder"))
-        return materialize(lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("lost")))
+        return materialize(self.lost().groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("lost")))
 
     def clean(self, docs: DataFrame) -> DataFrame:
-        """`docs` without the dropped lines, with the columns `n_lines` (before) and `n_dropped`."""
-        lost = "lost"
-        while lost in docs.columns:
-            lost = f"_{lost}"
-        kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+        """`docs` without the dropped lines, with the columns `n_lines` (before) and `n_dropped`; if `docs` has columns of these
+        names, they stay, and the new ones have underscores before their names (`base.free`)."""
+        lost, counts = free("lost", docs.columns), [free(c, docs.columns) for c in ("n_lines", "n_dropped")]
+        kept = docs.columns
         # both sides are shuffled by doc_id at every size: what is lost grows with the corpus, so it is never broadcast
-        joined = docs.select(*kept).join(self.dropped().withColumnRenamed("lost", lost).hint("merge"), "doc_id", "left").select(*kept, lost)
+        joined = docs.join(self.dropped().withColumnRenamed("lost", lost).hint("merge"), "doc_id", "left").select(*kept, lost)
         at, min_chars = kept.index("text"), self.min_chars
 
         @tidy
@@ -223,16 +296,24 @@ class LineIndex:
                     lines.append(len(parts))
                     gone.append(len(parts) - len(out))
                 columns = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=[*kept, "n_lines", "n_dropped"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=[*kept, *counts])
+
+        return joined.mapInArrow(strip, T.StructType([*docs.schema, *(T.StructField(c, T.LongType()) for c in counts)]))
+
+
+def _shard(shards: int) -> Column:
+    return F.pmod("h2", F.lit(shards)).cast("long")
+
 
-        return joined.mapInArrow(strip, T.StructType([*(docs.schema[c] for c in kept), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))
+def _counted(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("h1", "h2").agg(F.count("*").alias("refs"), F.max("doc_id").alias("holder"))
 
 
 _ALL = (1 << 64) - 1
 
 
-def postings_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1, h2 and doc_id of each key of each document, once."""
+def postings_of(docs: DataFrame, min_chars: int, shards: int) -> DataFrame:
+    """h1, h2, doc_id and shard of each key of each document, once."""
 
     @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +328,9 @@ def postings_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     rows = docs.filter("doc_id is not null").select("doc_id", "text")
     found = rows.mapInArrow(scan, T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), rows.schema["doc_id"]]))
-    return found.distinct()
+    # one shuffle, by shard and a part of the documents; a task then writes few folders
+    dealt = found.withColumns({"shard": _shard(shards), "_part": F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))}).repartition("shard", "_part")
+    return dealt.dropDuplicates(["shard", "_part", "h1", "h2", "doc_id"]).drop("_part")
 
 
 def digest(cleaned: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.llm import linededup
+from tallyspark.llm.base import free
 from tallyspark.llm.linededup import Cuckoo, LineIndex
 from tests.llm.fixtures import CLASHING, awkward, docs_table, with_clashes
 
@@ -48,7 +49,9 @@ def check(spark, df, **options):
     rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
     index = LineIndex.build(df, **options)
     cleaned = index.clean(df)
-    found = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in linededup.digest(cleaned).collect()), key=str)
+    counts = [free(c, df.columns) for c in ("n_lines", "n_dropped")]
+    own = cleaned.select("doc_id", "text", *(F.col(c).alias(n) for c, n in zip(counts, ("n_lines", "n_dropped"), strict=True)))
+    found = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in linededup.digest(own).collect()), key=str)
     expected = sorted(((d, n, g, hashlib.sha256(k.encode()).hexdigest()) for d, n, g, k in brute(rows)), key=str)
     assert found == expected
     return cleaned
@@ -58,7 +61,7 @@ def test_equals_brute_force(spark, sf):
     check(spark, spark.read.parquet(f"{sf}/documents.parquet"))
     df = docs_table(spark, lined())
     check(spark, df)
-    check(spark, df, filter_bytes=0)
+    check(spark, df, shards=1)
 
 
 def test_sql_equals_brute_force(sf):
@@ -78,8 +81,7 @@ def test_sql_equals_brute_force(sf):
 def test_awkward_rows_and_clashing_columns(spark):
     df = with_clashes(docs_table(spark, [*awkward(), *lined()]))
     cleaned = check(spark, df)
-    kept = [c for c in CLASHING if c not in ("n_lines", "n_dropped")]
-    assert cleaned.filter(" or ".join(f"{c} <> 'kept'" for c in kept)).count() == 0
+    assert cleaned.filter(" or ".join(f"{c} <> 'kept'" for c in CLASHING)).count() == 0
     assert LineIndex.build(docs_table(spark, [])).clean(docs_table(spark, [])).count() == 0
 
 
@@ -88,21 +90,59 @@ def test_insertions_and_deletions_are_reversible(spark):
     half = docs_table(spark, [r for r in rows if r[0] % 2])
     rest = docs_table(spark, [r for r in rows if not r[0] % 2])
     whole = docs_table(spark, rows)
-    state = lambda i: sorted(map(tuple, i.frequent().collect()))
-    one = LineIndex.build(half)
+
+    def state(index):
+        """Postings, counts, and what the filters pass."""
+        filters = {r["shard"]: Cuckoo(0, np.frombuffer(r["slots"], np.uint16)) for r in index.filters_by_shard().collect()}
+        keys = {(r["h1"], r["h2"]) for r in index.postings.read().collect()}
+        passed = {k for k in keys if (f := filters.get(k[1] % index.shards)) and f.contains(np.array([k[0]], np.int64).view(np.uint64))[0]}
+        slots = {s: int((f.slots > 0).sum()) for s, f in filters.items() if f.slots.any()}
+        return sorted(map(tuple, index.postings.read().collect())), sorted(map(tuple, index.frequent().collect())), passed, slots
+
+    one = LineIndex.build(half, shards=8)
     both = one.insert(rest)
-    assert state(both) == state(LineIndex.build(whole))
+    assert state(both) == state(LineIndex.build(whole, shards=8))
     assert state(both.delete(rest)) == state(one)
+    assert state(both.delete(rest.select("doc_id"))) == state(one)
     assert state(both.delete(half).insert(half)) == state(both)
+    assert sorted(map(tuple, both.lost().collect())) == sorted(map(tuple, LineIndex.build(whole).lost().collect()))
 
 
-def test_filters_follow_the_table(spark):
+def test_an_update_leaves_other_shards_alone(spark):
     rows = [r for r in lined() if r[0] is not None]
-    first, whole = LineIndex.build(docs_table(spark, rows[:30])), LineIndex.build(docs_table(spark, rows))
-    a, b = first.frequent().select("h1", "h2"), whole.frequent().select("h1", "h2")
-    moved = linededup.update_filters(linededup.build_filters(a, 1), b.subtract(a), a.subtract(b), 1)
-    held = Cuckoo(0, np.frombuffer(moved.first()["slots"], np.uint16))
-    assert held.contains(np.array([r["h1"] for r in b.collect()], np.int64).view(np.uint64)).all()
+    index = LineIndex.build(docs_table(spark, rows), shards=32)
+    some = docs_table(spark, [(900 + i, "a new line that is long enough to be counted as a key") for i in range(6)])
+    read = []
+    plain = linededup.Table.read
+
+    def spied(self, shards=None):
+        read.append(shards)
+        return plain(self, shards)
+
+    linededup.Table.read = spied
+    try:
+        grown = index.insert(some)
+        shrunk = grown.delete(some)
+    finally:
+        linededup.Table.read = plain
+    (touched,) = set(grown.postings.folders) & {s for s in range(32) if grown.postings.folders.get(s) != index.postings.folders.get(s)}
+    for before, after in ((index, grown), (grown, shrunk)):
+        for name in ("postings", "counts", "filters"):
+            a, b = getattr(before, name).folders, getattr(after, name).folders
+            assert {s for s in set(a) | set(b) if a.get(s) != b.get(s)} <= {touched}
+    assert all(s is None or s <= {touched} for s in read) and sum(s is None for s in read) == 4  # the deltas themselves
+    assert grown.frequent().count() == index.frequent().count() + 1 and shrunk.frequent().count() == index.frequent().count()
+
+
+def test_a_full_filter_is_built_anew(spark):
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(-(1 << 63), 1 << 63, 400)
+    rows = lambda part, move: [(0, int(h), move) for h in part]
+    keys = lambda rows: spark.createDataFrame(rows, "shard long, h1 long, move int")
+    small = linededup.build_filters(keys(rows(hashes[:10], 0)))
+    grown = linededup.update_filters(small, keys(rows(hashes[5:10], 0) + rows(hashes[10:], 1) + rows(hashes[:5], -1)))
+    made = Cuckoo(0, np.frombuffer(grown.first()["slots"], np.uint16))
+    assert made.contains(hashes[5:].view(np.uint64)).all() and int((made.slots > 0).sum()) == 395
 
 
 def test_cuckoo_holds_what_was_inserted_and_forgets_what_was_deleted():
