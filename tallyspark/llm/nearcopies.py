@@ -11,7 +11,8 @@ so a large group of copies makes one link a text. In the second, where a shingle
 of its pairs between different components are checked; pairs inside a component need no check. So no link is lost, and none
 of a group's pairs needs to be listed.
 
-Null and empty texts are copies of each other. Rows with a null doc_id get a component like others but never name one. Extra
+Null and empty texts are copies of each other. Rows with a null doc_id get a component like others but never name one. Rows are
+told apart by doc_id and text: those that share both are one document, those that share a doc_id only are two. Extra
 columns are ignored. An empty table gives an empty result. Texts are read whole.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.base import BROADCAST_ROWS, materialize, pieces, tidy
+from tallyspark.llm.base import BROADCAST_ROWS, discard, free, materialize, pieces, tidy
 from tallyspark.llm.components import components
 from tallyspark.llm.simhash import SEED, cell, links, majority, shingles
 
@@ -39,9 +40,9 @@ SKETCH = 128
 _E = 1e-9
 
 
-def shingle_sets(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, common: np.ndarray | None = None, whole: bool = False) -> DataFrame:
+def shingle_sets(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, common: np.ndarray | None = None) -> DataFrame:
     """A row for each of `docs`: doc_id, `text_hash`, `node` (hash of the set of shingles), `fingerprint`, `n` shingles, their
-    counts by their last bits (`sketch`) and the first of them, those of `common` (sorted) last; or all, if `whole`."""
+    counts by their last bits (`sketch`, up to 127) and the first of them, those of `common` (sorted) last."""
 
     @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,16 +54,16 @@ def shingle_sets(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
                 prints.append(majority(hashes))
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
                 sizes.append(len(own))
-                sketches.append(np.bincount(own & (SKETCH - 1), minlength=SKETCH).astype(np.int32))
+                sketches.append(np.minimum(np.bincount(own & (SKETCH - 1), minlength=SKETCH), 127).astype(np.int8))
                 if common is not None and len(common) and len(own):
                     often = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
                     own = np.concatenate([own[~often], own[often]])
-                sets.append(own if whole or not len(own) else own[: len(own) - math.ceil(similarity * len(own) - _E) + 1])
-            columns = [pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int32())), pa.array(sets, pa.list_(pa.int64()))]
+                sets.append(own[: len(own) - math.ceil(similarity * len(own) - _E) + 1] if len(own) else own)
+            columns = [pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int8())), pa.array(sets, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    fields = {"node": T.LongType(), "fingerprint": T.LongType(), "n": T.IntegerType(), "sketch": T.ArrayType(T.IntegerType()), "shingles": T.ArrayType(T.LongType())}
+    fields = {"node": T.LongType(), "fingerprint": T.LongType(), "n": T.IntegerType(), "sketch": T.ArrayType(T.ByteType()), "shingles": T.ArrayType(T.LongType())}
     names = ["doc_id", "text_hash", *fields]
     return rows.mapInArrow(scan, T.StructType([rows.schema["doc_id"], rows.schema["text_hash"], *(T.StructField(k, t) for k, t in fields.items())]))
 
@@ -79,20 +80,35 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, si
     """The pairs (a, b) of nodes whose sets are similar enough.
 
     Two sets differ in at least as many shingles as their counts differ, so pairs whose counts differ too much need no
-    look at the texts; the others' shingles are made again and compared.
+    look at the texts; the others' texts are brought together, and their shingles are made again and compared.
     """
     ends = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
-    close = pairs.join(ends[0], "a").join(ends[1], "b").filter(apart * (1 + similarity) <= (1 - similarity) * (F.col("n_a") + F.col("n_b")) + _E)
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y)
+    alike = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - _E
+    close = pairs.join(ends[0], "a").join(ends[1], "b").filter(alike & (apart * (1 + similarity) <= (1 - similarity) * (F.col("n_a") + F.col("n_b")) + _E))
     close = materialize(close.select("a", "b"))
-    needed = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-    needed = materialize(nodes.join(needed, "node", "left_semi").select("text_hash").distinct())
+    needed = nodes.join(close.select(F.col("a").alias("node")).union(close.select("b")).distinct(), "node", "left_semi")
+    needed = materialize(needed.select("node", "text_hash"))
     few = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(few, "text_hash", "left_semi").groupBy("text_hash").agg(F.any_value("text").alias("text"))
-    own = materialize(shingle_sets(texts.withColumn("doc_id", F.lit(None).cast("long")), words, whole=True).select("node", "shingles"))
-    both = close.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("k"), (F.size("x") + F.size("y")).alias("n"))
-    return materialize(shared.filter(F.col("k") >= similarity * (F.col("n") - F.col("k")) - _E).select("a", "b"))
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(few, "text_hash").groupBy("node").agg(F.any_value("text").alias("text"))
+
+    @tidy
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, np.zeros(0, "<u8")  # of the smaller node: a group's pairs mostly share it
+        for batch in pieces(batches, 200):
+            ok = []
+            for a, text_a, text_b in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
+                if last != a.as_py():
+                    last, own = a.as_py(), np.unique(shingles((text_a.as_py() or "").encode(), words))
+                other = np.unique(shingles((text_b.as_py() or "").encode(), words))
+                k = len(np.intersect1d(own, other, assume_unique=True))
+                ok.append(k >= similarity * (len(own) + len(other) - k) - _E)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
+
+    both = close.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    found = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long"))
+    discard(close, needed)
+    return found
 
 
 def by_fingerprint(prints: DataFrame) -> DataFrame:
@@ -105,17 +121,21 @@ def by_fingerprint(prints: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and `component_id`: the smallest doc_id reachable over links of texts that are similar enough."""
+    """doc_id, `text_hash` and `component_id`, one row for each row of `docs`: the smallest doc_id reachable over links of texts
+    that are similar enough. `first` marks the document that stands for its component: the smallest doc_id (nulls last), then
+    the smallest text_hash."""
     sets = materialize(shingle_sets(docs, words, similarity, common_shingles(docs, words, similarity)))
     one = {c: F.min(c).alias(c) for c in ("fingerprint", "n", "text_hash")} | {"sketch": F.any_value("sketch").alias("sketch")}
-    nodes = materialize(sets.groupBy("node").agg(F.min("doc_id").alias("least"), *one.values()))
+    document = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("text_hash").alias("text"))
+    nodes = materialize(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(document).alias("chief"), *one.values()))
     rows = sets.select("node", F.explode("shingles").alias("shingle"))
     met = rows.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("last"))
     met = materialize(met.filter("first < last").select("shingle", "first"))
     shared = materialize(rows.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "shingle").distinct())
 
     stars = shared.select(F.col("node").alias("a"), F.col("first").alias("b"))
-    pairs = materialize(stars.union(by_fingerprint(nodes.select("node", "fingerprint"))).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = stars.union(by_fingerprint(nodes.select("node", "fingerprint"))).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(pairs)
     sure = verified(docs, nodes, pairs, words, similarity)
     roots = materialize(components(sure))
 
@@ -130,8 +150,30 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"))
     found = materialize(components(sure.union(verified(docs, nodes, more, words, similarity))))
 
-    rooted = materialize(nodes.select("node", "least").join(found, "node").select("node", "least", "root"))
-    ids = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    moved = rooted.join(ids, "root").select("node", "component_id")
-    of_node = materialize(nodes.join(moved, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")))
-    return sets.select("doc_id", "node").join(of_node, "node").select("doc_id", "component_id")
+    rooted = materialize(nodes.select("node", "least", "chief").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    chiefs = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("chief").alias("chief")))
+    of_node = materialize(rooted.select("node", "root").join(chiefs, "root").select("node", "component_id", "chief"))
+    discard(met, shared, pairs, sure, roots, open_, more, found, rooted, chiefs)
+    out = sets.select("doc_id", "text_hash", "node").join(of_node, "node")
+    first = F.col("chief.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("chief.text") == F.col("text_hash"))
+    return out.select("doc_id", "text_hash", "component_id", first.alias("first"))
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of `docs`, all columns, less all but one document of each component: the one that stands for it stays.
+
+    Where several rows share its doc_id and text, one of them stays, by a hash of its columns.
+    """
+    found = near_copies(docs, words, similarity).groupBy("doc_id", "text_hash").agg(F.bool_or("first").alias("first"), F.count("*").alias("rows"))
+    found = materialize(found.filter("not first or rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), F.col("first").alias("_first")))
+    of, o = free("_key", docs.columns), free("_other", docs.columns)
+    keyed = docs.withColumn(of, F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text")))
+    other = found.select(F.struct(F.col("_id").alias("id"), F.col("_text").alias("text")).alias(o), "_first")
+    if found.count() <= BROADCAST_ROWS:
+        other = F.broadcast(other)
+    told = F.col(f"{of}.id").eqNullSafe(F.col(f"{o}.id")) & (F.col(f"{of}.text") == F.col(f"{o}.text"))
+    single = keyed.join(other, told, "left_anti")
+    again = keyed.join(other.filter("_first"), told, "left_semi")
+    plain = [c for c in docs.columns if not isinstance(docs.schema[c].dataType, T.MapType)]
+    once = again.groupBy(of).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("row")).select("row.*")
+    return single.select(*docs.columns).union(once)
