@@ -6,7 +6,7 @@ Each stage takes (spark, docs, sf_dir) and works on what its predecessor wrote.
 1. language ID learns from the rows with a language and drops the documents it rejects (no letter, or no sure language);
 2. line dedup takes repeated lines out of the texts, but for their largest doc_id, and recounts n_chars where one went;
 3. near-duplicates (five-word shingles, a Jaccard similarity of 0.8 or more) keep one document of each group, the smallest
-   doc_id (rows of a null doc_id stay);
+   doc_id (a null one only if no other is in the group; rows that share a doc_id are told apart by their texts);
 4. decontamination drops the documents in which a benchmark item is found;
 5. the mix says how often each document is taken to meet its source's target.
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import decontam, language, linededup, mixing, nearcopies
-from tallyspark.llm.base import BROADCAST_ROWS, materialize, shared_dir, table
+from tallyspark.llm.base import free, shared_dir, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +30,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cleaned = linededup.LineIndex.build(docs).clean(docs)
-    chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    dropped = F.col(free("n_dropped", docs.columns)) > 0
+    chars = F.when(dropped, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return cleaned.withColumn("n_chars", chars).select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = nearcopies.near_copies(docs)
-    others = materialize(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    return docs.join(F.broadcast(others) if others.count() <= BROADCAST_ROWS else others, "doc_id", "left_anti").select(*docs.columns)
+    return nearcopies.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
