@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 from tallyspark.llm import pii
@@ -57,11 +58,56 @@ def test_expectation_maximisation_trusts_the_better_labelers():
     good, bad = "411" + "++0+0+", "411" + "---0--"
     truth = pii.reliabilities({good: 50, bad: 50, "411" + "+-0+0+": 3})
     assert truth[good] > 0.9 and truth[bad] < 0.1
-    assert pii.train({}) == {}
+    assert not pii.train([], []).any()
+
+
+def planted(seed=5):
+    """Texts with spans beyond the base patterns (text, its spans) and texts with look-alikes."""
+    rng = random.Random(seed)
+    words = lambda k: " ".join("".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randrange(3, 9))) for _ in range(k))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+
+    def iban():
+        body = "".join(rng.choice("0123456789") for _ in range(18))
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+    makers = [
+        lambda: ("secret", f'token = "{hexes(40)}"'[9:-1], 'token = "', '"'),
+        lambda: ("secret", "sk-" + hexes(32), "api key: ", ""),
+        lambda: ("iban", iban(), "IBAN ", ""),
+        lambda: ("email", f"{words(1)} (at) {words(1)} (dot) com", "mail ", ""),
+        lambda: ("name", f"Dr {rng.choice(['Anna', 'Peter', 'Maria'])}", "from ", ""),
+    ]
+    decoys = [lambda: "".join(rng.choice("0123456789") for _ in range(11)), lambda: "a" * 15 + "1", lambda: "GB00AAAA1111BBBB22", lambda: f"id{rng.randrange(10)}" * 8, lambda: words(3)]
+    rows, truth = [], {}
+    for i in range(1500):
+        before, after = words(rng.randrange(2, 20)), words(rng.randrange(2, 20))
+        if i % 2:
+            kind, span, lead, end = rng.choice(makers)()
+            text = f"{before} {lead}{span}{end} {after}"
+            truth[i] = (kind, len(before) + 1 + len(lead), len(before) + 1 + len(lead) + len(span))
+        else:
+            text = f"{before} {rng.choice(decoys)()} {after}"
+        rows.append((i, text))
+    return rows, truth
+
+
+def test_recall_of_spans_beyond_the_base_patterns(spark):
+    rows, truth = planted()
+    found = {r["doc_id"]: {(s["kind"], s["start"], s["end"]) for s in r["found"]} for r in pii.personal_data(docs_table(spark, rows)).collect()}
+    assert sum(t in found[i] for i, t in truth.items()) >= 0.9 * len(truth)
+    assert sum(bool(found[i]) for i, _ in rows if i not in truth) <= 0.1 * (len(rows) - len(truth))
+
+
+def test_the_classifier_sees_no_vote():
+    text = 'and so token = "40d78a45c418324758e099eb7cb89bc0f5fa9f62" it is'
+    start, end = text.index("40d7"), text.index('" it')
+    assert pii.features(text, 6, start, end) != pii.features(text.replace("token", "other"), 6, start, end)
+    assert pii.features(text, 6, start, end) == pii.features("x " * 50 + text, 6, start + 100, end + 100)
 
 
 def test_awkward_rows(spark):
-    rows = [*awkward(), *[(5000 + i, t) for i, t in enumerate(CASES)], (6000, "7" * 200_000), (6001, "a" * 200_000 + "@"), (6002, "+1" + "(" * 100_000)]
+    rows = [*awkward(), *[(5000 + i, t) for i, t in enumerate(CASES)], (6000, "7" * 200_000), (6001, "a" * 200_000 + "@"), (6002, "+1" + "(" * 100_000), (6003, "1 " * 500_000), (6004, "DE12" + "A1 " * 100_000), (6005, "x1" * 300_000)]
     found = pii.personal_data(with_clashes(docs_table(spark, rows)))
     assert found.count() == len(rows) and pii.digest(found).filter("doc_id = 2000 and spans = '' and n_email = 0").count() == 1
     assert pii.digest(pii.personal_data(docs_table(spark, []))).count() == 0
