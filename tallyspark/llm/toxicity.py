@@ -2,7 +2,7 @@
 
 A text's terms are its words, and those word beginnings (of 3 to 6 characters, for languages that inflect or compound) that
 the labelled rows show to tell of a label: a term's likelihood ratio must pass a Bonferroni bound over all terms seen in three
-or more independent texts (near copies, which share a MinHash value of their shingles, count once), and a term that goes with
+or more independent texts (of near copies, which share a MinHash value of their shingles, one counts), and a term that goes with
 label 1 must have it in at least half of the texts that have the term, or have it densely. A term weighs (1 + log tf) times its
 idf, with document frequencies counted over all documents; a telling term weighs `TELLING` times as much. Every term of every
 example is in the index; a text's terms that no example has are in none of its cosines and are left out of its vector.
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.base import materialize, pieces, tidy
+from tallyspark.llm.base import discard, materialize, pieces, tidy
 from tallyspark.llm.quality import labelled
 
 TRAIN_ROWS = 6000
@@ -67,34 +67,51 @@ def copies_key(words: list[str]) -> int:
     return min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0)
 
 
+def digest_of(term: str) -> int:
+    return xxhash.xxh3_64_intdigest(term.encode())
+
+
+def examples_of(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, text, y and `copies` (`copies_key`) of the rows of `docs` with a label in `known` (doc_id, y), one for each doc_id."""
+
+    @tidy
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([copies_key(words_of(t.as_py())) for t in batch.column(1)], pa.int64())], names=["doc_id", "text", "y", "copies"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    return rows.mapInArrow(scan, "doc_id long, text string, y double, copies long")
+
+
 def telling_terms(examples: DataFrame) -> list[str]:
-    """The word beginnings and words that go with a label in `examples` (text, y): by the texts that have them at all, or by
-    those that have them densely (which finds word beginnings that ordinary long texts also hold now and then)."""
+    """The words and word beginnings that go with a label in `examples`: by the texts that have them at all, or by those that
+    have them densely (which finds word beginnings that ordinary long texts also hold now and then)."""
+    own = examples.groupBy("copies", (F.col("y") >= 0.5).alias("side")).agg(F.min("doc_id").alias("doc_id"))  # one of each group of near copies
+    texts = examples.join(F.broadcast(own.select("doc_id")), "doc_id").select("text", "y")  # bounded by the examples
 
     @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, kinds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for batch in batches:
-            terms, dense, copies = [], [], []
-            for text in batch.column(0):
+            for text, y in zip(batch.column(0), batch.column(1), strict=True):
                 words = words_of(text.as_py())
                 found: Counter[str] = Counter()
                 for w, n in Counter(words).items():
                     for t in terms_of(w):
                         found[t] += n
-                least = DENSE * len(words)
-                terms.append([*found, ""])  # the empty term stands for the text itself
-                dense.append([*(n >= least for n in found.values()), True])
-                copies.append(copies_key(words))
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.string())), pa.array(dense, pa.list_(pa.bool_())), pa.array(copies, pa.int64()), batch.column(1)], names=["terms", "dense", "copies", "y"])
-
-    rows = examples.select("text", "y").mapInArrow(scan, "terms array<string>, dense array<boolean>, copies long, y double")
-    each = rows.select(F.explode(F.arrays_zip("terms", "dense")).alias("t"), "copies", (F.col("y") >= 0.5).alias("y"))
-    each = each.groupBy(F.col("t.terms").alias("term"), "copies", "y").agg(F.max("t.dense").alias("dense"))
-    counted = each.groupBy("term").agg(*(F.count_if(c).cast("double").alias(n) for n, c in (("a", F.col("y")), ("b", ~F.col("y")), ("c", F.col("y") & F.col("dense")), ("d", ~F.col("y") & F.col("dense")))))
-    total = counted.filter("term = ''").first()
-    if total is None or not total["a"] or not total["b"]:
+                # 0 to 3: label 0 or 1, and whether the text has the term densely
+                hashes.append(np.fromiter(map(digest_of, found), np.uint64, len(found)))
+                kinds.append(2 * int(y.as_py() >= 0.5) + (np.fromiter(found.values(), np.int64, len(found)) >= DENSE * len(words)))
+        term, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        kind = np.concatenate(kinds)
+        counts = [np.bincount(at[kind == k], minlength=len(term)) for k in range(4)]
+        yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), *(pa.array(c.astype(np.int32)) for c in (counts[2] + counts[3], counts[0] + counts[1], counts[3], counts[1]))], names=["term", *"abcd"])
+
+    counted = texts.mapInArrow(scan, "term long, a int, b int, c int, d int").groupBy("term").agg(*(F.sum(x).cast("double").alias(x) for x in "abcd"))
+    sides = own.agg(F.count_if("side"), F.count_if(~F.col("side"))).first()
+    na, nb = float(sides[0] or 0), float(sides[1] or 0)
+    if not na or not nb:
         return []
-    na, nb = total["a"], total["b"]
     part = lambda k, n, p: k * F.log(F.greatest(p, F.lit(1e-300))) + (n - k) * F.log(F.greatest(1 - p, F.lit(1e-300)))
 
     def ratio(a: Column, b: Column) -> Column:
@@ -104,15 +121,25 @@ def telling_terms(examples: DataFrame) -> list[str]:
 
     a, b, c, d = (F.col(x) for x in "abcd")
     either = F.greatest(F.when((a >= b) | (a / na < b / nb), ratio(a, b)), F.when(c >= d, ratio(c, d)))
-    judged = materialize(counted.filter("a + b >= 3 and term <> ''").select("term", either.alias("ratio")))
+    judged = materialize(counted.filter("a + b >= 3").select("term", either.alias("ratio")))
     bound = 2 * math.log(max(1, 2 * judged.count()) / 0.05)  # two tests a term
-    return sorted(r["term"] for r in judged.filter(F.col("ratio") >= bound).select("term").collect())  # bounded by the examples
+    told = {r["term"] & _ALL for r in judged.filter(F.col("ratio") >= bound).select("term").collect()}  # bounded by the examples
+
+    @tidy
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = {t for batch in batches for text in batch.column(0) for w in set(words_of(text.as_py())) for t in terms_of(w) if digest_of(t) in told}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["term"])
+
+    discard(judged)
+    return sorted(r[0] for r in texts.select("text").mapInArrow(spell, "term string").distinct().collect()) if told else []
+
+
+_ALL = (1 << 64) - 1
 
 
 def term_counter(telling: list[str]) -> Callable[[str | None], tuple[np.ndarray, np.ndarray]]:
     """A function that gives a text's terms, as 64-bit hashes, and their counts."""
     known, firsts = frozenset(telling), frozenset(t[: BEGINNINGS[0]] for t in telling if t.endswith("*"))
-    digest = xxhash.xxh3_64_intdigest
 
     def count(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         found = Counter(words_of(text))
@@ -123,7 +150,7 @@ def term_counter(telling: list[str]) -> Callable[[str | None], tuple[np.ndarray,
                     if t in known:
                         begun[t] += n
         found.update(begun)
-        return np.array([digest(t.encode()) for t in found], np.uint64), np.array(list(found.values()), np.int64)
+        return np.fromiter(map(digest_of, found), np.uint64, len(found)), np.fromiter(found.values(), np.int32, len(found))
 
     return count
 
@@ -138,8 +165,8 @@ def example_terms(examples: DataFrame, telling: list[str]) -> list[tuple[int, fl
             cells = [tuple(a.tobytes() for a in count(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([c[i] for c in cells], pa.binary()) for i in (0, 1))], names=["doc_id", "y", "terms", "counts"])
 
-    rows = examples.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y").mapInArrow(scan, "doc_id long, y double, terms binary, counts binary").collect()
-    return sorted(((r["doc_id"], r["y"], np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in rows), key=lambda r: r[0])
+    rows = examples.select("doc_id", "text", "y").mapInArrow(scan, "doc_id long, y double, terms binary, counts binary").collect()
+    return sorted(((r["doc_id"], r["y"], np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], np.int32)) for r in rows), key=lambda r: r[0])
 
 
 def placed(terms: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -320,13 +347,14 @@ def fit(rows: list[tuple[int, float, np.ndarray, np.ndarray]], vocabulary: np.nd
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int = TRAIN_ROWS) -> tuple[Scorer, list[str]]:
     """A scorer and the telling terms, from the labelled rows of `docs` and the document frequencies of all."""
     known = materialize(labelled(labels, "toxic", usable, train_rows))
-    examples = materialize(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")))
+    examples = materialize(examples_of(docs, known))
     telling = telling_terms(examples)
     rows = example_terms(examples, telling)
+    discard(known, examples)
     vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(r[2] for r in rows)]))
     df, n = document_frequencies(docs, vocabulary, telling)
     told = np.zeros(len(vocabulary), bool)
-    at, there = placed(np.array([xxhash.xxh3_64_intdigest(t.encode()) for t in telling], np.uint64), vocabulary)
+    at, there = placed(np.array([digest_of(t) for t in telling], np.uint64), vocabulary)
     told[at[there]] = True
     idf = (np.log((n + 1) / (df + 1)) + 1) * np.where(told, TELLING, 1.0)
     return fit(rows, vocabulary, idf, told), telling
