@@ -8,8 +8,12 @@ expected by chance, as a share of the most possible, weighted by bits over the d
 
 A text shorter than a window has one feature, all of it. Null and empty texts have none and an empty digest: alike to one
 another (1), to nothing else (0). Equal texts have equal fingerprints. In `ring` documents follow one another by descending
-doc_id, equal ids by text, and the first follows the last; a null doc_id stands alone, the empty text follows it. Repeated rows
+doc_id, equal ids by a hash of the text and by text, and the first follows the last; a null doc_id stands alone, the empty text follows it. Repeated rows
 repeat, extra columns are ignored, an empty table gives an empty result. Texts are read whole, long ones in segments.
+
+The ring is cut into buckets by ranges of doc_id, as many as the bytes of the texts ask for. Rows of one doc_id follow one another
+by a hash of their text, so a doc_id of very many rows is cut into buckets by that hash. Of very many rows that are alike in both
+one is in the ring; the others follow one another and are dealt to tasks apart, as are rows of a null doc_id.
 """
 
 from __future__ import annotations
@@ -24,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.base import PASS_BYTES, passes, tidy, utf8
+from tallyspark.llm.base import PASS_BYTES, held, materialize, passes, tidy, utf8
 
 WINDOW, RUN, POINTS = 64, 64, 16
 FEATURES, BITS = 160, 2048
+#: Bytes of text to a task of the ring, about, and buckets to a task; rows of a doc_id beyond which they are cut further.
+TASK_BYTES, BUCKETS, HOT_ROWS = 64 << 20, 2, 2000
 LEVELS, LOW = 1001, 334  # entropies of 0 to 6 bits; below 2 bits is little
 
 _SCALE = 1 << 16
@@ -176,29 +182,30 @@ def written(filters: np.ndarray) -> str:
     return f"{len(filters)}:{filters.tobytes().hex()}"
 
 
-def entropy_ranks(docs: DataFrame) -> np.ndarray:
-    """Ranks of the entropy levels by their number of windows in all of `docs`."""
+def entropy_ranks(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Ranks of the entropy levels by their number of windows in all of `docs`, and the bytes of all texts."""
 
     @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(LEVELS, np.int64)
+        total = np.zeros(LEVELS + 1, np.int64)  # the last one counts bytes
         for batch in batches:
             data, offsets = utf8(batch.column(0))
+            total[LEVELS] += offsets[-1] - offsets[0]
             raw = data.tobytes() if len(offsets) < 2 else data[offsets[0] : offsets[-1]].tobytes()
             at = (offsets - offsets[0]).tolist()
             for a, b in passes(offsets):
-                total += histogram([raw[at[i] : at[i + 1]] for i in range(a, b)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS)), pa.array(total)], names=["level", "n"])
+                total[:LEVELS] += histogram([raw[at[i] : at[i + 1]] for i in range(a, b)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS + 1)), pa.array(total)], names=["level", "n"])
 
-    total = np.zeros(LEVELS, np.int64)
+    total = np.zeros(LEVELS + 1, np.int64)
     for r in docs.select("text").mapInArrow(scan, "level long, n long").groupBy("level").agg(F.sum("n")).collect():
         total[r[0]] = r[1]
-    return ranks(total)
+    return ranks(total[:LEVELS]), int(total[LEVELS])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and its `fingerprint`, one row for each row of `docs`."""
-    held = docs.sparkSession.sparkContext.broadcast(entropy_ranks(docs))
+    known = docs.sparkSession.sparkContext.broadcast(entropy_ranks(docs)[0])
 
     @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +214,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
             out = []
             for a, b in passes(offsets):
-                filters, chain = digests(texts[a:b], held.value)
+                filters, chain = digests(texts[a:b], known.value)
                 out += [written(filters[chain[i] : chain[i + 1]]) for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "fingerprint"])
 
@@ -215,29 +222,54 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(scan, T.StructType([rows.schema["doc_id"], T.StructField("fingerprint", T.StringType())]))
 
 
-def ring(docs: DataFrame, tasks: int) -> DataFrame:
-    """bucket, extra, doc_id, text, sorted within partitions: each bucket holds a range of doc_id, descending, and then,
-    marked `extra`, the rows that follow its last one.
+def ring(docs: DataFrame, tasks: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """bucket, extra, doc_id, text, next, sorted within partitions: each bucket holds a stretch of the ring and then, marked
+    `extra`, the rows that follow its last one. Rows with a `next` (a text) stand outside the ring.
 
     The bounds are quantiles of doc_id, a few for each task. The first rows of a bucket are copied to the bucket before it.
     """
-    rows = docs.select("doc_id", "text")
-    cuts = sorted(set(rows.approxQuantile("doc_id", [i / (4 * tasks) for i in range(1, 4 * tasks)], 1 / (16 * tasks))))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    known, buckets = rows.filter("doc_id is not null"), BUCKETS * tasks
+    # doc_ids of very many rows, and among them rows that are alike
+    counts = held(known.groupBy("doc_id", "hash").agg(F.count("*").alias("rows")))
+    crowds = counts.groupBy("doc_id").agg(F.sum("rows").alias("all")).filter(F.col("all") > hot_rows).collect()  # at most one for each hot_rows rows
+    alike = counts.filter(F.col("rows") > hot_rows)
+    cuts = set(known.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets)))
+    cuts |= {c for r in crowds for c in (float(r["doc_id"]), float(np.nextafter(float(r["doc_id"]), np.inf)))}
+    none = F.lit(None).cast("string").alias("next")
+    alone = [rows.filter("doc_id is null").select("doc_id", "text", F.lit("").alias("next"))]
+    if crowds:
+        copied = F.broadcast(alike.withColumnRenamed("hash", "_hash").withColumnRenamed("doc_id", "_id"))
+        same = (F.col("doc_id") == F.col("_id")) & (F.col("hash") == F.col("_hash"))
+        first = materialize(known.join(copied, same).groupBy("doc_id", "hash", "rows").agg(F.any_value("text").alias("text")))
+        alone.append(first.select("doc_id", "text", F.explode(F.sequence(F.lit(2).cast("long"), "rows")).alias("_i")).select("doc_id", "text", F.col("text").alias("next")))
+        known = known.join(copied, same, "left_anti").union(first.select("doc_id", "text", "hash"))
     if cuts:
-        split = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_at", outputCol="_bucket", handleInvalid="keep")
-        rows = split.transform(rows.withColumn("_at", F.col("doc_id").cast("double"))).select(F.col("_bucket").cast("long").alias("bucket"), "doc_id", "text")
+        split = Bucketizer(splits=[-float("inf"), *sorted(cuts), float("inf")], inputCol="_at", outputCol="_bucket", handleInvalid="keep")
+        known = split.transform(known.withColumn("_at", F.col("doc_id").cast("double"))).select(F.col("_bucket").cast("long").alias("bucket"), "doc_id", "text", "hash")
     else:
-        rows = rows.select(F.lit(0).cast("long").alias("bucket"), "doc_id", "text")
-    heads = sorted((r[0], r[1]) for r in rows.filter("doc_id is not null").groupBy("bucket").agg(F.max("doc_id")).collect())  # one for each bucket
-    follows = [(heads[i][1], heads[(i + 1) % len(heads)][0]) for i in range(len(heads))]
-    heads_df = docs.sparkSession.createDataFrame(follows, "head long, before long")
-    rows = rows.join(F.broadcast(heads_df), F.col("doc_id") == F.col("head"), "left")
-    own, copy = F.struct("bucket", F.lit(False).alias("extra")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("extra"))
-    places = F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copy)))
-    # rows with a null doc_id stand alone and are dealt out by their text
-    alone = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(4 * tasks))).otherwise(F.col("place.bucket"))
-    placed = rows.select(places.alias("place"), "doc_id", "text").select(alone.alias("bucket"), F.col("place.extra").alias("extra"), "doc_id", "text")
-    return placed.repartition(tasks, "bucket").sortWithinPartitions("bucket", "extra", F.desc("doc_id"), "text")
+        known = known.select(F.lit(0).cast("long").alias("bucket"), "doc_id", "text", "hash")
+    # a crowded doc_id has a bucket of its own, in parts by the hash
+    parts = {float(r["doc_id"]): -(-r["all"] // hot_rows) for r in crowds}
+    n = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in parts.items() for x in p)), F.col("doc_id").cast("double")), F.lit(1)) if parts else F.lit(1)
+    known = known.withColumn("part", F.floor((F.shiftrightunsigned("hash", 32) + F.lit(1 << 31).cast("long")) % F.lit(1 << 32).cast("long") * n / F.lit(1 << 32).cast("long")).cast("long"))
+    # the first row of each bucket: the largest doc_id, of it the smallest hash (by its complement)
+    firsts = known.groupBy("bucket", "part").agg(F.max(F.struct("doc_id", F.bitwise_not("hash").alias("flipped"))).alias("first")).collect()  # one for each bucket
+    order = sorted((-r["bucket"], r["part"], r["first"]["doc_id"], ~r["first"]["flipped"]) for r in firsts)
+    follows = [(order[(i + 1) % len(order)][2], order[(i + 1) % len(order)][3], i) for i in range(len(order))]
+    places = [(-b, part, i) for i, (b, part, *_) in enumerate(order)]
+    spark = docs.sparkSession
+    known = known.join(F.broadcast(spark.createDataFrame(places, "bucket long, part long, place long")), ["bucket", "part"])
+    heads = spark.createDataFrame(follows, "_id long, _hash long, before long")
+    known = known.join(F.broadcast(heads), (F.col("doc_id") == F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
+    own, copy = F.struct("place", F.lit(False).alias("extra")), F.struct(F.col("before").alias("place"), F.lit(True).alias("extra"))
+    spots = F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copy)))
+    placed = known.select(spots.alias("spot"), "doc_id", "text", "hash").select(F.col("spot.place").alias("bucket"), F.col("spot.extra").alias("extra"), "doc_id", "text", "hash", none)
+    for part in alone:  # whatever task they go to
+        at = F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).cast("long")
+        placed = placed.union(part.select(at.alias("bucket"), F.lit(False).alias("extra"), "doc_id", "text", F.lit(0).cast("long").alias("hash"), "next"))
+    sorted_ = placed.repartition(tasks, "bucket").sortWithinPartitions("bucket", F.col("next").isNull(), "extra", F.desc("doc_id"), "hash", "text")
+    return sorted_.select("bucket", "extra", "doc_id", "text", "next")
 
 
 _OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -249,8 +281,9 @@ def edit_study(docs: DataFrame) -> DataFrame:
     The edited text has its last third (rounded down) of code points replaced by the first as many of the next document's.
     """
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(entropy_ranks(docs))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rank, size = entropy_ranks(docs)
+    known = spark.sparkContext.broadcast(rank)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
     def study(rows: list[tuple[int | None, str, str]], kind: pa.DataType) -> pa.RecordBatch:
         """Rows of (doc_id, text, next text)."""
@@ -267,7 +300,7 @@ def edit_study(docs: DataFrame) -> DataFrame:
             else:
                 following.append(2 * len(rows) + len(others))
                 others.append(f.encode())
-        filters, chain = digests([*texts, *edited, *others], held.value)
+        filters, chain = digests([*texts, *edited, *others], known.value)
         own = np.arange(len(rows))
         fp = [written(filters[chain[i] : chain[i + 1]]) for i in range(2 * len(rows))]
         near_edited, near_next = likeness(filters, chain, own, own + len(rows)), likeness(filters, chain, own, np.array(following, np.int64))
@@ -281,10 +314,10 @@ def edit_study(docs: DataFrame) -> DataFrame:
         last, ready, size, kind = None, [], 0, None
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            for bucket, extra, doc_id, text in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for bucket, extra, doc_id, text, after in zip(*(batch.column(i) for i in range(5)), strict=True):
                 bucket, extra, doc_id, text = bucket.as_py(), extra.as_py(), doc_id.as_py(), text.as_py() or ""
-                if doc_id is None:
-                    ready.append((None, text, ""))
+                if after.is_valid or doc_id is None:  # outside the ring
+                    ready.append((doc_id, text, after.as_py() or ""))
                     size += len(text)
                 else:
                     if last is not None:  # (bucket, doc_id, text) of the row that waits for its next one

@@ -57,7 +57,7 @@ def test_edit_study_follows_the_ring(spark):
     df = with_clashes(docs_table(spark, rows))
     found = digests.edit_study(df).collect()
     assert len(found) == len(rows)
-    ring = sorted(((i, t or "") for i, t, *_ in rows if i is not None), key=lambda r: -r[0])
+    ring = sorted(((i, t or "") for i, t, *_ in rows if i is not None), key=lambda r: -r[0])  # ids are unique here
     expected = {}
     for k, (i, t) in enumerate(ring):
         cut = len(t) // 3
@@ -76,6 +76,29 @@ def test_edit_study_follows_the_ring(spark):
     assert all(sole[r["doc_id"]] == r["fingerprint"] for r in found if r["doc_id"] is not None)
 
 
+@pytest.mark.parametrize("hot_rows", [5, 1000])
+def test_crowded_ids_and_copies(spark, hot_rows):
+    """Rows of one id follow one another by hash; each row is followed by the next one of the ring, copies by themselves."""
+    rows = [(i, f"text of {i}", "en") for i in range(8)] + [(3, f"other {i}") for i in range(40)] + [(3, "alike")] * 30 + [(6, "alike")] * 9 + [(None, "n")] * 20
+    df = docs_table(spark, rows)
+    parts = digests.ring(df, 3, hot_rows).rdd.glom().collect()
+    got = []
+    for part in parts:
+        last = None
+        for r in part:
+            if r["next"] is not None:
+                got.append((r["doc_id"], r["text"], r["next"]))
+                continue
+            if last is not None:
+                got.append((last["doc_id"], last["text"], r["text"]))
+            last = None if r["extra"] else r
+        assert last is None
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    ring = sorted(((i, t) for i, t, *_ in rows if i is not None), key=lambda r: (-r[0], hashes[r[1]]))
+    expected = [(i, t, ring[(k + 1) % len(ring)][1]) for k, (i, t) in enumerate(ring)] + [(None, "n", "")] * 20
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
 def test_one_document_follows_itself(spark):
     text = "alpha beta gamma delta " * 20
     r = digests.edit_study(docs_table(spark, [(7, text)])).first()
