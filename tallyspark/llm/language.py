@@ -6,7 +6,8 @@ training the two linear maps are one table of logits for each bucket, so scoring
 A temperature fitted on a part of the training rows calibrates the probabilities; a text is rejected if it has no letter or
 its calibrated probability stays below `reject_below`.
 
-Training takes at most about `train_rows` labelled rows, chosen by a hash of doc_id. Null or letterless texts are `und` with
+Training takes at most about `train_rows` labelled rows, chosen by a hash of doc_id; an id with several rows trains with its
+smallest text. Null or letterless texts are `und` with
 score 0. Without any labelled row all texts are. Rows with a null language or doc_id train nothing. Repeated rows repeat,
 extra columns are kept only by `keep_known`, an empty table gives an empty result.
 """
@@ -120,6 +121,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 8, rate: f
 def train(docs: DataFrame, usable: Column, train_rows: int = TRAIN_ROWS) -> Model:
     """A model of the rows where `usable` holds and lang isn't null."""
     rows = bounded_sample(docs.filter(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang"), "doc_id", train_rows)
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("row")).select("doc_id", "row.text", "row.lang")  # one for each id
 
     @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ its context vector is the sum of the index vectors of the words up to two places
 mean of its words' index vectors beside the mean of their unit context vectors. The network learns from at most about
 `train_rows` labelled documents, and a temperature fitted on a fifth of them calibrates its probabilities.
 
-Null and empty texts are the zero vector and get the network's score for it. Several labels of a doc_id are averaged; null
+An id with several rows trains with its smallest vector. Null and empty texts are the zero vector and get the network's score for it. Several labels of a doc_id are averaged; null
 labels and labels of other values are ignored; without any label every score is 0.5. A null doc_id is scored but trains
 nothing. Repeated rows repeat, extra columns are ignored, an empty table gives an empty result.
 """
@@ -134,8 +134,8 @@ def quality(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int
     """doc_id and score of every row of `docs`, learnt from `labels` (doc_id, quality) where `usable` holds."""
     vectors = materialize(document_vectors(docs, context_vectors(docs)))
     known = labelled(labels, "quality", usable, train_rows)
-    rows = vectors.join(F.broadcast(known), "doc_id").select("doc_id", "vector", "y").collect()  # bounded by train_rows
-    rows = sorted((r for r in rows), key=lambda r: (r["doc_id"], bytes(r["vector"])))
+    examples = vectors.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("vector").alias("vector"), F.first("y").alias("y"))
+    rows = sorted(examples.collect(), key=lambda r: r["doc_id"])  # one for each id, bounded by train_rows
     network = Network(np.array([np.frombuffer(r["vector"], np.float32) for r in rows], float), np.array([r["y"] for r in rows])) if rows else None
 
     @tidy
