@@ -6,10 +6,15 @@ enough share one of the first n - ceil(similarity * n) + 1 of either (prefix fil
 with shingles that are common in a sample of the texts last, so that a common passage makes no candidates unless it is most
 of a text. Every candidate is checked by the exact overlap of the two sets; hashes of 64 bits stand for shingles and sets.
 
-Texts of equal sets are one node. In a first round each text is checked against the smallest node of every shingle it shares,
-so a large group of copies makes one link a text. In the second, where a shingle's texts still lie in several components, all
-of its pairs between different components are checked; pairs inside a component need no check. So no link is lost, and none
-of a group's pairs needs to be listed.
+Where a shared shingle stands says more: it can be the first one that two sets share only if what follows it in both is enough
+(positional filter), so a passage that comes late in two sets brings them together only if they are that alike.
+
+Texts of equal sets are one node. In a first round each text is checked against the center of every shingle it shares: the node
+that has the shingle earliest, which in a group of near copies is the one with the least of its own. So a large group makes
+few candidates a text, and whatever is near enough to the group's core is in one component then. In the second, where a
+shingle's texts still lie in several components, texts that no size in the shingle's group could be near enough to are left
+aside, and the pairs of the rest between different components that pass the filter are checked; pairs inside a component
+need no check. So no link is lost, and none of a group's pairs needs to be listed.
 
 Null and empty texts are copies of each other. Rows with a null doc_id get a component like others but never name one. Rows are
 told apart by doc_id and text: those that share both are one document, those that share a doc_id only are two. Extra
@@ -24,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,31 +134,46 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     document = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("text_hash").alias("text"))
     nodes = materialize(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(document).alias("chief"), *one.values()))
     rows = sets.select("node", F.explode("shingles").alias("shingle"))
-    met = rows.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-    met = materialize(met.filter("first < last").select("shingle", "first"))
-    shared = materialize(rows.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "shingle").distinct())
-
-    stars = shared.select(F.col("node").alias("a"), F.col("first").alias("b"))
+    met = rows.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    met = materialize(met.filter("lo < hi").select("shingle"))
+    places = sets.select("node", "n", F.posexplode("shingles").alias("i", "shingle"))
+    shared = materialize(places.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "shingle").distinct())
+
+    def fits(n: str, i: str, m: str, j: str) -> Column:
+        """Whether a shingle can be the first that sets of n and m share, at their places i and j (from 0)."""
+        n, i, m, j = (F.col(x) for x in (n, i, m, j))
+        alike = F.least(n, m) >= similarity * F.greatest(n, m) - _E
+        return alike & (F.least(n - i, m - j) >= similarity / (1 + similarity) * (n + m) - _E)
+
+    centers = shared.groupBy("shingle").agg(F.min(F.struct("i", "node", "n")).alias("c")).select("shingle", F.col("c.i").alias("j"), F.col("c.node").alias("b"), F.col("c.n").alias("m"))
+    stars = shared.join(centers, "shingle").filter(fits("n", "i", "m", "j")).select(F.col("node").alias("a"), "b")
     pairs = stars.union(by_fingerprint(nodes.select("node", "fingerprint"))).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs)
     sure = verified(docs, nodes, pairs, words, similarity)
     roots = materialize(components(sure))
 
-    placed = shared.select("shingle", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = shared.groupBy("shingle").agg(F.min("n").alias("least"))
+    # a text stays if the smallest size that it could go with, in this group, leaves enough behind the shingle
+    smallest = F.greatest(F.col("least"), similarity * F.col("n") - _E)
+    placed = placed.join(least, "shingle").filter(F.col("n") - F.col("i") >= similarity / (1 + similarity) * (F.col("n") + smallest) - _E)
+    placed = materialize(placed.select("shingle", "node", "n", "i", "root"))
     each = placed.groupBy("shingle", "root").agg(F.count("*").alias("k"))
     split = each.groupBy("shingle").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.count("*").alias("roots")).filter("roots >= 2")
     open_ = materialize(placed.join(split.select("shingle", "largest"), "shingle"))
-    others = open_.filter("root <> largest").select("shingle", F.col("node").alias("a"), F.col("root").alias("a_root"))
+    others = open_.filter("root <> largest").select("shingle", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("m"), F.col("i").alias("j"))
     # two texts outside the largest component meet twice: the smaller node is the first then
-    met_again = others.join(open_, "shingle").filter((F.col("a_root") != F.col("root")) & ((F.col("root") == F.col("largest")) | (F.col("a") < F.col("node"))))
+    apart = (F.col("a_root") != F.col("root")) & ((F.col("root") == F.col("largest")) | (F.col("a") < F.col("node")))
+    met_again = others.join(open_, "shingle").filter(apart & fits("n", "i", "m", "j"))
     more = met_again.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"))
+    discard(met, shared, placed, open_)
     found = materialize(components(sure.union(verified(docs, nodes, more, words, similarity))))
 
     rooted = materialize(nodes.select("node", "least", "chief").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
     chiefs = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("chief").alias("chief")))
     of_node = materialize(rooted.select("node", "root").join(chiefs, "root").select("node", "component_id", "chief"))
-    discard(met, shared, pairs, sure, roots, open_, more, found, rooted, chiefs)
+    discard(pairs, sure, roots, more, found, rooted, chiefs)
     out = sets.select("doc_id", "text_hash", "node").join(of_node, "node")
     first = F.col("chief.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("chief.text") == F.col("text_hash"))
     return out.select("doc_id", "text_hash", "component_id", first.alias("first"))
