@@ -63,4 +63,16 @@ def test_awkward_and_empty_tables(spark, tmp_path):
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{d}/benchmark.parquet")
     assert cp.run(spark, f"{tmp_path}/b").count() == 0
     found = cp.run(spark, f"{tmp_path}/a")
-    assert found.filter("doc_id is null").count() == 2 and found.filter("doc_id = 1000").count() == 1 and found.filter("doc_id = 1001").count() == 0
+    assert found.filter("doc_id is null").count() == 1 and found.filter("doc_id = 1000").count() == 1 and found.filter("doc_id = 1001").count() == 0
+
+
+def test_rows_are_told_apart_by_id_and_text(spark, tmp_path):
+    rng = random.Random(3)
+    a, b, c, d = (" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(40)) for _ in range(4))
+    rows = [(7, a), (8, a), (3, b), (7, b), (None, c), (None, c), (9, d), (9, d), (10, a + " more")]
+    docs = docs_table(spark, rows).withColumns({x: F.lit("kept") for x in ("n_lines", "n_dropped", "_key", "component_id")})
+    one = cp.keep_one_of_near_copies(spark, docs, str(tmp_path))
+    assert sorted(((r["doc_id"], r["text"]) for r in one.collect()), key=str) == sorted([(7, a), (3, b), (None, c), (9, d)], key=str)
+    lines = cp.drop_repeated_lines(spark, docs, str(tmp_path))
+    for out in (one, lines):
+        assert out.columns == docs.columns and out.filter("n_lines <> 'kept' or n_dropped <> 'kept' or _key <> 'kept' or component_id <> 'kept'").count() == 0
