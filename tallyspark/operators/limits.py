@@ -341,7 +341,9 @@ def own_readings(readings: DataFrame, past: DataFrame) -> DataFrame:
     """
     spans = past.select(*KEYS, "start", "end", "reset_low", "reset_high")
     named = readings.filter("resets_at is not null").select(*KEYS, "ts", "percent", "resets_at")
-    held = named.join(spans.filter("reset_low is not null"), KEYS).filter((F.col("resets_at") >= F.col("reset_low")) & (F.col("resets_at") <= F.col("reset_high")))
+    by_reset = spans.filter("reset_low is not null").select(*KEYS, F.col("reset_low").alias("start"), F.col("reset_high").alias("end"), F.struct("start", "end").alias("_span"))
+    held = within(named, "resets_at", by_reset, KEYS, (F.col("resets_at") >= F.col("start")) & (F.col("resets_at") <= F.col("end")), HOUR)
+    held = held.withColumns({"start": F.col("_span.start"), "end": F.col("_span.end")})
     held = held.withColumn("ts", F.least(F.greatest(F.col("ts"), shifted("start", 1.0)), F.col("end")))
     plain = within(readings.filter("resets_at is null").select(*KEYS, "ts", "percent"), "ts", spans, KEYS, (F.col("ts") > F.col("start")) & (F.col("ts") <= F.col("end")), HOUR)
     cols = [*KEYS, "start", "end", "ts", "percent"]
@@ -351,7 +353,8 @@ def own_readings(readings: DataFrame, past: DataFrame) -> DataFrame:
 def open_readings(readings: DataFrame, current: DataFrame) -> DataFrame:
     """The readings of the open windows: all but those that reported a reset at or before the start and ten minutes, which are
     the window before's."""
-    rows = readings.join(F.broadcast(current.select(*KEYS, F.col("start").alias("_s"))), KEYS)
+    begun = current.select(*KEYS, F.col("start").alias("_s"))
+    rows = readings.join(small(begun, begun.count()), KEYS)
     return rows.filter(F.col("resets_at").isNull() | (F.col("resets_at") > shifted("_s", RESET_DRIFT_S))).select(*readings.columns)
 
 
@@ -407,7 +410,7 @@ def stretches(windows: DataFrame, turns: DataFrame, events: DataFrame, parts: Da
     inside = within(
         mine.select("service", "chat_id", "ts", "seq", "agent_id", "cost_nd", "tokens", "_cold", "_rebuild"), "ts", spans, ["service"],
         (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")), HOUR,
-    )
+    ).persist()
     first = inside.groupBy(*keys).agg(F.min("ts").alias("_first"), F.min("end").alias("_end"))
     cold = inside.filter("_cold").select(*keys, F.col("ts").alias("at"), F.lit("cold").alias("opening"))
     compact = events.filter("kind = 'compaction'").select("chat_id", "at").join(first, "chat_id").filter((F.col("at") > F.col("_first")) & (F.col("at") < F.col("_end")))
@@ -441,16 +444,15 @@ def stretches(windows: DataFrame, turns: DataFrame, events: DataFrame, parts: Da
     points = got.groupBy(*keys, "stretch").agg(F.sum(share).alias("points"))
 
     # the first prompt after the chat's previous main turn (of the whole log), up to the stretch's last turn
-    mains = mine.filter("agent_id is null").select("service", "chat_id", F.col("ts").alias("_t"))
-    prior = out.select(*keys, "stretch", "_main").join(mains, ["service", "chat_id"]).filter("_t < _main").groupBy(*keys, "stretch").agg(F.max("_t").alias("_prior"))
+    moments = mine.groupBy("service", "chat_id", "ts").agg(F.bool_or(F.col("agent_id").isNull()).alias("_has_main"))
+    moments = running(moments, ["service", "chat_id"], ["ts"], cell("ts", DAY), before={"_prior": F.when(F.col("_has_main"), F.col("ts"))})
+    out = out.join(moments.select("service", "chat_id", F.col("ts").alias("_main"), "_prior"), ["service", "chat_id", "_main"], "left")
     typed = events.filter("kind = 'prompt'").select("chat_id", F.col("at").alias("_at"), F.col("text").alias("_text"))
-    asked = out.join(prior, [*keys, "stretch"], "left").join(typed, "chat_id").filter(F.col("_at") <= F.col("last_at"))
-    after = (
-        F.when(F.col("_opening._o") == 0, F.col("_at") >= F.col("_opening.at"))
-        .when(F.col("_prior").isNotNull(), F.col("_at") > F.col("_prior"))
-        .otherwise(F.col("_at") >= shifted("_main", -float(PROMPT_LEAD_S)))
-    )
-    openers = asked.filter(after).groupBy(*keys, "stretch").agg(F.min(F.struct("_at", "_text")).alias("_p")).select(*keys, "stretch", F.col("_p._text").alias("prompt"))
+    since = F.when(F.col("_opening._o") == 0, F.col("_opening.at")).otherwise(F.coalesce("_prior", shifted("_main", -float(PROMPT_LEAD_S))))
+    after = F.when((F.col("_opening._o") != 0) & F.col("_prior").isNotNull(), F.col("_at") > F.col("start")).otherwise(F.col("_at") >= F.col("start"))
+    asking = out.select(*keys, "stretch", "_opening", "_prior", since.alias("start"), F.col("last_at").alias("end")).filter("start <= end")
+    asked = within(typed, "_at", asking, ["chat_id"], after & (F.col("_at") <= F.col("end")), DAY)
+    openers = asked.groupBy(*keys, "stretch").agg(F.min(F.struct("_at", "_text")).alias("_p")).select(*keys, "stretch", F.col("_p._text").alias("prompt"))
     opening = F.when(F.col("_opening._o") == 0, "compaction").when(F.col("_opening._o") == 1, "cold").otherwise("first")
     out = out.join(points, [*keys, "stretch"], "left").join(openers, [*keys, "stretch"], "left")
     return out.select(*keys, "stretch", opening.alias("opening"), "first_at", "last_at", F.coalesce("points", F.lit(0.0)).alias("points"), "cost_nd", "cold_nd", "prompt")

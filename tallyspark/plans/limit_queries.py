@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.functions.frames import small, within
 from tallyspark.operators import limits
 from tallyspark.plans import binding as b
 from tallyspark.plans.binding import flat
@@ -98,22 +99,22 @@ def change_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"price": F.round("price", 2), "usual_price": F.round("usual_price", 2)})
 
 
-@query(f"""{b.TURNS}, p AS (SELECT now - INTERVAL 7 DAY AS a, now AS z FROM clock), i AS (SELECT chat_id, CAST(floor((epoch_us(ts) - epoch_us(a)) / 1.8e9) AS INTEGER) AS bin, cost_nd FROM turns, p WHERE provider = 's0' AND ts >= a AND ts < z)
+@query(f"""{b.TURNS}, p AS (SELECT now - INTERVAL 7 DAY AS a, now AS z FROM clock), i AS (SELECT chat_id, CAST(floor((epoch_us(ts) - epoch_us(a)) / 1.8e9) AS INTEGER) AS bin, cost_nd FROM turns, p WHERE ts >= a AND ts < z)
 SELECT 'chat' AS part, chat_id, bin, round(sum(cost_nd) * 100 / 5e9::DOUBLE, 6) AS points FROM i GROUP BY ALL UNION ALL SELECT 'outside', '', -1, 20.0 UNION ALL SELECT 'earlier', '', -1, 5.0""")
 def spend_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-17, WIN-34: a budget of five dollars, a dollar spent elsewhere, a quarter earlier."""
     at = b.now(spark, sf_dir)
-    rows = limits.spend_share(b.turns(spark, sf_dir).filter("service = 's0'"), at - timedelta(days=7), at, 5e9, 1e9, 2.5e8)
+    rows = limits.spend_share(b.turns(spark, sf_dir), at - timedelta(days=7), at, 5e9, 1e9, 2.5e8)
     return rows.select("part", F.coalesce("chat_id", F.lit("")).alias("chat_id"), F.coalesce("bin", F.lit(-1)).alias("bin"), F.round("points", 6).alias("points"))
 
 
 @query(f"""{BINS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY {_W} ORDER BY points DESC, cost_nd DESC, project) AS k FROM folded_projects), s AS (SELECT p.service, p.window_id, p.bin, p.points, CASE WHEN p.chat_id IS NULL THEN 'outside' WHEN r.k <= 3 THEN r.project ELSE 'other' END AS series, CASE WHEN p.chat_id IS NULL THEN 5 WHEN r.k <= 3 THEN r.k ELSE 4 END AS place
-  FROM parts p LEFT JOIN shares c ON c.service = p.service AND c.window_id = p.window_id AND c.chat_id = p.chat_id LEFT JOIN ranked r ON r.service = p.service AND r.window_id = p.window_id AND r.project = c.project WHERE p.window_id < 0),
+  FROM parts p LEFT JOIN shares c ON c.service = p.service AND c.window_id = p.window_id AND c.chat_id = p.chat_id LEFT JOIN ranked r ON r.service = p.service AND r.window_id = p.window_id AND r.project = c.project),
 g AS (SELECT {_W}, bin, series, place, sum(points) AS points FROM s GROUP BY ALL) SELECT {_W}, bin, series, CAST(place AS INTEGER) AS place, round(points, 5) AS points, round(coalesce(sum(points) OVER (PARTITION BY {_W}, bin ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 5) AS base FROM g""")
 def timeline_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-31: the weeks' bars by their three largest projects."""
+    """WIN-31: the windows' bars by their three largest projects."""
     _, _, parts, chats = _page(spark, sf_dir)
-    out = limits.timeline(parts.filter("window_id < 0"), chats.filter("window_id < 0"), 3)
+    out = limits.timeline(parts, chats, 3)
     return out.select("service", "window_id", "bin", "series", "place", F.round("points", 5).alias("points"), F.round("base", 5).alias("base"))
 
 
@@ -134,7 +135,7 @@ def published_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JON-6, WIN-38: a chat's share of the open session and week."""
     windows, _, _, chats = _page(spark, sf_dir)
     last = windows.groupBy("service").agg(F.max(F.when(F.col("window_id") >= 0, F.col("window_id"))).alias("s"), F.min("window_id").alias("w"))
-    rows = chats.join(F.broadcast(last), "service").withColumn("field", F.when(F.col("window_id") == F.col("s"), "session").when(F.col("window_id") == F.col("w"), "week"))
+    rows = chats.join(small(last, last.count()), "service").withColumn("field", F.when(F.col("window_id") == F.col("s"), "session").when(F.col("window_id") == F.col("w"), "week"))
     return limits.published(rows.filter("field is not null"))
 
 
@@ -169,17 +170,17 @@ def open_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def restored_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-13: readings before a restore scaled; tested against a walk."""
-    windows = b.windows(spark, sf_dir)
-    rows = b.readings(spark, sf_dir).drop("window_id").join(windows.select("service", "bucket", "start", "end", "window_id"), ["service", "bucket"])
-    rows = rows.filter((F.col("ts") > F.col("start")) & (F.col("ts") <= F.col("end")) & (F.col("window_id") > 0)).select("service", "bucket", "start", "end", "ts", "percent")
+    windows = b.windows(spark, sf_dir).select("service", "bucket", "start", "end")
+    rows = within(b.readings(spark, sf_dir).drop("window_id"), "ts", windows, ["service", "bucket"], (F.col("ts") > F.col("start")) & (F.col("ts") <= F.col("end")), b.HOURS5)
+    rows = rows.select("service", "bucket", "start", "end", "ts", "percent")
     return flat(limits.restored(rows).withColumn("percent", F.round("percent", 6)))
 
 
 @query()
 def stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-18, WIN-19, WIN-20, WIN-21, WIN-37: chats of the weeks cut at compactions and cold starts; tested against a walk."""
+    """WIN-18, WIN-19, WIN-20, WIN-21, WIN-37: chats of the windows cut at compactions and cold starts; tested against a walk."""
     windows, _, parts, _ = _page(spark, sf_dir)
-    out = limits.stretches(windows.filter("window_id < 0"), b.turns(spark, sf_dir), b.chat_events(spark, sf_dir), parts.filter("window_id < 0"))
+    out = limits.stretches(windows, b.turns(spark, sf_dir), b.chat_events(spark, sf_dir), parts)
     return flat(out.withColumn("points", F.round("points", 6)))
 
 
@@ -219,7 +220,7 @@ def account_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def limit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-36: one page's parts (bins, chats, projects, totals, stretches) counted; each has a query of its own."""
-    page = limits.load(b.windows(spark, sf_dir).filter("window_id < 0"), b.readings(spark, sf_dir).drop("window_id"), b.turns(spark, sf_dir), b.chat_events(spark, sf_dir))
+    page = limits.load(b.windows(spark, sf_dir), b.readings(spark, sf_dir).drop("window_id"), b.turns(spark, sf_dir), b.chat_events(spark, sf_dir))
     out = None
     for name, rows in page.items():
         one = rows.groupBy("service").agg(F.count("*").alias("rows")).withColumn("part", F.lit(name))
