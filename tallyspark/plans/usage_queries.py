@@ -167,13 +167,13 @@ def saturating_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("chat_id").agg(pricing.saturating_sum("big").alias("tokens"), pricing.optional_cost("known", "tokens").alias("cost_nd")).withColumn("tokens", F.col("tokens"))
 
 
-@query(f"""{b.TURNS}, s AS (SELECT project, sum(input) AS i, sum(output) AS o, sum(cache_read) AS r, sum(cache_write_5m + cache_write_1h) AS w, sum(cost_input) AS ci, sum(cost_output) AS co, sum(cost_cache_read) AS cr, sum(cost_cache_write) AS cw FROM turns WHERE seq % 3 = 1 GROUP BY 1)
+@query(f"""{b.TURNS}, s AS (SELECT project, sum(input) AS i, sum(output) AS o, sum(cache_read) AS r, sum(cache_write_5m + cache_write_1h) AS w, sum(cost_input) AS ci, sum(cost_output) AS co, sum(cost_cache_read) AS cr, sum(cost_cache_write) AS cw FROM turns GROUP BY 1)
 SELECT project, u.category, CAST(u.t AS BIGINT) AS tokens, CAST(u.c AS BIGINT) AS cost_nd, round(CAST(u.c AS DOUBLE) / (ci + co + cr + cw), 9) AS share
 FROM s, LATERAL (VALUES ('input', i, ci), ('output', o, co), ('cache_read', r, cr), ('cache_write', w, cw)) u(category, t, c) WHERE u.t > 0""")
 def category_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRC-16: cost by kind of token."""
     cols = ("input", "output", "cache_read", "cache_write_5m", "cache_write_1h", "cost_input", "cost_output", "cost_cache_read", "cost_cache_write")
-    rows = b.turns(spark, sf_dir).filter("seq % 3 = 1").groupBy("project").agg(*rollup.sums(*cols))
+    rows = b.turns(spark, sf_dir).groupBy("project").agg(*rollup.sums(*cols))
     return pricing.category_split(rows, ["project"]).withColumn("share", F.round("share", 9))
 
 
@@ -422,9 +422,8 @@ def names_and_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", text.project_name_of_path(text.percent_slug("path")).alias("name"), text.dash_slug("path").alias("slug"), text.percent_slug("path").alias("encoded"), "key", text.window_label("key").alias("label"), text.words_label("key").alias("words"), text.window_kind("key").alias("kind"))
 
 
-@query(r"""SELECT page_id, CASE WHEN p = '' OR p = '/' THEN h ELSE h || p END AS headline FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS h, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS p FROM pages)
-WHERE url IS NOT NULL AND regexp_matches(url, '^[a-z]+://[a-z0-9.-]+(/[A-Za-z0-9._/-]*)?([?#].*)?$') AND length(CASE WHEN p = '' OR p = '/' THEN h ELSE h || p END) <= 80""".replace("WHERE url IS NOT NULL AND", "JOIN pages USING (page_id) WHERE url IS NOT NULL AND"))
+@query(r"""SELECT page_id, CASE WHEN p = '' OR p = '/' THEN h ELSE h || p END AS headline FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS h, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS p FROM pages WHERE url IS NOT NULL)""")
 def tool_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-16: a fetch is known by its short URL."""
-    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").filter(F.col("url").rlike(r"^[a-z]+://[a-z0-9.-]+(/[A-Za-z0-9._/-]*)?([?#].*)?$"))
-    return rows.select("page_id", text.tool_summary(F.lit("WebFetch"), F.to_json(F.struct("url"))).alias("headline")).filter(F.length("headline") <= 80)
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").filter("url is not null")
+    return rows.select("page_id", text.tool_summary(F.lit("WebFetch"), F.to_json(F.struct("url"))).alias("headline"))
