@@ -32,6 +32,12 @@ def file_key(file: str | Column) -> Column:
     return F.when(found != "", found).otherwise(c)
 
 
+def parsed(lines: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """Lines as structs (`r`); only lines that name one of the types are parsed."""
+    wanted = F.col("value").rlike(f'"({"|".join(types)})"')
+    return once_each(lines).filter(wanted).withColumn("r", F.from_json("value", LINE)).filter(F.col("r.type").isin(*types))
+
+
 def once_each(lines: DataFrame) -> DataFrame:
     """Lines of files known by their key; of two files with one key the one with more lines (then the smaller path)."""
     rows = lines.withColumn("key", file_key("file"))
@@ -46,7 +52,7 @@ def turns(lines: DataFrame) -> DataFrame:
     count; a counter that fell has restarted and counts whole. Readings after a file's first record never count. Usage before
     any model is known is summed up and belongs to the first context, at the time of its first reading. Input is net of cache.
     """
-    rows = once_each(lines).withColumn("r", F.from_json("value", LINE)).filter("r.type is not null")
+    rows = parsed(lines, ("session_meta", "turn_context", "token_usage_record", "event_msg"))
     p = "r.payload"
     total = F.col(f"{p}.info.total_token_usage")
     is_record = (F.col("r.type") == "token_usage_record") & F.col(f"{p}.usage").isNotNull()
@@ -108,7 +114,7 @@ def turns(lines: DataFrame) -> DataFrame:
 
 def chat_events(lines: DataFrame) -> DataFrame:
     """Prompts and compactions of the main threads: a user's first input text that is no instruction block, and `compacted`."""
-    rows = once_each(lines).withColumn("r", F.from_json("value", LINE)).filter("r.type is not null")
+    rows = parsed(lines, ("session_meta", "response_item", "compacted"))
     p = "r.payload"
     meta = F.struct(F.col(f"{p}.session_id").alias("session_id"), (F.col(f"{p}.thread_source") == "subagent").alias("sub"))
     is_meta = F.col("r.type") == "session_meta"
