@@ -184,11 +184,11 @@ def stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(out.withColumn("points", F.round("points", 6)))
 
 
-@query(f"""{b.TURNS}, c AS (SELECT chat_id, seq, cost_input + cost_cache_write AS rebuild, input + cache_read + cache_write_5m + cache_write_1h AS prompt, cache_read, cache_write_5m + cache_write_1h AS w, agent_id FROM (SELECT * REPLACE (seq % 50 AS cache_read, cache_write_5m * 3 AS cache_write_5m) FROM turns))
+@query(f"""{b.TURNS}, c AS (SELECT chat_id, seq, cost_input + cost_cache_write AS rebuild, input + cache_read + cache_write_5m + cache_write_1h AS prompt, cache_read, cache_write_5m + cache_write_1h AS w, agent_id FROM (SELECT * REPLACE (seq % 50 AS cache_read, cache_read * 3 AS cache_write_5m) FROM turns))
 SELECT chat_id, count(*) AS cold_starts, CAST(sum(rebuild) AS BIGINT) AS rebuild_nd FROM c WHERE agent_id IS NULL AND prompt > 0 AND cache_read < prompt * 0.05 AND w >= 10000 GROUP BY 1""")
 def cold_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-19: main-thread turns that rebuilt their context."""
-    rows = b.turns(spark, sf_dir).withColumns({"cache_read": F.col("seq") % 50, "cache_write_5m": F.col("cache_write_5m") * 3})
+    rows = b.turns(spark, sf_dir).withColumns({"cache_read": F.col("seq") % 50, "cache_write_5m": F.col("cache_read") * 3})
     cold = rows.filter(limits.is_cold_start())
     return cold.groupBy("chat_id").agg(F.count("*").alias("cold_starts"), F.sum(F.col("cost_input") + F.col("cost_cache_write")).alias("rebuild_nd"))
 

@@ -183,10 +183,10 @@ def bucket_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("service", "bucket", "is_core", "is_live", F.when(F.col("is_live"), "").otherwise(F.col("label")).alias("label")).distinct()
 
 
-@query("SELECT DISTINCT c_nationkey AS id FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+@query("SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def alerts_to_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET-4: ids of one table that another lacks."""
-    return services.to_clear(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("id")), spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("id")))
+    return services.to_clear(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id")), spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id")))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN count(*) OVER (PARTITION BY p_brand) > 1 THEN p_name ELSE p_brand END AS label FROM part")

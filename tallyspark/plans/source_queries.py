@@ -315,10 +315,10 @@ def merged_model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.model_rows(rows).select("id", "label", "percent", "pos")
 
 
-@query("SELECT 'ledger' AS provider, 'u' || user_id AS chat_id, count(*) AS n FROM events WHERE user_id % 10 <> 3 GROUP BY ALL HAVING count(*) < 0")
+@query("SELECT DISTINCT 'ledger' AS provider, CAST(0 AS BIGINT) AS priced FROM events WHERE user_id % 10 <> 3")
 def no_live_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRC-8: a table without a model prices nothing: no turn of a store has a cost there."""
     files = stores.known(_store_files(spark, sf_dir), "v1")
     rows = stores.turns(stores.steps(stores.points(files)), stores.meta(files))
     live = spark.createDataFrame([("nothing", 2.0, 8.0, 0.2, 0.0, 0.0)], "model_norm string, in_per_m double, out_per_m double, cache_read_per_m double, cw5m_per_m double, cw1h_per_m double")
-    return pricing.costed(pricing.live_only(rows, live)).filter("cost_nd is not null").groupBy("provider", "chat_id").agg(F.count("*").alias("n"))
+    return pricing.costed(pricing.live_only(rows, live)).groupBy("provider").agg(F.count("cost_nd").alias("priced"))
