@@ -10,7 +10,7 @@ Where a shared shingle stands says more: it can be the first one that two sets s
 (positional filter), so a passage that comes late in two sets brings them together only if they are that alike.
 
 Texts of equal sets are one node. In a first round each text is checked against the center of every shingle it shares: the node
-that has the shingle earliest, which in a group of near copies is the one with the least of its own. So a large group makes
+with the fewest shingles of its own, which is the same one for most shingles of a group. So a large group makes
 few candidates a text, and whatever is near enough to the group's core is in one component then. In the second, where a
 shingle's texts still lie in several components, texts that no size in the shingle's group could be near enough to are left
 aside, and the pairs of the rest between different components that pass the filter are checked; pairs inside a component
@@ -46,13 +46,13 @@ _E = 1e-9
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, common: np.ndarray | None = None) -> DataFrame:
-    """A row for each of `docs`: doc_id, `text_hash`, `node` (hash of the set of shingles), `fingerprint`, `n` shingles, their
-    counts by their last bits (`sketch`, up to 127) and the first of them, those of `common` (sorted) last."""
+    """A row for each of `docs`: doc_id, `text_hash`, `node` (hash of the set of shingles), `fingerprint`, `n` shingles, how many
+    of them aren't in `common` (`rare`), their counts by their last bits (`sketch`, up to 127) and the first of them, those of `common` (sorted) last."""
 
     @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            nodes, prints, sizes, sketches, sets = [], [], [], [], []
+            nodes, prints, sizes, rare, sketches, sets = [], [], [], [], [], []
             for text in batch.column(2):
                 hashes = shingles((text.as_py() or "").encode(), words)
                 own = np.unique(hashes.view("<i8"))
@@ -60,15 +60,17 @@ def shingle_sets(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
                 sizes.append(len(own))
                 sketches.append(np.minimum(np.bincount(own & (SKETCH - 1), minlength=SKETCH), 127).astype(np.int8))
+                rare.append(len(own))
                 if common is not None and len(common) and len(own):
                     often = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
                     own = np.concatenate([own[~often], own[often]])
+                    rare[-1] -= int(often.sum())
                 sets.append(own[: len(own) - math.ceil(similarity * len(own) - _E) + 1] if len(own) else own)
-            columns = [pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int8())), pa.array(sets, pa.list_(pa.int64()))]
+            columns = [pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()), pa.array(sketches, pa.list_(pa.int8())), pa.array(sets, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    fields = {"node": T.LongType(), "fingerprint": T.LongType(), "n": T.IntegerType(), "sketch": T.ArrayType(T.ByteType()), "shingles": T.ArrayType(T.LongType())}
+    fields = {"node": T.LongType(), "fingerprint": T.LongType(), "n": T.IntegerType(), "rare": T.IntegerType(), "sketch": T.ArrayType(T.ByteType()), "shingles": T.ArrayType(T.LongType())}
     names = ["doc_id", "text_hash", *fields]
     return rows.mapInArrow(scan, T.StructType([rows.schema["doc_id"], rows.schema["text_hash"], *(T.StructField(k, t) for k, t in fields.items())]))
 
@@ -136,7 +138,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     rows = sets.select("node", F.explode("shingles").alias("shingle"))
     met = rows.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     met = materialize(met.filter("lo < hi").select("shingle"))
-    places = sets.select("node", "n", F.posexplode("shingles").alias("i", "shingle"))
+    places = sets.select("node", "n", "rare", F.posexplode("shingles").alias("i", "shingle"))
     shared = materialize(places.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "shingle").distinct())
 
     def fits(n: str, i: str, m: str, j: str) -> Column:
@@ -145,7 +147,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
         alike = F.least(n, m) >= similarity * F.greatest(n, m) - _E
         return alike & (F.least(n - i, m - j) >= similarity / (1 + similarity) * (n + m) - _E)
 
-    centers = shared.groupBy("shingle").agg(F.min(F.struct("i", "node", "n")).alias("c")).select("shingle", F.col("c.i").alias("j"), F.col("c.node").alias("b"), F.col("c.n").alias("m"))
+    centers = shared.groupBy("shingle").agg(F.min(F.struct("rare", "node", "i", "n")).alias("c")).select("shingle", F.col("c.i").alias("j"), F.col("c.node").alias("b"), F.col("c.n").alias("m"))
     stars = shared.join(centers, "shingle").filter(fits("n", "i", "m", "j")).select(F.col("node").alias("a"), "b")
     pairs = stars.union(by_fingerprint(nodes.select("node", "fingerprint"))).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs)
