@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontam, digests, language, licenses, linededup, mixing, pii, quality, simhash, toxicity
+from tallyspark.llm import alignment, decontam, digests, language, licenses, linededup, mixing, pii, quality, simhash, tokencounts, toxicity
 from tallyspark.llm.base import fold, table
 
 
@@ -55,5 +55,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_mix_sources, op3_personal_data, op4_language, op5_simhash, op6_license_scan, op7_quality, op8_decontaminate, op9_line_dedup, op10_toxicity)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(alignment.align(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_mix_sources, op3_personal_data, op4_language, op5_simhash, op6_license_scan, op7_quality, op8_decontaminate, op9_line_dedup, op10_toxicity, op11_token_counts, op13_alignment)}
 ORACLE_SQL: dict[str, str] = {"op8_decontaminate": decontam.ORACLE, "op9_line_dedup": linededup.ORACLE}
