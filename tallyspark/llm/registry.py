@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import alignment, decontam, digests, language, licenses, linededup, mixing, pii, quality, simhash, tokencounts, toxicity
+from tallyspark.llm import alignment, decontam, digests, language, licenses, linededup, mixing, pii, prefixtrie, quality, simhash, tokencounts, toxicity
 from tallyspark.llm.base import fold, table
 
 
@@ -59,9 +59,13 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(*prefixtrie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digest(alignment.align(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_mix_sources, op3_personal_data, op4_language, op5_simhash, op6_license_scan, op7_quality, op8_decontaminate, op9_line_dedup, op10_toxicity, op11_token_counts, op13_alignment)}
-ORACLE_SQL: dict[str, str] = {"op8_decontaminate": decontam.ORACLE, "op9_line_dedup": linededup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_mix_sources, op3_personal_data, op4_language, op5_simhash, op6_license_scan, op7_quality, op8_decontaminate, op9_line_dedup, op10_toxicity, op11_token_counts, op12_prefix_trie, op13_alignment)}
+ORACLE_SQL: dict[str, str] = {"op8_decontaminate": decontam.ORACLE, "op9_line_dedup": linededup.ORACLE, "op12_prefix_trie": prefixtrie.ORACLE}
