@@ -8,14 +8,15 @@ segments, in order, and segments recur.
 
 1. Tasks cut texts into blocks of some megabytes. A text becomes the numbers of its segments in its block's dictionary; both
    are written once.
-2. The dictionaries' segments are counted, and each distinct one is tokenised and aligned once. The ends of its tokens in both
-   vocabularies, merged, cut its bytes into pieces that lie in one token of each: one piece for each link. Common ends cut
-   groups.
-3. Links are counted over the corpus by segment frequencies. A segment's links get these counts by a join, and are summed.
-4. The alignments go back to the dictionaries by a join on the segment, and a block's texts are composed of them.
+2. The dictionaries are shuffled by segment, and each distinct one is tokenised and aligned once, beside the places that it
+   goes back to. The ends of its tokens in both vocabularies, merged, cut its bytes into pieces that lie in one token of each:
+   one piece for each link. Common ends cut groups.
+3. Links are counted over the corpus by segment frequencies, and a segment's links get these counts: from a broadcast table
+   up to `LOOKED_UP` counts, by a join beyond.
+4. Alignments go back to their blocks, and a block's texts are composed of them.
 
-A frequent segment has one row in each block, whatever its occurrences; a frequent link is counted in parts before it is
-shuffled. A block is bounded but for a single text that is longer.
+A frequent segment has one row in each block, whatever its occurrences, and its places are written in lists of a batch at most;
+a frequent link is counted in parts before it is shuffled. A block is bounded but for a single text that is longer.
 
 Null and empty texts have no tokens, nor have texts that B's normaliser changes or whose bytes B can't give back (U+2581 reads
 as a space): zeros and no groups, and they count for no link. Repeated rows and ids are composed each by itself and count each
@@ -34,23 +35,25 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.base import BROADCAST_ROWS, discard, held, materialize, passes, tidy, utf8
+from tallyspark.llm.base import held, materialize, passes, tidy, utf8
 from tallyspark.llm.tokencounts import byte_symbols
 
 VOCABULARY_A = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY_B = public_tokenizers.path("piece_bpe_32k.model")
 #: Bytes of text in a block.
-BLOCK = 16 << 20
+BLOCK = 32 << 20
+#: Counts of links up to which they are broadcast (17 bytes each).
+LOOKED_UP = 2_000_000
 #: What stands for a space in B's pieces.
 _MARK = "▁"
-#: Segments that are tokenised at once.
-_AT_ONCE = 20_000
 #: White space in any sense, for what must stand on neither side of a cut unnoticed.
 _SPACES = r"\s᠎​﻿"
 
@@ -107,8 +110,8 @@ def _opened(a: str, b: bytes) -> Vocabularies:
     return Vocabularies(a, b)
 
 
-def aligned(a: list[list[int]], b: list[list[int]], size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links of many segments at once: (id of A, id of B, whether a group ends behind it) and each segment's number of links.
+def aligned(a: list[list[int]], b: list[list[int]], size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of many segments at once: ids of A, ids of B, and each segment's number of links.
 
     The segments' bytes are laid end to end. A merged end of tokens closes one link: that of the tokens which hold the byte
     before it.
@@ -117,16 +120,15 @@ def aligned(a: list[list[int]], b: list[list[int]], size_a: np.ndarray, size_b:
     ends_a, ends_b = np.cumsum(size_a[flat_a]), np.cumsum(size_b[flat_b])
     ends = np.union1d(ends_a, ends_b)
     at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-    closes = (ends_a[at_a] == ends) & (ends_b[at_b] == ends)
     last = ends_a[np.cumsum([len(x) for x in a]) - 1]
     n = np.diff(np.searchsorted(ends, last, side="right"), prepend=0)
-    return flat_a[at_a], flat_b[at_b], closes, n
+    return flat_a[at_a], flat_b[at_b], n
 
 
-def group_text(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[str, int]:
-    """A segment's groups, as `a1,a2|b1;a3|b2,b3`, and how many they are."""
+def group_text(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> str:
+    """A segment's groups, as `a1,a2|b1;a3|b2,b3`."""
     if len(a) == 1 or len(b) == 1:
-        return f"{','.join(map(str, a))}|{','.join(map(str, b))}", 1
+        return f"{','.join(map(str, a))}|{','.join(map(str, b))}"
     groups, i, j, first_i, first_j, at_a, at_b = [], 0, 0, 0, 0, 0, 0
     while i < len(a):
         if at_a <= at_b:
@@ -138,11 +140,19 @@ def group_text(a: list[int], b: list[int], size_a: list[int], size_b: list[int])
         if at_a == at_b:
             groups.append(f"{','.join(map(str, a[first_i:i]))}|{','.join(map(str, b[first_j:j]))}")
             first_i, first_j = i, j
-    return ";".join(groups), len(groups)
+    return ";".join(groups)
+
+
+def _pack(codes: np.ndarray) -> bytes:
+    return zstandard.compress(codes.astype("<i4").tobytes(), 1) if len(codes) else b""
+
+
+def _unpack(cell: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(cell) if cell else b"", "<i4")
 
 
 def encode(docs: DataFrame, a: str, b: bytes, block: int = BLOCK) -> DataFrame:
-    """Texts as numbers of segments. Rows of a text: number of its block, doc_id, codes (32-bit numbers in binary); rows of a
+    """Texts as numbers of segments. Rows of a text: number of its block, doc_id, codes (32-bit numbers, compressed); rows of a
     block's dictionary: block, code, segment, n (its occurrences)."""
     rows = docs.select("doc_id", "text")
     id_field = rows.schema["doc_id"]
@@ -175,7 +185,7 @@ def encode(docs: DataFrame, a: str, b: bytes, block: int = BLOCK) -> DataFrame:
                     coded.append(np.fromiter(map(code.__getitem__, found), np.int32, len(found)))
                 used += coded
                 k = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, number)), part.column(0), pa.array([c.tobytes() for c in coded], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, number)), part.column(0), pa.array([_pack(c) for c in coded], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64())], names=schema.names)
                 size += int(np.diff(utf8(part.column(1))[1]).sum())
                 if size >= block:
                     yield from dictionary()
@@ -186,30 +196,34 @@ def encode(docs: DataFrame, a: str, b: bytes, block: int = BLOCK) -> DataFrame:
     return rows.mapInArrow(scan, schema)
 
 
-_ALIGNED = "sid long, segment string, n long, groups string, n_a int, n_b int, n_groups int, links array<long>"
+_ALIGNED = "sid long, n long, groups string, n_a int, links array<long>, blocks array<long>, codes array<int>"
 
 
-def align_segments(segments: DataFrame, a: str, b: bytes) -> DataFrame:
-    """Distinct segments (segment, n) with a number, their groups, counts, and links (A's id times 2^32 plus B's)."""
+def align_segments(words: DataFrame, a: str, b: bytes) -> DataFrame:
+    """The distinct segments of dictionaries (segment, block, code, n), each with a number, its occurrences, groups, number of
+    A's tokens, links (A's id times 2^32 plus B's) and places. A segment of very many blocks gets several rows."""
 
     @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _opened(a, b)
-        list_a, list_b = [len(x) for x in words.bytes_a], [len(x) for x in words.bytes_b]
+        vocabularies = _opened(a, b)
+        list_a, list_b = [len(x) for x in vocabularies.bytes_a], [len(x) for x in vocabularies.bytes_b]
         size_a, size_b = np.array(list_a), np.array(list_b)
         sid = TaskContext.get().partitionId() << 32
-        for whole in batches:
-            for i in range(0, len(whole), _AT_ONCE):
-                batch = whole.slice(i, _AT_ONCE)
-                ids_a, ids_b = words.tokens(batch.column(0).to_pylist())
-                from_a, from_b, _, n = aligned(ids_a, ids_b, size_a, size_b)
-                texts = [group_text(x, y, list_a, list_b) for x, y in zip(ids_a, ids_b, strict=True)]
-                links = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array((from_a << 32) + from_b))
-                columns = [pa.array(np.arange(len(batch)) + sid), batch.column(0), batch.column(1), pa.array([t for t, _ in texts], pa.string()), pa.array([len(x) for x in ids_a], pa.int32()), pa.array([len(x) for x in ids_b], pa.int32()), pa.array([k for _, k in texts], pa.int32()), links]
-                yield pa.RecordBatch.from_arrays(columns, names=["sid", "segment", "n", "groups", "n_a", "n_b", "n_groups", "links"])
-                sid += len(batch)
-
-    return segments.select("segment", "n").mapInArrow(scan, _ALIGNED)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            begins = [i for i, t in enumerate(texts) if not i or t != texts[i - 1]]
+            ids_a, ids_b = vocabularies.tokens([texts[i] for i in begins])
+            from_a, from_b, n = aligned(ids_a, ids_b, size_a, size_b)
+            places = pa.array(np.append(begins, len(texts)), pa.int32())
+            links = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array((from_a << 32) + from_b))
+            groups = [group_text(x, y, list_a, list_b) for x, y in zip(ids_a, ids_b, strict=True)]
+            columns = [pa.array(np.arange(len(begins)) + sid), pa.array(np.add.reduceat(batch.column(3).to_numpy(), begins)), pa.array(groups, pa.string()), pa.array([len(x) for x in ids_a], pa.int32()), links]
+            columns += [pa.ListArray.from_arrays(places, batch.column(1)), pa.ListArray.from_arrays(places, batch.column(2))]
+            yield pa.RecordBatch.from_arrays(columns, names=["sid", "n", "groups", "n_a", "links", "blocks", "codes"])
+            sid += len(begins)
+
+    dealt = words.select("segment", "block", "code", "n").repartition("segment").sortWithinPartitions("segment")
+    return dealt.mapInArrow(scan, _ALIGNED)
 
 
 def link_counts(found: DataFrame) -> DataFrame:
@@ -220,16 +234,51 @@ def link_counts(found: DataFrame) -> DataFrame:
     return counted.join(most, "id_b").select("link", "count", (F.col("count") == F.col("most")).cast("int").alias("best"))
 
 
+_BACK = "block long, code int, groups string, n_a int, n_links int, n_best int, count_sum long"
+
+
+def looked_up(found: DataFrame, counts: DataFrame) -> DataFrame:
+    """The places of segments with what their links sum up to, from a broadcast table of all counts."""
+    table = counts.orderBy("link").toArrow()
+    table = found.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("link", "count", "best")))
+
+    @tidy
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        link, count, best = table.value
+        for batch in batches:
+            sid, groups, n_a, links, blocks, codes = (batch.column(i) for i in range(6))
+            ends = np.cumsum(links.value_lengths().to_numpy())
+            at = np.searchsorted(link, links.flatten().to_numpy())
+            sums = [np.diff(np.concatenate([[0], np.cumsum(v)[ends - 1]])) for v in (count[at], best[at].astype(np.int64))]
+            row = np.repeat(np.arange(len(batch)), blocks.value_lengths().to_numpy())
+            taken = [c.take(pa.array(row)) for c in (groups, n_a, links.value_lengths().cast(pa.int32()), pa.array(sums[1], pa.int32()), pa.array(sums[0]))]
+            yield pa.RecordBatch.from_arrays([blocks.flatten(), codes.flatten(), *taken], names=["block", "code", "groups", "n_a", "n_links", "n_best", "count_sum"])
+
+    return found.select("sid", "groups", "n_a", "links", "blocks", "codes").mapInArrow(scan, _BACK)
+
+
+def joined(found: DataFrame, counts: DataFrame) -> DataFrame:
+    """The same by joins, whatever the number of counts."""
+    of_links = found.select("sid", F.explode("links").alias("link")).join(counts, "link")
+    sums = of_links.groupBy("sid").agg(F.count("*").cast("int").alias("n_links"), F.sum("best").cast("int").alias("n_best"), F.sum("count").alias("count_sum"))
+    rows = found.select("sid", "groups", "n_a", F.arrays_zip("blocks", "codes").alias("places")).join(sums, "sid")
+    return rows.select("*", F.explode("places").alias("at")).select(F.col("at.blocks").alias("block"), F.col("at.codes").alias("code"), "groups", "n_a", "n_links", "n_best", "count_sum")
+
+
 _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 def _compose(texts: pa.Table, words: pa.Table) -> pa.Table:
-    """The texts of one block from its dictionary."""
-    order = np.argsort(words["code"].to_numpy())
-    value = {c: words[c].to_numpy()[order] for c in _SUMS}
-    groups = words["groups"].to_numpy(zero_copy_only=False)[order] if len(words) else np.zeros(0, object)
-    codes = [np.frombuffer(c, np.int32) for c in texts["codes"].to_pylist()]
-    out = {"doc_id": texts["doc_id"]} | {c: pa.array([int(v[k].sum()) if len(k) else 0 for k in codes], pa.int64()) for c, v in value.items()}
+    """The texts of one block from its dictionary. A segment's groups tell how many there are, and how many tokens."""
+    words = words.take(pa.array(np.argsort(words["code"].to_numpy())))
+    value = {c: words[c].to_numpy().astype(np.int64) for c in ("n_a", "n_links", "n_best", "count_sum")}
+    value["n_groups"] = pc.count_substring(words["groups"], "|").to_numpy().astype(np.int64)
+    value["n_b"] = pc.count_substring(words["groups"], ",").to_numpy() + 2 * value["n_groups"] - value["n_a"]
+    groups = words["groups"].to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, object)
+    codes = [_unpack(c) for c in texts["codes"].to_pylist()]
+    flat = np.concatenate([np.zeros(0, np.int32), *codes])
+    ends = np.cumsum([0, *map(len, codes)])
+    out = {"doc_id": texts["doc_id"]} | {c: pa.array(np.diff(np.concatenate([[0], np.cumsum(value[c][flat])])[ends])) for c in _SUMS}
     return pa.table(out | {"groups": pa.array([";".join(groups[k]) for k in codes], pa.string())})
 
 
@@ -237,18 +286,12 @@ def align(docs: DataFrame, a: str = VOCABULARY_A, b: str = VOCABULARY_B, block:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and `groups` (`a1,a2|b1;a3|b2,b3`) of each text."""
     file_a, file_b = Path(a).read_text(encoding="utf-8"), Path(b).read_bytes()
     encoded = materialize(encode(docs, file_a, file_b, block))
-    words = encoded.filter("segment is not null").select("block", "code", "segment", "n")
-    found = materialize(align_segments(words.groupBy("segment").agg(F.sum("n").alias("n")), file_a, file_b))
+    found = materialize(align_segments(encoded.filter("segment is not null"), file_a, file_b))
     counts = held(link_counts(found))
-    counts = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
-    of_links = found.select("sid", F.explode("links").alias("link")).join(counts, "link")
-    sums = of_links.groupBy("sid").agg(F.count("*").cast("int").alias("n_links"), F.sum("best").cast("int").alias("n_best"), F.sum("count").alias("count_sum"))
-    values = found.drop("links", "n").join(sums, "sid").drop("sid")
-    back = words.select(F.col("block").alias("of_block"), "code", "segment").join(values, "segment").drop("segment")
-    texts = encoded.filter("segment is null").select("block", "doc_id", "codes")
-    kind = encoded.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in _SUMS), T.StructField("groups", T.StringType())])
-    return texts.groupBy("block").cogroup(back.groupBy("of_block")).applyInArrow(_compose, schema)
+    back = (looked_up if counts.count() <= LOOKED_UP else joined)(found, counts)
+    texts = encoded.filter("segment is null").select(F.col("block").alias("of_block"), "doc_id", "codes")
+    schema = T.StructType([encoded.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in _SUMS), T.StructField("groups", T.StringType())])
+    return texts.groupBy("of_block").cogroup(back.groupBy("block")).applyInArrow(_compose, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

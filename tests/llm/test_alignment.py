@@ -81,7 +81,7 @@ def test_cuts_change_no_token(words):
 
 
 def test_counts_join_beyond_a_broadcast(spark, words, monkeypatch):
-    monkeypatch.setattr(alignment, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(alignment, "LOOKED_UP", 0)
     rows = [(i, f"the house {i} walks under the tree {i % 3}") for i in range(40)]
     expected = [(i, *p) for (i, _), p in zip(rows, plain(words, [t for _, t in rows]), strict=True)]
     assert sorted(result(alignment.align(docs_table(spark, rows)))) == expected
