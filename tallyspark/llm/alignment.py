@@ -43,13 +43,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.base import held, materialize, passes, tidy, utf8
+from tallyspark.llm.base import held, materialize, passes, release, tidy, trim, utf8
 from tallyspark.llm.tokencounts import byte_symbols
 
 VOCABULARY_A = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY_B = public_tokenizers.path("piece_bpe_32k.model")
 #: Bytes of text in a block.
-BLOCK = 32 << 20
+BLOCK = 16 << 20
 #: Counts of links up to which they are broadcast (17 bytes each).
 LOOKED_UP = 2_000_000
 #: What stands for a space in B's pieces.
@@ -234,11 +234,12 @@ def link_counts(found: DataFrame) -> DataFrame:
     return counted.join(most, "id_b").select("link", "count", (F.col("count") == F.col("most")).cast("int").alias("best"))
 
 
-_BACK = "block long, code int, groups string, n_a int, n_links int, n_best int, count_sum long"
+_BACK = "block long, code int, facts string"
+_FACTS = ("n_a", "n_links", "n_best", "count_sum", "groups")
 
 
 def looked_up(found: DataFrame, counts: DataFrame) -> DataFrame:
-    """The places of segments with what their links sum up to, from a broadcast table of all counts."""
+    """The places of segments with their facts (`n_a:n_links:n_best:count_sum:groups`), from a broadcast table of all counts."""
     table = counts.orderBy("link").toArrow()
     table = found.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("link", "count", "best")))
 
@@ -250,9 +251,10 @@ def looked_up(found: DataFrame, counts: DataFrame) -> DataFrame:
             ends = np.cumsum(links.value_lengths().to_numpy())
             at = np.searchsorted(link, links.flatten().to_numpy())
             sums = [np.diff(np.concatenate([[0], np.cumsum(v)[ends - 1]])) for v in (count[at], best[at].astype(np.int64))]
+            n_links = links.value_lengths().to_numpy()
+            told = pc.binary_join_element_wise(*(pa.array(v).cast(pa.string()) for v in (n_a, n_links, sums[1], sums[0])), groups, ":")
             row = np.repeat(np.arange(len(batch)), blocks.value_lengths().to_numpy())
-            taken = [c.take(pa.array(row)) for c in (groups, n_a, links.value_lengths().cast(pa.int32()), pa.array(sums[1], pa.int32()), pa.array(sums[0]))]
-            yield pa.RecordBatch.from_arrays([blocks.flatten(), codes.flatten(), *taken], names=["block", "code", "groups", "n_a", "n_links", "n_best", "count_sum"])
+            yield pa.RecordBatch.from_arrays([blocks.flatten(), codes.flatten(), told.take(pa.array(row))], names=["block", "code", "facts"])
 
     return found.select("sid", "groups", "n_a", "links", "blocks", "codes").mapInArrow(scan, _BACK)
 
@@ -262,19 +264,21 @@ def joined(found: DataFrame, counts: DataFrame) -> DataFrame:
     of_links = found.select("sid", F.explode("links").alias("link")).join(counts, "link")
     sums = of_links.groupBy("sid").agg(F.count("*").cast("int").alias("n_links"), F.sum("best").cast("int").alias("n_best"), F.sum("count").alias("count_sum"))
     rows = found.select("sid", "groups", "n_a", F.arrays_zip("blocks", "codes").alias("places")).join(sums, "sid")
-    return rows.select("*", F.explode("places").alias("at")).select(F.col("at.blocks").alias("block"), F.col("at.codes").alias("code"), "groups", "n_a", "n_links", "n_best", "count_sum")
+    return rows.select(F.concat_ws(":", *_FACTS).alias("facts"), F.explode("places").alias("at")).select(F.col("at.blocks").alias("block"), F.col("at.codes").alias("code"), "facts")
 
 
 _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def _compose(texts: pa.Table, words: pa.Table) -> pa.Table:
+def _composed(texts: pa.Table, words: pa.Table) -> pa.Table:
     """The texts of one block from its dictionary. A segment's groups tell how many there are, and how many tokens."""
-    words = words.take(pa.array(np.argsort(words["code"].to_numpy())))
-    value = {c: words[c].to_numpy().astype(np.int64) for c in ("n_a", "n_links", "n_best", "count_sum")}
-    value["n_groups"] = pc.count_substring(words["groups"], "|").to_numpy().astype(np.int64)
-    value["n_b"] = pc.count_substring(words["groups"], ",").to_numpy() + 2 * value["n_groups"] - value["n_a"]
-    groups = words["groups"].to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, object)
+    facts = words["facts"].combine_chunks().take(pa.array(np.argsort(words["code"].to_numpy())))
+    parts = pc.split_pattern(facts, ":", max_splits=4).flatten()
+    parts = {c: parts.take(pa.array(np.arange(i, len(parts), 5))) for i, c in enumerate(_FACTS)}
+    value = {c: v.cast(pa.int64()).to_numpy() for c, v in parts.items() if c != "groups"}
+    value["n_groups"] = pc.count_substring(parts["groups"], "|").to_numpy().astype(np.int64)
+    value["n_b"] = pc.count_substring(parts["groups"], ",").to_numpy() + 2 * value["n_groups"] - value["n_a"]
+    groups = parts["groups"].to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, object)
     codes = [_unpack(c) for c in texts["codes"].to_pylist()]
     flat = np.concatenate([np.zeros(0, np.int32), *codes])
     ends = np.cumsum([0, *map(len, codes)])
@@ -282,11 +286,18 @@ def _compose(texts: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table(out | {"groups": pa.array([";".join(groups[k]) for k in codes], pa.string())})
 
 
+def _compose(texts: pa.Table, words: pa.Table) -> pa.Table:
+    out = _composed(texts, words)
+    trim()
+    return out
+
+
 def align(docs: DataFrame, a: str = VOCABULARY_A, b: str = VOCABULARY_B, block: int = BLOCK) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and `groups` (`a1,a2|b1;a3|b2,b3`) of each text."""
     file_a, file_b = Path(a).read_text(encoding="utf-8"), Path(b).read_bytes()
     encoded = materialize(encode(docs, file_a, file_b, block))
     found = materialize(align_segments(encoded.filter("segment is not null"), file_a, file_b))
+    release(docs.sparkSession)
     counts = held(link_counts(found))
     back = (looked_up if counts.count() <= LOOKED_UP else joined)(found, counts)
     texts = encoded.filter("segment is null").select(F.col("block").alias("of_block"), "doc_id", "codes")

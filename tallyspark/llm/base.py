@@ -51,6 +51,11 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished stages: Spark removes them once the driver's garbage is collected."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def free(name: str, columns: list[str]) -> str:
     """`name`, with underscores before it until none of `columns` has it (in any case)."""
     taken = {c.lower() for c in columns}
@@ -107,14 +112,19 @@ def passes(offsets: np.ndarray, most: int = PASS_BYTES) -> Iterator[tuple[int, i
 Scan = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def trim() -> None:
+    """Give memory that this process doesn't use back to the system."""
+    pa.default_memory_pool().release_unused()
+    if given := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        given(0)
+
+
 def tidy(scan: Scan) -> Scan:
     """`scan`, giving back at its end what its batches held: workers live on and do other tasks beside the executor's heap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from scan(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        trim()
 
     return run
 
