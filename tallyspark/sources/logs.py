@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import title
 from tallyspark.operators.dedup import composite_id
+from tallyspark.sources import scan
 
 LINE = """
 type string, timestamp string, sessionId string, agentId string, attributionAgent string, effort string, isSidechain boolean,
@@ -20,17 +21,10 @@ message struct<id: string, model: string, content: string, usage: struct<
 """
 
 
-def read_lines(spark: SparkSession, root: str, now: datetime | None = None, days: int = 366, glob: str = "*.jsonl") -> DataFrame:
-    """Lines of all logs under `root`: value, file, line (a number that grows along a file), modified.
-
-    Files untouched for `days` are not opened. Line numbers come from the reader's own order within a file; whole lines only
-    are parsed later, so a half-written last line is set aside and read again next time.
-    """
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    if now is not None:
-        reader = reader.option("modifiedAfter", (now - timedelta(days=days)).isoformat(timespec="seconds"))
-    rows = reader.text(root).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_block_start").alias("_block"))
-    return rows.withColumn("line", F.monotonically_increasing_id()).select("value", "file", "line", "modified")
+def ingest_order() -> Column:
+    """The order of ingest of lines (file, line): along each file, files by a hash of their path. It is the same however files
+    are split and whatever files are added."""
+    return F.shiftleft(F.pmod(F.xxhash64("file"), F.lit(1 << 22)), 40) + F.col("line")
 
 
 def incomplete(lines: DataFrame) -> DataFrame:
@@ -95,6 +89,10 @@ def chat_events(records: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, root: str, now: datetime | None = None) -> tuple[DataFrame, DataFrame]:
     """(turn records, chat events) of all assistant logs under `root`."""
-    lines = read_lines(spark, root, now).withColumns({"project": project_of("file", root), "seq": F.col("line")})
-    records = parsed(lines)
+    return of_lines(scan.lines(spark, root, now), root)
+
+
+def of_lines(lines: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """The same of lines (value, file, line) that a scan gives, whole or as a stream."""
+    records = parsed(lines.withColumns({"project": project_of("file", root), "seq": ingest_order()}))
     return turns(records), chat_events(records)

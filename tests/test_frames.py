@@ -45,3 +45,15 @@ def test_first_and_ranked(spark):
     df = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 5, "z")], "k string, n int, v string")
     assert {tuple(r) for r in first_of(df, ["k"], [F.col("n")]).collect()} == {("a", 1, "x"), ("b", 5, "z")}
     assert {tuple(r) for r in ranked(df, ["k"], [F.desc("n")], 1).select("k", "v", "rank").collect()} == {("a", "y", 1), ("b", "z", 1)}
+
+
+def test_written_tables_are_removed_with_the_application(spark, tmp_path):
+    from pathlib import Path
+
+    from tallyspark.functions import frames
+
+    df = frames.written(spark.range(5))
+    folder = Path(frames._folder(spark).removeprefix("file://").removeprefix("file:"))
+    assert df.count() == 5 and any(folder.iterdir())
+    frames.clear(spark)
+    assert not folder.exists()

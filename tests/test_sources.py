@@ -79,6 +79,29 @@ def test_a_moved_rollout_file_counts_once(spark):
     assert rollouts.turns(here.unionByName(moved)).agg(F.sum("output")).first()[0] == 2
 
 
+def test_rollout_ids_stay_when_files_are_added_split_or_moved(spark, tmp_path):
+    from tallyspark.sources import scan
+
+    name = lambda i: f"rollout-{i:08d}-0000-0000-0000-000000000000.jsonl"
+    put = lambda folder, i, lines: ((tmp_path / folder).mkdir(exist_ok=True), (tmp_path / folder / name(i)).write_text("".join(json.dumps(x) + "\n" for x in lines)))
+    roots = [str(tmp_path / "live"), str(tmp_path / "archive")]
+    ids = lambda: {(r.msg_id, r.model, r.output) for r in rollouts.read(spark, roots)[0].collect()}
+    one, two = [context("m"), count(10, 1), count(20, 3)], [context("n"), record("r1", 30, 4), record("r2", 40, 5)]
+    put("live", 7, one)
+    put("live", 8, two)
+    before = ids()
+    assert len(before) == 4
+    put("live", 1, [context("first by name"), count(50, 6)])
+    put("live", 7, [*one, count(30, 7)])
+    after = ids()
+    assert before < after and len(after) == 6
+    put("archive", 7, [*one, count(30, 7)])
+    (tmp_path / "live" / name(7)).unlink()
+    assert ids() == after
+    lines = lambda size: scan.lines(spark, roots[0], range_=size)
+    assert {r.msg_id for r in rollouts.turns(lines(50), 64).collect()} == {r.msg_id for r in rollouts.turns(lines(1 << 20), 1 << 20).collect()}
+
+
 def test_rollout_prompts_and_compactions(spark):
     item = lambda text, **more: {"timestamp": "2024-01-01T00:00:00Z", "type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": text}], **more}}
     lines = [{"type": "session_meta", "payload": {"session_id": "s"}}, item("<context>"), item("# rules"), item("do it"), item("<kept>", kind="user.text"), {"timestamp": "2024-01-01T00:10:00Z", "type": "compacted", "payload": {}}]
