@@ -1,37 +1,12 @@
-"""Turns as a stream: windows with a watermark, and an upsert that keeps later readings."""
+"""Turns as a stream: windows with a watermark. What keeps a table of them is `streaming.ledger`."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from tallyspark.operators.dedup import later_readings
 
 
 def half_hours(turns: DataFrame, late: str = "1 day") -> DataFrame:
     """Turns by half hour and chat. On a stream, a bin is final once the watermark has passed it; a batch counts all at once."""
     rows = turns.withWatermark("ts", late) if turns.isStreaming else turns
     return rows.groupBy(F.window("ts", "30 minutes"), "chat_id").agg(F.count("*").alias("turns")).select(F.col("window.start").alias("bin"), "chat_id", "turns")
-
-
-def upsert(records: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keep `table` (a folder of parquet generations) at one row for each message as records stream in.
-
-    The dedup is an order-free aggregate, so merging a batch into what is there gives what all records at once would. Each batch
-    writes a new generation named by its number and the next one reads it: a batch that runs again after a failure reads the
-    same generation before it and writes the same one.
-    """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch if number == 0 else spark.read.schema(batch.schema).parquet(f"{table}/{number - 1}").unionByName(batch)
-        later_readings(rows).write.mode("overwrite").parquet(f"{table}/{number}")
-
-    return records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def newest(query: StreamingQuery, table: str) -> str:
-    """The folder of the last finished generation."""
-    done = [p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0]
-    return f"{table}/{max(done)}"
