@@ -13,7 +13,7 @@ segments, in order, and segments recur.
    one piece for each link. Common ends cut groups.
 3. Links are counted over the corpus by segment frequencies, and a segment's links get these counts: from a broadcast table
    up to `LOOKED_UP` counts, by a join beyond.
-4. Alignments go back to their blocks, and a block's texts are composed of them.
+4. Alignments go back to their blocks, packed by block, and a block's texts are composed of them.
 
 A frequent segment has one row in each block, whatever its occurrences, and its places are written in lists of a batch at most;
 a frequent link is counted in parts before it is shuffled. A block is bounded but for a single text that is longer.
@@ -49,7 +49,7 @@ from tallyspark.llm.tokencounts import byte_symbols
 VOCABULARY_A = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY_B = public_tokenizers.path("piece_bpe_32k.model")
 #: Bytes of text in a block.
-BLOCK = 16 << 20
+BLOCK = 32 << 20
 #: Counts of links up to which they are broadcast (17 bytes each).
 LOOKED_UP = 2_000_000
 #: What stands for a space in B's pieces.
@@ -234,37 +234,79 @@ def link_counts(found: DataFrame) -> DataFrame:
     return counted.join(most, "id_b").select("link", "count", (F.col("count") == F.col("most")).cast("int").alias("best"))
 
 
-_BACK = "block long, code int, facts string"
+_BACK = "block long, packed binary"
 _FACTS = ("n_a", "n_links", "n_best", "count_sum", "groups")
+#: Places that are packed together.
+_TOGETHER = 500_000
+
+
+def _by_block(blocks: np.ndarray, codes: np.ndarray, facts: pa.Array, row: np.ndarray) -> pa.RecordBatch:
+    """One row for each block: its codes and their facts (of `row`), compressed. A place alone takes little more than itself."""
+    order = np.argsort(blocks, kind="stable")
+    begins = np.flatnonzero(np.diff(blocks[order], prepend=-1))
+    packed = []
+    for at in np.split(order, begins[1:]):
+        text = "\n".join(facts.take(pa.array(row[at])).to_pylist()).encode()
+        packed.append(zstandard.compress(np.array([len(at)], "<i4").tobytes() + codes[at].astype("<i4").tobytes() + text, 1))
+    return pa.RecordBatch.from_arrays([pa.array(blocks[order][begins]), pa.array(packed, pa.binary())], names=["block", "packed"])
+
+
+def _unpacked(cells: list[bytes]) -> tuple[np.ndarray, list[str]]:
+    codes, facts = [np.zeros(0, "<i4")], []
+    for cell in map(zstandard.decompress, cells):
+        n = int(np.frombuffer(cell, "<i4", 1)[0])
+        codes.append(np.frombuffer(cell, "<i4", n, 4))
+        facts += cell[4 + 4 * n :].decode().split("\n")
+    return np.concatenate(codes), facts
 
 
 def looked_up(found: DataFrame, counts: DataFrame) -> DataFrame:
-    """The places of segments with their facts (`n_a:n_links:n_best:count_sum:groups`), from a broadcast table of all counts."""
+    """What goes back to the blocks: codes with their facts (`n_a:n_links:n_best:count_sum:groups`), packed; sums over links come
+    from a broadcast table of all counts."""
     table = counts.orderBy("link").toArrow()
     table = found.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("link", "count", "best")))
 
     @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         link, count, best = table.value
+        kept: list[tuple] = []
+        size = rows = 0
+
+        def flush() -> pa.RecordBatch:
+            return _by_block(np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept]), pa.concat_arrays([k[2] for k in kept]), np.concatenate([k[3] for k in kept]))
+
         for batch in batches:
-            sid, groups, n_a, links, blocks, codes = (batch.column(i) for i in range(6))
+            groups, n_a, links, blocks, codes = batch.columns
             ends = np.cumsum(links.value_lengths().to_numpy())
             at = np.searchsorted(link, links.flatten().to_numpy())
             sums = [np.diff(np.concatenate([[0], np.cumsum(v)[ends - 1]])) for v in (count[at], best[at].astype(np.int64))]
-            n_links = links.value_lengths().to_numpy()
-            told = pc.binary_join_element_wise(*(pa.array(v).cast(pa.string()) for v in (n_a, n_links, sums[1], sums[0])), groups, ":")
-            row = np.repeat(np.arange(len(batch)), blocks.value_lengths().to_numpy())
-            yield pa.RecordBatch.from_arrays([blocks.flatten(), codes.flatten(), told.take(pa.array(row))], names=["block", "code", "facts"])
+            told = pc.binary_join_element_wise(*(pa.array(v).cast(pa.string()) for v in (n_a, links.value_lengths(), sums[1], sums[0])), groups, ":")
+            kept.append((blocks.flatten().to_numpy(), codes.flatten().to_numpy(), told, np.repeat(np.arange(len(batch)), blocks.value_lengths().to_numpy()) + rows))
+            size, rows = size + len(kept[-1][0]), rows + len(batch)
+            if size >= _TOGETHER:
+                yield flush()
+                kept, size, rows = [], 0, 0
+        if kept:
+            yield flush()
 
-    return found.select("sid", "groups", "n_a", "links", "blocks", "codes").mapInArrow(scan, _BACK)
+    return found.select("groups", "n_a", "links", "blocks", "codes").mapInArrow(scan, _BACK)
 
 
 def joined(found: DataFrame, counts: DataFrame) -> DataFrame:
     """The same by joins, whatever the number of counts."""
     of_links = found.select("sid", F.explode("links").alias("link")).join(counts, "link")
     sums = of_links.groupBy("sid").agg(F.count("*").cast("int").alias("n_links"), F.sum("best").cast("int").alias("n_best"), F.sum("count").alias("count_sum"))
-    rows = found.select("sid", "groups", "n_a", F.arrays_zip("blocks", "codes").alias("places")).join(sums, "sid")
-    return rows.select(F.concat_ws(":", *_FACTS).alias("facts"), F.explode("places").alias("at")).select(F.col("at.blocks").alias("block"), F.col("at.codes").alias("code"), "facts")
+
+    @tidy
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks, codes, facts = batch.columns
+            row = np.repeat(np.arange(len(batch)), blocks.value_lengths().to_numpy())
+            if len(row):
+                yield _by_block(blocks.flatten().to_numpy(), codes.flatten().to_numpy(), facts, row)
+
+    rows = found.select("sid", "groups", "n_a", "blocks", "codes").join(sums, "sid")
+    return rows.select("blocks", "codes", F.concat_ws(":", *_FACTS).alias("facts")).mapInArrow(scan, _BACK)
 
 
 _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -272,13 +314,14 @@ _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 def _composed(texts: pa.Table, words: pa.Table) -> pa.Table:
     """The texts of one block from its dictionary. A segment's groups tell how many there are, and how many tokens."""
-    facts = words["facts"].combine_chunks().take(pa.array(np.argsort(words["code"].to_numpy())))
+    codes, facts = _unpacked(words["packed"].to_pylist())
+    facts = pa.array(facts, pa.string()).take(pa.array(np.argsort(codes)))
     parts = pc.split_pattern(facts, ":", max_splits=4).flatten()
     parts = {c: parts.take(pa.array(np.arange(i, len(parts), 5))) for i, c in enumerate(_FACTS)}
     value = {c: v.cast(pa.int64()).to_numpy() for c, v in parts.items() if c != "groups"}
     value["n_groups"] = pc.count_substring(parts["groups"], "|").to_numpy().astype(np.int64)
     value["n_b"] = pc.count_substring(parts["groups"], ",").to_numpy() + 2 * value["n_groups"] - value["n_a"]
-    groups = parts["groups"].to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, object)
+    groups = parts["groups"].to_numpy(zero_copy_only=False) if len(facts) else np.zeros(0, object)
     codes = [_unpack(c) for c in texts["codes"].to_pylist()]
     flat = np.concatenate([np.zeros(0, np.int32), *codes])
     ends = np.cumsum([0, *map(len, codes)])
@@ -295,8 +338,8 @@ def _compose(texts: pa.Table, words: pa.Table) -> pa.Table:
 def align(docs: DataFrame, a: str = VOCABULARY_A, b: str = VOCABULARY_B, block: int = BLOCK) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and `groups` (`a1,a2|b1;a3|b2,b3`) of each text."""
     file_a, file_b = Path(a).read_text(encoding="utf-8"), Path(b).read_bytes()
-    encoded = materialize(encode(docs, file_a, file_b, block))
-    found = materialize(align_segments(encoded.filter("segment is not null"), file_a, file_b))
+    encoded = materialize(encode(docs, file_a, file_b, block), "zstd")
+    found = materialize(align_segments(encoded.filter("segment is not null"), file_a, file_b), "zstd")
     release(docs.sparkSession)
     counts = held(link_counts(found))
     back = (looked_up if counts.count() <= LOOKED_UP else joined)(found, counts)
