@@ -5,14 +5,16 @@ the labelled rows show to tell of a label: a term's likelihood ratio must pass a
 or more independent texts (of near copies, which share a MinHash value of their shingles, one counts), and a term that goes with
 label 1 must have it in at least half of the texts that have the term, or have it densely. A term weighs (1 + log tf) times its
 idf, with document frequencies counted over all documents; a telling term weighs `TELLING` times as much. Every term of every
-example is in the index; a text's terms that no example has are in none of its cosines and are left out of its vector.
+example is in the index. A text's terms that no example has are in its norm, with the idf of a term that one document has (the
+largest there is): they make it less like any example, whatever else it shares with one.
 
 The labelled examples lie in blocks of examples that share their most common word and their telling terms. The postings of the
 commonest terms are kept by block, with each term's largest weight in the block, those of all other terms in one list. A query
 sums up the listed terms, which few examples have, bounds each block's cosines by its largest sum and the common terms'
 maxima, and reads only the blocks whose bound reaches the k-th cosine found: the k nearest are exact, ties going to the
 smaller doc_id. Neighbours vote with their cosines; Platt scaling over the examples' own
-leave-one-out votes makes the score a probability. The evidence is the neighbours' ids.
+leave-one-out votes makes the score a probability. There an example's terms that no other one has are as unknown as those of
+any other text, and weigh as much. The evidence is the neighbours' ids.
 
 Training uses at most about `train_rows` labelled documents, chosen by a hash of doc_id; an id with several rows trains with its
 smallest text. Null and empty texts and texts without a term of an example have no neighbour and score the share of toxic
@@ -197,10 +199,12 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, telling: list[
     return df, int(found["n"].to_numpy()[~own].sum())
 
 
-def unit(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The unit vector of a text's terms (their numbers) and counts."""
+def unit(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, unknown: np.ndarray | None = None, largest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """The unit vector of a text's terms (their numbers) and counts, where it also has terms outside (`unknown`: their counts),
+    which weigh `largest` and count for its length alone."""
     w = (1 + np.log(counts)) * idf[terms]
-    return terms, w / max(np.sqrt((w * w).sum()), 1e-300)
+    outside = (1 + np.log(unknown)) * largest if unknown is not None else np.zeros(0)
+    return terms, w / max(np.sqrt((w * w).sum() + (outside * outside).sum()), 1e-300)
 
 
 def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -304,6 +308,7 @@ class Scorer:
     idf: np.ndarray
     calibration: np.ndarray
     alone: float
+    largest: float  # idf of a term that no example has
 
     def seen(self, cosine: np.ndarray, place: np.ndarray) -> np.ndarray:
         """What the calibration sees: the neighbours' vote, weighted by their cosines, and the nearest one's cosine."""
@@ -314,7 +319,7 @@ class Scorer:
         queries = []
         for terms, counts in texts:
             at, there = placed(terms, self.vocabulary)
-            queries.append(unit(at[there], counts[there], self.idf))
+            queries.append(unit(at[there], counts[there], self.idf, counts[~there], self.largest))
         out = []
         for cosine, place in self.index.nearest(queries):
             p = float(1 / (1 + np.exp(-np.clip(self.seen(cosine, place) @ self.calibration, -30, 30)))) if len(cosine) else self.alone
@@ -322,16 +327,18 @@ class Scorer:
         return out
 
 
-def fit(rows: list[tuple[int, float, np.ndarray, np.ndarray]], vocabulary: np.ndarray, idf: np.ndarray, told: np.ndarray) -> Scorer:
+def fit(rows: list[tuple[int, float, np.ndarray, np.ndarray]], vocabulary: np.ndarray, idf: np.ndarray, told: np.ndarray, largest: float) -> Scorer:
     """A scorer from the examples (doc_id, y, terms, counts), calibrated on their votes without themselves."""
-    vectors = [(i, y, *unit(np.searchsorted(vocabulary, t), c, idf)) for i, y, t, c in rows]
-    index = Index.build(vectors, idf, told)
-    scorer = Scorer(index, vocabulary, idf, np.zeros(3), 0.0)
+    numbers = [np.searchsorted(vocabulary, t) for _, _, t, _ in rows]
+    index = Index.build([(i, y, *unit(t, c, idf)) for (i, y, _, c), t in zip(rows, numbers, strict=True)], idf, told)
+    scorer = Scorer(index, vocabulary, idf, np.zeros(3), 0.0, largest)
+    shared = np.bincount(np.concatenate([np.zeros(0, np.int64), *numbers]), minlength=len(vocabulary)) > 1
     x, y, alone = [], [], []
     where = dict(zip(index.ids.tolist(), range(len(index.ids)), strict=True))
-    for b in range(0, len(vectors), BATCH):
-        own = vectors[b : b + BATCH]
-        found = index.nearest([(t, w) for _, _, t, w in own], without=np.array([where.get(i, -1) for i, *_ in own], np.int64))
+    for b in range(0, len(rows), BATCH):
+        own = rows[b : b + BATCH]
+        queries = [unit(t[shared[t]], c[shared[t]], idf, c[~shared[t]], largest) for (_, _, _, c), t in zip(own, numbers[b : b + BATCH], strict=True)]
+        found = index.nearest(queries, without=np.array([where.get(i, -1) for i, *_ in own], np.int64))
         for (_, label, *_), near in zip(own, found, strict=True):
             if len(near[0]):
                 x.append(scorer.seen(*near))
@@ -357,7 +364,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int =
     at, there = placed(np.array([digest_of(t) for t in telling], np.uint64), vocabulary)
     told[at[there]] = True
     idf = (np.log((n + 1) / (df + 1)) + 1) * np.where(told, TELLING, 1.0)
-    return fit(rows, vocabulary, idf, told), telling
+    return fit(rows, vocabulary, idf, told, math.log((n + 1) / 2) + 1), telling
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int = TRAIN_ROWS) -> DataFrame:

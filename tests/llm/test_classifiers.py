@@ -86,26 +86,52 @@ def test_nearest_examples_equal_brute_force(monkeypatch):
         assert index.ids[place].tolist() == [j for _, j in every] and cosine == pytest.approx([-c for c, _ in every], abs=1e-8)
 
 
-def test_vectors_hold_all_terms_of_the_examples(spark):
-    """Cosines against TF-IDF vectors written out in Python: no term is left out or put together with others."""
+def test_cosines_are_those_of_the_whole_texts(spark):
+    """Cosines against TF-IDF vectors written out in Python: no term is left out, whether or not an example has it."""
     rng = np.random.default_rng(6)
     texts = [" ".join(rng.choice([f"w{i}" for i in range(300)], rng.integers(1, 60))) for _ in range(80)] + ["only here", "", None]
+    texts += ["w1 w2 " + " ".join(f"new{i}" for i in range(100)), "w1 w2"]
     rows = list(enumerate(texts))
     marks = labels(spark, [(i, 1, int(i % 5 == 0)) for i in range(60)])
     scorer, telling = toxicity.learn(docs_table(spark, rows), marks, F.lit(True))
     words = [toxicity.words_of(t) for t in texts]
     df = {w: sum(w in x for x in map(set, words)) for x in words for w in x}
-    assert len(scorer.vocabulary) == len({w for x in words[:60] for w in x} | set(telling)) and not telling
     known = {w for x in words[:60] for w in x}
-    vector = lambda x: {w: (1 + np.log(x.count(w))) * (np.log(84 / (df[w] + 1)) + 1) for w in set(x) & known}
+    assert len(scorer.vocabulary) == len(known) and not telling
+    n = len(rows)
+    vector = lambda x: {w: (1 + np.log(x.count(w))) * (np.log((n + 1) / ((df[w] if w in known else 1) + 1)) + 1) for w in set(x)}
     cosine = lambda a, b: sum(v * b.get(w, 0) for w, v in a.items()) / max(1e-9, np.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())))
     count = toxicity.term_counter(telling)
-    for i in range(len(rows)):
+    for i in range(n):
         every = sorted((-round(cosine(vector(words[i]), vector(words[j])), 6), j) for j in range(60))[:15]
-        _, evidence = scorer([count(texts[i])])[0]
+        terms, counts = count(texts[i])
+        at, there = toxicity.placed(terms, scorer.vocabulary)
+        ((found, place),) = scorer.index.nearest([toxicity.unit(at[there], counts[there], scorer.idf, counts[~there], scorer.largest)])
+        assert found == pytest.approx([-c for c, _ in every if c < 0], abs=2e-6)
+        _, evidence = scorer([(terms, counts)])[0]
+        assert evidence == scorer.index.ids[place].tolist()
         assert evidence == [j for c, j in every if c < 0] or [round(cosine(vector(words[i]), vector(words[j])), 5) for j in evidence] == [round(-c, 5) for c, j in every if c < 0]
 
 
+def test_calibration_sees_examples_as_other_texts_are_seen(spark):
+    """An example's terms that no other example has are unknown where it is scored without itself."""
+    rows = [(i, f"shared common own{i} mine{i} " + ("vile" if i % 2 else "fine")) for i in range(40)]
+    marks = labels(spark, [(i, 1, i % 2) for i in range(30)])
+    scorer, telling = toxicity.learn(docs_table(spark, rows), marks, F.lit(True))
+    seen = []
+    keep = toxicity.Scorer.seen
+    toxicity.Scorer.seen = lambda self, cosine, place: seen.append(cosine[0]) or keep(self, cosine, place)
+    try:
+        count = toxicity.term_counter(telling)
+        rows_ = toxicity.example_terms(toxicity.examples_of(docs_table(spark, rows), spark.createDataFrame([(i, float(i % 2)) for i in range(30)], "doc_id long, y double")), telling)
+        toxicity.fit(rows_, scorer.vocabulary, scorer.idf, np.isin(scorer.vocabulary, [toxicity.digest_of(t) for t in telling]), scorer.largest)
+        fitted, seen[:] = list(seen), []
+        scorer([count(t) for _, t in rows[30:]])
+    finally:
+        toxicity.Scorer.seen = keep
+    assert len(fitted) == 30 and max(fitted) == pytest.approx(max(seen), abs=0.02) and min(fitted) == pytest.approx(min(seen), abs=0.02)
+
+
 def test_terms_found_densely_count(spark):
     """A stem that long clean texts hold once marks the short texts that are full of it."""
     rng = np.random.default_rng(4)
