@@ -1,7 +1,8 @@
 """Line dedup: sharded cuckoo filters backed by exact reference-count tables; insertions and deletions are reversible.
 
 A line's key is the line without ASCII white space at its ends, A-Z lower-cased, as a 128-bit hash; a key belongs to one of
-the index's shards. The exact tables are the postings (one row for each key and document, a folder for each shard) and, of the
+the index's shards, of which there are as many as the documents ask for. The exact tables are the postings (of each key and
+document how many rows put it there; segments of a folder for each shard) and, of the
 keys with `min_docs` references or more, the counts: references and holder, the largest doc_id. Each shard's frequent keys are
 in a cuckoo filter too (16-bit tags, four to a bucket, two buckets to a key). To find what documents lose, postings meet their
 shard's filter first; what it passes is looked up in the shard's exact counts, so a false positive drops nothing. Postings are
@@ -9,10 +10,11 @@ dealt to tasks by shard and a salt of the document, as many salts as the shard's
 documents share is no group of its own. This runs alike at every size; no filter is collected or broadcast.
 
 Inserting documents adds a segment to the shards of their keys, recounts these keys and puts keys that became frequent into the
-shards' filters; deleting documents takes their postings out of the shards of their keys, recounts, and takes keys that
-ceased to be frequent out of the filters. A filter that has no room left is built anew from its shard's counts. Shards without
-such a key are neither read nor written. A deletion undoes an insertion whatever came between. An index is a value: the one
-before an update stays as it was.
+shards' filters; deleting documents takes what they put there out of the shards of their keys, recounts, and takes keys that
+ceased to be frequent out of the filters. A posting goes when all rows that put it there are gone, so a deletion undoes its
+insertion whatever else holds the same doc_id, and whatever came between. What was never inserted takes nothing out. A shard
+of `SEGMENTS` segments is written anew as one; a filter that has no room left is built anew from its shard's counts. Shards
+without such a key are neither read nor written. An index is a value: the one before an update stays as it was.
 
 A frequent key's lines go from all documents but its holder. Null and empty texts are one empty line, never a key. Keys
 count once for a doc_id however many rows or lines repeat them. Rows with a null doc_id hold no key and lose no line. Extra
@@ -37,8 +39,11 @@ from pyspark.sql import types as T
 from tallyspark.llm.base import free, materialize, pieces, shared_dir, tidy
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Documents to a shard of a new index, about, and the fewest and most shards. A key's shard never changes in an index.
-SHARD_DOCS, SHARDS = 50_000, (16, 1024)
+#: Documents to a shard of a new index, about, and the fewest shards. A key's shard never changes in an index. A shard's frequent
+#: keys, of five postings or more each, are what a task holds.
+SHARD_DOCS, SHARDS = 500_000, 16
+#: Segments that a shard's postings have at most.
+SEGMENTS = 8
 #: Parts of a shard's documents that are dealt to tasks apart.
 PARTS = 8
 #: Postings that a task looks up at once, about.
@@ -83,26 +88,35 @@ class Cuckoo:
         return (self.slots[a] == tag[:, None]).any(1) | (self.slots[b] == tag[:, None]).any(1)
 
     def insert(self, hashes: np.ndarray) -> bool:
-        """False if there was no room for one of them: the filter must then be built anew, larger."""
-        for tag, a, b in zip(*self.places(hashes), strict=True):
-            tag, at = np.uint16(tag), int(a)
-            for place in (int(a), int(b)):
-                free = np.flatnonzero(self.slots[place] == 0)
-                if len(free):
-                    self.slots[place, free[0]] = tag
-                    break
-            else:
-                for kick in range(self.KICKS):
-                    slot = kick & 3
-                    tag, self.slots[at, slot] = self.slots[at, slot], tag
-                    at ^= int(self.jump(np.array([tag], np.uint16))[0])
-                    free = np.flatnonzero(self.slots[at] == 0)
-                    if len(free):
-                        self.slots[at, free[0]] = tag
-                        break
-                else:
-                    return False
-        return True
+        """False if there was no room for one of them: the filter must then be built anew, larger.
+
+        All that find room in one of their buckets are placed at once; the few others push tags on, one after the other.
+        """
+        tag, a, b = self.places(hashes)
+        self.slots = -np.sort(-self.slots.astype(np.int32), axis=1)  # free slots come last
+        for second in (False, True):
+            at = b if second else a
+            order = np.argsort(at, kind="stable")
+            bucket = at[order]
+            rank = np.arange(len(bucket)) - np.searchsorted(bucket, bucket)
+            slot = (self.slots[bucket] > 0).sum(1) + rank
+            fits = slot < 4
+            self.slots[bucket[fits], slot[fits]] = tag[order[fits]]
+            left = np.sort(order[~fits])
+            tag, a, b = tag[left], a[left], b[left]
+        self.slots = self.slots.astype(np.uint16)
+        return all(self._push(np.uint16(t), int(x)) for t, x in zip(tag, a, strict=True))
+
+    def _push(self, tag: np.uint16, at: int) -> bool:
+        for kick in range(self.KICKS):
+            slot = kick & 3
+            tag, self.slots[at, slot] = self.slots[at, slot], tag
+            at ^= int(self.jump(np.array([tag], np.uint16))[0])
+            free = np.flatnonzero(self.slots[at] == 0)
+            if len(free):
+                self.slots[at, free[0]] = tag
+                return True
+        return False
 
     def delete(self, hashes: np.ndarray) -> None:
         """Take out hashes that were inserted, one tag each."""
@@ -172,17 +186,16 @@ class Table:
         """The table with other rows in these shards."""
         return Table(self.spark, self.schema, {s: p for s, p in self.folders.items() if s not in shards} | Table.write(rows).folders)
 
-    def grown(self, rows: DataFrame) -> Table:
-        """The table with one more segment in the shards of `rows`."""
-        more = Table.write(rows).folders
-        return Table(self.spark, self.schema, self.folders | {s: self.folders.get(s, ()) + p for s, p in more.items()})
+    def joined(self, other: Table) -> Table:
+        """The table with the segments of another one too."""
+        return Table(self.spark, self.schema, self.folders | {s: self.folders.get(s, ()) + p for s, p in other.folders.items()})
 
 
 @dataclass
 class LineIndex:
     """The exact tables of a corpus' lines, their filters, and what follows from them."""
 
-    postings: Table  # h1, h2, doc_id
+    postings: Table  # h1, h2, doc_id, n (rows that put the key there, of one segment)
     counts: Table  # h1, h2, refs, holder of the frequent keys
     filters: Table  # slots
     shards: int
@@ -191,7 +204,7 @@ class LineIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None) -> LineIndex:
-        shards = shards or min(SHARDS[1], max(SHARDS[0], docs.count() // SHARD_DOCS))
+        shards = shards or max(SHARDS, docs.count() // SHARD_DOCS)
         postings = Table.write(postings_of(docs, min_chars, shards))
         counted = _counted(postings.read()).filter(F.col("refs") >= min_docs)
         counts = Table.write(counted.withColumn("shard", _shard(shards)))
@@ -201,27 +214,29 @@ class LineIndex:
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index with the lines of `docs` too. A doc_id that it knows gains the lines it lacked."""
         delta = Table.write(postings_of(docs, self.min_chars, self.shards))
-        touched = set(delta.folders)
-        new = delta.read().join(self.postings.read(touched), ["h1", "h2", "doc_id"], "left_anti")
-        return self._recounted(self.postings.grown(new.withColumn("shard", _shard(self.shards))), delta)
+        postings = self.postings.joined(delta)
+        if full := {s for s in delta.folders if len(postings.folders[s]) >= SEGMENTS}:
+            postings = postings.replaced(full, _held(postings, full).withColumn("shard", _shard(self.shards)))
+        return self._recounted(postings, delta)
 
     def delete(self, docs: DataFrame) -> LineIndex:
-        """The index without the documents in `docs` (doc_id, and the text that they were inserted with). Without a column `text`
-        all shards are looked through for the doc_ids."""
+        """The index without the rows in `docs` (doc_id, and the text that they were inserted with). Without a column `text`
+        all shards are looked through for the doc_ids, and all that they hold goes."""
         if "text" in docs.columns:
             delta = Table.write(postings_of(docs, self.min_chars, self.shards))
         else:
-            lost = self.postings.read().join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-            delta = Table.write(lost.select("h1", "h2", "doc_id", _shard(self.shards).alias("shard")))
+            lost = _held(self.postings).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+            delta = Table.write(lost.select("h1", "h2", "doc_id", "n", _shard(self.shards).alias("shard")))
         touched = set(delta.folders)
-        left = self.postings.read(touched).join(delta.read(), ["h1", "h2", "doc_id"], "left_anti")
+        less = _held(self.postings, touched).join(delta.read().withColumnRenamed("n", "less"), ["h1", "h2", "doc_id"], "left")
+        left = less.select("h1", "h2", "doc_id", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")).filter("n > 0")
         return self._recounted(self.postings.replaced(touched, left.withColumn("shard", _shard(self.shards))), delta)
 
     def _recounted(self, postings: Table, delta: Table) -> LineIndex:
         """The index over changed postings: the keys of `delta` are counted again, in their shards."""
         touched, shard = set(delta.folders), _shard(self.shards)
         keys = delta.read().select("h1", "h2").distinct()
-        now = materialize(_counted(postings.read(touched).join(keys, ["h1", "h2"], "left_semi")).filter(F.col("refs") >= self.min_docs))
+        now = materialize(_counted(_held(postings, touched).join(keys, ["h1", "h2"], "left_semi")).filter(F.col("refs") >= self.min_docs))
         before = self.counts.read(touched)
         stay = before.join(keys, ["h1", "h2"], "left_anti")
         counts = self.counts.replaced(touched, stay.union(now).withColumn("shard", shard))
@@ -238,7 +253,7 @@ class LineIndex:
     def lost(self) -> DataFrame:
         """doc_id, h1 and h2 of the postings whose lines go."""
         spark, shard = self.postings.spark, _shard(self.shards)
-        rows = self.postings.read().withColumn("shard", shard)
+        rows = _held(self.postings).select("h1", "h2", "doc_id").withColumn("shard", shard)
         salts = {r[0]: max(1, -(-r[1] // AT_ONCE)) for r in rows.groupBy("shard").count().collect()}  # one for each shard
         parts = F.create_map(*(F.lit(x) for s in salts.items() for x in s)) if salts else F.create_map(F.lit(0), F.lit(1))
         n = F.coalesce(F.element_at(parts, F.col("shard").cast("int")), F.lit(1))
@@ -256,9 +271,8 @@ class LineIndex:
             h1 = out["h1"].to_numpy().view(np.uint64)
             out = out.filter(pa.array(Cuckoo(0, np.frombuffer(filters[0], np.uint16)).contains(h1)))
             exact = right.filter(pc.is_valid(right["h1"]))
-            at = {k: i for i, k in enumerate(zip(exact["h1"].to_pylist(), exact["h2"].to_pylist(), strict=True))}
-            found = pa.array([at.get(k) for k in zip(out["h1"].to_pylist(), out["h2"].to_pylist(), strict=True)], pa.int64())
-            gone = pc.less(out["doc_id"], exact["holder"].take(found)) if len(exact) else pa.array([False] * len(out))
+            holder = exact["holder"].take(_found(*(x[c].to_numpy() for x in (exact, out) for c in ("h1", "h2")))) if len(exact) else None
+            gone = pc.less(out["doc_id"], holder) if holder is not None else pa.array([False] * len(out))
             return out.filter(pc.fill_null(gone, False))
 
         schema = T.StructType([self.postings.schema["doc_id"], T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
@@ -305,6 +319,27 @@ def _shard(shards: int) -> Column:
     return F.pmod("h2", F.lit(shards)).cast("long")
 
 
+def _found(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.Array:
+    """Where each pair of (x, y) is among the pairs of (a, b), which differ; null where it isn't."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    at, end = np.searchsorted(a, x), np.searchsorted(a, x, side="right")
+    place = np.full(len(x), -1, np.int64)
+    for step in range(int((end - at).max(initial=0))):  # more than one only where halves of keys agree
+        here = np.minimum(at + step, len(a) - 1)
+        hit = (at + step < end) & (b[here] == y)
+        place[hit] = order[here[hit]]
+    return pa.array(place, mask=place < 0)
+
+
+def _held(postings: Table, shards: set[int] | None = None) -> DataFrame:
+    """h1, h2, doc_id and n, one row for each key and document; summed up where a shard has several segments."""
+    rows = postings.read(shards)
+    if all(len(p) == 1 for s, p in postings.folders.items() if shards is None or s in shards):
+        return rows
+    return rows.groupBy("h1", "h2", "doc_id").agg(F.sum("n").alias("n"))
+
+
 def _counted(postings: DataFrame) -> DataFrame:
     return postings.groupBy("h1", "h2").agg(F.count("*").alias("refs"), F.max("doc_id").alias("holder"))
 
@@ -313,7 +348,7 @@ _ALL = (1 << 64) - 1
 
 
 def postings_of(docs: DataFrame, min_chars: int, shards: int) -> DataFrame:
-    """h1, h2, doc_id and shard of each key of each document, once."""
+    """h1, h2, doc_id, n and shard of each key of each document: n rows of `docs` have it."""
 
     @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +365,7 @@ def postings_of(docs: DataFrame, min_chars: int, shards: int) -> DataFrame:
     found = rows.mapInArrow(scan, T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), rows.schema["doc_id"]]))
     # one shuffle, by shard and a part of the documents; a task then writes few folders
     dealt = found.withColumns({"shard": _shard(shards), "_part": F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))}).repartition("shard", "_part")
-    return dealt.dropDuplicates(["shard", "_part", "h1", "h2", "doc_id"]).drop("_part")
+    return dealt.groupBy("shard", "_part", "h1", "h2", "doc_id").agg(F.count("*").alias("n")).select("h1", "h2", "doc_id", "n", "shard")
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
