@@ -49,7 +49,7 @@ from tallyspark.llm.tokencounts import byte_symbols
 VOCABULARY_A = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY_B = public_tokenizers.path("piece_bpe_32k.model")
 #: Bytes of text in a block.
-BLOCK = 32 << 20
+BLOCK = 20 << 20
 #: Counts of links up to which they are broadcast (17 bytes each).
 LOOKED_UP = 2_000_000
 #: What stands for a space in B's pieces.
