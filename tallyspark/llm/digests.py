@@ -11,9 +11,9 @@ another (1), to nothing else (0). Equal texts have equal fingerprints. In `ring`
 doc_id, equal ids by a hash of the text and by text, and the first follows the last; a null doc_id stands alone, the empty text follows it. Repeated rows
 repeat, extra columns are ignored, an empty table gives an empty result. Texts are read whole, long ones in segments.
 
-The ring is cut into buckets by ranges of doc_id, as many as the bytes of the texts ask for. Rows of one doc_id follow one another
-by a hash of their text, so a doc_id of very many rows is cut into buckets by that hash. Of very many rows that are alike in both
-one is in the ring; the others follow one another and are dealt to tasks apart, as are rows of a null doc_id.
+The ring is a range partitioning by doc_id, hash and row, sorted, so a doc_id or a text of very many rows is no group of its own.
+Within a part each row is followed by the next one. What follows a part's last row is the first row of the next part that has
+any: the parts' ends meet by a join on the part's number. Parts and ends read the same shuffle. Ids are compared as they are.
 """
 
 from __future__ import annotations
@@ -23,17 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.base import PASS_BYTES, held, materialize, passes, tidy, utf8
+from tallyspark.llm.base import PASS_BYTES, passes, tidy, utf8
 
 WINDOW, RUN, POINTS = 64, 64, 16
 FEATURES, BITS = 160, 2048
-#: Bytes of text to a task of the ring, about, and buckets to a task; rows of a doc_id beyond which they are cut further.
-TASK_BYTES, BUCKETS, HOT_ROWS = 64 << 20, 2, 2000
+#: Bytes of text to a part of the ring, about.
+TASK_BYTES = 64 << 20
 LEVELS, LOW = 1001, 334  # entropies of 0 to 6 bits; below 2 bits is little
 
 _SCALE = 1 << 16
@@ -222,54 +221,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(scan, T.StructType([rows.schema["doc_id"], T.StructField("fingerprint", T.StringType())]))
 
 
-def ring(docs: DataFrame, tasks: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """bucket, extra, doc_id, text, next, sorted within partitions: each bucket holds a stretch of the ring and then, marked
-    `extra`, the rows that follow its last one. Rows with a `next` (a text) stand outside the ring.
-
-    The bounds are quantiles of doc_id, a few for each task. The first rows of a bucket are copied to the bucket before it.
-    """
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    known, buckets = rows.filter("doc_id is not null"), BUCKETS * tasks
-    # doc_ids of very many rows, and among them rows that are alike
-    counts = held(known.groupBy("doc_id", "hash").agg(F.count("*").alias("rows")))
-    crowds = counts.groupBy("doc_id").agg(F.sum("rows").alias("all")).filter(F.col("all") > hot_rows).collect()  # at most one for each hot_rows rows
-    alike = counts.filter(F.col("rows") > hot_rows)
-    cuts = set(known.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets)))
-    cuts |= {c for r in crowds for c in (float(r["doc_id"]), float(np.nextafter(float(r["doc_id"]), np.inf)))}
-    none = F.lit(None).cast("string").alias("next")
-    alone = [rows.filter("doc_id is null").select("doc_id", "text", F.lit("").alias("next"))]
-    if crowds:
-        copied = F.broadcast(alike.withColumnRenamed("hash", "_hash").withColumnRenamed("doc_id", "_id"))
-        same = (F.col("doc_id") == F.col("_id")) & (F.col("hash") == F.col("_hash"))
-        first = materialize(known.join(copied, same).groupBy("doc_id", "hash", "rows").agg(F.any_value("text").alias("text")))
-        alone.append(first.select("doc_id", "text", F.explode(F.sequence(F.lit(2).cast("long"), "rows")).alias("_i")).select("doc_id", "text", F.col("text").alias("next")))
-        known = known.join(copied, same, "left_anti").union(first.select("doc_id", "text", "hash"))
-    if cuts:
-        split = Bucketizer(splits=[-float("inf"), *sorted(cuts), float("inf")], inputCol="_at", outputCol="_bucket", handleInvalid="keep")
-        known = split.transform(known.withColumn("_at", F.col("doc_id").cast("double"))).select(F.col("_bucket").cast("long").alias("bucket"), "doc_id", "text", "hash")
-    else:
-        known = known.select(F.lit(0).cast("long").alias("bucket"), "doc_id", "text", "hash")
-    # a crowded doc_id has a bucket of its own, in parts by the hash
-    parts = {float(r["doc_id"]): -(-r["all"] // hot_rows) for r in crowds}
-    n = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in parts.items() for x in p)), F.col("doc_id").cast("double")), F.lit(1)) if parts else F.lit(1)
-    known = known.withColumn("part", F.floor((F.shiftrightunsigned("hash", 32) + F.lit(1 << 31).cast("long")) % F.lit(1 << 32).cast("long") * n / F.lit(1 << 32).cast("long")).cast("long"))
-    # the first row of each bucket: the largest doc_id, of it the smallest hash (by its complement)
-    firsts = known.groupBy("bucket", "part").agg(F.max(F.struct("doc_id", F.bitwise_not("hash").alias("flipped"))).alias("first")).collect()  # one for each bucket
-    order = sorted((-r["bucket"], r["part"], r["first"]["doc_id"], ~r["first"]["flipped"]) for r in firsts)
-    follows = [(order[(i + 1) % len(order)][2], order[(i + 1) % len(order)][3], i) for i in range(len(order))]
-    places = [(-b, part, i) for i, (b, part, *_) in enumerate(order)]
-    spark = docs.sparkSession
-    known = known.join(F.broadcast(spark.createDataFrame(places, "bucket long, part long, place long")), ["bucket", "part"])
-    heads = spark.createDataFrame(follows, "_id long, _hash long, before long")
-    known = known.join(F.broadcast(heads), (F.col("doc_id") == F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
-    own, copy = F.struct("place", F.lit(False).alias("extra")), F.struct(F.col("before").alias("place"), F.lit(True).alias("extra"))
-    spots = F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copy)))
-    placed = known.select(spots.alias("spot"), "doc_id", "text", "hash").select(F.col("spot.place").alias("bucket"), F.col("spot.extra").alias("extra"), "doc_id", "text", "hash", none)
-    for part in alone:  # whatever task they go to
-        at = F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).cast("long")
-        placed = placed.union(part.select(at.alias("bucket"), F.lit(False).alias("extra"), "doc_id", "text", F.lit(0).cast("long").alias("hash"), "next"))
-    sorted_ = placed.repartition(tasks, "bucket").sortWithinPartitions("bucket", F.col("next").isNull(), "extra", F.desc("doc_id"), "hash", "text")
-    return sorted_.select("bucket", "extra", "doc_id", "text", "next")
+def ring(docs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) in the ring's order within each partition, and (doc_id, text, next) of the partitions' last rows, which the
+    former don't tell what follows them. Rows with a null doc_id are in neither."""
+    rows = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # equal rows may go to different parts, as it doesn't matter which of them is where
+    rows = rows.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    order = [F.desc("doc_id"), F.col("hash")]
+    dealt = rows.repartitionByRange(parts, *order, "row").sortWithinPartitions(*order, "text")
+    place, row = F.struct(F.bitwise_not("doc_id"), "hash", "text"), F.struct("doc_id", "text")
+    ends = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min_by(row, place).alias("head"), F.max_by(row, place).alias("tail"))
+    every = Window.orderBy("part")  # numbers of parts only
+    follows = ends.select("part").withColumn("next", F.coalesce(F.lead("part").over(every), F.min("part").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    heads = ends.select(F.col("part").alias("next"), F.col("head.text").alias("after"))
+    lasts = ends.select("part", "tail").join(follows, "part").join(heads, "next").select("tail.doc_id", "tail.text", F.col("after").alias("next"))
+    return dealt.select("doc_id", "text"), lasts
 
 
 _OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -283,7 +249,7 @@ def edit_study(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rank, size = entropy_ranks(docs)
     known = spark.sparkContext.broadcast(rank)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
     def study(rows: list[tuple[int | None, str, str]], kind: pa.DataType) -> pa.RecordBatch:
         """Rows of (doc_id, text, next text)."""
@@ -310,26 +276,32 @@ def edit_study(docs: DataFrame) -> DataFrame:
         )
 
     @tidy
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row with the one behind it."""
         last, ready, size, kind = None, [], 0, None
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            for bucket, extra, doc_id, text, after in zip(*(batch.column(i) for i in range(5)), strict=True):
-                bucket, extra, doc_id, text = bucket.as_py(), extra.as_py(), doc_id.as_py(), text.as_py() or ""
-                if after.is_valid or doc_id is None:  # outside the ring
-                    ready.append((doc_id, text, after.as_py() or ""))
-                    size += len(text)
-                else:
-                    if last is not None:  # (bucket, doc_id, text) of the row that waits for its next one
-                        ready.append((last[1], last[2], text))
-                        size += len(last[2])
-                    last = None if extra else (bucket, doc_id, text)
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                here = (doc_id.as_py(), text.as_py())
+                if last is not None:
+                    ready.append((*last, here[1]))
+                    size += len(last[1])
+                last = here
                 if size >= PASS_BYTES // 2 or len(ready) >= 2000:
                     yield study(ready, kind)
                     ready, size = [], 0
         if ready:
             yield study(ready, kind)
 
-    rows = ring(docs, tasks)
-    id_field = docs.schema["doc_id"]
-    return rows.mapInArrow(scan, T.StructType([id_field, *T.StructType.fromDDL(_OUT).fields]))
+    @tidy
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that say what follows them."""
+        for batch in batches:
+            for a, b in passes(utf8(batch.column(1))[1], PASS_BYTES // 2):
+                part = batch.slice(a, b - a)
+                yield study([(i, t or "", n or "") for i, t, n in zip(*(c.to_pylist() for c in part.columns), strict=True)], part.column(0).type)
+
+    inner, lasts = ring(docs, parts)
+    alone = docs.filter("doc_id is null").select("doc_id", "text", F.lit("").alias("next"))
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(_OUT).fields])
+    return inner.mapInArrow(along, schema).union(lasts.mapInArrow(told, schema)).union(alone.mapInArrow(told, schema))

@@ -76,27 +76,71 @@ def test_edit_study_follows_the_ring(spark):
     assert all(sole[r["doc_id"]] == r["fingerprint"] for r in found if r["doc_id"] is not None)
 
 
-@pytest.mark.parametrize("hot_rows", [5, 1000])
-def test_crowded_ids_and_copies(spark, hot_rows):
-    """Rows of one id follow one another by hash; each row is followed by the next one of the ring, copies by themselves."""
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_crowded_ids_and_copies(spark, parts):
+    """Rows of one id follow one another by hash; each row is followed by the next one of the ring, copies by themselves. Ids
+    beyond 2^53 that doubles don't tell apart are apart."""
+    big = 1 << 60
     rows = [(i, f"text of {i}", "en") for i in range(8)] + [(3, f"other {i}") for i in range(40)] + [(3, "alike")] * 30 + [(6, "alike")] * 9 + [(None, "n")] * 20
+    rows += [(big + k % 2, f"big {k}") for k in range(16)] + [(-big - k % 3, f"low {k}") for k in range(9)] + [(2, None), (2, "")]
     df = docs_table(spark, rows)
-    parts = digests.ring(df, 3, hot_rows).rdd.glom().collect()
-    got = []
-    for part in parts:
-        last = None
-        for r in part:
-            if r["next"] is not None:
-                got.append((r["doc_id"], r["text"], r["next"]))
-                continue
-            if last is not None:
-                got.append((last["doc_id"], last["text"], r["text"]))
-            last = None if r["extra"] else r
-        assert last is None
+    inner, lasts = digests.ring(df, parts)
+    got = [tuple(r) for r in lasts.collect()]
+    for part in inner.rdd.glom().collect():
+        got += [(a["doc_id"], a["text"], b["text"]) for a, b in zip(part, part[1:])]
     hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
-    ring = sorted(((i, t) for i, t, *_ in rows if i is not None), key=lambda r: (-r[0], hashes[r[1]]))
-    expected = [(i, t, ring[(k + 1) % len(ring)][1]) for k, (i, t) in enumerate(ring)] + [(None, "n", "")] * 20
-    assert sorted(got, key=str) == sorted(expected, key=str)
+    ring = sorted(((i, t or "") for i, t, *_ in rows if i is not None), key=lambda r: (-r[0], hashes[r[1]]))
+    expected = [(i, t, ring[(k + 1) % len(ring)][1]) for k, (i, t) in enumerate(ring)]
+    assert sorted(got) == sorted(expected)
+    found = digests.edit_study(df)
+    assert found.count() == len(rows) and found.filter("doc_id is null").count() == 20
+
+
+def plain_digest(text: bytes, rank):
+    """The filters of a text's features, in order, as sets of bits."""
+    if not text:
+        return []
+    order = list(digests.features([text], rank)[1])
+    filters = []
+    for i in range(0, len(order), digests.FEATURES):
+        filters.append({(int(h) >> (11 * k)) & (digests.BITS - 1) for h in order[i : i + digests.FEATURES] for k in range(5)})
+    return filters
+
+
+def plain_likeness(f, g):
+    """Best normalised overlaps of the digest with fewer filters, weighted by bits; both ways for equally long ones."""
+    if not f or not g:
+        return float(len(f) == len(g))
+
+    def way(f, g):
+        total = 0.0
+        for x in f:
+            best = 0.0
+            for y in g:
+                most, chance = min(len(x), len(y)), len(x) * len(y) / digests.BITS
+                floor = chance + 0.3 * (most - chance)
+                best = max(best, (len(x & y) - floor) / max(most - floor, 1e-9) if most > floor else float(len(x & y) >= most))
+            total += best * len(x)
+        return min(1.0, total / sum(map(len, f)))
+
+    if len(f) > len(g):
+        f, g = g, f
+    return (way(f, g) + way(g, f)) / 2 if len(f) == len(g) > 1 else way(f, g)
+
+
+def test_filters_and_likeness_equal_a_plain_computation():
+    rng = random.Random(8)
+    make = lambda n: bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz    \n") for _ in range(n))
+    a = make(30_000)
+    texts = [b"", b"short", a, a[:20_000] + make(5000), make(30_000), a[:3000], b"z" * 500, a[10_000:] + a[:10_000]]
+    rank = digests.ranks(digests.histogram(texts))
+    filters, chain = digests.digests(texts, rank)
+    plain = [plain_digest(t, rank) for t in texts]
+    for i, own in enumerate(plain):
+        rows = np.unpackbits(filters[chain[i] : chain[i + 1]], axis=1)
+        assert [set(np.flatnonzero(r).tolist()) for r in rows] == own
+    left, right = np.array([(i, j) for i in range(8) for j in range(8)]).T
+    assert digests.likeness(filters, chain, left, right) == pytest.approx([plain_likeness(plain[i], plain[j]) for i, j in zip(left, right, strict=True)])
 
 
 def test_one_document_follows_itself(spark):
