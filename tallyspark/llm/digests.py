@@ -11,9 +11,10 @@ another (1), to nothing else (0). Equal texts have equal fingerprints. In `ring`
 doc_id, equal ids by a hash of the text and by text, and the first follows the last; a null doc_id stands alone, the empty text follows it. Repeated rows
 repeat, extra columns are ignored, an empty table gives an empty result. Texts are read whole, long ones in segments.
 
-The ring is a range partitioning by doc_id, hash and row, sorted, so a doc_id or a text of very many rows is no group of its own.
-Within a part each row is followed by the next one. What follows a part's last row is the first row of the next part that has
-any: the parts' ends meet by a join on the part's number. Parts and ends read the same shuffle. Ids are compared as they are.
+The ring is cut into parts of some megabytes by ranges of doc_id, hash and row, so a doc_id or a text of very many rows is no
+group of its own. The cuts are quantiles of a sample of at most `SAMPLE` rows; every row is in the part that they say, and ids
+are compared as longs. Within a part each row is followed by the next one. What follows a part's last row is the first row of
+the next part: these two are found by aggregates over the keys, and their texts by a join.
 """
 
 from __future__ import annotations
@@ -22,17 +23,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.base import PASS_BYTES, passes, tidy, utf8
+from tallyspark.llm.base import BROADCAST_ROWS, PASS_BYTES, held, materialize, passes, tidy, utf8
 
 WINDOW, RUN, POINTS = 64, 64, 16
 FEATURES, BITS = 160, 2048
-#: Bytes of text to a part of the ring, about.
-TASK_BYTES = 64 << 20
+#: Bytes of text to a task of the ring, about, and parts to a task; rows that the cuts are taken from.
+TASK_BYTES, PARTS, SAMPLE = 64 << 20, 3, 1_000_000
 LEVELS, LOW = 1001, 334  # entropies of 0 to 6 bits; below 2 bits is little
 
 _SCALE = 1 << 16
@@ -221,21 +223,48 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(scan, T.StructType([rows.schema["doc_id"], T.StructField("fingerprint", T.StringType())]))
 
 
-def ring(docs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text) in the ring's order within each partition, and (doc_id, text, next) of the partitions' last rows, which the
-    former don't tell what follows them. Rows with a null doc_id are in neither."""
+_KEY = np.dtype([("a", "<i8"), ("b", "<i8"), ("c", "<i8")])
+
+
+def _keys(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a), _KEY)
+    out["a"], out["b"], out["c"] = a, b, c
+    return out
+
+
+def cuts_of(rows: DataFrame, parts: int) -> np.ndarray:
+    """Where the parts but the first begin: keys (a, b, c) at even steps of a sample."""
+    want, n = min(20 * parts, SAMPLE), rows.count()
+    share = int(min(1.0, want / max(1, n)) * (1 << 32))
+    some = rows.filter(F.pmod(F.xxhash64("c", F.lit(3)), F.lit(1 << 32)) < share).select("a", "b", "c").toPandas()  # bounded by SAMPLE, about
+    keys = np.sort(_keys(*(some[c].to_numpy(np.int64) for c in "abc")))
+    return np.unique(keys[np.linspace(0, len(keys) - 1, parts + 1)[1:-1].astype(np.int64)]) if len(keys) else keys
+
+
+def ring(docs: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """(part, doc_id, text) in the ring's order within each part, parts within partitions; and (doc_id, text, next) of the parts'
+    last rows, which the former don't tell what follows them. Rows with a null doc_id are in neither."""
     rows = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # equal rows may go to different parts, as it doesn't matter which of them is where
-    rows = rows.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
-    order = [F.desc("doc_id"), F.col("hash")]
-    dealt = rows.repartitionByRange(parts, *order, "row").sortWithinPartitions(*order, "text")
-    place, row = F.struct(F.bitwise_not("doc_id"), "hash", "text"), F.struct("doc_id", "text")
-    ends = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min_by(row, place).alias("head"), F.max_by(row, place).alias("tail"))
-    every = Window.orderBy("part")  # numbers of parts only
-    follows = ends.select("part").withColumn("next", F.coalesce(F.lead("part").over(every), F.min("part").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    heads = ends.select(F.col("part").alias("next"), F.col("head.text").alias("after"))
-    lasts = ends.select("part", "tail").join(follows, "part").join(heads, "next").select("tail.doc_id", "tail.text", F.col("after").alias("next"))
-    return dealt.select("doc_id", "text"), lasts
+    # equal rows may be in different parts, as it doesn't matter which of them is where
+    rows = rows.select("*", F.bitwise_not(F.col("doc_id").cast("long")).alias("a"), F.xxhash64("text").alias("b"), F.xxhash64(F.monotonically_increasing_id()).alias("c"))
+    cuts = docs.sparkSession.sparkContext.broadcast(cuts_of(rows, PARTS * tasks))
+
+    @F.pandas_udf("long")
+    def part_of(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts.value, _keys(a.to_numpy(), b.to_numpy(), c.to_numpy()), side="right"))
+
+    placed = rows.withColumn("part", part_of("a", "b", "c"))
+    key = F.struct("a", "b", "c")
+    ends = held(placed.groupBy("part").agg(F.min(key).alias("head"), F.max(key).alias("tail")))
+    every = Window.orderBy("part")  # one row for each part
+    first = F.first("head").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    met = held(ends.select("tail", F.coalesce(F.lead("head").over(every), first).alias("head")))
+    wanted = met.select(F.col("tail").alias("key")).union(met.select("head")).distinct()
+    wanted = F.broadcast(wanted) if met.count() <= BROADCAST_ROWS else wanted
+    texts = materialize(rows.withColumn("key", key).join(wanted, "key").groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")))
+    lasts = met.join(texts.withColumnRenamed("key", "tail"), "tail").join(texts.select(F.col("key").alias("head"), F.col("text").alias("next")), "head")
+    dealt = placed.select("part", "doc_id", "text", "b").repartition(tasks, "part").sortWithinPartitions("part", F.desc("doc_id"), "b", "text")
+    return dealt.select("part", "doc_id", "text"), lasts.select("doc_id", "text", "next")
 
 
 _OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -249,7 +278,7 @@ def edit_study(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rank, size = entropy_ranks(docs)
     known = spark.sparkContext.broadcast(rank)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
     def study(rows: list[tuple[int | None, str, str]], kind: pa.DataType) -> pa.RecordBatch:
         """Rows of (doc_id, text, next text)."""
@@ -277,16 +306,16 @@ def edit_study(docs: DataFrame) -> DataFrame:
 
     @tidy
     def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row with the one behind it."""
-        last, ready, size, kind = None, [], 0, None
+        """Each row of a part with the one behind it."""
+        within, last, ready, size, kind = None, None, [], 0, None
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                here = (doc_id.as_py(), text.as_py())
-                if last is not None:
+            for part, doc_id, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                part, here = part.as_py(), (doc_id.as_py(), text.as_py())
+                if part == within:
                     ready.append((*last, here[1]))
                     size += len(last[1])
-                last = here
+                within, last = part, here
                 if size >= PASS_BYTES // 2 or len(ready) >= 2000:
                     yield study(ready, kind)
                     ready, size = [], 0
@@ -301,7 +330,7 @@ def edit_study(docs: DataFrame) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield study([(i, t or "", n or "") for i, t, n in zip(*(c.to_pylist() for c in part.columns), strict=True)], part.column(0).type)
 
-    inner, lasts = ring(docs, parts)
+    inner, lasts = ring(docs, tasks)
     alone = docs.filter("doc_id is null").select("doc_id", "text", F.lit("").alias("next"))
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(_OUT).fields])
     return inner.mapInArrow(along, schema).union(lasts.mapInArrow(told, schema)).union(alone.mapInArrow(told, schema))
