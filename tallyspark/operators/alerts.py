@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +15,6 @@ MID, HIGH, REARM = 80, 95, 3
 RESET_LEAD_S = 900.0
 KEYS = ["service", "bucket"]
 
-FIRED = "service string, bucket string, ts timestamp_ntz, percent int, level int, outcome string"
-
-
 def level_of(percent: Column, mid: int = MID, high: int = HIGH) -> Column:
     return F.when(percent >= high, high).when(percent >= mid, mid).otherwise(0)
 
@@ -34,28 +30,42 @@ def outcome(percent: int, last: int, mid: int = MID, high: int = HIGH, margin: i
 
 
 def thresholds(readings: DataFrame, mid: int = MID, high: int = HIGH, margin: int = REARM) -> DataFrame:
-    """The readings that fire or re-arm an alert.
+    """The readings that fire or re-arm an alert: service, bucket, ts, percent, level (held from then on), outcome.
 
-    What a reading does hangs on the level that fired last, so a bucket is walked in order; but only readings that cross one
-    of the four lines (either level, either level less the margin) can do anything, and these are all the walk sees. They are
-    found by a window function; a bucket's crossings are a few for each window.
+    What a reading does hangs on the level that fired last, but only in part: most readings set the level whatever it was (at
+    `high` or above; in the middle, below the margin of `high`; below the margin of `mid`). The others only raise it from
+    nothing to `mid` (within the margin of `high`), or only drop `high` to nothing (within the margin of `mid`). So the level
+    after a reading follows from the last one that set it and from which of the two others came since, and in which order:
+    counts and carried-forward values over slices, no walk. A bucket that oscillates around a line is spread like any other.
     """
     whole = F.round(clamped("percent")).cast("int")
+    p, order, slice_ = F.col("percent"), ["ts", "percent"], cell("ts", DAY)
     rows = readings.filter("percent is not null").select(*KEYS, "ts", whole.alias("percent"))
-    zone = F.when(F.col("percent") >= high, 4).when(F.col("percent") >= high - margin, 3).when(F.col("percent") >= mid, 2).when(F.col("percent") >= mid - margin, 1).otherwise(0)
-    rows = running(rows.withColumn("_zone", zone), KEYS, ["ts", "percent"], cell("ts", DAY), lag={"_before": "_zone"})
-    crossing = rows.filter("_before is null or _before <> _zone").select(*KEYS, "ts", "percent")
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        last, out = 0, []
-        for r in part.sort_values(["ts", "percent"]).itertuples(index=False):
-            what, level = outcome(int(r.percent), last, mid, high, margin)
-            if what != "unchanged":
-                out.append((r.service, r.bucket, r.ts, int(r.percent), level, what))
-            last = level
-        return pd.DataFrame(out, columns=["service", "bucket", "ts", "percent", "level", "outcome"])
-
-    return crossing.groupBy(*KEYS).applyInPandas(walk, FIRED)
+    sets = F.when(p >= high, high).when((p >= mid) & (p < high - margin), mid).when((p < mid) & (p < mid - margin), 0)
+    kind = F.when(sets.isNotNull(), F.concat(F.lit("set "), sets)).when(p >= mid, "raises").when(p < high - margin, "drops")
+    rows = rows.withColumn("_kind", kind).filter("_kind is not null")  # the rest does nothing
+    # a reading that does what the one before it did changes nothing
+    rows = running(rows, KEYS, order, slice_, lag={"_before": "_kind"}).filter("_before is null or _before <> _kind").drop("_before")
+    is_ = lambda k: (F.col("_kind") == k).cast("long")
+    rows = rows.withColumns({"_sets": sets, "_d": is_("drops"), "_r": is_("raises"), "_s": F.col("_kind").startswith("set").cast("long")})
+    rows = running(rows, KEYS, order, slice_, total={"_drops": F.col("_d"), "_raises": F.col("_r"), "_seen": F.col("_s")})
+    base = F.when(F.col("_sets").isNotNull(), F.struct(F.col("_sets").alias("level"), F.col("_drops").alias("drops"), F.col("_raises").alias("raises")))
+    rows = running(rows, KEYS, order, slice_, last={"_base": base})
+    level, drops, raises = F.coalesce("_base.level", F.lit(0)), F.col("_drops") - F.coalesce("_base.drops", F.lit(0)), F.col("_raises") - F.coalesce("_base.raises", F.lit(0))
+    # from `high`, only what raises after the first drop counts
+    first_drop = F.when((F.col("_kind") == "drops") & (drops == 1), F.struct(F.col("_seen").alias("base"), F.col("_raises").alias("raises")))
+    rows = running(rows.withColumns({"_level": level, "_dropped": drops, "_raised": raises}), KEYS, order, slice_, last={"_drop": first_drop})
+    again = F.coalesce((F.col("_drop.base") == F.col("_seen")) & (F.col("_raises") > F.col("_drop.raises")), F.lit(False))
+    after = (
+        F.when(F.col("_level") == mid, mid)
+        .when((F.col("_level") == high) & (F.col("_dropped") == 0), high)
+        .when(F.col("_level") == high, F.when(again, mid).otherwise(0))
+        .otherwise(F.when(F.col("_raised") > 0, mid).otherwise(0))
+    )
+    rows = running(rows.select(*KEYS, *order, after.cast("int").alias("level")), KEYS, order, slice_, lag={"_last": "level"})
+    last = F.coalesce("_last", F.lit(0))
+    what = F.when(level_of(p, mid, high) > last, "fire").when((last > 0) & (p < last - margin), "rearm")
+    return rows.select(*KEYS, "ts", "percent", "level", what.alias("outcome")).filter("outcome is not null")
 
 
 def pacing(buckets: DataFrame, burn: DataFrame, now: datetime, lead_s: float = 1800.0, high_water: float = float(MID), wants_pace: bool = True, wants_reset: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -97,17 +98,26 @@ def test_threshold_outcomes():
     assert alerts.outcome(77, 80) == ("unchanged", 80) and alerts.outcome(76, 80) == ("rearm", 0) and alerts.outcome(91, 95) == ("rearm", 80)
 
 
-def test_thresholds_walk(spark):
-    values = [10, 81, 79, 83, 96, 93, 91, 96, 70, 85]
-    df = spark.createDataFrame([("s", "b", NOW + timedelta(minutes=i), float(v)) for i, v in enumerate(values)], "service string, bucket string, ts timestamp_ntz, percent double")
-    last, expected = 0, []
-    for v in values:
-        what, level = alerts.outcome(v, last)
+@pytest.mark.parametrize(("mid", "high", "margin"), [(80, 95, 3), (90, 95, 3), (93, 95, 3), (80, 95, 0), (50, 51, 20)])
+def test_thresholds_equal_a_walk(spark, mid, high, margin):
+    """Long histories that oscillate around the lines, over several days, for levels near and far from one another."""
+    rng = random.Random(mid + margin)
+    near = [0, mid - margin - 1, mid - margin, mid - 1, mid, high - margin - 1, high - margin, high - 1, high, 100]
+    rows = [("s", f"b{k}", NOW + timedelta(minutes=37 * i), float(rng.choice(near) if k else 50)) for k in range(5) for i in range(220)]
+    df = spark.createDataFrame([*rows, ("s", "b1", NOW, None)], "service string, bucket string, ts timestamp_ntz, percent double").repartition(3)
+    expected, last = [], {}
+    for s, k, ts, v in rows:
+        what, level = alerts.outcome(int(v), last.get(k, 0), mid, high, margin)
         if what != "unchanged":
-            expected.append((v, level, what))
-        last = level
-    found = [(r["percent"], r["level"], r["outcome"]) for r in alerts.thresholds(df).orderBy("ts").collect()]
-    assert found == expected
+            expected.append((s, k, ts, int(v), level, what))
+        last[k] = level
+    found = [tuple(r) for r in alerts.thresholds(df, mid, high, margin).orderBy("bucket", "ts").collect()]
+    assert found == expected and len(found) > 100
+
+
+def test_thresholds_walk_nothing(spark, sf):
+    plan = alerts.thresholds(b.readings(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Pandas" not in plan and "Arrow" not in plan
 
 
 def test_alerts_fire_once_for_a_wandering_window(spark):
