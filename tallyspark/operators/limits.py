@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -254,9 +253,6 @@ def past_windows_by_drops(readings: DataFrame, current: DataFrame, horizon: date
     return spans.join(used.select(*KEYS, "start").distinct(), [*KEYS, "start"], "left_semi")
 
 
-PAST = "service string, bucket string, start timestamp_ntz, end timestamp_ntz, reset_low timestamp_ntz, reset_high timestamp_ntz, left_zero boolean"
-
-
 def past_windows(readings: DataFrame, current: DataFrame, horizon: datetime) -> DataFrame:
     """Finished windows of each bucket from the resets that readings named, and from held drops among those that named none.
 
@@ -265,8 +261,10 @@ def past_windows(readings: DataFrame, current: DataFrame, horizon: datetime) ->
     reset is a start too, unless one window's readings lie on both sides of it. After a window's reset another began even if
     no reading named it. Each window ends where the next begins, at its own reset, or at the current start.
 
-    Runs of named resets and held drops are found by window functions; what a bucket's group holds then is one row for each of
-    them, a few for each window within the horizon. Whether an unnamed reading left zero inside a window is told by a join.
+    Nothing sees a bucket's runs together, as a service may name another reset with every reading. Whether a run or a window
+    holds a moment follows from values carried along time: the last run before it, the furthest end before it. Whether a window
+    begins near a moment follows from the least and largest beginning in three cells; and a window's end is the next beginning.
+    Whether an unnamed reading left zero inside a window is told by a join.
     """
     rows = readings.filter(F.col("percent").isNotNull() & (F.col("ts") >= shifted(moment(horizon), -8.0 * DAY))).withColumn("percent", clamped("percent"))
     rows = rows.withColumn("_nts", F.struct("ts", "percent"))
@@ -280,60 +278,51 @@ def past_windows(readings: DataFrame, current: DataFrame, horizon: datetime) ->
     )
     drop = (F.col("_p") - F.col("percent") >= 5) & (F.col("_q").isNull() | (F.col("_p") - F.col("_q") >= 5)) & (F.col("_pr").isNull() | F.col("resets_at").isNull())
     drops = rows.filter(drop).select(*KEYS, F.col("_pt").alias("first_ts"), F.col("ts").alias("last_ts"), F.when(F.col("resets_at").isNull(), F.col("run")).otherwise(F.col("run") - F.col("_fresh")).alias("run_before"))
-    parts = (
-        runs.select(*KEYS, F.lit("run").alias("what"), "run", "low", "high", "length", "left_zero", "first_ts", "last_ts")
-        .unionByName(drops.select(*KEYS, F.lit("drop").alias("what"), F.col("run_before").alias("run"), "first_ts", "last_ts"), allowMissingColumns=True)
-    )
     cur = current.select(*KEYS, F.col("start").alias("current_start"), F.col("length").alias("current_length"))
-    joined = parts.join(cur, KEYS)
-    since = pd.Timestamp(horizon)
-
-    def listed(part: pd.DataFrame) -> pd.DataFrame:
-        return _past_of(part, since)
-
-    spans = joined.groupBy(*KEYS).applyInPandas(listed, PAST)
+    cur = small(cur, cur.count())
+    length = F.coalesce("length", "current_length")
+    runs = runs.join(cur, KEYS).withColumns({"start": shifted("high", -length), "_reset": shifted("current_start", F.col("current_length"))})
+    runs = runs.withColumn("is_open", (shifted("low", -RESET_DRIFT_S) < F.col("_reset")) & (F.col("_reset") < shifted("high", RESET_DRIFT_S)))
+    drops = drops.join(cur, KEYS).filter(F.col("last_ts") <= F.col("current_start"))
+    # a limit restored inside a window: the last run that began by then goes on beyond
+    both = runs.select(*KEYS, F.col("first_ts").alias("at"), F.lit(0).alias("what"), F.col("last_ts").alias("until"), F.lit(None).cast("timestamp_ntz").alias("first_ts"))
+    both = both.unionByName(drops.select(*KEYS, F.col("first_ts").alias("at"), F.lit(1).alias("what"), F.col("last_ts").alias("until"), "first_ts"))
+    both = running(both, KEYS, ["at", "what", "until"], cell("at", DAY), peak={"_until": F.when(F.col("what") == 0, F.col("until"))})
+    real = both.filter("what = 1 and (_until is null or _until < until)").select(*KEYS, "first_ts", F.col("until").alias("last_ts")).join(cur, KEYS)
+    late = F.col("last_ts") > shifted("current_start", -float(BIN_S))
+    early = real.filter(late).groupBy(*KEYS).agg(F.min("first_ts").alias("seen_early"))
+    # a drop begins at the reset that a run named between its readings (of several, the first run's), else at its first reading
+    opening = real.filter(~late).select(*KEYS, F.col("first_ts").alias("start"), F.col("last_ts").alias("end"))
+    at_reset = within(runs.select(*KEYS, "high", "run"), "high", opening, KEYS, (F.col("high") > F.col("start")) & (F.col("high") <= F.col("end")), HOUR)
+    at_reset = at_reset.groupBy(*KEYS, "start").agg(F.min_by("high", "run").alias("_reset"))
+    begun = opening.join(at_reset, [*KEYS, "start"], "left").select(*KEYS, F.coalesce("_reset", "start").alias("at"))
+    # not where a window's named beginning is near
+    grain = int(RESET_DRIFT_S)
+    here = cell("at", grain)
+    ends_of = runs.select(*KEYS, F.col("start").alias("at")).groupBy(*KEYS, here.alias("_cell")).agg(F.min("at").alias("_least"), F.max("at").alias("_most"))
+    spread = begun.distinct().select(*KEYS, "at", F.explode(F.array(here - 1, here, here + 1)).alias("_cell")).join(ends_of, [*KEYS, "_cell"], "left")
+    near = lambda c: F.coalesce(F.abs(seconds("at", c)) < RESET_DRIFT_S, F.lit(False))
+    plain = spread.groupBy(*KEYS, "at").agg(F.bool_or(near("_least") | near("_most")).alias("_near")).filter("not _near").select(*KEYS, "at")
+    # and after a named reset, if no named window holds it
+    closed = runs.filter("not is_open")
+    points = closed.select(*KEYS, F.col("high").alias("at"), F.lit(0).alias("what"), F.lit(None).cast("timestamp_ntz").alias("high")).distinct()
+    points = points.unionByName(runs.select(*KEYS, shifted("start", -RESET_DRIFT_S).alias("at"), F.lit(1).alias("what"), "high"))
+    points = running(points, KEYS, ["at", "what", "high"], cell("at", DAY), peak={"_high": F.col("high")})
+    plain = plain.unionByName(points.filter("what = 0 and (_high is null or _high <= at)").select(*KEYS, "at")).distinct()
+    found = closed.select(*KEYS, "start", F.col("high").alias("own_end"), F.col("low").alias("reset_low"), F.col("high").alias("reset_high"), F.coalesce("left_zero", F.lit(False)).alias("left_zero"))
+    found = found.unionByName(plain.select(*KEYS, F.col("at").alias("start"), F.lit(False).alias("left_zero")), allowMissingColumns=True)
+    marks = running(found.select(*KEYS, "start").distinct(), KEYS, ["start"], cell("start", DAY), lead={"_next": "start"})
+    found = found.join(marks, [*KEYS, "start"]).join(cur, KEYS).join(early, KEYS, "left")
+    sooner = F.when(F.col("own_end").isNotNull(), F.col("own_end")).when(F.col("seen_early") > F.col("start"), F.col("seen_early"))
+    following = F.when(F.col("_next") > F.col("start"), F.col("_next"))
+    spans = found.withColumn("end", F.least(following, "current_start", sooner)).filter((F.col("start") >= moment(horizon)) & (F.col("start") < F.col("end")))
+    spans = spans.select(*KEYS, "start", "end", "reset_low", "reset_high", "left_zero")
     left = readings.filter(F.col("resets_at").isNull() & (F.col("percent") > 0) & (F.col("ts") >= moment(horizon))).select(*KEYS, "ts")
     used = within(left, "ts", spans.filter("not left_zero").select(*KEYS, "start", "end"), KEYS, (F.col("ts") > F.col("start")) & (F.col("ts") <= F.col("end")), HOUR)
     used = used.select(*KEYS, "start", "end", F.lit(True).alias("_used")).distinct()
     return spans.join(used, [*KEYS, "start", "end"], "left").filter(F.col("left_zero") | F.col("_used")).select(*KEYS, "start", "end", "reset_low", "reset_high")
 
 
-def _past_of(part: pd.DataFrame, horizon: pd.Timestamp) -> pd.DataFrame:
-    """The finished windows of one bucket, from its runs of named resets and its held drops; `left_zero`: a named reading did."""
-    drift, bin_ = pd.Timedelta(seconds=RESET_DRIFT_S), pd.Timedelta(seconds=BIN_S)
-    current = part["current_start"].iloc[0]
-    length = pd.Timedelta(seconds=float(part["current_length"].iloc[0]))
-    runs = part[part["what"] == "run"].sort_values("run")
-    named = [
-        {"run": r.run, "low": r.low, "high": r.high, "start": r.high - (pd.Timedelta(seconds=float(r.length)) if pd.notna(r.length) else length), "zero": bool(r.left_zero), "first": r.first_ts, "last": r.last_ts}
-        for r in runs.itertuples()
-    ]
-    open_now = lambda g: g["low"] - drift < current + length < g["high"] + drift
-    starts, seen_early = [], None
-    for d in part[part["what"] == "drop"].sort_values("last_ts").itertuples():
-        if d.last_ts > current or any(g["first"] <= d.first_ts and g["last"] >= d.last_ts for g in named):
-            continue  # in the open window, or a limit restored inside a window
-        if d.last_ts > current - bin_:
-            seen_early = d.first_ts if seen_early is None else min(seen_early, d.first_ts)
-            continue
-        starts.append(next((g["high"] for g in named if d.first_ts < g["high"] <= d.last_ts), d.first_ts))
-    inside = lambda t: any(g["start"] - drift < t < g["high"] for g in named)
-    plain = {s for s in starts if not any(abs(g["start"] - s) < drift for g in named)}
-    plain |= {g["high"] for g in named if not open_now(g) and not inside(g["high"])}
-    found = [(g["start"], g["high"], g["low"], g["high"], g["zero"]) for g in named if not open_now(g)] + [(s, None, None, None, False) for s in plain]
-    marks = sorted([f[0] for f in found] + [current])
-    out = []
-    for start, own_end, low, high, zero in found:
-        end = min([m for m in marks if m > start] + [current])
-        if own_end is not None:
-            end = min(end, own_end)
-        elif seen_early is not None and seen_early > start:
-            end = min(end, seen_early)
-        if start >= horizon and start < end:
-            out.append((part["service"].iloc[0], part["bucket"].iloc[0], start, end, low, high, zero))
-    return pd.DataFrame(sorted(out, key=lambda r: r[2], reverse=True), columns=["service", "bucket", "start", "end", "reset_low", "reset_high", "left_zero"])
-
-
 def own_readings(readings: DataFrame, past: DataFrame) -> DataFrame:
     """The readings of past windows: those that named a reset of the window, held inside it, and those that named none, by time.
 

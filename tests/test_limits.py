@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,85 @@ def test_seeded_histories_keep_the_invariants(spark, seeds):
         assert all(a["end"] <= b["start"] for a, b in zip(own, own[1:], strict=False))
 
 
+def walk_past(part, horizon):
+    """The finished windows of one bucket, from its runs of named resets and its held drops; `left_zero`: a named reading did."""
+    drift, bin_ = pd.Timedelta(seconds=limits.RESET_DRIFT_S), pd.Timedelta(seconds=limits.BIN_S)
+    current = part["current_start"].iloc[0]
+    length = pd.Timedelta(seconds=float(part["current_length"].iloc[0]))
+    runs = part[part["what"] == "run"].sort_values("run")
+    named = [
+        {"run": r.run, "low": r.low, "high": r.high, "start": r.high - (pd.Timedelta(seconds=float(r.length)) if pd.notna(r.length) else length), "zero": bool(r.left_zero), "first": r.first_ts, "last": r.last_ts}
+        for r in runs.itertuples()
+    ]
+    open_now = lambda g: g["low"] - drift < current + length < g["high"] + drift
+    starts, seen_early = [], None
+    for d in part[part["what"] == "drop"].sort_values("last_ts").itertuples():
+        if d.last_ts > current or any(g["first"] <= d.first_ts and g["last"] >= d.last_ts for g in named):
+            continue  # in the open window, or a limit restored inside a window
+        if d.last_ts > current - bin_:
+            seen_early = d.first_ts if seen_early is None else min(seen_early, d.first_ts)
+            continue
+        starts.append(next((g["high"] for g in named if d.first_ts < g["high"] <= d.last_ts), d.first_ts))
+    inside = lambda t: any(g["start"] - drift < t < g["high"] for g in named)
+    plain = {s for s in starts if not any(abs(g["start"] - s) < drift for g in named)}
+    plain |= {g["high"] for g in named if not open_now(g) and not inside(g["high"])}
+    found = [(g["start"], g["high"], g["low"], g["high"], g["zero"]) for g in named if not open_now(g)] + [(s, None, None, None, False) for s in plain]
+    marks = sorted([f[0] for f in found] + [current])
+    out = []
+    for start, own_end, low, high, zero in found:
+        end = min([m for m in marks if m > start] + [current])
+        if own_end is not None:
+            end = min(end, own_end)
+        elif seen_early is not None and seen_early > start:
+            end = min(end, seen_early)
+        if start >= horizon and start < end:
+            out.append((part["service"].iloc[0], part["bucket"].iloc[0], start, end, low, high, zero))
+    return pd.DataFrame(sorted(out, key=lambda r: r[2], reverse=True), columns=["service", "bucket", "start", "end", "reset_low", "reset_high", "left_zero"])
+
+
+def runs_and_drops(rows, current, length, horizon):
+    """Runs of named resets and held drops of one bucket's readings (ts, percent, resets_at, window_seconds), in order."""
+    rows = [r for r in sorted(rows, key=lambda r: (r[0], r[1])) if r[0] >= horizon - timedelta(days=8)]
+    out, named, run, runs = [], None, 0, {}
+    for i, (ts, p, reset, window) in enumerate(rows):
+        before = run
+        if reset is not None:
+            if named is None or abs((reset - named).total_seconds()) >= limits.RESET_DRIFT_S:
+                run += 1
+            g = runs.setdefault(run, {"run": run, "low": reset, "high": reset, "length": None, "left_zero": False, "first_ts": ts, "last_ts": ts})
+            g |= {"low": min(g["low"], reset), "high": max(g["high"], reset), "left_zero": g["left_zero"] or p > 0, "last_ts": ts, "length": window if window is not None else g["length"]}
+            named = reset
+        if i and rows[i - 1][1] - p >= 5 and (i + 1 == len(rows) or rows[i - 1][1] - rows[i + 1][1] >= 5) and (rows[i - 1][2] is None or reset is None):
+            out.append({"what": "drop", "run": before, "first_ts": rows[i - 1][0], "last_ts": ts})
+    out += [g | {"what": "run"} for g in runs.values()]
+    return pd.DataFrame([{"service": "s", "bucket": "b", "current_start": current, "current_length": length, "low": None, "high": None, "length": None, "left_zero": False} | r for r in out])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_past_windows_equal_a_walk_of_wild_histories(spark, seed):
+    """Readings that name another reset each time, or none, and resets that oscillate, repeat and lie far ahead or behind."""
+    rng, rows, expected = random.Random(seed), [], []
+    horizon, current, length = T0 + timedelta(days=1), T0 + timedelta(days=9), 5 * 3600.0
+    for k in range(12):
+        own, t, p = [], T0 - timedelta(days=2), 0.0
+        while t < current + timedelta(hours=3):
+            t += timedelta(minutes=rng.choice([1, 5, 30, 200, 900]), seconds=rng.randrange(3))
+            p = rng.choice([p, min(100.0, p + rng.randrange(20)), max(0.0, p - rng.randrange(60)), 0.0])
+            base = t.replace(minute=0, second=0, microsecond=0)
+            reset = rng.choice([None, None, base + timedelta(hours=rng.choice([1, 2, 5]), seconds=rng.randrange(700)), current + timedelta(hours=5), t, base - timedelta(hours=1)]) if k % 3 else rng.choice([None, base + timedelta(hours=3), base + timedelta(hours=5, minutes=5)])
+            own.append((t, p, reset, rng.choice([None, 18000.0, 7200.0])))
+        rows += [(f"s{k}", "b", ts, v, r, w) for ts, v, r, w in own]
+        spans = walk_past(runs_and_drops(own, current, length, horizon), pd.Timestamp(horizon))
+        for r in spans.itertuples():
+            used = r.left_zero or any(x is None and v > 0 and ts >= horizon and r.start < ts <= r.end for ts, v, x, _ in own)
+            if used:
+                expected.append((f"s{k}", r.start, r.end, None if pd.isna(r.reset_high) else r.reset_high))
+    cur = spark.createDataFrame([(f"s{k}", "b", current, length) for k in range(12)], "service string, bucket string, start timestamp_ntz, length double")
+    found = [(r["service"], r["start"], r["end"], r["reset_high"]) for r in limits.past_windows(spark.createDataFrame(rows, READING), cur, horizon).collect()]
+    assert sorted(found, key=str) == sorted(((s_, a.to_pydatetime(), b.to_pydatetime(), h and h.to_pydatetime()) for s_, a, b, h in expected), key=str)
+    assert len(found) > 20
+
+
 def walk_restored(points):
     points = sorted(points)
     held = [i for i in range(1, len(points)) if points[i - 1][1] - points[i][1] >= 5 and (i + 1 == len(points) or points[i - 1][1] - points[i + 1][1] >= 5)]
