@@ -9,12 +9,15 @@ of a text. Every candidate is checked by the exact overlap of the two sets; hash
 Where a shared shingle stands says more: it can be the first one that two sets share only if what follows it in both is enough
 (positional filter), so a passage that comes late in two sets brings them together only if they are that alike.
 
-Texts of equal sets are one node. In a first round each text is checked against the center of every shingle it shares: the node
-with the fewest shingles of its own, which is the same one for most shingles of a group. So a large group makes
-few candidates a text, and whatever is near enough to the group's core is in one component then. In the second, where a
+Texts of equal sets are one node. In a first round each text is checked against the centers of every shingle it shares, one
+for each size that it could go with: the node with the fewest shingles of its own, which is the same one for most shingles of
+a group. So a large group makes few candidates a text, and whatever is near enough to the group's core is in one component
+then. In the second, where a
 shingle's texts still lie in several components, texts that no size in the shingle's group could be near enough to are left
 aside, and the pairs of the rest between different components that pass the filter are checked; pairs inside a component
-need no check. So no link is lost, and none of a group's pairs needs to be listed.
+need no check. So no link is lost, and a connected group's pairs aren't listed. What is: pairs of texts of one template that
+differ in so few words that the order can't tell them from near copies, but are just too far apart. Their number grows with the
+square of such a group.
 
 Null and empty texts are copies of each other. Rows with a null doc_id get a component like others but never name one. Rows are
 told apart by doc_id and text: those that share both are one document, those that share a doc_id only are two. Extra
@@ -75,9 +78,9 @@ def shingle_sets(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     return rows.mapInArrow(scan, T.StructType([rows.schema["doc_id"], rows.schema["text_hash"], *(T.StructField(k, t) for k, t in fields.items())]))
 
 
-def common_shingles(docs: DataFrame, words: int, similarity: float) -> np.ndarray:
-    """The most common first shingles of a sample of the texts, sorted. They only settle an order: none is left out."""
-    some = shingle_sets(docs.filter(F.pmod(F.xxhash64("text"), F.lit(ONE_IN)) == 0), words, similarity)
+def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """The most common shingles of a sample of the texts, sorted. They only settle an order: none is left out."""
+    some = shingle_sets(docs.filter(F.pmod(F.xxhash64("text"), F.lit(ONE_IN)) == 0), words, 0.0)  # all shingles, for any may come first
     counts = some.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"))
     top = counts.filter((F.col("n") >= OFTEN) & (F.col("a") < F.col("b"))).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON)
     return np.sort(top.select("shingle").toPandas()["shingle"].to_numpy(np.int64))
@@ -131,7 +134,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     """doc_id, `text_hash` and `component_id`, one row for each row of `docs`: the smallest doc_id reachable over links of texts
     that are similar enough. `first` marks the document that stands for its component: the smallest doc_id (nulls last), then
     the smallest text_hash."""
-    sets = materialize(shingle_sets(docs, words, similarity, common_shingles(docs, words, similarity)))
+    sets = materialize(shingle_sets(docs, words, similarity, common_shingles(docs, words)))
     one = {c: F.min(c).alias(c) for c in ("fingerprint", "n", "text_hash")} | {"sketch": F.any_value("sketch").alias("sketch")}
     document = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("text_hash").alias("text"))
     nodes = materialize(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(document).alias("chief"), *one.values()))
@@ -147,8 +150,12 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
         alike = F.least(n, m) >= similarity * F.greatest(n, m) - _E
         return alike & (F.least(n - i, m - j) >= similarity / (1 + similarity) * (n + m) - _E)
 
-    centers = shared.groupBy("shingle").agg(F.min(F.struct("rare", "node", "i", "n")).alias("c")).select("shingle", F.col("c.i").alias("j"), F.col("c.node").alias("b"), F.col("c.n").alias("m"))
-    stars = shared.join(centers, "shingle").filter(fits("n", "i", "m", "j")).select(F.col("node").alias("a"), "b")
+    # a center for each size: similar sets differ by less than a band, so a text meets those of its own and both next bands
+    band = F.floor(F.log("n") / F.lit(-math.log(similarity))).cast("int")
+    sized = shared.withColumn("band", band)
+    centers = sized.groupBy("shingle", "band").agg(F.min(F.struct("rare", "node", "i", "n")).alias("c")).select("shingle", "band", F.col("c.i").alias("j"), F.col("c.node").alias("b"), F.col("c.n").alias("m"))
+    near_by = sized.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    stars = near_by.join(centers, ["shingle", "band"]).filter(fits("n", "i", "m", "j")).select(F.col("node").alias("a"), "b")
     pairs = stars.union(by_fingerprint(nodes.select("node", "fingerprint"))).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs)
     sure = verified(docs, nodes, pairs, words, similarity)
