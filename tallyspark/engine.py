@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.moments import moment
 from tallyspark.operators import dedup, pricing, rollup, sessions
+from tallyspark.sources import providers
 
 
 @dataclass(frozen=True)
 class Engine:
     """Answers over turn records (`schema.TURNS`) and chat events (`schema.CHAT_EVENTS`) of any provider.
 
-    `live` is the price table of the day, if there is one. Nothing is computed before an answer is used.
+    `Engine.of` reads them by the providers' names. `live` is the price table of the day, if there is one. Nothing is computed before an answer is used.
     """
 
     records: DataFrame
     events: DataFrame
     live: DataFrame | None = None
 
+    @classmethod
+    def of(cls, spark: SparkSession, sources: dict[str, Sequence[str]], now: datetime | None = None, live: DataFrame | None = None) -> Engine:
+        """An engine over providers by name (`sources.providers`), each with the folders of its logs."""
+        found = providers.read_all(spark, sources, now)
+        return cls(found.records, found.events, live)
+
     def turns(self) -> DataFrame:
         """Each response once, of real models, priced and costed."""
         return pricing.costed(pricing.priced(dedup.without_synthetic(dedup.later_readings(self.records)), self.live))

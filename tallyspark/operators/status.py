@@ -25,7 +25,8 @@ def document(services: DataFrame, buckets: DataFrame, costs: DataFrame, chats: D
     order = F.struct("service", "name", "state", "fetched_at", "windows", "today_nd", "week_nd", "today_tokens", "sessions")
     body = rows.agg(F.array_sort(F.collect_list(order)).alias("services"))
     top = live_agents.orderBy("rank", F.desc("last_event_at"), "session_id").limit(AGENTS)
-    agents = top.agg(F.array_sort(F.collect_list(F.struct("rank", "source", "session_id", "state", "activity", "last_event_at"))).alias("agents"))
+    place = F.struct(F.col("rank").alias("_r"), (-F.unix_micros(F.col("last_event_at").cast("timestamp"))).alias("_t"), F.col("session_id").alias("_s"), F.struct("rank", "source", "session_id", "state", "activity", "last_event_at").alias("agent"))
+    agents = top.agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["agent"]).alias("agents"))
     n = live_agents.agg(F.count_if(F.col("state") == "needsYou").alias("needs_you"), F.count_if(F.col("state") == "working").alias("working"))
     one = body.join(F.broadcast(agents), F.lit(True)).join(F.broadcast(n), F.lit(True))  # one row each
     return one.select(F.to_json(F.struct(F.lit(VERSION).alias("version"), F.lit(now.isoformat()).alias("updated_at"), "services", F.struct("needs_you", "working", F.col("agents").alias("sessions")).alias("agents"))).alias("value"))
@@ -38,6 +39,14 @@ def parsed(documents: DataFrame) -> DataFrame:
     return rows.select("version", "s.service", "s.state", F.explode_outer("s.windows").alias("w")).select("version", "service", "state", "w.bucket", "w.percent", "w.kind")
 
 
+def parsed_agents(documents: DataFrame) -> DataFrame:
+    """One row for each agent of status documents, in their order (`pos` from 0), with the counts of all."""
+    one = "struct<rank: int, source: string, session_id: string, state: string>"
+    rows = documents.select(F.from_json("value", f"agents struct<needs_you: bigint, working: bigint, sessions: array<{one}>>").alias("d"))
+    listed = rows.select("d.agents.needs_you", "d.agents.working", F.posexplode_outer("d.agents.sessions").alias("pos", "s"))
+    return listed.select("needs_you", "working", "pos", "s.source", "s.session_id", "s.state")
+
+
 def widget(services: DataFrame, buckets: DataFrame) -> DataFrame:
     """What the widget shows of each window."""
     return buckets.join(services.select("service", "name", "state"), "service").select("service", "name", "state", "bucket", "label", "percent", "resets_at", "pos")

@@ -155,10 +155,26 @@ def past_windows_by_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(limits.past_windows_by_drops(b.readings(spark, sf_dir), _current(spark, sf_dir), b.now(spark, sf_dir) - timedelta(days=31)))
 
 
-@query()
+_PASS = "PARTITION BY service, bucket ORDER BY ts, percent"
+
+
+@query(f"""{b.READINGS}, {b.WINDOWS_CTE}, cur AS (SELECT service, bucket, max(start) AS cur, CASE WHEN bucket = 'five_hour' THEN {b.HOURS5} ELSE {b.WEEK} END AS len FROM windows GROUP BY 1, 2),
+l AS (SELECT *, lag(percent) OVER w AS p, lag(ts) OVER w AS pt, lag(resets_at) OVER w AS pr, lead(percent) OVER w AS q, last_value(resets_at IGNORE NULLS) OVER ({_PASS} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS named FROM readings, clock WHERE ts >= now - INTERVAL 39 DAY WINDOW w AS ({_PASS})),
+r AS (SELECT *, sum(CASE WHEN resets_at IS NOT NULL AND (named IS NULL OR abs(epoch_us(resets_at) - epoch_us(named)) >= 600000000) THEN 1 ELSE 0 END) OVER ({_PASS} ROWS UNBOUNDED PRECEDING) AS run FROM l),
+g AS (SELECT service, bucket, run, min(resets_at) AS low, max(resets_at) AS high, arg_max(window_seconds, (ts, percent)) AS secs, bool_or(percent > 0) AS zero, min(ts) AS first_ts, max(ts) AS last_ts FROM r WHERE resets_at IS NOT NULL GROUP BY 1, 2, 3),
+named AS (SELECT g.*, cur, high - to_microseconds(CAST(coalesce(secs, len) * 1e6 AS BIGINT)) AS start, low - INTERVAL 10 MINUTE < cur + to_seconds(len) AND cur + to_seconds(len) < high + INTERVAL 10 MINUTE AS open FROM g JOIN cur USING (service, bucket)),
+d AS (SELECT service, bucket, pt AS a, ts AS z, cur FROM r JOIN cur USING (service, bucket) WHERE p - percent >= 5 AND (q IS NULL OR p - q >= 5) AND (pr IS NULL OR resets_at IS NULL) AND ts <= cur AND NOT EXISTS (SELECT 1 FROM g WHERE g.service = r.service AND g.bucket = r.bucket AND g.first_ts <= r.pt AND g.last_ts >= r.ts)),
+early AS (SELECT service, bucket, min(a) AS seen FROM d WHERE z > cur - INTERVAL 30 MINUTE GROUP BY 1, 2),
+s AS (SELECT DISTINCT service, bucket, coalesce((SELECT arg_min(high, run) FROM g WHERE g.service = d.service AND g.bucket = d.bucket AND d.a < high AND high <= d.z), a) AS t0 FROM d WHERE z <= cur - INTERVAL 30 MINUTE),
+plain AS (SELECT service, bucket, t0 FROM s WHERE NOT EXISTS (SELECT 1 FROM named n WHERE n.service = s.service AND n.bucket = s.bucket AND abs(epoch_us(n.start) - epoch_us(s.t0)) < 600000000)
+  UNION SELECT service, bucket, high FROM named n WHERE NOT open AND NOT EXISTS (SELECT 1 FROM named o WHERE o.service = n.service AND o.bucket = n.bucket AND o.start - INTERVAL 10 MINUTE < n.high AND n.high < o.high)),
+found AS (SELECT service, bucket, start, high AS own_end, high AS reset_high, zero FROM named WHERE NOT open UNION ALL SELECT service, bucket, t0, NULL, NULL, false FROM plain),
+e AS (SELECT f.*, least((SELECT min(start) FROM found o WHERE o.service = f.service AND o.bucket = f.bucket AND o.start > f.start), cur, CASE WHEN own_end IS NOT NULL THEN own_end WHEN seen > f.start THEN seen END) AS fin FROM found f JOIN cur USING (service, bucket) LEFT JOIN early USING (service, bucket))
+SELECT service, bucket, epoch_us(start) AS start, epoch_us(fin) AS "end", coalesce(epoch_us(reset_high), -1) AS reset_high FROM e, clock WHERE start >= now - INTERVAL 31 DAY AND start < fin AND (zero OR EXISTS (SELECT 1 FROM readings x WHERE x.service = e.service AND x.bucket = e.bucket AND x.resets_at IS NULL AND x.percent > 0 AND x.ts >= now - INTERVAL 31 DAY AND x.ts > e.start AND x.ts <= e.fin))""")
 def past_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-7: from named resets and held drops; tested on hand-made and seeded histories."""
-    return flat(limits.past_windows(b.readings(spark, sf_dir), _current(spark, sf_dir), b.now(spark, sf_dir) - timedelta(days=31)))
+    """WIN-7: from named resets and held drops; also tested against a walk of wild histories."""
+    out = flat(limits.past_windows(b.readings(spark, sf_dir), _current(spark, sf_dir), b.now(spark, sf_dir) - timedelta(days=31)))
+    return out.select("service", "bucket", "start", "end", F.coalesce("reset_high", F.lit(-1)).alias("reset_high"))
 
 
 @query(f"""{b.READINGS}, {b.WINDOWS_CTE}, {_CUR}, o AS (SELECT r.* FROM readings r JOIN cur c USING (service, bucket) WHERE resets_at IS NULL OR resets_at > cur + INTERVAL 10 MINUTE) SELECT service, bucket, count(*) AS n, max(percent) AS percent FROM o GROUP BY 1, 2""")

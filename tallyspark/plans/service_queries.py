@@ -7,9 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.operators import alerts, quota, services, status
+from tallyspark.operators import agents, alerts, quota, services, status
 from tallyspark.plans import binding as b
-from tallyspark.plans import chat_queries
+from tallyspark.plans import agent_queries, chat_queries
 from tallyspark.plans.binding import flat
 from tallyspark.plans.catalog import query
 
@@ -265,10 +265,21 @@ def widget_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{b.SERVICES} SELECT 2 AS version, s.service, s.state, bucket, percent, kind FROM services s LEFT JOIN buckets USING (service)")
 def status_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-3: the document written and read back, one row for each window."""
+    return status.parsed(_document(spark, sf_dir))
+
+
+def _document(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = chat_queries._summary(spark, sf_dir).withColumn("service", F.concat(F.lit("n"), (F.substring("chat_id", 2, 9).cast("int") % 25).cast("string")))
     costs = b.services(spark, sf_dir).select("service", F.lit(1).alias("today_nd"), F.lit(2).alias("week_nd"), F.lit(3).alias("today_tokens"))
-    live = b.agent_events(spark, sf_dir).limit(0).select("source", "session_id", F.lit("idle").alias("state"), F.lit("x").alias("activity"), F.col("ts").alias("last_event_at"), F.lit(1).alias("rank"))
-    return status.parsed(status.document(b.services(spark, sf_dir), b.buckets(spark, sf_dir), costs, chats, live, NOW))
+    return status.document(b.services(spark, sf_dir), b.buckets(spark, sf_dir), costs, chats, agents.live(agent_queries._runs(spark, sf_dir)), NOW)
+
+
+@query(f"""{agent_queries.MACHINE}, l AS (SELECT *, CASE state WHEN 'needsYou' THEN 0 WHEN 'working' THEN 1 WHEN 'done' THEN 2 ELSE 3 END AS rank FROM runs WHERE ended_at IS NULL), n AS (SELECT count(*) FILTER (state = 'needsYou') AS needs_you, count(*) FILTER (state = 'working') AS working FROM l),
+placed AS (SELECT source, session_id, state, row_number() OVER (ORDER BY rank, last_event_at DESC, session_id) - 1 AS pos FROM l)
+SELECT needs_you, working, CAST(pos AS INTEGER) AS pos, source, session_id, state FROM placed, n WHERE pos < 20""")
+def status_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-3: the document's agents, the 20 first, and how many there are of either kind."""
+    return status.parsed_agents(_document(spark, sf_dir))
 
 
 @query(f"{chat_queries.SUMMARY} SELECT chat_id, epoch_us(last_at) AS last_at FROM summary ORDER BY summary.last_at DESC, chat_id LIMIT 7")

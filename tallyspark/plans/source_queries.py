@@ -262,16 +262,26 @@ def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.budgets(rows, "_usage", ("vibe_usage", "api_usage")).select("bucket", "label", "percent", "kind", "allowance_used", "place", "window_seconds")
 
 
-_FEED = """{"anthropic": {"models": {"Big-One-20250101": {"cost": {"input": 4, "output": 20}}, "small": {"cost": {"input": 1, "output": 5, "cache_read": 0.3, "cache_write": 2}}, "pic": {"cost": null}}},
-"openai": {"models": {"gpt-5.6-x": {"cost": {"input": 2, "output": 8}}, "gpt-5": {"cost": {"input": 1, "output": 4}}, "small": {"cost": {"input": 9, "output": 9}}}}, "nobody": {"models": {"z": {"cost": {"input": 1, "output": 1}}}}}"""
+#: A feed of the parts: a quarter of them for each provider (the last one unknown), numbered alike in each.
+_FEED = """
+WITH f AS (SELECT p_partkey % 4 AS place, (p_partkey // 4 % 2 = 0)::BOOLEAN AS newer, CASE WHEN p_partkey // 4 % 2 = 0 THEN 'gpt-6-' ELSE 'm-' END || (p_partkey // 4) AS id, p_partkey, p_size,
+  CASE WHEN p_size % 7 <> 0 THEN CAST(p_size AS DOUBLE) END AS i, CASE WHEN p_size % 11 <> 0 THEN CAST(p_size * 4 AS DOUBLE) END AS o, CASE WHEN p_size % 3 = 0 THEN p_size / 8.0 END AS r, CASE WHEN p_size % 5 = 0 THEN p_size * 2.0 END AS w FROM part),
+g AS (SELECT *, coalesce(w, CASE WHEN place = 0 OR place = 1 AND newer THEN i * 1.25 ELSE 0.0 END) AS cw FROM f WHERE place < 3 AND i IS NOT NULL AND o IS NOT NULL)
+SELECT id AS model_norm, i AS in_per_m, o AS out_per_m, round(coalesce(r, i * 0.1), 9)::DOUBLE AS cache_read_per_m, cw::DOUBLE AS cw5m_per_m, round(cw * 1.6, 9)::DOUBLE AS cw1h_per_m FROM g QUALIFY row_number() OVER (PARTITION BY id ORDER BY place DESC) = 1"""
 
 
-@query("""SELECT * FROM (VALUES ('big-one', 4.0::DOUBLE, 0.4::DOUBLE, 5.0::DOUBLE, 8.0::DOUBLE), ('small', 9.0, 0.9, 0.0, 0.0), ('gpt-5.6-x', 2.0, 0.2, 2.5, 4.0), ('gpt-5', 1.0, 0.1, 0.0, 0.0)) t(model_norm, in_per_m, cache_read_per_m, cw5m_per_m, cw1h_per_m)""")
+@query(_FEED)
 def price_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-22: a feed's rates with their defaults."""
-    feed = spark.createDataFrame([(_FEED,)], "value string")
+    """SRC-22: a feed's rates with their defaults; models without a price, unknown providers, ids that several have."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        F.element_at(F.array(*map(F.lit, ("anthropic", "openai", "xai", "nobody"))), (k % 4 + 1).cast("int")).alias("provider"),
+        F.concat(F.when(F.floor(k / 4) % 2 == 0, "gpt-6-").otherwise("m-"), F.floor(k / 4).cast("string")).alias("id"),
+        F.struct(F.when(size % 7 != 0, size.cast("double")).alias("input"), F.when(size % 11 != 0, (size * 4).cast("double")).alias("output"), F.when(size % 3 == 0, size / 8).alias("cache_read"), F.when(size % 5 == 0, size * 2.0).alias("cache_write")).alias("cost"),
+    )
+    feed = rows.select(F.to_json(F.create_map("provider", F.struct(F.create_map("id", F.struct("cost")).alias("models")))).alias("value"))
     out = payloads.price_feed(feed)
-    return out.select("model_norm", "in_per_m", F.round("cache_read_per_m", 9).alias("cache_read_per_m"), "cw5m_per_m", "cw1h_per_m")
+    return out.select("model_norm", "in_per_m", "out_per_m", F.round("cache_read_per_m", 9).alias("cache_read_per_m"), "cw5m_per_m", F.round("cw1h_per_m", 9).alias("cw1h_per_m"))
 
 
 @query("""SELECT event_id AS seq, CASE WHEN event_id % 31 = 0 THEN 'not_json' WHEN event_id % 29 = 0 THEN 'version' WHEN event_id % 23 = 0 THEN 'missing:session_id' ELSE '' END AS error,
