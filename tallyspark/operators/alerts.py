@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.frames import running
+from tallyspark.functions.frames import running, written
 from tallyspark.functions.moments import DAY, cell, moment, seconds
 from tallyspark.functions.percents import clamped
 
@@ -45,12 +45,12 @@ def thresholds(readings: DataFrame, mid: int = MID, high: int = HIGH, margin: in
     kind = F.when(sets.isNotNull(), F.concat(F.lit("set "), sets)).when(p >= mid, "raises").when(p < high - margin, "drops")
     rows = rows.withColumn("_kind", kind).filter("_kind is not null")  # the rest does nothing
     # a reading that does what the one before it did changes nothing
-    rows = running(rows, KEYS, order, slice_, lag={"_before": "_kind"}).filter("_before is null or _before <> _kind").drop("_before")
+    rows = written(running(rows, KEYS, order, slice_, lag={"_before": "_kind"}).filter("_before is null or _before <> _kind").drop("_before"))
     is_ = lambda k: (F.col("_kind") == k).cast("long")
     rows = rows.withColumns({"_sets": sets, "_d": is_("drops"), "_r": is_("raises"), "_s": F.col("_kind").startswith("set").cast("long")})
     rows = running(rows, KEYS, order, slice_, total={"_drops": F.col("_d"), "_raises": F.col("_r"), "_seen": F.col("_s")})
     base = F.when(F.col("_sets").isNotNull(), F.struct(F.col("_sets").alias("level"), F.col("_drops").alias("drops"), F.col("_raises").alias("raises")))
-    rows = running(rows, KEYS, order, slice_, last={"_base": base})
+    rows = written(running(rows, KEYS, order, slice_, last={"_base": base}))
     level, drops, raises = F.coalesce("_base.level", F.lit(0)), F.col("_drops") - F.coalesce("_base.drops", F.lit(0)), F.col("_raises") - F.coalesce("_base.raises", F.lit(0))
     # from `high`, only what raises after the first drop counts
     first_drop = F.when((F.col("_kind") == "drops") & (drops == 1), F.struct(F.col("_seen").alias("base"), F.col("_raises").alias("raises")))
@@ -62,7 +62,7 @@ def thresholds(readings: DataFrame, mid: int = MID, high: int = HIGH, margin: in
         .when(F.col("_level") == high, F.when(again, mid).otherwise(0))
         .otherwise(F.when(F.col("_raised") > 0, mid).otherwise(0))
     )
-    rows = running(rows.select(*KEYS, *order, after.cast("int").alias("level")), KEYS, order, slice_, lag={"_last": "level"})
+    rows = running(written(rows.select(*KEYS, *order, after.cast("int").alias("level"))), KEYS, order, slice_, lag={"_last": "level"})
     last = F.coalesce("_last", F.lit(0))
     what = F.when(level_of(p, mid, high) > last, "fire").when((last > 0) & (p < last - margin), "rearm")
     return rows.select(*KEYS, "ts", "percent", "level", what.alias("outcome")).filter("outcome is not null")

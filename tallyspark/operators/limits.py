@@ -10,7 +10,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.frames import running, small, within
+from tallyspark.functions.frames import running, small, within, written
 from tallyspark.functions.models import display_name
 from tallyspark.functions.moments import DAY, HOUR, cell, moment, seconds, shifted
 from tallyspark.functions.percents import clamped, one_decimal
@@ -271,24 +271,27 @@ def past_windows(readings: DataFrame, current: DataFrame, horizon: datetime) ->
     day_ = cell("ts", DAY)
     rows = running(rows, KEYS, ["ts", "percent"], day_, lag={"_p": "percent", "_pt": "ts", "_pr": "resets_at"}, lead={"_q": "percent"}, before={"_named": F.col("resets_at")})
     fresh = F.col("resets_at").isNotNull() & (F.col("_named").isNull() | (F.abs(seconds("_named", "resets_at")) >= RESET_DRIFT_S))
-    rows = running(rows.withColumn("_fresh", fresh.cast("long")), KEYS, ["ts", "percent"], day_, total={"run": F.col("_fresh")})
+    drop = (F.col("_p") - F.col("percent") >= 5) & (F.col("_q").isNull() | (F.col("_p") - F.col("_q") >= 5)) & (F.col("_pr").isNull() | F.col("resets_at").isNull())
+    rows = rows.withColumns({"_fresh": fresh.cast("long"), "_drop": drop}).select(*KEYS, "ts", "percent", "resets_at", "window_seconds", "_nts", "_pt", "_fresh", "_drop")
+    rows = written(running(written(rows), KEYS, ["ts", "percent"], day_, total={"run": F.col("_fresh")}).filter("resets_at is not null or _drop"))
     runs = rows.filter("resets_at is not null").groupBy(*KEYS, "run").agg(
         F.min("resets_at").alias("low"), F.max("resets_at").alias("high"), F.max_by("window_seconds", F.when(F.col("window_seconds").isNotNull(), F.col("_nts"))).alias("length"),
         F.max(F.col("percent") > 0).alias("left_zero"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
     )
-    drop = (F.col("_p") - F.col("percent") >= 5) & (F.col("_q").isNull() | (F.col("_p") - F.col("_q") >= 5)) & (F.col("_pr").isNull() | F.col("resets_at").isNull())
-    drops = rows.filter(drop).select(*KEYS, F.col("_pt").alias("first_ts"), F.col("ts").alias("last_ts"), F.when(F.col("resets_at").isNull(), F.col("run")).otherwise(F.col("run") - F.col("_fresh")).alias("run_before"))
+    drops = rows.filter("_drop").select(*KEYS, F.col("_pt").alias("first_ts"), F.col("ts").alias("last_ts"))
     cur = current.select(*KEYS, F.col("start").alias("current_start"), F.col("length").alias("current_length"))
     cur = small(cur, cur.count())
     length = F.coalesce("length", "current_length")
     runs = runs.join(cur, KEYS).withColumns({"start": shifted("high", -length), "_reset": shifted("current_start", F.col("current_length"))})
     runs = runs.withColumn("is_open", (shifted("low", -RESET_DRIFT_S) < F.col("_reset")) & (F.col("_reset") < shifted("high", RESET_DRIFT_S)))
+    runs = written(runs)
     drops = drops.join(cur, KEYS).filter(F.col("last_ts") <= F.col("current_start"))
     # a limit restored inside a window: the last run that began by then goes on beyond
     both = runs.select(*KEYS, F.col("first_ts").alias("at"), F.lit(0).alias("what"), F.col("last_ts").alias("until"), F.lit(None).cast("timestamp_ntz").alias("first_ts"))
     both = both.unionByName(drops.select(*KEYS, F.col("first_ts").alias("at"), F.lit(1).alias("what"), F.col("last_ts").alias("until"), "first_ts"))
-    both = running(both, KEYS, ["at", "what", "until"], cell("at", DAY), peak={"_until": F.when(F.col("what") == 0, F.col("until"))})
+    both = running(written(both), KEYS, ["at", "what", "until"], cell("at", DAY), peak={"_until": F.when(F.col("what") == 0, F.col("until"))})
     real = both.filter("what = 1 and (_until is null or _until < until)").select(*KEYS, "first_ts", F.col("until").alias("last_ts")).join(cur, KEYS)
+    real = written(real)
     late = F.col("last_ts") > shifted("current_start", -float(BIN_S))
     early = real.filter(late).groupBy(*KEYS).agg(F.min("first_ts").alias("seen_early"))
     # a drop begins at the reset that a run named between its readings (of several, the first run's), else at its first reading
@@ -311,12 +314,13 @@ def past_windows(readings: DataFrame, current: DataFrame, horizon: datetime) ->
     plain = plain.unionByName(points.filter("what = 0 and (_high is null or _high <= at)").select(*KEYS, "at")).distinct()
     found = closed.select(*KEYS, "start", F.col("high").alias("own_end"), F.col("low").alias("reset_low"), F.col("high").alias("reset_high"), F.coalesce("left_zero", F.lit(False)).alias("left_zero"))
     found = found.unionByName(plain.select(*KEYS, F.col("at").alias("start"), F.lit(False).alias("left_zero")), allowMissingColumns=True)
+    found = written(found)
     marks = running(found.select(*KEYS, "start").distinct(), KEYS, ["start"], cell("start", DAY), lead={"_next": "start"})
     found = found.join(marks, [*KEYS, "start"]).join(cur, KEYS).join(early, KEYS, "left")
     sooner = F.when(F.col("own_end").isNotNull(), F.col("own_end")).when(F.col("seen_early") > F.col("start"), F.col("seen_early"))
     following = F.when(F.col("_next") > F.col("start"), F.col("_next"))
     spans = found.withColumn("end", F.least(following, "current_start", sooner)).filter((F.col("start") >= moment(horizon)) & (F.col("start") < F.col("end")))
-    spans = spans.select(*KEYS, "start", "end", "reset_low", "reset_high", "left_zero")
+    spans = written(spans.select(*KEYS, "start", "end", "reset_low", "reset_high", "left_zero"))
     left = readings.filter(F.col("resets_at").isNull() & (F.col("percent") > 0) & (F.col("ts") >= moment(horizon))).select(*KEYS, "ts")
     used = within(left, "ts", spans.filter("not left_zero").select(*KEYS, "start", "end"), KEYS, (F.col("ts") > F.col("start")) & (F.col("ts") <= F.col("end")), HOUR)
     used = used.select(*KEYS, "start", "end", F.lit(True).alias("_used")).distinct()
