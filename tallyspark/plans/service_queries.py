@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.functions import text
+from tallyspark.functions.moments import moment
 from tallyspark.operators import agents, alerts, quota, services, status
 from tallyspark.plans import binding as b
 from tallyspark.plans import agent_queries, chat_queries
@@ -327,3 +329,13 @@ def restored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", (k % 3 == 0).alias("is_pool"), F.when(k % 7 == 0, 5.0).alias("credit_limit"))
     return services.restore_last_known(rows).select("c_custkey", "c_nationkey")
+
+
+@query(f"""{b.SERVICES}, l AS (SELECT service, pos, resets_at, date_diff('second', {_NOW}, resets_at) AS s, date_diff('day', CAST({_NOW} AS DATE), CAST(resets_at AS DATE)) AS d FROM buckets),
+t AS (SELECT *, CASE WHEN s <= 0 THEN 'now' WHEN s >= 90000 THEN 'in ' || (s // 86400) || 'd ' || (s // 3600 % 24) || 'h' WHEN s >= 3600 THEN 'in ' || (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' ELSE 'in ' || (s // 60) || 'm' END AS relative,
+  CASE WHEN d = 0 THEN strftime(resets_at, '%H:%M') WHEN d BETWEEN 1 AND 6 THEN strftime(resets_at, '%a %H:%M') ELSE strftime(resets_at, '%b %-d, %H:%M') END AS absolute FROM l WHERE resets_at IS NOT NULL)
+SELECT service, CAST(pos AS INTEGER) AS pos, relative, absolute, CASE WHEN s <= 0 THEN 'resets now' WHEN s <= 3600 THEN 'resets ' || relative ELSE 'resets ' || relative || ' (' || absolute || ')' END AS "both" FROM t""")
+def reset_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-9: when each window resets, in words."""
+    rows = b.buckets(spark, sf_dir).filter("resets_at is not null")
+    return rows.select("service", "pos", *(c.alias(n) for n, c in text.reset_texts("resets_at", moment(NOW)).items()))
