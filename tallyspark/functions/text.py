@@ -170,9 +170,9 @@ def tool_summary(tool: str | Column, tool_input: str | Column) -> Column:
     return F.when(t.isNotNull() & (t != "") & j.isNotNull() & (head != ""), title(head))
 
 
-def duration_text(seconds_: str | Column) -> Column:
+def countdown_text(seconds: str | Column) -> Column:
     """"2d 4h" beyond a day, "1h 10m", "45m"; nothing below zero."""
-    s = F.greatest(F.lit(0), F.floor(F.col(seconds_) if isinstance(seconds_, str) else seconds_)).cast("long")
+    s = F.greatest(F.lit(0), F.floor(col(seconds))).cast("long")
     h, m = F.floor(s / 3600).cast("string"), F.floor(s % 3600 / 60).cast("string")
     days = F.concat(F.floor(s / 86_400).cast("string"), F.lit("d "), (F.floor(s / 3600) % 24).cast("string"), F.lit("h"))
     return F.when(s >= 25 * 3600, days).when(s >= 3600, F.concat(h, F.lit("h "), m, F.lit("m"))).otherwise(F.concat(m, F.lit("m")))
@@ -186,7 +186,7 @@ def reset_texts(resets_at: str, now: Column) -> dict[str, Column]:
     """
     at = F.col(resets_at)
     left = (F.unix_micros(at.cast("timestamp")) - F.unix_micros(now.cast("timestamp"))) / F.lit(1e6)
-    relative = F.when(left <= 0, "now").when(left > 0, F.concat(F.lit("in "), duration_text(left)))
+    relative = F.when(left <= 0, "now").when(left > 0, F.concat(F.lit("in "), countdown_text(left)))
     days = F.datediff(F.to_date(at), F.to_date(now))
     absolute = F.when(days == 0, F.date_format(at, "HH:mm")).when((days > 0) & (days <= 6), F.date_format(at, "EEE HH:mm")).otherwise(F.date_format(at, "MMM d, HH:mm"))
     both = F.when(left <= 0, "resets now").when(left <= 3600, F.concat(F.lit("resets "), relative)).otherwise(F.concat(F.lit("resets "), relative, F.lit(" ("), absolute, F.lit(")")))

@@ -400,13 +400,14 @@ def stretches(windows: DataFrame, turns: DataFrame, events: DataFrame, parts: Da
     spans = windows.select("service", "window_id", "start", "end")
     mine = turns.withColumns({"_cold": is_cold_start(whole_prompt), "_rebuild": F.col("cost_input") + F.col("cost_cache_write")})
     first_main = mine.filter("agent_id is null").groupBy("service", "chat_id").agg(F.min(F.struct("ts", "seq")).alias("_build"))
-    inside = within(
+    inside = written(within(
         mine.select("service", "chat_id", "ts", "seq", "agent_id", "cost_nd", "tokens", "_cold", "_rebuild"), "ts", spans, ["service"],
         (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")), HOUR,
-    ).persist()
+    ))
     first = inside.groupBy(*keys).agg(F.min("ts").alias("_first"), F.min("end").alias("_end"))
     cold = inside.filter("_cold").select(*keys, F.col("ts").alias("at"), F.lit("cold").alias("opening"))
-    compact = events.filter("kind = 'compaction'").select("chat_id", "at").join(first, "chat_id").filter((F.col("at") > F.col("_first")) & (F.col("at") < F.col("_end")))
+    seen = first.select(*keys, F.col("_first").alias("start"), F.col("_end").alias("end"))
+    compact = within(events.filter("kind = 'compaction'").select("chat_id", "at"), "at", seen, ["chat_id"], (F.col("at") > F.col("start")) & (F.col("at") < F.col("end")), DAY)
     marks = cold.join(first.select(*keys, "_first"), keys).filter(F.col("at") > F.col("_first")).select(*keys, "at", "opening")
     marks = marks.unionByName(compact.select(*keys, "at", F.lit("compaction").alias("opening"))).groupBy(*keys, "at").agg(F.min(F.when(F.col("opening") == "compaction", 0).otherwise(1)).alias("_o"))
     lists = marks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "_o"))).alias("_marks"))

@@ -49,7 +49,10 @@ def _walk(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterat
         was = state if begun else None
         state, is_open, begun = after(state, is_open, begun, r.kind, r.tool, isinstance(r.attention, str))
         out.append((*key, r.seq, r.ts, state, state != was))
-    held.update((state, is_open, begun))
+    if begun:
+        held.update((state, is_open, begun))
+    elif held.exists:
+        held.remove()  # a session that has ended, or not begun, is as a new one
     yield pd.DataFrame(out, columns=["source", "session_id", "seq", "ts", "state", "entered"])
 
 

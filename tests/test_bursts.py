@@ -6,7 +6,7 @@ import random
 from datetime import timedelta
 
 from tallyspark.operators import limits, quota
-from tests.test_limits import T0, past
+from tests.test_limits import T0, past, readings
 
 
 def test_throttle_equals_a_walk_and_collects_no_list(spark, monkeypatch):
@@ -29,9 +29,9 @@ def test_throttle_equals_a_walk_and_collects_no_list(spark, monkeypatch):
     assert not any("collect_list" in p._jdf.queryExecution().toString() for p in [found, *plans])
 
 
-def test_past_windows_groups_hold_no_plain_readings(spark, monkeypatch):
-    sizes, walk = spark.sparkContext.accumulator(0), limits._past_of
-    monkeypatch.setattr(limits, "_past_of", lambda part, since: sizes.add(len(part)) or walk(part, since))
+def test_past_windows_walk_no_bucket(spark):
     rows = [(i, 1 + i / 20, None) for i in range(1, 401)] + [(410, 0, None), (420, 1, None), (550, 7, None), (600, 0, None), (601, 0, None)]
     assert past(spark, rows, 700) == [(400, 550, False)]
-    assert 0 < sizes.value <= 10
+    current = spark.createDataFrame([("s", "five_hour", T0, 18_000.0)], "service string, bucket string, start timestamp_ntz, length double")
+    plan = limits.past_windows(readings(spark, rows), current, T0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Pandas" not in plan and "Arrow" not in plan

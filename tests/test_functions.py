@@ -125,7 +125,7 @@ def test_engine_answers_for_any_provider(spark, sf):
 
 def test_reset_texts(spark):
     from tallyspark.functions.moments import moment
-    from tallyspark.functions.text import duration_text, reset_texts
+    from tallyspark.functions.text import countdown_text, reset_texts
 
     now = datetime(2024, 9, 4, 10, 0)  # a Wednesday
     cases = [(now, "now", "resets now"), (datetime(2024, 9, 4, 10, 45), "in 45m", "resets in 45m"), (datetime(2024, 9, 4, 11, 0), "in 1h 0m", "resets in 1h 0m"), (datetime(2024, 9, 4, 11, 10), "in 1h 10m", "resets in 1h 10m (11:10)"),
@@ -133,4 +133,4 @@ def test_reset_texts(spark):
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, at timestamp_ntz")
     found = df.select("i", *(c.alias(n) for n, c in reset_texts("at", moment(now)).items())).orderBy("i").collect()
     assert [(r["relative"], r["both"]) for r in found] == [c[1:] for c in cases]
-    assert [r[0] for r in spark.createDataFrame([(-5.0,), (59.9,), (86_400.0,), (89_999.0,), (90_000.0,)], "s double").select(duration_text("s")).collect()] == ["0m", "0m", "24h 0m", "24h 59m", "1d 1h"]
+    assert [r[0] for r in spark.createDataFrame([(-5.0,), (59.9,), (86_400.0,), (89_999.0,), (90_000.0,)], "s double").select(countdown_text("s")).collect()] == ["0m", "0m", "24h 0m", "24h 59m", "1d 1h"]
