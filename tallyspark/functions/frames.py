@@ -21,7 +21,7 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
     """This application's folder for intermediate tables, below the shared checkpoint folder. A local session gets one of its
     own where none is set; a cluster is told to set it, as its executors don't share a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -39,7 +39,7 @@ def written(df: DataFrame) -> DataFrame:
     Frames are lazy, so the tables stay until `clear`, which also runs when Python ends.
     """
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
     atexit.unregister(clear)
     atexit.register(clear, spark)
     df.write.parquet(path)
@@ -50,7 +50,7 @@ def clear(spark: SparkSession) -> None:
     """Remove all tables that `written` wrote in this application."""
     if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
         return
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

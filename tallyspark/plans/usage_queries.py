@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.functions import models, percents, text
+from tallyspark.functions import frames, models, percents, text
 from tallyspark.operators import calendars, dedup, insights, pricing, rollup
 from tallyspark.plans import binding as b
 from tallyspark.plans.binding import flat
 from tallyspark.plans.catalog import query
+from tallyspark.streaming.ledger import Ledger
 
 # --- dedup -------------------------------------------------------------------------------------------------------------
 
@@ -24,6 +26,20 @@ def later_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(dedup.later_readings(b.replays(spark, sf_dir)).select("msg_id", "seq", "ts", "model", "project", "output", "input", "cache_read"))
 
 
+@query(f"""{b.REPLAYS}
+SELECT CAST(CAST(f.ts AS DATE) AS VARCHAR) AS day, f.provider, f.project, f.chat_id, coalesce(f.agent_id, '') AS agent_id, f.model, coalesce(f.effort, '') AS effort, count(*) AS turns, CAST(sum(m.input) AS BIGINT) AS input, CAST(sum(m.output) AS BIGINT) AS output, CAST(sum(m.thinking) AS BIGINT) AS thinking
+FROM (SELECT * FROM logged QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY seq) = 1) f JOIN (SELECT * FROM logged QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY output DESC, seq) = 1) m USING (msg_id) GROUP BY ALL""")
+def ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DED-10, DED-11: all records in three batches, in no order; the detail of old days is folded away then, the totals stay."""
+    rows = b.replays(spark, sf_dir).withColumn("_batch", F.crc32(F.concat_ws("-", "msg_id", "seq").cast("binary")) % 3)
+    kept = Ledger(spark, f"{frames.folder(spark)}/{uuid.uuid4().hex}", buckets=8)
+    for i in range(3):
+        kept.apply(rows.filter(F.col("_batch") == i).drop("_batch"), "logs", i)
+    kept.fold((b.now(spark, sf_dir) - timedelta(days=10)).date())
+    told = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return kept.totals().select(F.col("day").cast("string").alias("day"), "provider", "project", "chat_id", told("agent_id"), "model", told("effort"), "turns", "input", "output", "thinking")
+
+
 @query(f"{b.REPLAYS} SELECT project, count(*) AS n, CAST(sum(output) AS BIGINT) AS output FROM (SELECT * FROM logged QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY seq) = 1) WHERE model NOT LIKE '<%' GROUP BY project")
 def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DED-2, DED-3: the first record of an id, real models only."""

@@ -53,7 +53,7 @@ def test_written_tables_are_removed_with_the_application(spark, tmp_path):
     from tallyspark.functions import frames
 
     df = frames.written(spark.range(5))
-    folder = Path(frames._folder(spark).removeprefix("file://").removeprefix("file:"))
+    folder = Path(frames.folder(spark).removeprefix("file://").removeprefix("file:"))
     assert df.count() == 5 and any(folder.iterdir())
     frames.clear(spark)
     assert not folder.exists()
