@@ -92,11 +92,13 @@ def token_count(n: str | Column) -> Column:
     return steps.when(c >= 10**3, F.format_string("%.1fk", c / 1e3)).otherwise(c.cast("string"))
 
 
-def spaced_tokens(n: str | Column) -> Column:
-    """`130 M`, `9.5 M`, `84 k`: whole from ten of a unit, one decimal below; what rounds to a thousand steps up a unit."""
+def spaced_tokens(n: str | Column, largest: str = "B") -> Column:
+    """`130 M`, `9.5 M`, `84 k`: whole from ten of a unit, one decimal below; what rounds to a thousand steps up a unit, as far
+    as the `largest` (k, M or B), which takes all beyond."""
     c = col(n).cast("double")
     out = F.when(F.round(c) < 1000, F.format_string("%.0f", F.round(c)))
     units = ((1e3, "k"), (1e6, "M"), (1e9, "B"))
+    units = units[: [name for _, name in units].index(largest) + 1]
     for i, (scale, name) in enumerate(units):
         tenths = F.round(c / scale * 10) / 10
         whole = tenths >= 10

@@ -53,6 +53,24 @@ def test_spaced_tokens_step_up(spark, n, shown):
     assert values(spark, [n], "double", text.spaced_tokens("x")) == [shown]
 
 
+@pytest.mark.parametrize(("n", "shown"), [(999_600_000.0, "1000 M"), (1e9, "1000 M"), (14_400e6, "14400 M"), (999_950.0, "1.0 M"), (999.6, "1.0 k")])
+def test_spaced_tokens_stay_in_their_largest_unit(spark, n, shown):
+    assert values(spark, [n], "double", text.spaced_tokens("x", "M")) == [shown]
+
+
+def test_figure_texts_of_large_keys(spark, tmp_path):
+    import duckdb
+
+    from tallyspark.plans.registry import ORACLE_SQL, QUERIES
+
+    keys = [31_606, 31_607, 31_615, 31_616, 31_623, 99_999, 119_999, 1_199_999, 7_199_999]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    expected = con.execute(f"select p_partkey, share, dollars, tokens from ({ORACLE_SQL['figure_texts']}) order by 1").fetchall()
+    assert [tuple(r) for r in QUERIES["figure_texts"](spark, str(tmp_path)).orderBy("p_partkey").collect()] == expected
+
+
 def test_shares_and_dollars(spark):
     assert values(spark, [0.04, 0.1, 4.25, 12.0], "double", text.share_text("x")) == ["< 0.1 %", "≈ 0.1 %", "≈ 4.3 %", "≈ 12.0 %"]
     assert values(spark, [6.2, 62.4, 1358.0, 0.0], "double", text.dollars_text("x")) == ["$6.20", "$62", "$1,358", "$0.00"]
