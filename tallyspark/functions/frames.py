@@ -14,6 +14,8 @@ from tallyspark.functions.moments import cell
 
 #: Rows up to which a counted side of a join is broadcast; beyond that the join shuffles.
 BROADCAST_ROWS = 100_000
+#: Rows that a task of `dealt` sorts, about.
+TASK_ROWS = 500_000
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -21,6 +23,16 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def dealt(df: DataFrame, keys: list[str], n: int | None = None, rows: int = TASK_ROWS) -> DataFrame:
+    """`df` (of `n` rows, or it is counted) hash-partitioned by `keys`, about `rows` rows to a task at any size.
+
+    What follows by these keys, or by more, needs no other shuffle. Spark's own number of partitions is fixed or goes by compressed
+    bytes, so a task's rows, and what it sorts, may grow with the table.
+    """
+    n = df.count() if n is None else n
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-n // rows)), *keys)
+
+
 def folder(spark: SparkSession) -> str:
     """This application's folder for intermediate tables, below the shared checkpoint folder. A local session gets one of its
     own where none is set; a cluster is told to set it, as its executors don't share a local one."""

@@ -166,20 +166,23 @@ def residual_costs(rows: DataFrame, turn: str = "turn_id") -> DataFrame:
     priced ones: the rest goes to the unpriced by tokens, evenly if these have none. Else unpriced rows take the table's.
     Whole nano-dollars: the last unpriced row takes what rounding leaves, so a turn's rows add up to the turn.
     """
-    w = Window.partitionBy(turn)
+    w = Window.partitionBy(turn).orderBy("pos")  # one order for all windows, so a task sorts its rows once
+    whole, upto = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, 0)
     unpriced = F.col("row_cost_nd").isNull()
     out = rows.withColumns({
-        "_paid": F.coalesce(F.sum("row_cost_nd").over(w), F.lit(0)),
-        "_open": F.count_if(unpriced).over(w),
-        "_tokens": F.sum(F.when(unpriced, F.col("tokens")).otherwise(0)).over(w),
-        "_dear": F.row_number().over(w.orderBy(F.desc("row_cost_nd"), "pos")),
-        "_nth": F.row_number().over(w.orderBy(F.desc(unpriced), "pos")),
+        "_paid": F.coalesce(F.sum("row_cost_nd").over(whole), F.lit(0)),
+        "_open": F.count_if(unpriced).over(whole),
+        "_tokens": F.sum(F.when(unpriced, F.col("tokens")).otherwise(0)).over(whole),
+        "_most": F.max("row_cost_nd").over(whole),
+        "_nth": F.count_if(unpriced).over(upto),
     })
     rest = F.col("turn_cost_nd") - F.col("_paid")
     share = F.when(F.col("_tokens") > 0, F.col("tokens") / F.col("_tokens")).otherwise(F.lit(1.0) / F.col("_open"))
     part = F.floor(rest * share).cast("long")
     out = out.withColumn("_part", F.when(unpriced & (rest > 0), part).otherwise(0))
-    out = out.withColumn("_slack", F.when(rest > 0, rest - F.sum("_part").over(w)).otherwise(0))
+    dearest = F.coalesce(F.col("row_cost_nd") == F.col("_most"), F.lit(False))
+    out = out.withColumns({"_shared": F.sum("_part").over(whole), "_dear": F.when(dearest, F.count_if(dearest).over(upto))})
+    out = out.withColumn("_slack", F.when(rest > 0, rest - F.col("_shared")).otherwise(0))
     rest_ok = F.coalesce(rest > 0, F.lit(False))
     cost = (
         F.when((F.col("_open") == 0) & rest_ok & (F.col("_dear") == 1), F.col("row_cost_nd") + rest)

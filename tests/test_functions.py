@@ -7,7 +7,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.functions import models, moments, percents, text
+from tallyspark.functions import frames, models, moments, percents, text
 from tallyspark.operators import pricing
 
 
@@ -124,6 +124,22 @@ def test_residuals_in_three_branches(spark):
     assert found[("d", 0)] == (9, True) and found[("d", 1)] == (4, False) and found[("e", 0)] == (60, False)
 
 
+def test_residuals_sort_a_turns_rows_once(spark):
+    rows = [("a", 0, 60, 200, 0, 9), ("a", 1, 60, 200, 0, 9), ("a", 2, 20, 200, 0, 9), ("b", 2, None, 101, 1, 9), ("b", 1, None, 101, 1, 9), ("b", 0, 1, 101, 1, 9)]
+    df = spark.createDataFrame(rows, "turn_id string, pos int, row_cost_nd long, turn_cost_nd long, tokens long, table_cost_nd long")
+    out = pricing.residual_costs(df)
+    assert {(r["turn_id"], r["pos"]): r["cost_nd"] for r in out.collect()} == {("a", 0): 120, ("a", 1): 60, ("a", 2): 20, ("b", 0): 1, ("b", 1): 50, ("b", 2): 50}
+    plan = out._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("Sort [") == 1 and plan.count("Exchange ") == 1
+
+
+def test_dealt_rows_bound_a_task(spark):
+    few, many = (frames.dealt(spark.range(n).withColumn("k", F.col("id") % 997), ["k"], rows=1000) for n in (2_000, 20_000))
+    assert (few.rdd.getNumPartitions(), many.rdd.getNumPartitions()) == (4, 20) and many.count() == 20_000
+    plan = many.groupBy("k", "id").agg(F.min_by(F.struct("id"), "id"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
 def test_engine_answers_for_any_provider(spark, sf):
     from tallyspark.engine import Engine
     from tallyspark.plans import binding as b
