@@ -10,7 +10,8 @@ Each stage takes (spark, docs, sf_dir) and works on what its predecessor wrote.
 4. decontamination drops the documents in which a benchmark item is found;
 5. the mix says how often each document is taken to meet its source's target.
 
-Null, empty and repeated rows are treated as each operator says; an empty table passes through all stages.
+Null, empty and repeated rows are treated as each operator says; an empty table passes through all stages. Each stage first lets
+the driver give back what the one before it left (`release`).
 """
 
 from __future__ import annotations
@@ -21,14 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import decontam, language, linededup, mixing, nearcopies
-from tallyspark.llm.base import free, shared_dir, table
+from tallyspark.llm.base import free, release, shared_dir, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return language.keep_known(docs, language.train(docs, F.lit(True)))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     cleaned = linededup.LineIndex.build(docs).clean(docs)
     dropped = F.col(free("n_dropped", docs.columns)) > 0
     chars = F.when(dropped, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
@@ -36,14 +39,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return nearcopies.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return mixing.mix(docs)
 
 

@@ -52,8 +52,10 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished stages: Spark removes them once the driver's garbage is collected."""
+    """Let go of the shuffle files of finished stages: Spark removes them once the driver's garbage is collected. The driver's heap
+    shrinks to what is in use, and its Python gives back what it doesn't use."""
     spark.sparkContext._jvm.System.gc()
+    trim()
 
 
 def free(name: str, columns: list[str]) -> str:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.base import BROADCAST_ROWS, discard, free, materialize, pieces, tidy
+from tallyspark.llm.base import BROADCAST_ROWS, discard, free, materialize, pieces, release, tidy
 from tallyspark.llm.components import components
 from tallyspark.llm.simhash import SEED, cell, links, majority, shingles
 
@@ -118,6 +118,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, si
     both = close.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     found = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long"))
     discard(close, needed)
+    release(docs.sparkSession)
     return found
 
 
@@ -177,6 +178,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     more = met_again.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"))
     discard(met, shared, placed, open_)
+    release(docs.sparkSession)
     found = materialize(components(sure.union(verified(docs, nodes, more, words, similarity))))
 
     rooted = materialize(nodes.select("node", "least", "chief").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
