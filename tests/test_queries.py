@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -48,3 +49,8 @@ def test_query_equals_its_sql(name, spark, sf, db):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_without_sql_runs(name, spark, sf):
     assert QUERIES[name](spark, sf).limit(5).collect() is not None
+
+
+def test_pace_verdicts_tell_kinds_apart_before_they_sort(spark, sf):
+    plan = QUERIES["pace_verdicts"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"HashAggregate\(keys=\[service#\d+, bucket#\d+, kind#\d+\]", plan)
