@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyspark.functions import files
+from tallyspark.functions.frames import dealt
 from tallyspark.operators.dedup import composite_id
 from tallyspark.schema import COUNTERS, TURNS
 
@@ -37,6 +38,8 @@ DIMENSIONS = ("provider", "project", "chat_id", "agent_id", "model", "effort")
 #: `most_seq`: the record that the counters are from, for `seq` is the first one's.
 _TURN = T.StructType([*TURNS.fields, T.StructField("most_seq", T.LongType())])
 _TOTAL = T.StructType([T.StructField("day", T.DateType()), *(T.StructField(d, T.StringType()) for d in DIMENSIONS), *(T.StructField(c, T.LongType()) for c in ("turns", *COUNTERS))])
+#: Rows that a task merges, about.
+_TASK_ROWS = 200_000
 _SCHEMAS = {"turns": _TURN, "totals": _TOTAL}
 
 
@@ -165,7 +168,7 @@ def _merged(old: DataFrame, fresh: DataFrame) -> DataFrame:
     """One row for each message of both; `touched`: the batch has it; `old`: the message as it was, null if it is new."""
     rows = old.withColumns({"_new": F.lit(False), "_was": F.struct(*_TURN.names)}).unionByName(fresh.withColumns({"_new": F.lit(True), "_was": F.lit(None).cast(_TURN)}))
     own = [c for c in _TURN.names if c not in (*COUNTERS, "msg_id", "most_seq")]
-    found = rows.groupBy("msg_id").agg(
+    found = dealt(rows, ["msg_id"], old.count() + fresh.count(), _TASK_ROWS).groupBy("msg_id").agg(  # one shuffle, then one sort: few records repeat
         F.min_by(F.struct(*own), "seq").alias("_first"), F.max_by(F.struct(*COUNTERS, "most_seq"), F.struct(F.col("output"), -F.col("most_seq"))).alias("_most"),
         F.bool_or("_new").alias("touched"), F.first("_was", ignorenulls=True).alias("old"),
     )

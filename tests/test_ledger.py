@@ -120,3 +120,12 @@ def test_an_empty_ledger(spark, tmp_path):
     kept.fold(date(2024, 1, 1))
     kept.replace_day(date(2024, 1, 2), table(spark, []))
     assert kept.totals().count() == 0
+
+
+def test_a_merge_shuffles_and_sorts_once(spark, sf):
+    from tallyspark.plans import binding as b
+    from tallyspark.streaming import ledger
+
+    fresh = ledger._records(b.replays(spark, sf))
+    plan = ledger._merged(spark.createDataFrame([], ledger._TURN), fresh)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1
