@@ -122,14 +122,16 @@ def running(
     return joined.select(*(F.col(c) for c in kept if c not in out), *(e.alias(n) for n, e in out.items()))
 
 
-def within(points: DataFrame, at: str, spans: DataFrame, keys: list[str], inside: Column, grain: int) -> DataFrame:
+def within(points: DataFrame, at: str, spans: DataFrame, keys: list[str], inside: Column, grain: int, counted: bool = False) -> DataFrame:
     """Points joined with the spans (`start`, `end`) of the same keys that hold them, as `inside` says.
 
     Spans are laid out over the time cells of `grain` seconds that they touch, so the join is an equi-join on key and cell
-    with `inside` left to check: no nested loop, and a hot key is spread over its cells.
+    with `inside` left to check: no nested loop, and a hot key is spread over its cells. With `counted`, spans that are few once
+    laid out are broadcast, and the points aren't shuffled.
     """
     cells = F.explode(F.sequence(cell("start", grain), cell("end", grain)))
     laid = spans.withColumn("_cell", cells)
+    laid = small(laid, laid.count()) if counted else laid
     found = points.withColumn("_cell", cell(at, grain)).join(laid, [*keys, "_cell"])
     return found.filter(inside).drop("_cell")
 

@@ -10,9 +10,9 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.frames import running, small, within, written
+from tallyspark.functions.frames import TASK_ROWS, dealt, running, small, within, written
 from tallyspark.functions.models import display_name
-from tallyspark.functions.moments import DAY, HOUR, cell, moment, seconds, shifted
+from tallyspark.functions.moments import DAY, HOUR, WEEK, cell, micros, moment, seconds, shifted
 from tallyspark.functions.percents import clamped, one_decimal
 from tallyspark.operators.quota import KEYS, resets
 
@@ -23,6 +23,7 @@ SLACK = 1e-9
 LEAST_POINTS, CHANGE_POINTS, CHANGE_SHARE, LONGEST_WEEK_DAYS = 1.0, 10.0, 0.75, 8
 COLD_SHARE, COLD_TOKENS, SHORTEST_S, PROMPT_LEAD_S = 0.05, 10_000, 600, 3600
 WINDOW = ["service", "window_id"]
+_NEVER = -(2**62)
 
 
 def window_seconds() -> Column:
@@ -68,7 +69,7 @@ def bins(windows: DataFrame, readings: DataFrame) -> DataFrame:
     The maximum of each bin is an aggregate; the running one goes over a window's bins only (336 for a week).
     """
     points = readings.filter("percent is not null").withColumn("percent", clamped("percent")).select(*KEYS, "ts", "percent")
-    inside = within(points, "ts", windows.select(*KEYS, "window_id", "start", "end"), KEYS, (F.col("ts") > F.col("start")) & (F.col("ts") <= F.col("end")), HOUR)
+    inside = within(points, "ts", windows.select(*KEYS, "window_id", "start", "end"), KEYS, (F.col("ts") > F.col("start")) & (F.col("ts") <= F.col("end")), HOUR, counted=True)
     most = inside.groupBy(*WINDOW, reading_bin().alias("bin")).agg(F.max("percent").alias("percent"))
     frame = windows.select(*WINDOW, "start", "end", F.explode(F.sequence(F.lit(0), bin_count() - 1)).alias("bin"))
     rows = frame.join(most, [*WINDOW, "bin"], "left")
@@ -78,11 +79,16 @@ def bins(windows: DataFrame, readings: DataFrame) -> DataFrame:
     return rows.withColumn("delta", F.col("reached") - F.coalesce(F.lag("reached").over(w), F.lit(0.0))).select(*WINDOW, "start", "end", "bin", "delta", "reached")
 
 
-def bin_use(windows: DataFrame, turns: DataFrame) -> DataFrame:
-    """Cost and tokens by window, bin and chat."""
+def bin_use(windows: DataFrame, turns: DataFrame, cut: DataFrame | None = None) -> DataFrame:
+    """Cost and tokens by window, bin and chat; with `cut`, of the bins alone that `attribution` asks for: those that rise in it,
+    and those before them."""
     mine = turns.select("service", "ts", "chat_id", "cost_nd", "tokens")
-    inside = within(mine, "ts", windows.select("service", "window_id", "start", "end"), ["service"], (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")), HOUR)
-    return inside.groupBy(*WINDOW, turn_bin().alias("bin"), "chat_id").agg(F.sum("cost_nd").alias("cost_nd"), F.sum("tokens").alias("tokens"))
+    inside = within(mine, "ts", windows.select("service", "window_id", "start", "end"), ["service"], (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")), HOUR, counted=True)
+    inside = inside.withColumn("bin", turn_bin())
+    if cut is not None:
+        asked = cut.filter("delta > 0").select(*WINDOW, F.explode(F.array(F.col("bin"), F.col("bin") - 1)).alias("bin")).distinct()
+        inside = inside.join(small(asked, asked.count()), [*WINDOW, "bin"], "left_semi")
+    return inside.groupBy(*WINDOW, "bin", "chat_id").agg(F.sum("cost_nd").alias("cost_nd"), F.sum("tokens").alias("tokens"))
 
 
 def _split(points: Column, cost: Column, tokens: Column, all_cost: Column, all_tokens: Column, n: Column) -> Column:
@@ -109,7 +115,7 @@ def chat_shares(windows: DataFrame, turns: DataFrame, parts: DataFrame) -> DataF
     """One row for each chat with a turn in a window: its points, cost, tokens, last turn and project (that of its latest
     main-thread turn, else of its latest)."""
     mine = turns.select("service", "ts", "seq", "chat_id", "agent_id", "project", "cost_nd", "tokens")
-    inside = within(mine, "ts", windows.select("service", "window_id", "start", "end"), ["service"], (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")), HOUR)
+    inside = within(mine, "ts", windows.select("service", "window_id", "start", "end"), ["service"], (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")), HOUR, counted=True)
     rows = inside.groupBy(*WINDOW, "chat_id").agg(
         F.sum("cost_nd").alias("cost_nd"), F.sum("tokens").alias("tokens"), F.max("ts").alias("last_at"),
         F.max_by("project", F.struct(F.col("agent_id").isNull().alias("_m"), "ts", "seq")).alias("project"),
@@ -389,73 +395,111 @@ def is_cold_start(whole_prompt: bool = False) -> Column:
     return F.col("agent_id").isNull() & (prompt > 0) & (F.col("cache_read") < prompt * COLD_SHARE) & (rebuilt >= COLD_TOKENS)
 
 
+def _since(turns: DataFrame) -> DataFrame:
+    """Turns of a chat (service, chat_id) with `_before` and `_prior`, when its latest turn and its latest main turn strictly
+    before this one were, and `_builds`: whether this is its first main turn.
+
+    A chat's rows are spread over the weeks; a row for each week is handed on, as `frames.running` does.
+    """
+    chat = ["chat_id", "service"]  # chats first: sorts tell them apart by their first column
+    rows = turns.withColumns({"_slice": cell("ts", WEEK), "_main_at": F.when(F.col("agent_id").isNull(), F.col("ts"))})
+    past = Window.partitionBy(*chat).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    each = rows.groupBy(*chat, "_slice").agg(F.max("ts").alias("_end"), F.max("_main_at").alias("_main_end"))
+    carried = each.select(*chat, "_slice", F.max("_end").over(past).alias("_end"), F.max("_main_end").over(past).alias("_main_end"))
+    own = Window.partitionBy(*chat, "_slice").orderBy(micros("ts"))
+    ahead, whole = own.rangeBetween(Window.unboundedPreceding, -1), own.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"_before": F.max("ts").over(ahead), "_prior": F.max("_main_at").over(ahead), "_build": F.min(F.when(F.col("agent_id").isNull(), F.struct("ts", "seq"))).over(whole)})
+    rows = rows.join(carried, [*chat, "_slice"])
+    builds = F.col("_main_end").isNull() & (F.col("ts") == F.col("_build.ts")) & (F.col("seq") == F.col("_build.seq"))
+    return rows.select(*turns.columns, F.coalesce("_before", "_end").alias("_before"), F.coalesce("_prior", "_main_end").alias("_prior"), F.coalesce(builds, F.lit(False)).alias("_builds"))
+
+
 def stretches(windows: DataFrame, turns: DataFrame, events: DataFrame, parts: DataFrame, whole_prompt: bool = False) -> DataFrame:
     """Each chat of a window cut at its compactions and cold starts, at least ten minutes apart.
 
     One row for each stretch with a turn: opening (first, compaction, cold), first and last turn, points of the chat's bins (by
     cost, tokens or evenly among the stretches there), cost, what rebuilding the context cost, and the first prompt typed for
     it. A chat's starts are whole seconds of a window; they are thinned in order, each kept start deciding the next.
+
+    Turns are shuffled by window and chat once and sorted once: starts and points are lists handed to a chat's first turn, and
+    what follows groups by more than these keys. Stretches meet the prompts in one running function over both, whatever their number.
     """
-    keys = [*WINDOW, "chat_id"]
+    keys = ["chat_id", *WINDOW]  # chats first: sorts tell them apart by their first column
     spans = windows.select("service", "window_id", "start", "end")
-    mine = turns.withColumns({"_cold": is_cold_start(whole_prompt), "_rebuild": F.col("cost_input") + F.col("cost_cache_write")})
-    first_main = mine.filter("agent_id is null").groupBy("service", "chat_id").agg(F.min(F.struct("ts", "seq")).alias("_build"))
-    inside = written(within(
-        mine.select("service", "chat_id", "ts", "seq", "agent_id", "cost_nd", "tokens", "_cold", "_rebuild"), "ts", spans, ["service"],
-        (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")), HOUR,
-    ))
-    first = inside.groupBy(*keys).agg(F.min("ts").alias("_first"), F.min("end").alias("_end"))
-    cold = inside.filter("_cold").select(*keys, F.col("ts").alias("at"), F.lit("cold").alias("opening"))
-    seen = first.select(*keys, F.col("_first").alias("start"), F.col("_end").alias("end"))
-    compact = within(events.filter("kind = 'compaction'").select("chat_id", "at"), "at", seen, ["chat_id"], (F.col("at") > F.col("start")) & (F.col("at") < F.col("end")), DAY)
-    marks = cold.join(first.select(*keys, "_first"), keys).filter(F.col("at") > F.col("_first")).select(*keys, "at", "opening")
-    marks = marks.unionByName(compact.select(*keys, "at", F.lit("compaction").alias("opening"))).groupBy(*keys, "at").agg(F.min(F.when(F.col("opening") == "compaction", 0).otherwise(1)).alias("_o"))
-    lists = marks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "_o"))).alias("_marks"))
-    begun = first.join(lists, keys, "left")
-    seed = F.array(F.struct(F.col("_first").alias("at"), F.lit(2).alias("_o")))
+    mine = turns.select(
+        "service", "chat_id", "ts", "seq", "agent_id", "cost_nd", "tokens", is_cold_start(whole_prompt).alias("_cold"), (F.col("cost_input") + F.col("cost_cache_write")).alias("_rebuild"),
+    )
+    held = (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end"))
+    inside = within(_since(mine), "ts", spans, ["service"], held, HOUR, counted=True)
+    cold = within(mine.filter("_cold").select("service", "chat_id", "ts"), "ts", spans, ["service"], held, HOUR, counted=True)
+    compact = within(events.filter("kind = 'compaction'").select("chat_id", "at"), "at", spans, [], (F.col("at") > F.col("start")) & (F.col("at") < F.col("end")), HOUR, counted=True)
+    mark = lambda at, o: F.struct(F.col(at).alias("at"), F.lit(o).alias("_o"))
+    none = F.lit(None).cast("struct<at: timestamp_ntz, _o: int>")
+    marks = cold.select(*keys, mark("ts", 1).alias("_mark")).unionByName(compact.select(*keys, mark("at", 0).alias("_mark")))
+    given = parts.filter("chat_id is not null and points > 0").select(*keys, none.alias("_mark"), F.struct("bin", "points").alias("_part"))
+    side = marks.withColumn("_part", F.lit(None).cast(given.schema["_part"].dataType)).unionByName(given)
+    n = turns.count()
+    deal = lambda df: dealt(df, keys, n, TASK_ROWS // 4)  # noqa: E731  # alike on both sides, so that the join shuffles neither again
+    side = deal(side).groupBy(*keys).agg(F.array_sort(F.collect_set("_mark")).alias("_marks"), F.array_sort(F.collect_list("_part")).alias("_parts"))
+
+    # the turn that no other of its chat and window precedes walks the starts; the chat's other turns are told what it found
+    rows = deal(inside.withColumn("bin", turn_bin())).join(side.hint("shuffle_hash"), keys, "left")
+    seed = F.array(F.struct(F.col("ts").alias("at"), F.lit(2).alias("_o")))
     far = lambda kept, m: (F.unix_micros(m["at"].cast("timestamp")) - F.unix_micros(F.element_at(kept, -1)["at"].cast("timestamp"))) >= SHORTEST_S * 1_000_000
-    walked = F.aggregate(F.coalesce("_marks", F.slice(seed, 1, 0)), seed, lambda kept, m: F.when(far(kept, m), F.concat(kept, F.array(m))).otherwise(kept))
-    begun = begun.select(*keys, walked.alias("_starts"))
-
-    rows = inside.join(begun, keys).join(first_main, ["service", "chat_id"], "left")
-    n = F.size(F.filter("_starts", lambda s: s["at"] <= F.col("ts")))
-    builds = F.coalesce((F.col("ts") == F.col("_build.ts")) & (F.col("seq") == F.col("_build.seq")), F.lit(False))
-    rows = rows.withColumns({"stretch": n, "_opening": F.expr("element_at(_starts, 1)")}).withColumn("_opening", F.element_at("_starts", F.col("stretch")))
-    rows = rows.withColumn("_rebuilt", F.when(F.col("_cold") & ~builds, F.col("_rebuild")).otherwise(0))
+    later = F.filter(F.coalesce("_marks", F.slice(seed, 1, 0)), lambda m: m["at"] > F.col("ts"))
+    walked = F.aggregate(later, seed, lambda kept, m: F.when(far(kept, m), F.concat(kept, F.array(m))).otherwise(kept))
+    first = F.col("_before").isNull() | (F.col("_before") < F.col("start"))
+    rows = rows.withColumns({"_walked": F.when(first, walked), "_parts": F.when(first, F.col("_parts"))}).drop("_marks")
+    chat = Window.partitionBy(*keys).orderBy("bin", "ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"_starts": F.first("_walked", ignorenulls=True).over(chat), "_parts": F.first("_parts", ignorenulls=True).over(chat), "_bins": F.collect_set("bin").over(chat)})
+    nth = F.when(F.size("_starts") == 1, 1).otherwise(F.size(F.filter("_starts", lambda s: s["at"] <= F.col("ts"))))
+    # points: a bin's points of the chat go to its stretches there, or in the bin before if it has none
+    of = lambda bin_: F.coalesce(F.aggregate(F.filter("_parts", lambda p: p["bin"] == bin_), F.lit(0.0), lambda acc, p: acc + p["points"]), F.lit(0.0))
+    lagging = F.when(F.array_contains("_bins", F.col("bin") + 1), 0.0).otherwise(of(F.col("bin") + 1))
+    got = F.when(F.col("_parts").isNull(), 0.0).otherwise(of(F.col("bin")) + lagging)
+    rows = rows.withColumns({"stretch": nth, "_points": got}).withColumn("_opening", F.element_at("_starts", F.col("stretch")))
+    rebuilt = F.when(F.col("_cold") & ~F.col("_builds"), F.col("_rebuild")).otherwise(0)
+    rows = rows.select(*keys, "stretch", "bin", "_opening.at", "_opening._o", "ts", "agent_id", "_prior", "cost_nd", "tokens", rebuilt.alias("_rebuilt"), "_points")
+    # a turn's share of its bin: by cost, by tokens, or evenly among the stretches, each one's first turn there standing for it
+    there = Window.partitionBy(*keys, "bin").orderBy("ts")
+    whole = there.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({
+        "_cost": F.sum("cost_nd").over(whole), "_tokens": F.sum("tokens").over(whole), "_n": F.size(F.collect_set("stretch").over(whole)), "_same": F.coalesce(F.lag("stretch").over(there) == F.col("stretch"), F.lit(False)),
+    })
+    weighed = (F.col("_cost") > 0) | (F.col("_tokens") > 0)
+    share = F.when((F.col("_points") > 0) & (weighed | ~F.col("_same")), _split(F.col("_points"), F.col("cost_nd"), F.col("tokens"), F.col("_cost"), F.col("_tokens"), F.col("_n"))).otherwise(0.0)
+    # a later turn has no earlier main turn before it, so the least is that of the stretch's first (none: the least of all)
+    main, prior = F.col("agent_id").isNull(), F.coalesce(micros("_prior"), F.lit(_NEVER))
     out = rows.groupBy(*keys, "stretch").agg(
-        F.first("_opening").alias("_opening"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.sum("cost_nd").alias("cost_nd"), F.sum("_rebuilt").alias("cold_nd"),
-        F.coalesce(F.min(F.when(F.col("agent_id").isNull(), F.col("ts"))), F.min("ts")).alias("_main"),
+        F.min("at").alias("_start"), F.min("_o").alias("_o"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.sum(share).alias("points"), F.sum("cost_nd").alias("cost_nd"), F.sum("_rebuilt").alias("cold_nd"),
+        F.coalesce(F.min(F.when(main, F.col("ts"))), F.min("ts")).alias("_main"), F.nullif(F.coalesce(F.min(F.when(main, prior)), F.min(prior)), F.lit(_NEVER)).alias("_prior"),
     )
 
-    # points: a bin's points of the chat go to its stretches there, or in the bin before if it has none
-    use = rows.groupBy(*keys, turn_bin().alias("bin"), "stretch").agg(F.sum("cost_nd").alias("cost_nd"), F.sum("tokens").alias("tokens"))
-    whole = use.groupBy(*keys, "bin").agg(F.sum("cost_nd").alias("all_cost"), F.sum("tokens").alias("all_tokens"), F.count("*").alias("n"))
-    given = parts.filter("chat_id is not null and points > 0")
-    own = whole.select(*keys, "bin", F.lit(True).alias("_own"))
-    source = F.when(F.col("_own"), F.col("bin")).otherwise(F.col("bin") - 1)
-    got = given.join(own, [*keys, "bin"], "left").select(*keys, "points", source.alias("bin")).join(use.join(whole, [*keys, "bin"]), [*keys, "bin"])
-    share = _split(F.col("points"), F.col("cost_nd"), F.col("tokens"), F.col("all_cost"), F.col("all_tokens"), F.col("n"))
-    points = got.groupBy(*keys, "stretch").agg(F.sum(share).alias("points"))
-
-    # the first prompt after the chat's previous main turn (of the whole log), up to the stretch's last turn
-    moments = mine.groupBy("service", "chat_id", "ts").agg(F.bool_or(F.col("agent_id").isNull()).alias("_has_main"))
-    moments = running(moments, ["service", "chat_id"], ["ts"], cell("ts", DAY), before={"_prior": F.when(F.col("_has_main"), F.col("ts"))})
-    out = out.join(moments.select("service", "chat_id", F.col("ts").alias("_main"), "_prior"), ["service", "chat_id", "_main"], "left")
-    typed = events.filter("kind = 'prompt'").select("chat_id", F.col("at").alias("_at"), F.col("text").alias("_text"))
-    since = F.when(F.col("_opening._o") == 0, F.col("_opening.at")).otherwise(F.coalesce("_prior", shifted("_main", -float(PROMPT_LEAD_S))))
-    after = F.when((F.col("_opening._o") != 0) & F.col("_prior").isNotNull(), F.col("_at") > F.col("start")).otherwise(F.col("_at") >= F.col("start"))
-    asking = out.select(*keys, "stretch", "_opening", "_prior", since.alias("start"), F.col("last_at").alias("end")).filter("start <= end")
-    asked = within(typed, "_at", asking, ["chat_id"], after & (F.col("_at") <= F.col("end")), DAY)
-    openers = asked.groupBy(*keys, "stretch").agg(F.min(F.struct("_at", "_text")).alias("_p")).select(*keys, "stretch", F.col("_p._text").alias("prompt"))
-    opening = F.when(F.col("_opening._o") == 0, "compaction").when(F.col("_opening._o") == 1, "cold").otherwise("first")
-    out = out.join(points, [*keys, "stretch"], "left").join(openers, [*keys, "stretch"], "left")
-    return out.select(*keys, "stretch", opening.alias("opening"), "first_at", "last_at", F.coalesce("points", F.lit(0.0)).alias("points"), "cost_nd", "cold_nd", "prompt")
+    # the first prompt after the chat's previous main turn (of the whole log), up to the stretch's last turn. Backwards in time,
+    # a stretch comes before the prompts of its moment if they must be later, else after them
+    compaction = F.col("_o") == 0
+    since = F.when(compaction, micros("_start")).otherwise(F.coalesce("_prior", micros(shifted("_main", -float(PROMPT_LEAD_S)))))
+    opening = F.when(compaction, "compaction").when(F.col("_o") == 1, "cold").otherwise("first")
+    asking = written(out.select(*keys, "stretch", opening.alias("opening"), "first_at", "last_at", "points", "cost_nd", "cold_nd", since.alias("_at"), F.when(~compaction & F.col("_prior").isNotNull(), 0).otherwise(2).alias("_tie")))
+    typed = events.filter("kind = 'prompt'").groupBy("chat_id", micros("at").alias("_at")).agg(F.min(F.struct("text")).alias("_typed")).withColumn("_tie", F.lit(1))
+    both = asking.unionByName(typed, allowMissingColumns=True).withColumn("_back", -F.col("_at"))
+    both = running(both, ["chat_id"], ["_back", "_tie"], F.floor(F.col("_back") / F.lit(WEEK * 1_000_000)), last={"_next": F.when(F.col("_tie") == 1, F.struct("_at", "_typed.text"))})
+    prompt = F.when(F.col("_next._at") <= micros("last_at"), F.col("_next.text"))
+    return both.filter("_tie <> 1").select(*WINDOW, "chat_id", "stretch", "opening", "first_at", "last_at", "points", "cost_nd", "cold_nd", prompt.alias("prompt"))
+
+
+def kept_turns(turns: DataFrame) -> DataFrame:
+    """What a page needs of its turns, written once for its parts."""
+    return written(turns.select(
+        "service", "chat_id", "ts", "seq", "agent_id", "project", "input", "cache_read", "cache_write_5m", "cache_write_1h", "cost_nd", "cost_input", "cost_cache_write", "tokens"
+    ))
 
 
 def load(windows: DataFrame, readings: DataFrame, turns: DataFrame, events: DataFrame, folds: DataFrame | None = None) -> dict[str, DataFrame]:
     """All that a page about windows shows: bins, parts, chats, projects, totals, stretches."""
-    cut = bins(windows, readings)
-    parts = attribution(cut, bin_use(windows, turns))
+    turns = kept_turns(turns)
+    cut = written(bins(windows, readings))
+    parts = written(attribution(cut, bin_use(windows, turns, cut)))
     chats = chat_shares(windows, turns, parts)
     if folds is not None:
         chats = folded_projects(chats, folds)

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.functions.frames import small, within
+from tallyspark.functions.frames import small, within, written
 from tallyspark.operators import limits
 from tallyspark.plans import binding as b
 from tallyspark.plans.binding import flat
@@ -195,8 +195,9 @@ def restored_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-18, WIN-19, WIN-20, WIN-21, WIN-37: chats of the windows cut at compactions and cold starts; tested against a walk."""
-    windows, _, parts, _ = _page(spark, sf_dir)
-    out = limits.stretches(windows, b.turns(spark, sf_dir), b.chat_events(spark, sf_dir), parts)
+    windows, turns = b.windows(spark, sf_dir), limits.kept_turns(b.turns(spark, sf_dir))
+    cut = written(limits.bins(windows, b.readings(spark, sf_dir).drop("window_id")))
+    out = limits.stretches(windows, turns, b.chat_events(spark, sf_dir), limits.attribution(cut, limits.bin_use(windows, turns, cut)))
     return flat(out.withColumn("points", F.round("points", 6)))
 
 

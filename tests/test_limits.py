@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators import limits, quota
+from tallyspark.plans import limit_queries
 
 T0 = datetime(2024, 1, 1)
 READING = "service string, bucket string, ts timestamp_ntz, percent double, resets_at timestamp_ntz, window_seconds double"
@@ -248,6 +250,26 @@ def test_stretches_add_up_to_the_chat(spark):
         assert own + r["outside"] == pytest.approx(r["percent"])
 
 
+def test_stretches_shuffle_turns_by_window_and_chat_once(spark, sf, monkeypatch):
+    plans, write = [], limits.written
+    monkeypatch.setattr(limits, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    limit_queries.stretches(spark, sf)
+    plan = next(p for p in plans if "_starts" in p)
+    # windows are broadcast to the turns, which are then dealt once, beside the lists of starts and points
+    assert not [x for x in plan.splitlines() if "SortMergeJoin" in x and "_cell" in x]
+    assert len(re.findall(r"Exchange hashpartitioning\(chat_id#\d+, service#\d+, window_id#\d+", plan)) == 2
+
+
+def test_stretches_share_a_free_bin_evenly(spark):
+    turns = spark.createDataFrame([("s", "a", minutes(m), m, None, "m", "p", 100, 10, 0 if m == 12 else 50_000, 20_000 if m == 12 else 0, 0, 0, 7, 30, 0) for m in (1, 2, 3, 12, 40)], TURN)
+    windows = spark.createDataFrame([("s", "five_hour", 1, minutes(0), minutes(300))], "service string, bucket string, window_id long, start timestamp_ntz, end timestamp_ntz")
+    events = spark.createDataFrame([], "chat_id string, at timestamp_ntz, seq long, kind string, text string")
+    parts = spark.createDataFrame([("s", 1, 0, "a", 6.0), ("s", 1, 1, "a", 1.0), ("s", 1, 2, "a", 2.0)], "service string, window_id long, bin int, chat_id string, points double")
+    found = {r["stretch"]: (r["opening"], r["points"], r["cold_nd"]) for r in limits.stretches(windows, turns, events, parts).collect()}
+    # bin 0 holds both, whatever their turns; bin 1 the second alone, and the rise of bin 2 lags it
+    assert found == {1: ("first", 3.0, 0), 2: ("cold", 6.0, 37)}
+
+
 def test_change_signal_needs_a_cheaper_point(spark):
     schema = "service string, start timestamp_ntz, end timestamp_ntz, attributed double, point_nd double, model string, model_nd long"
     week = lambda i, price, points=20.0, model="A": ("s", T0 + timedelta(days=7 * i), T0 + timedelta(days=7 * (i + 1)), points, price, model, 5)
